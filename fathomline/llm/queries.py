@@ -7,17 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytebpe import op3_byte_bpe
+from .fst import op10_token_counts
+from .jaccard import op1_jaccard_join
+from .language import op4_language_id
 from .packing import op2_best_fit
+from .quality import op8_quality
 from .sharding import op5_shard_tree
 from .tiff import op6_media_tiff
+from .urlfilter import op9_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_best_fit": op2_best_fit,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_language_id": op4_language_id,
         "op5_shard_tree": op5_shard_tree,
         "op6_media_tiff": op6_media_tiff,
+        "op8_quality": op8_quality,
+        "op9_url_filter": op9_url_filter,
+        "op10_token_counts": op10_token_counts,
     }
 
 
