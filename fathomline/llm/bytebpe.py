@@ -91,8 +91,9 @@ class ByteBpe:
         whole = self.ranks.get(raw)
         return [whole] if whole is not None else self.pieces.encode(raw.decode("latin-1").translate(self.to_piece))
 
-    def encode(self, text: str) -> list[int]:
-        known, words = self.known, self.split(text)
+    def encode(self, text: str, plain: bool = False) -> list[int]:
+        """ids of a text; ``plain`` says that it was found undisputed already."""
+        known, words = self.known, self.split(text, plain)
         for word in set(words).difference(known):
             if len(known) >= REMEMBER:
                 known.clear()
@@ -134,9 +135,10 @@ def _coded(df: DataFrame, path: str, with_ids: bool) -> DataFrame:
     def run(ids, texts):
         coder = load(path, disputes)
         names = _names(len(coder.token))
+        plain = coder.split.undisputed([t or "" for t in texts])
         n, shas, back, codes = [], [], [], []
         for text in texts:
-            code = coder.encode(text or "")
+            code = coder.encode(text or "", plain)
             n.append(len(code))
             shas.append(hashlib.sha256(",".join(map(names.__getitem__, code)).encode()).hexdigest())
             back.append(hashlib.sha256(coder.decode(code)).hexdigest())

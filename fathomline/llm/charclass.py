@@ -55,9 +55,15 @@ class Splitter:
         pairs = zlib.decompress(disputes).decode()
         self.stand_in = dict(zip(map(ord, pairs[::2]), pairs[1::2], strict=True))
         self.pattern = regex.compile(pattern)
-        self.disputed = regex.compile("[" + "".join(map(regex.escape, pairs[::2])) + "]") if pairs else None
+        self.disputed = np.zeros(0x110000, bool)
+        self.disputed[list(self.stand_in)] = True
 
-    def __call__(self, text: str) -> list[str]:
-        if text.isascii() or self.disputed is None or not self.disputed.search(text):
+    def undisputed(self, texts: list[str]) -> bool:
+        """Whether no character of the texts is in dispute."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return not self.disputed[points].any()
+
+    def __call__(self, text: str, plain: bool = False) -> list[str]:
+        if plain or text.isascii() or self.undisputed([text]):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.stand_in))]
