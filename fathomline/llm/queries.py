@@ -10,6 +10,7 @@ from .bytebpe import op3_byte_bpe
 from .fst import op10_token_counts
 from .jaccard import op1_jaccard_join
 from .language import op4_language_id
+from .nndescent import op7_nn_descent
 from .packing import op2_best_fit
 from .quality import op8_quality
 from .sharding import op5_shard_tree
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_shard_tree": op5_shard_tree,
         "op6_media_tiff": op6_media_tiff,
+        "op7_nn_descent": op7_nn_descent,
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
         "op10_token_counts": op10_token_counts,
