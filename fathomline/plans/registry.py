@@ -27,8 +27,15 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)
+
+
+def _load() -> None:
+    """Import the modules whose queries register themselves."""
+    from . import aggregates, evaluation, functions, joins, paths, selection, signal, stateful, windows  # noqa: F401
