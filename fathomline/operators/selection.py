@@ -21,7 +21,7 @@ def suppress(df: DataFrame, keys: list[str], place: str, score: str, tie: str, a
     rows = df.groupBy(*keys).agg(ordered.alias("_rows"))
     start = F.slice("_rows", 1, 0)
     taken = F.aggregate("_rows", start, lambda acc, r: F.when((F.size(acc) < most) & ~F.exists(acc, lambda t: F.abs(t["place"] - r["place"]) < F.lit(apart)), F.concat(acc, F.array(r))).otherwise(acc))
-    return rows.select(*keys, taken.alias("_taken")).select(*keys, F.posexplode("_taken").alias("rank", "t")).select(*keys, (F.col("rank") + 1).alias("rank"), F.col("t.place").alias(place), (-F.col("t.neg")).alias(score), F.col("t.tie").alias(tie))
+    return rows.select(*keys, taken.alias("_taken")).select(*keys, F.posexplode("_taken").alias("rank", "t")).select(*keys, (F.col("rank") + 1).alias("rank"), F.col("t.place").alias(place), (-F.col("t.neg")).alias(score), *([F.col("t.tie").alias(tie)] if tie != place else []))
 
 
 def near_best(df: DataFrame, keys: list[str], group: str, score: str, tie: str, within: float, most: int) -> DataFrame:
