@@ -1 +1,77 @@
+"""Path and graph queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import paths
+from .registry import register
+from .tables import SQL_EVENTS, events, read
+
+
+@register(
+    "viterbi_l1_score",
+    """WITH RECURSIVE r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings),
+    v AS (SELECT label, n, s AS best FROM r WHERE n = 1 UNION ALL SELECT r.label, r.n, list_transform(range(1, 9), lambda i: list_max(list_transform(range(1, 9), lambda j: v.best[j] - 0.05 * abs(i - j))) + r.s[i]) FROM v JOIN r ON r.label = v.label AND r.n = v.n + 1)
+    SELECT label, round(list_max(best), 6) AS best FROM v WHERE (label, n) IN (SELECT label, max(n) FROM r GROUP BY 1)""",
+)
+def viterbi_l1_score(spark, d):
+    rows = read(spark, d, "embeddings").select("label", "vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("s"))
+    return paths.l1_viterbi(rows, ["label"], "vec_id", "s", 8, 0.05).select("label", F.round("best", 6).alias("best"))
+
+
+@register(
+    "bottleneck_support",
+    f"""WITH {SQL_EVENTS}, p AS (SELECT *, least(value / 100, 1.0) AS w, event_type = 'signup' AS seed FROM ev), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, max(CASE WHEN seed THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS bs, min(CASE WHEN seed THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fs FROM p)
+    SELECT a.user_id, a.event_id, round(greatest(CASE WHEN a.seed THEN 1.0 WHEN a.bs IS NULL THEN 0.0 ELSE (SELECT min(b.w) FROM p b WHERE b.user_id = a.user_id AND b.event_id > a.bs AND b.event_id <= a.event_id) END, CASE WHEN a.seed THEN 1.0 WHEN a.fs IS NULL THEN 0.0 ELSE (SELECT min(b.w) FROM p b WHERE b.user_id = a.user_id AND b.event_id > a.event_id AND b.event_id <= a.fs) END), 6) AS support FROM n a""",
+)
+def bottleneck_support(spark, d):
+    rows = events(spark, d).select("user_id", "event_id", F.least(F.col("value") / 100, F.lit(1.0)).alias("w"), (F.col("event_type") == "signup").alias("seed"))
+    return paths.bottleneck(rows, ["user_id"], "event_id", "w", "seed", "support").select("user_id", "event_id", F.round("support", 6).alias("support"))
+
+
+@register(
+    "connected_components_roads",
+    """WITH RECURSIVE e AS (SELECT o_custkey AS a, 1000000 + o_orderkey % 700 AS b FROM orders WHERE o_orderkey % 5 = 0), n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x AS node, x AS root FROM n UNION SELECT n.y, r.root FROM r JOIN n ON n.x = r.node WHERE r.root < n.y)
+    SELECT node, min(root) AS component FROM r GROUP BY 1""",
+)
+def connected_components_roads(spark, d):
+    """Roads that share a file, grouped before they are split into folds."""
+    edges = read(spark, d, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 700 + 1000000).alias("b"))
+    return paths.components(edges)
+
+
+@register(
+    "constrained_dtw_pairs",
+    """WITH RECURSIVE p AS (SELECT a.vec_id, list_transform(a.embedding[1:12], lambda x: CAST(x AS DOUBLE)) AS s, list_transform(b.embedding[1:12], lambda x: CAST(x AS DOUBLE)) AS t FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 10 = 0),
+    g AS (SELECT p.vec_id, i, j, (s[i] - t[j]) ** 2 AS c FROM p, (SELECT unnest(range(1, 13)) AS i), (SELECT unnest(range(1, 13)) AS j) WHERE abs(i - j) <= 2),
+    w AS (SELECT vec_id, 0 AS k, CAST(NULL AS DOUBLE[]) AS before, CAST(NULL AS DOUBLE[]) AS last FROM p
+    UNION ALL SELECT w.vec_id, k + 1, last, list_transform(range(1, 13), lambda i: CASE WHEN k + 2 - i BETWEEN 1 AND 12 AND abs(i - (k + 2 - i)) <= 2 THEN (p.s[i] - p.t[k + 2 - i]) ** 2 + CASE WHEN k = 0 THEN 0 ELSE least(coalesce(CASE WHEN i > 1 THEN last[i - 1] END, 1e18), coalesce(last[i], 1e18), coalesce(CASE WHEN i > 1 THEN before[i - 1] END, 1e18)) END ELSE 1e18 END) FROM w JOIN p ON p.vec_id = w.vec_id WHERE k < 23)
+    SELECT vec_id, round(last[12], 6) AS cost, round(exp(-last[12]), 6) AS agreement FROM w WHERE k = 23""",
+)
+def constrained_dtw_pairs(spark, d):
+    emb = read(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 12).alias("s"))
+    pairs = emb.filter("vec_id % 10 = 0").join(emb.select((F.col("vec_id") - 1).alias("vec_id"), F.col("s").alias("t")), "vec_id")
+    cost = paths.banded_dtw(F.col("s"), F.col("t"), 12, 2)
+    return pairs.select("vec_id", cost.alias("c")).select("vec_id", F.round("c", 6).alias("cost"), F.round(F.exp(-F.col("c")), 6).alias("agreement"))
+
+
+@register(
+    "correspondence_links",
+    """WITH c AS (SELECT vec_id, label, CAST(k - 1 AS INTEGER) AS k, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k)), m AS (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS a FROM c WINDOW w AS (PARTITION BY vec_id ORDER BY k)), p AS (SELECT vec_id, k, v FROM m WHERE v > b AND v >= a AND v > 0.1),
+    f AS (SELECT x.vec_id, x.k, arg_min(y.k, (abs(y.k - x.k), y.k)) AS nk FROM p x JOIN p y ON y.vec_id = x.vec_id + 1 AND abs(y.k - x.k) <= 3 GROUP BY 1, 2), r AS (SELECT y.vec_id, y.k, arg_min(x.k, (abs(y.k - x.k), x.k)) AS pk FROM p x JOIN p y ON y.vec_id = x.vec_id + 1 AND abs(y.k - x.k) <= 3 GROUP BY 1, 2)
+    SELECT f.vec_id, f.k, f.nk FROM f JOIN r ON r.vec_id = f.vec_id + 1 AND r.k = f.nk AND r.pk = f.k""",
+)
+def correspondence_links(spark, d):
+    """Peaks of neighbouring traces that are each other's nearest within three samples."""
+    from .windows import cells, local_maxima  # noqa: F401
+
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("vec_id").orderBy("k")
+    peak = cells(spark, d).withColumn("b", F.lag("v").over(w)).withColumn("a", F.lead("v").over(w)).filter("v > b and v >= a and v > 0.1").select("vec_id", "k")
+    following = peak.select((F.col("vec_id") - 1).alias("vec_id"), F.col("k").alias("nk"))
+    pairs = peak.join(following, "vec_id").withColumn("off", F.abs(F.col("nk") - F.col("k"))).filter("off <= 3")
+    forward = pairs.groupBy("vec_id", "k").agg(F.min(F.struct("off", "nk")).alias("m")).select("vec_id", "k", F.col("m.nk").alias("nk"))
+    back = pairs.groupBy("vec_id", "nk").agg(F.min(F.struct("off", "k")).alias("m")).select("vec_id", "nk", F.col("m.k").alias("k"))
+    return forward.join(back, ["vec_id", "k", "nk"])

@@ -1 +1,75 @@
+"""Signal queries on traces."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import signal
+from .registry import register
+from .tables import read
+
+
+@register(
+    "cosine_shift_similarity",
+    """WITH t AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), s AS (SELECT *, unnest(range(-2, 3)) AS shift FROM t),
+    c AS (SELECT vec_id, shift, sum(CAST(x[k] AS DOUBLE) * CASE WHEN k + shift BETWEEN 1 AND 64 THEN CAST(y[k + shift] AS DOUBLE) ELSE 0 END) AS dot, sum(CAST(x[k] AS DOUBLE) ** 2) AS xx, sum(CASE WHEN k + shift BETWEEN 1 AND 64 THEN CAST(y[k + shift] AS DOUBLE) ** 2 ELSE 0 END) AS yy FROM s, (SELECT unnest(range(1, 65)) AS k) GROUP BY 1, 2)
+    SELECT vec_id, round(max(dot / sqrt(xx * yy)), 6) AS similarity FROM c GROUP BY 1""",
+)
+def cosine_shift_similarity(spark, d):
+    """Best cosine of neighbouring traces over shifts of up to two samples, zeros beyond the ends; column expressions over two arrays."""
+    emb = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    pairs = emb.join(emb.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    square = lambda a: total(F.transform(a, lambda v: v * v))
+
+    def cosine(shift: int):
+        n = 64 - abs(shift)
+        x, y = F.slice("x", max(1, 1 - shift), n), F.slice("y", max(1, 1 + shift), n)
+        return total(F.zip_with(x, y, lambda a, b: a * b)) / F.sqrt(square(F.col("x")) * square(y))
+
+    return pairs.select("vec_id", F.round(F.greatest(*[cosine(s) for s in range(-2, 3)]), 6).alias("similarity"))
+
+
+@register(
+    "waveform_normalised",
+    """WITH c AS (SELECT vec_id, CAST(k - 1 AS INTEGER) AS k, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k)), m AS (SELECT *, v - avg(v) OVER (PARTITION BY vec_id) AS u FROM c), n AS (SELECT *, sqrt(sum(u * u) OVER (PARTITION BY vec_id)) AS size FROM m) SELECT vec_id, k, round(CASE WHEN size > 1e-9 THEN u / size END, 6) AS value FROM n""",
+)
+def waveform_normalised(spark, d):
+    arr = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    centred = arr.select("vec_id", F.transform("x", lambda v: v - total(F.col("x")) / F.size("x")).alias("u"))
+    sized = centred.withColumn("size", F.sqrt(total(F.transform("u", lambda v: v * v))))
+    return sized.select("vec_id", "size", F.posexplode("u").alias("k", "u")).select("vec_id", "k", F.round(F.when(F.col("size") > 1e-9, F.col("u") / F.col("size")), 6).alias("value"))
+
+
+@register("shifted_template", "SELECT vec_id, CAST(k - 1 AS INTEGER) AS k, CASE WHEN k - (vec_id % 7 - 3) BETWEEN 1 AND 64 THEN round(CAST(embedding[k - (vec_id % 7 - 3)] AS DOUBLE), 6) ELSE 0 END AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS k)")
+def shifted_template(spark, d):
+    """Zero-filled shifts by a whole number of samples that differs by trace."""
+    rows = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), (F.col("vec_id") % 7 - 3).cast("int").alias("s"))
+    moved = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.when(i - F.col("s") >= 0, F.get("x", i - F.col("s"))), F.lit(0.0)))
+    return rows.select("vec_id", F.posexplode(moved).alias("k", "v")).select("vec_id", "k", F.round("v", 6).alias("value"))
+
+
+def _traces(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", "embedding")
+
+
+@register("analytic_envelope")
+def analytic_envelope(spark, d):
+    """Envelopes of all traces; a test compares them with a sum over frequencies."""
+    return signal.per_trace(_traces(spark, d), "vec_id", "embedding", signal.envelope, "envelope")
+
+
+@register("cosine_phase")
+def cosine_phase(spark, d):
+    return signal.per_trace(_traces(spark, d), "vec_id", "embedding", signal.cosine_phase, "phase")
+
+
+@register("band_pass")
+def band_pass(spark, d):
+    return signal.per_trace(_traces(spark, d), "vec_id", "embedding", lambda x: signal.band_pass(x, 0.05, 0.3), "filtered")
+
+
+@register("wavelet_ridges")
+def wavelet_ridges(spark, d):
+    return signal.per_trace(_traces(spark, d), "vec_id", "embedding", signal.ricker_ridges, "ridges")
