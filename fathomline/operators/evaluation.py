@@ -29,7 +29,8 @@ def wilson(success: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     p = success / size
     middle = (p + z * z / (2 * size)) / (1 + z * z / size)
     half = z * F.sqrt(p * (1 - p) / size + z * z / (4 * size * size)) / (1 + z * z / size)
-    return F.greatest(middle - half, F.lit(0.0)), F.least(middle + half, F.lit(1.0))
+    # greatest and least skip nulls.
+    return F.when(n > 0, F.greatest(middle - half, F.lit(0.0))), F.when(n > 0, F.least(middle + half, F.lit(1.0)))
 
 
 def distance_bin(distance: Column) -> Column:

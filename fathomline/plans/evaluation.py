@@ -95,7 +95,7 @@ def wilson_interval(spark, d):
     take = F.col("score") >= 0.99
     r = scored(spark, d).groupBy("layer", "road").agg(F.count_if(take).alias("n"), F.count_if(take & F.col("correct")).alias("k"))
     low, high = ev.wilson(F.col("k"), F.col("n"))
-    return r.select("layer", "road", "n", "k", F.round(F.when(F.col("n") > 0, low), 6).alias("low"), F.round(F.when(F.col("n") > 0, high), 6).alias("high"))
+    return r.select("layer", "road", "n", "k", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
 @register(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import paths
 from .registry import register
 from .tables import SQL_EVENTS, events, read
+from .windows import cells
 
 
 @register(
@@ -64,10 +66,6 @@ def constrained_dtw_pairs(spark, d):
 )
 def correspondence_links(spark, d):
     """Peaks of neighbouring traces that are each other's nearest within three samples."""
-    from .windows import cells, local_maxima  # noqa: F401
-
-    from pyspark.sql import Window
-
     w = Window.partitionBy("vec_id").orderBy("k")
     peak = cells(spark, d).withColumn("b", F.lag("v").over(w)).withColumn("a", F.lead("v").over(w)).filter("v > b and v >= a and v > 0.1").select("vec_id", "k")
     following = peak.select((F.col("vec_id") - 1).alias("vec_id"), F.col("k").alias("nk"))

@@ -94,7 +94,7 @@ def runs_longest(spark, d):
     f"""WITH {SQL_CELLS}, f AS (SELECT *, v > 0.08 AS hot, lag(v > 0.08) OVER w AS was FROM cell WINDOW w AS (PARTITION BY vec_id ORDER BY k)), r AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> hot THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY k) AS run FROM f),
     c AS (SELECT *, hot AND count(*) OVER (PARTITION BY vec_id, run) >= 2 AS keep FROM r), g AS (SELECT *, max(CASE WHEN keep THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS grown FROM c),
     h AS (SELECT *, sum(CASE WHEN grown AND NOT coalesce(pg, false) THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY k) AS region FROM (SELECT *, lag(grown) OVER (PARTITION BY vec_id ORDER BY k) AS pg FROM g))
-    SELECT vec_id, region, min(k) AS first, max(k) AS last, round(max(v), 6) AS peak FROM h WHERE grown GROUP BY 1, 2""",
+    SELECT vec_id, CAST(region AS BIGINT) AS region, min(k) AS first, max(k) AS last, round(max(v), 6) AS peak FROM h WHERE grown GROUP BY 1, 2""",
 )
 def anomaly_dilate_regions(spark, d):
     """Runs of at least two hot samples, grown by one to each side; grown runs may meet."""
@@ -141,7 +141,7 @@ def short_run_removal(spark, d):
     "review_islands",
     f"""WITH {SQL_EVENTS}, p AS (SELECT *, event_type IN ('error', 'signup') AS uncertain FROM ev), b AS (SELECT *, max(CASE WHEN uncertain THEN sec END) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS bu, min(CASE WHEN uncertain THEN sec END) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS au FROM p),
     u AS (SELECT * FROM b WHERE uncertain OR au - bu <= 36000), i AS (SELECT *, sum(CASE WHEN prev IS NULL OR sec - prev > 14400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS island FROM (SELECT *, lag(sec) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS prev FROM u))
-    SELECT user_id, island, min(sec) AS first, max(sec) AS last, count(*) AS picks, count(*) FILTER (WHERE uncertain) AS uncertain_picks, round(max(value), 6) AS top FROM i GROUP BY 1, 2""",
+    SELECT user_id, CAST(island AS BIGINT) AS island, min(sec) AS first, max(sec) AS last, count(*) AS picks, count(*) FILTER (WHERE uncertain) AS uncertain_picks, round(max(value), 6) AS top FROM i GROUP BY 1, 2""",
 )
 def review_islands(spark, d):
     """Uncertain picks with the short confident gaps between them, grouped where they stand close."""
@@ -172,7 +172,7 @@ def interval_merge_tiling(spark, d):
 @register(
     "sessions_gaps_islands",
     f"""WITH {SQL_EVENTS}, s AS (SELECT *, sum(CASE WHEN prev IS NULL OR sec - prev > 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS session FROM (SELECT *, lag(sec) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS prev FROM ev))
-    SELECT user_id, session, min(sec) AS first, max(sec) AS last, count(*) AS picks FROM s GROUP BY 1, 2""",
+    SELECT user_id, CAST(session AS BIGINT) AS session, min(sec) AS first, max(sec) AS last, count(*) AS picks FROM s GROUP BY 1, 2""",
 )
 def sessions_gaps_islands(spark, d):
     w = Window.partitionBy("user_id").orderBy("sec", "event_id")
