@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by a Python worker; a longer single text is handled alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,15 @@ def slices(batch: pa.RecordBatch, text_col: str = "text", limit: int = SLICE_BYT
         start = stop
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
+
+
 def map_texts(df: DataFrame, fn: Callable[[np.ndarray, list], dict], schema: str) -> DataFrame:
     """``fn(ids, texts) -> columns`` over (doc_id, text), in slices of bounded bytes, one output row a row.
 
@@ -164,30 +174,41 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])], names=["a", "b"])
 
 
+#: Edges that one task contracts; a set of no more is solved by one.
+TASK_EDGES = 500_000
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, component) of every node with an edge, component the smallest node reachable.
 
-    ``edges`` has the long columns a and b. Alternating large-star and small-star steps, each a join-free grouped
-    minimum over windows that Spark combines before the shuffle; every step is written to the shared folder, so a
-    lost executor never repeats more than one step. Stars are contracted within each task first, so a hot node has
-    at most one edge a task in the end.
+    ``edges`` has the long columns a and b. Each task contracts its edges to stars, at most one edge a node and
+    task, in tasks of about TASK_EDGES edges. Where that leaves more than one task, alternating large-star and small-star
+    steps, grouped minima that Spark combines before the shuffle, bring stars of different tasks together. Every step is written to the
+    shared folder, so a lost executor never repeats more than one.
     """
     spark = edges.sparkSession
-    current, path = stage_table(edges.select("a", "b").mapInArrow(contract, "a long, b long"), label)
+    # A union of many inputs has the sum of their partitions: no more tasks than for one.
+    current, path = stage_table(edges.select("a", "b").coalesce(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark))).mapInArrow(contract, "a long, b long"), label)
     while True:
+        tasks = -(-current.count() // TASK_EDGES)
+        following, next_path = stage_table(current.coalesce(max(1, tasks)).mapInArrow(contract, "a long, b long"), label)
+        delete_path(spark, path)
+        current, path = following, next_path
+        if tasks <= 1:
+            break
         # Large star: every larger neighbour of a node points at the smallest node beside it.
-        both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # Small star: every smaller neighbour, and the node itself, point at the smallest of them.
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        low2 = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low2, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b"))).distinct()
+        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low2, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", F.col("m").alias("b"))).distinct()
         following, next_path = stage_table(small.mapInArrow(contract, "a long, b long"), label)
-        stats = following.select(F.count("*").alias("n"), F.countDistinct("a").alias("d"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        roots = following.select("b").distinct().join(following.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
         delete_path(spark, path)
         current, path = following, next_path
-        if stats["n"] == stats["d"] and roots == 0:
-            nodes = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-            return nodes.union(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        # Done when no node points at two others and none that is pointed at points on.
+        ends = current.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(current.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).filter("out > 1 or (out = 1 and in = 1)").isEmpty():
+            break
+    nodes = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return nodes.union(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

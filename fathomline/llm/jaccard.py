@@ -3,10 +3,10 @@
 Documents are shingle sets. Similar documents are put into groups, each group's token union is stored, and a query opens
 a group only where its overlap with the union can reach the threshold.
 
-1. Grouping. Sets are cut into token ranges: a pair at the threshold differs in at most S tokens, so of S + 1 filled
-   ranges one is equal in both. Documents with an equal range (of one size class) are chained, within a task and
-   then across tasks, a document and its chain's first at a time; the chains' components are the groups. Every
-   pair that links lies in one group, and a shingle that many documents share makes no group, as a range has several.
+1. Grouping. Sets, without the tokens of very many documents, are cut into token ranges: a pair at the threshold differs in
+   at most S tokens, so of more than S filled ranges one is equal in both. Documents with an equal range (of one size
+   class) are chained, within a task and then across tasks, a document and its chain's first at a time; the chains' components
+   are the groups. Every pair that links lies in one group; a passage that many documents share makes none.
 2. Small groups are opened by one unit of work each: overlaps of all members at once from the group's token matrix.
 3. Large groups are dealt to blocks by a hash. Block unions show which tokens of a document nobody else in the group
    has; documents that cannot reach the threshold without these leave. Each block is joined in itself, then
@@ -17,6 +17,8 @@ a group only where its overlap with the union can reach the threshold.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _local_roots, components, documents_of, shuffle_partitions, slices, stage_table, table
+from .common import _local_roots, components, delete_path, documents_of, give_back, shuffle_partitions, slices, stage_table, table
 from .shingles import C, mix, shingle_sets
 
 WORDS, PERCENT = 4, 85
@@ -32,28 +34,64 @@ WORDS, PERCENT = 4, 85
 RATIO = 1.3
 #: Members of a unit of work, and pivots of a large group.
 UNIT, PIVOTS = 256, 8
+#: Tokens of at most so many members of a unit are counted pair by pair.
+FEW = 24
+#: A token is hot in more than one of so many documents, and in more than so many.
+HOT, LEAST_HOT = 500, 20
 #: Signatures sorted at once in a task.
-HELD = 3_000_000
+HELD = 700_000
 _R1, _R2, _S32 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(32)
 NULL_ID = -(1 << 63)
 
 
-def size_classes(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(upper size, most tokens in which a linked pair differs, ranges) of each class up to a size of ``most``."""
-    tops = [1]
-    while tops[-1] < most:
-        tops.append(max(tops[-1] + 1, int(tops[-1] * RATIO)))
-    top = np.array(tops, np.int64)
-    differ = (100 - percent) * top // percent
-    # Some ranges more than needed, so that few sets have too many empty ones.
-    return top, differ, differ + 1 + np.where(differ > 0, 1 + differ // 50, 0)
+@functools.lru_cache(maxsize=8)
+def _classes(percent: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    top, differ, ranges = [], [], []
+    for _ in range(count):
+        low = top[-1] + 1 if top else 1
+        top.append(max(low, int((top[-1] if top else 1) * RATIO)))
+        s = (100 - percent) * top[-1] // percent
+        m = s + 1
+        # The smallest set of the class should fill more than s ranges with two deviations to spare.
+        while s and m < 3 * s + 3:
+            mean = low / m
+            empty = m * math.exp(-mean)
+            if m - empty - 2 * math.sqrt(max(0.0, empty * (1 - (1 + mean) * math.exp(-mean)))) > s:
+                break
+            m += max(1, s // 100)
+        differ.append(s)
+        ranges.append(m)
+    return np.array(top, np.int64), np.array(differ, np.int64), np.array(ranges, np.int64)
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def size_classes(percent: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(upper size, most tokens in which a linked pair differs, ranges) of each class up to a size of ``most``."""
+    count = 16
+    while _classes(percent, count)[0][-1] < most:
+        count *= 2
+    return _classes(percent, count)
+
+
+def _ranges(hashes: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, spread: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number in ``wanted``, signature) of each filled range, and the filled ranges of each wanted set."""
+    n = bounds[wanted + 1] - bounds[wanted]
+    place = np.repeat(bounds[wanted] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    who = np.repeat(np.arange(len(wanted)), n)
+    token = hashes[place]
+    part = (token >> _S32) * spread[who] >> _S32
+    new = np.flatnonzero((np.diff(part.astype(np.int64), prepend=-1) != 0) | (np.diff(who, prepend=-1) != 0))
+    total = np.add.reduceat(mix(token + C), new) if len(new) else np.zeros(0, np.uint64)
+    who = who[new]
+    return who, mix(total + part[new] * _R1 + tag[who] * _R2), np.bincount(who, minlength=len(wanted))
+
+
+def signatures(hashes: np.ndarray, bounds: np.ndarray, percent: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(set number, signature) such that two sets that link share one, by the argument of the module's head.
 
-    A set signs for its own size class and for the lower ones that hold possible partners. Where it fills too few
-    ranges it also signs with each token of its prefix in hash order, as linked pairs of such sets share one of these.
+    A set signs for its own size class and for the lower ones that hold possible partners. Tokens in ``hot``, a sorted array, are
+    left out first: any pair differs in no more of the others. A set that fills too few ranges with the others
+    signs with all its tokens too, and one that still does with each token of its prefix in hash order: of a linked
+    pair either one set fills enough ranges, or both sign in the next way.
     """
     sizes = np.diff(bounds)
     full = np.flatnonzero(sizes)
@@ -61,8 +99,13 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     top, differ, ranges = size_classes(percent, int(sizes.max()))
     own = np.searchsorted(top, sizes)
+    rare, rare_bounds = hashes, bounds
+    if hot is not None and len(hot):
+        at = np.searchsorted(hot, hashes)
+        at[at == len(hot)] = 0
+        keep = hot[at] != hashes
+        rare, rare_bounds = hashes[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
     owners, signs = [], []
-    mixed = mix(hashes + C)
     for down in range(64):
         wanted = full[own[full] >= down]
         # A partner in the class has at least percent / 100 of this set's size.
@@ -70,22 +113,23 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np
         if not len(wanted):
             break
         kind = own[wanted] - down
-        spread = ranges[kind].astype(np.uint64)
-        n = sizes[wanted]
-        start = np.cumsum(n) - n
-        place = np.repeat(bounds[wanted] - start, n) + np.arange(n.sum())
-        who = np.repeat(np.arange(len(wanted)), n)
-        part = (hashes[place] >> _S32) * spread[who] >> _S32
-        new = np.flatnonzero((np.diff(part.astype(np.int64), prepend=-1) != 0) | (np.diff(who, prepend=-1) != 0))
-        total = np.add.reduceat(mixed[place], new)
-        signs.append(mix(total + part[new] * _R1 + (kind[who[new]] + 1).astype(np.uint64) * _R2))
-        owners.append(wanted[who[new]])
-        filled = np.bincount(who[new], minlength=len(wanted))
-        for k in np.flatnonzero(filled <= differ[kind]):
-            a, b = bounds[wanted[k]], bounds[wanted[k] + 1]
+        tag = (kind + 1).astype(np.uint64)
+        who, sign, filled = _ranges(rare, rare_bounds, wanted, ranges[kind].astype(np.uint64), tag)
+        owners.append(wanted[who])
+        signs.append(sign)
+        few = filled <= differ[kind]
+        wanted, kind, tag = wanted[few], kind[few], tag[few]
+        if rare is not hashes:
+            who, sign, filled = _ranges(hashes, bounds, wanted, ranges[kind].astype(np.uint64), tag + np.uint64(1 << 20))
+            owners.append(wanted[who])
+            signs.append(sign)
+            few = filled <= differ[kind]
+            wanted, tag = wanted[few], tag[few]
+        for k, t in zip(wanted.tolist(), tag, strict=True):
+            a, b = bounds[k], bounds[k + 1]
             prefix = (b - a) - -(-percent * (b - a) // 100) + 1
-            signs.append(mix(hashes[a : a + prefix] + np.array([kind[k] + 1], np.uint64) * C))
-            owners.append(np.full(prefix, wanted[k]))
+            signs.append(mix(hashes[a : a + prefix] + np.array([t], np.uint64) * C))
+            owners.append(np.full(prefix, k))
     return np.concatenate(owners), np.concatenate(signs)
 
 
@@ -104,8 +148,8 @@ def _chain(ids: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 DOC, CHAIN, SAME = 0, 1, 2
 
 
-def _sketch(words: int, percent: int, buckets: int):
-    """Texts to packed rows (p, kind, a, b): sizes of documents, chains and equal sets of this task, and one id a signature and task."""
+def _sketch(percent: int, buckets: int, read, hot):
+    """Sets, read from batches by ``read``, to packed rows (p, kind, a, b): sizes of documents, chains and equal sets of this task, and one id a signature and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -135,9 +179,7 @@ def _sketch(words: int, percent: int, buckets: int):
 
         count = 0
         for batch in batches:
-            for part in slices(batch):
-                ids = np.array([NULL_ID if x is None else x for x in part.column(0).to_pylist()], np.int64)
-                hashes, bounds = shingle_sets(part.column(1).to_pylist(), words)
+            for ids, hashes, bounds in read(batch):
                 sizes = np.diff(bounds)
                 out = [rows(DOC, ids, sizes)]
                 # Equal sets of this task: all but one leave.
@@ -161,7 +203,7 @@ def _sketch(words: int, percent: int, buckets: int):
                 if keep:
                     n = sizes[keep]
                     place = np.repeat(bounds[keep] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    who, signs = signatures(hashes[place], np.concatenate([[0], np.cumsum(n)]), percent)
+                    who, signs = signatures(hashes[place], np.concatenate([[0], np.cumsum(n)]), percent, hot.value)
                     held.append((ids[keep][who], signs))
                     count += len(signs)
                     if count > HELD:
@@ -169,10 +211,29 @@ def _sketch(words: int, percent: int, buckets: int):
                         held, count = [], 0
         if held:
             yield from flush()
+        held.clear()
+        give_back()
 
     return run
 
 
+def _from_texts(words: int):
+    """Reader of (doc_id, text)."""
+
+    def read(batch):
+        for part in slices(batch):
+            yield np.array([NULL_ID if x is None else x for x in part.column(0).to_pylist()], np.int64), *shingle_sets(part.column(1).to_pylist(), words)
+
+    return read
+
+
+def _from_sets(batch):
+    """Reader of (doc_id, tokens)."""
+    for i in range(0, batch.num_rows, 512):
+        part = batch.slice(i, 512)
+        yield part.column(0).to_numpy(), *_unpack(part.column(1))
+
+
 def _links(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(a), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[i : i + 50_000]), kind, np.int32)), pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])], names=["kind", "a", "b"])
@@ -191,7 +252,10 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 signs.append(np.frombuffer(b.as_buffer(), np.uint64).copy())
     if ids:
         member, first, _ = _chain(np.concatenate(ids), np.concatenate(signs))
+        ids.clear()
+        signs.clear()
         yield from _links(CHAIN, member, first)
+    give_back()
 
 
 # ---------------------------------------------------------------- units of work
@@ -213,53 +277,62 @@ class Unit:
         self.shared = counts > 1
 
     def overlaps(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """Intersection sizes of chosen members, from the matrix of the tokens that several members have, some columns at a time."""
+        """Intersection sizes of chosen members. Tokens that few members have are counted pair by pair, others by products of some columns of the matrix at a time."""
         row_of, other_of = np.full(len(self.ids), -1), np.full(len(self.ids), -1)
         row_of[rows], other_of[others] = np.arange(len(rows)), np.arange(len(others))
-        column = np.cumsum(self.shared) - 1
-        use = self.shared[self.column]
-        owner, place = self.owner[use], column[self.column[use]]
-        out = np.zeros((len(rows), len(others)), np.float32)
-        width = 8192
+        use = self.shared[self.column] & ((row_of >= 0) | (other_of >= 0))[self.owner]
+        owner, place = self.owner[use], self.column[use]
         order = np.argsort(place, kind="stable")
         owner, place = owner[order], place[order]
-        total = int(self.shared.sum())
-        cuts = np.searchsorted(place, np.arange(0, total + width, width))
-        for k in range(len(cuts) - 1):
-            o, p = owner[cuts[k] : cuts[k + 1]], place[cuts[k] : cuts[k + 1]] - k * width
-            if not len(o):
-                continue
-            left = np.zeros((len(rows), width), np.float32)
+        heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(heads, len(place)))
+        flat = np.zeros(len(rows) * len(others), np.int64)
+        for c in range(2, FEW + 1):
+            start = heads[counts == c]
+            for k in range(0, len(start), 50_000):
+                members = owner[start[k : k + 50_000, None] + np.arange(c)]
+                left, right = row_of[members][:, :, None], other_of[members][:, None, :]
+                at = (left * len(others) + right)[(left >= 0) & (right >= 0)]
+                if len(at) > len(flat) // 8:
+                    flat += np.bincount(at, minlength=len(flat))
+                elif len(at):
+                    np.add.at(flat, at, 1)
+        out = flat.reshape(len(rows), len(others))
+        start, size = heads[counts > FEW], counts[counts > FEW]
+        for k in range(0, len(start), 4096):
+            n = size[k : k + 4096]
+            o = owner[np.repeat(start[k : k + 4096] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            p = np.repeat(np.arange(len(n)), n)
+            left = np.zeros((len(rows), len(n)), np.float32)
             mine = row_of[o] >= 0
             left[row_of[o[mine]], p[mine]] = 1
-            if rows is others:
-                right = left
-            else:
-                right = np.zeros((len(others), width), np.float32)
+            right = left
+            if rows is not others:
+                right = np.zeros((len(others), len(n)), np.float32)
                 theirs = other_of[o] >= 0
                 right[other_of[o[theirs]], p[theirs]] = 1
-            out += left @ right.T
-        return out.astype(np.int64)
+            out += (left @ right.T).astype(np.int64)
+        return out
 
-    def links(self, queries: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Linked pairs as member numbers. ``queries``: flags; then only pairs of a query and another member.
+    def links(self, queries: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Linked pairs as member numbers. With flags ``queries`` and ``own`` only pairs of a query and a member of its own group.
 
         Before a query opens the group its overlap with the union of the others is compared with what the smallest possible partner asks for.
         """
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
         n = len(self.ids)
-        if n < 2:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if n < 2 or not (self.sizes > 0).any():
+            return none
         with_others = np.bincount(self.owner, weights=self.shared[self.column], minlength=n).astype(np.int64)
-        least = np.maximum(-(-self.percent * self.sizes // 100), int(self.sizes[self.sizes > 0].min()) if (self.sizes > 0).any() else 0)
+        least = np.maximum(-(-self.percent * self.sizes // 100), int(self.sizes[self.sizes > 0].min()))
         opens = (self.sizes > 0) & (with_others >= reach(self.sizes, least, self.percent))
-        others = np.flatnonzero(opens)
+        others = np.flatnonzero(opens if own is None else opens & own)
         rows = others if queries is None else np.flatnonzero(opens & queries)
-        if not len(rows) or len(others) < 2:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(rows) or not len(others):
+            return none
         found_a, found_b = [], []
         for k in range(0, len(rows), 1024):
-            part = rows[k : k + 1024]
-            part = others if queries is None and len(rows) <= 1024 else part
+            part = others if queries is None and len(rows) <= 1024 else rows[k : k + 1024]
             common = self.overlaps(part, others)
             a, b = np.nonzero((100 + self.percent) * common >= self.percent * (self.sizes[part][:, None] + self.sizes[others][None, :]))
             a, b = part[a], others[b]
@@ -363,23 +436,15 @@ def _alone(batches):
 
 
 def _join_block(percent: int):
-    """Units (g, block, doc_id, tokens, query): links of each block as stars; with queries only of these. The member with most links comes back as (doc_id, NULL_ID)."""
+    """Units (g, block, doc_id, tokens, query): links of each block as stars; with queries, only theirs with the block's own. The member with most links comes back as (doc_id, NULL_ID)."""
 
     def run(batches):
         for unit in _units(batches, 2):
             unit = unit.combine_chunks()
-            # A query may come to its own block as well.
-            rank = np.lexsort((~unit["query"].to_numpy(zero_copy_only=False), unit["doc_id"].to_numpy()))
-            unit = unit.take(pa.array(rank))
-            ids = unit["doc_id"].to_numpy()
-            keep = np.ones(len(ids), bool)
-            for k in np.flatnonzero(ids[1:] == ids[:-1]):
-                keep[k + 1] = not unit["tokens"][k].equals(unit["tokens"][k + 1])
-            unit = unit.filter(pa.array(keep))
-            ids = ids[keep]
-            flags = unit["query"].to_numpy(zero_copy_only=False)
+            ids, asks = unit["doc_id"].to_numpy(), unit["query"].to_numpy(zero_copy_only=False)
             hashes, bounds = _unpack(unit["tokens"].combine_chunks())
-            a, b = Unit(ids, hashes, bounds, percent).links(flags if flags.any() else None)
+            found = Unit(ids, hashes, bounds, percent)
+            a, b = found.links(asks, ~asks) if asks.any() else found.links()
             x, y = _stars(ids, a, b)
             if len(x):
                 most = ids[np.bincount(a, minlength=len(ids)).argmax()]
@@ -388,46 +453,121 @@ def _join_block(percent: int):
     return run
 
 
-def _large(sets: DataFrame, percent: int) -> list[DataFrame]:
-    """Links (a, b) of groups of more than UNIT members; ``sets`` has g, doc_id, n, tokens."""
-    spark = sets.sparkSession
-    parts = shuffle_partitions(spark)
+def _hot_tokens(df: DataFrame, read) -> np.ndarray:
+    """Tokens in more than one of HOT documents, sorted. At most HOT times the mean set size of them exist, whatever the corpus.
+
+    Each task counts its documents in portions of about HELD tokens and reports what is frequent there; signatures hold for any choice of these tokens, so a
+    token just under a task's bound costs time, never a link.
+    """
+
+    def report(held, docs):
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        often = counts >= max(3, docs // (2 * HOT))
+        return pa.RecordBatch.from_arrays([pa.array(np.append(tokens[often].view(np.int64), NULL_ID)), pa.array(np.append(counts[often], docs))], names=["token", "n"])
+
+    def run(batches):
+        held, docs, size = [], 0, 0
+        for batch in batches:
+            for _, hashes, bounds in read(batch):
+                held.append(hashes)
+                docs += len(bounds) - 1
+                size += len(hashes)
+                if size > HELD:
+                    yield report(held, docs)
+                    held, docs, size = [], 0, 0
+        yield report(held, docs)
+        give_back()
+
+    counted, path = stage_table(df.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "jaccard-counts")
+    docs = counted.filter(F.col("token") == NULL_ID).agg(F.sum("n")).first()[0] or 0
+    found = counted.filter((F.col("token") != NULL_ID) & (F.col("n") > max(LEAST_HOT, docs / HOT))).select("token").toPandas()["token"].to_numpy()
+    delete_path(df.sparkSession, path)
+    return np.sort(found.astype(np.int64).view(np.uint64))
 
-    def blocks(df: DataFrame, what: DataFrame) -> DataFrame:
-        """``df`` with the block of each document among its group's k."""
-        return df.join(what, "g").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
 
-    def sizes(df: DataFrame) -> DataFrame:
-        return df.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / UNIT, F.sum("n") / 2_000_000)).cast("int").alias("k"), F.min("n").alias("least"))
+def _group(df: DataFrame, percent: int, read, hot, label: str) -> DataFrame:
+    """The staged rows (kind, a, b) of ``df`` under the signatures: DOC sizes, CHAIN and SAME edges. ``hot``: the broadcast hot tokens."""
+    parts = shuffle_partitions(df.sparkSession)
+    sketched = df.mapInArrow(_sketch(percent, 8 * parts, read, hot), "p int, kind int, a binary, b binary")
+    return stage_table(sketched.repartition(parts, "p").mapInArrow(_match, "kind int, a long, b long"), label)[0]
 
-    def run(df: DataFrame, fn, schema: str, *columns: str) -> DataFrame:
-        return df.select("g", "block", *columns).repartition(parts, "g", "block").sortWithinPartitions("g", "block").mapInArrow(fn, schema)
 
-    held = blocks(sets, sizes(sets))
-    tokens = run(held, _block_tokens, "g long, block int, tokens binary, owners binary", "doc_id", "k", "n", "tokens")
-    alone = run(tokens, _alone, "a long, b long", "tokens", "owners").groupBy("a").agg(F.sum("b").alias("alone"))
+def _edges_of(found: DataFrame, kind: int) -> DataFrame:
+    return found.filter(F.col("kind") == kind).select("a", "b")
+
+
+def _sizes(df: DataFrame) -> DataFrame:
+    """Blocks k of each group, and its smallest set."""
+    return df.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / UNIT, F.sum("n") / 2_000_000)).cast("int").alias("k"), F.min("n").alias("least"))
+
+
+def _blocks(df: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``df`` with the block of each document among its group's k."""
+    return df.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+
+
+def _run(df: DataFrame, fn, schema: str, *columns: str) -> DataFrame:
+    return df.select("g", "block", *columns).repartition(shuffle_partitions(df.sparkSession), "g", "block").sortWithinPartitions("g", "block").mapInArrow(fn, schema)
+
+
+def _prune(sets: DataFrame, percent: int) -> DataFrame:
+    """Without the documents whose tokens that somebody else in the group has are too few for any link."""
+    held = _blocks(sets, _sizes(sets))
+    tokens = _run(held, _block_tokens, "g long, block int, tokens binary, owners binary", "doc_id", "k", "n", "tokens")
+    alone = _run(tokens, _alone, "a long, b long", "tokens", "owners").groupBy("a").agg(F.sum("b").alias("alone"))
     known = held.join(alone.withColumnRenamed("a", "doc_id"), "doc_id", "left")
     partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     able = known.filter((F.col("n") - F.coalesce("alone", F.lit(0))) * (100 + percent) >= percent * (F.col("n") + partner)).select("g", "doc_id", "n", "tokens")
-    left, _ = stage_table(able, "jaccard-left")
-    dealt = blocks(left, sizes(left)).withColumn("query", F.lit(False))
-    first, _ = stage_table(run(dealt, _join_block(percent), "a long, b long", "doc_id", "tokens", "query"), "jaccard-first")
-    links = first.filter(F.col("b") != NULL_ID)
-    # Pivots: the best linked members of some blocks, sent to every block of their group.
-    best = first.filter(F.col("b") == NULL_ID).select(F.col("a").alias("doc_id")).distinct().join(left, "doc_id")
-    pivots = best.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("doc_id")))).filter(F.col("r") <= PIVOTS).select("g", "doc_id", "tokens")
-    ks = sizes(left).select("g", "k")
+    return stage_table(able, "jaccard-able")[0]
+
+
+def _is_large(members: DataFrame) -> DataFrame:
+    """(g, large) of the groups that one unit of work should not take; ``members`` has g and n."""
+    weight = members.groupBy("g").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
+    return weight.filter((F.col("members") > UNIT) | (F.col("weight") > 4_000_000)).select("g", F.lit(True).alias("large"))
 
-    def everywhere(df: DataFrame) -> DataFrame:
-        return df.join(ks, "g").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("query", F.lit(True))
 
+def _large(sets: DataFrame, percent: int, hot) -> list[DataFrame]:
+    """Links (a, b) of large groups; ``sets`` has g, doc_id, n, tokens.
+
+    Documents that cannot link leave, and those that stay are grouped again: chains that ran over the others break. Groups
+    that are small then are opened whole; those that stay large go on to their blocks.
+    """
+    able = _prune(sets, percent)
+    found = _group(able.select("doc_id", "tokens"), percent, _from_sets, hot, "jaccard-regrouped")
+    groups = components(_edges_of(found, CHAIN), "jaccard-regroup").select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
+    grouped = able.drop("g").join(groups, "doc_id")
+    members, _ = stage_table(grouped.join(_is_large(grouped.select("g", "n")), "g", "left").select("g", "doc_id", "n", "tokens", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-members")
+    small = members.filter("not large").select("g", F.lit(0).alias("block"), "doc_id", "tokens", F.lit(False).alias("query"))
+    out = [_edges_of(found, SAME), _run(small, _join_block(percent), "a long, b long", "doc_id", "tokens", "query").filter(F.col("b") != NULL_ID)]
+    left = members.filter("large").drop("large")
+    return out if left.isEmpty() else out + _opened(left, percent)
+
+
+def _opened(sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Links of large groups by blocks: within each, with pivots, and of the documents outside a group's main component with all blocks."""
+    sizes = _sizes(sets)
+    dealt = _blocks(sets, sizes).withColumn("query", F.lit(False))
     columns = ["g", "block", "doc_id", "tokens", "query"]
-    second, _ = stage_table(run(dealt.select(columns).union(everywhere(pivots).select(columns)), _join_block(percent), "a long, b long", "doc_id", "tokens", "query").filter(F.col("b") != NULL_ID), "jaccard-second")
+
+    def opened(queries: DataFrame | None, label: str) -> DataFrame:
+        rows, join = dealt.select(columns), _join_block(percent)
+        if queries is not None:
+            everywhere = queries.join(sizes.select("g", "k"), "g").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("query", F.lit(True))
+            rows, join = rows.union(everywhere.select(columns)), _only_queries(percent)
+        return stage_table(_run(rows, join, "a long, b long", "doc_id", "tokens", "query"), label)[0]
+
+    first = opened(None, "jaccard-first")
+    links = first.filter(F.col("b") != NULL_ID)
+    # Pivots: the best linked members of some blocks, sent to every block of their group.
+    best = first.filter(F.col("b") == NULL_ID).select(F.col("a").alias("doc_id")).distinct().join(sets, "doc_id")
+    pivots = best.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("doc_id")))).filter(F.col("r") <= PIVOTS).select("g", "doc_id", "tokens")
+    second = opened(pivots, "jaccard-second").filter(F.col("b") != NULL_ID)
     roots = components(links.union(second), "jaccard-large")
-    labelled, _ = stage_table(left.select("g", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("g", "doc_id", F.coalesce("component", "doc_id").alias("c")), "jaccard-labels")
+    labelled, _ = stage_table(sets.select("g", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("g", "doc_id", F.coalesce("component", "doc_id").alias("c")), "jaccard-labels")
     main = labelled.groupBy("g", "c").count().groupBy("g").agg(F.max(F.struct("count", "c")).alias("m")).select("g", F.col("m.c").alias("c"))
-    minor = labelled.join(main, ["g", "c"], "left_anti").select("doc_id").join(left, "doc_id").select("g", "doc_id", "tokens")
-    third, _ = stage_table(run(dealt.select(columns).union(everywhere(minor).select(columns)), _only_queries(percent), "a long, b long", "doc_id", "tokens", "query").filter(F.col("b") != NULL_ID), "jaccard-third")
+    minor = labelled.join(main, ["g", "c"], "left_anti").select("doc_id").join(sets, "doc_id").select("g", "doc_id", "tokens")
+    third = opened(minor, "jaccard-third").filter(F.col("b") != NULL_ID)
     return [links, second, third]
 
 
@@ -451,22 +591,21 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
     and link with nothing, not even each other; shorter texts are one shingle. Rows with a null id link with nothing and have a null
     component; rows with one id are one node. Sets are held as 64-bit hashes.
     """
-    spark = df.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = shuffle_partitions(df.sparkSession)
     docs = documents_of(df, id_col, text_col)
-    sketched = docs.mapInArrow(_sketch(words, percent, 8 * parts), "p int, kind int, a binary, b binary")
-    found, _ = stage_table(sketched.repartition(parts, "p").mapInArrow(_match, "kind int, a long, b long"), "jaccard-sketch")
+    read = _from_texts(words)
+    hot = df.sparkSession.sparkContext.broadcast(_hot_tokens(docs, read))
+    found = _group(docs, percent, read, hot, "jaccard-sketch")
     rows = found.filter(F.col("kind") == DOC).select(F.when(F.col("a") != NULL_ID, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"))
-    same = found.filter(F.col("kind") == SAME).select("a", "b")
-    groups, _ = stage_table(components(found.filter(F.col("kind") == CHAIN).select("a", "b"), "jaccard-groups").select(F.col("node").alias("doc_id"), F.col("component").alias("g")), "jaccard-members")
-    # Sizes by what is known of the documents: a group with few but very long texts is a large one too.
-    weight = rows.groupBy("doc_id").agg(F.max("n_shingles").alias("n")).join(groups, "doc_id").groupBy("g").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
-    large = weight.filter((F.col("members") > UNIT) | (F.col("weight") > 4_000_000)).select("g", F.lit(True).alias("large"))
-    members, _ = stage_table(docs.join(groups, "doc_id").dropDuplicates(["doc_id", "text"]).join(large, "g", "left").select("g", "doc_id", "text", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-texts")
+    groups, _ = stage_table(components(_edges_of(found, CHAIN), "jaccard-groups").select(F.col("node").alias("doc_id"), F.col("component").alias("g")), "jaccard-grouped")
+    large = _is_large(rows.groupBy("doc_id").agg(F.max("n_shingles").alias("n")).join(groups, "doc_id"))
+    # One plan at every size: the texts move once, to their ids, and only members of groups are kept.
+    members, _ = stage_table(docs.join(groups.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text"]).join(large, "g", "left").select("g", "doc_id", "text", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-texts")
     small = members.filter("not large").select("g", "doc_id", "text").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_join_small(words, percent), "a long, b long")
-    links = [same, small]
-    if not large.isEmpty():
-        links += _large(stage_table(members.filter("large").select("g", "doc_id", "text").mapInArrow(_pack_sets(words), "g long, doc_id long, n long, tokens binary"), "jaccard-sets")[0], percent)
+    links = [_edges_of(found, SAME), small]
+    sets, _ = stage_table(members.filter("large").select("g", "doc_id", "text").mapInArrow(_pack_sets(words), "g long, doc_id long, n long, tokens binary"), "jaccard-sets")
+    if not sets.isEmpty():
+        links += _large(sets, percent, hot)
     every = links[0]
     for more in links[1:]:
         every = every.union(more)

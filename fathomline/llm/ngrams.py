@@ -71,7 +71,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         odd = 0x2C1B3C6D
         pair = []
         for factor in (odd, pow(odd, -1, 1 << 32)):
-            run = np.full(max(n, 1 << 21), factor, np.uint32)
+            run = np.full(max(n, 1 << 20), factor, np.uint32)
             run[0] = 1
             pair.append(np.cumprod(run, dtype=np.uint32))
         _powers[:] = [tuple(pair)]

@@ -32,7 +32,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         odd = 0xD6E8FEB86659FD93
         pair = []
         for factor in (odd, pow(odd, -1, 1 << 64)):
-            run = np.full(max(n, 1 << 21), factor, np.uint64)
+            run = np.full(max(n, 1 << 20), factor, np.uint64)
             run[0] = 1
             pair.append(np.cumprod(run, dtype=np.uint64))
         _powers[:] = [tuple(pair)]
@@ -81,7 +81,7 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
             short = word[a:a + 1].copy()
             for k in range(a + 1, b):
                 short = mix(short * C + word[k : k + 1])
-            own = mix(short + np.uint64(b - a) * B)
+            own = mix(short + np.array([b - a], np.uint64) * B)
         else:
             continue
         sizes[i] = len(own)

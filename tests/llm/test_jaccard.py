@@ -91,9 +91,21 @@ def test_large_groups_are_split_without_loss(spark, monkeypatch):
     texts = copies(90, 90, 8, 1) + copies(60, 40, 3, 2) + [" ".join(f"p{i}" for i in range(60)) + " " + " ".join(f"own{k}_{i}" for i in range(30)) for k in range(60)] + copies(30, 8, 1, 4)
     rows = list(enumerate(texts))
     random.Random(0).shuffle(rows)
-    for regroup in (0, 1, 3):
-        monkeypatch.setattr(jaccard, "REGROUP", regroup)
-        assert got(spark, rows) == brute(sorted(rows), 4, 85)
+    assert got(spark, rows) == brute(sorted(rows), 4, 85)
+    assert got(spark, rows, 5, 80) == brute(sorted(rows), 5, 80)
+
+
+def test_any_hot_tokens_keep_all_links():
+    draw = np.random.default_rng(8)
+    for size in (5, 20, 80, 400):
+        base = np.unique(draw.integers(0, 1 << 64, size, dtype=np.uint64))
+        other = np.unique(np.concatenate([base[size // 12 :], draw.integers(0, 1 << 64, size // 20, dtype=np.uint64)]))
+        if 100 * len(np.intersect1d(base, other)) < 80 * len(np.union1d(base, other)):
+            continue
+        for share in (0.0, 0.3, 0.9, 1.0):
+            hot = np.sort(draw.permutation(base)[: int(share * len(base))])
+            who, signs = jaccard.signatures(np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)]), 80, hot)
+            assert set(signs[who == 0]) & set(signs[who == 1])
 
 
 def test_edge_rows(spark):
