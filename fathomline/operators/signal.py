@@ -74,3 +74,57 @@ def ricker_ridges(x: np.ndarray, widths: tuple[float, ...] = (2.0, 3.0, 4.5)) ->
         response = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(hat, size), size)[..., reach : reach + n]
         best = np.maximum(best, np.abs(response))
     return best / np.maximum(best.max(axis=-1, keepdims=True), 1e-12)
+
+
+def minimum_phase(wavelet: np.ndarray, size: int = 256) -> np.ndarray:
+    """The minimum-phase wavelet of the same amplitude spectrum, through the folded cepstrum."""
+    spectrum = np.abs(np.fft.fft(wavelet, size))
+    cepstrum = np.fft.ifft(np.log(np.maximum(spectrum, 1e-6 * spectrum.max()))).real
+    fold = np.zeros(size)
+    fold[0] = 1
+    fold[1 : size // 2] = 2
+    fold[size // 2] = 1
+    return np.fft.ifft(np.exp(np.fft.fft(cepstrum * fold))).real[: len(wavelet)]
+
+
+def sparsest_rotation(x: np.ndarray, angles: int = 36) -> tuple[np.ndarray, np.ndarray]:
+    """Each trace turned by the phase at which its 99th percentile is largest against its median: (angle, soft-thresholded trace)."""
+    z = analytic(x)
+    turns = np.linspace(-np.pi, np.pi, angles, endpoint=False)
+    turned = np.stack([(z * np.exp(1j * a)).real for a in turns])
+    size = np.abs(turned)
+    ratio = np.percentile(size, 99, axis=2) / np.maximum(np.median(size, axis=2), 1e-12)
+    best = ratio.argmax(axis=0)
+    chosen = turned[best, np.arange(len(x))]
+    floor = np.median(np.abs(chosen), axis=1, keepdims=True)
+    return turns[best], np.sign(chosen) * np.maximum(np.abs(chosen) - floor, 0)
+
+
+def soft_denoise(x: np.ndarray, levels: int = 2) -> np.ndarray:
+    """Undecimated B3-spline wavelet denoising: details under the universal threshold of their robust noise level are dropped."""
+    kernel = np.array([1, 4, 6, 4, 1]) / 16
+    smooth, details = x, []
+    for level in range(levels):
+        step = 2**level
+        reach = 2 * step
+        padded = np.pad(smooth, ((0, 0), (reach, reach)), mode="reflect")
+        following = sum(k * padded[:, i * step : i * step + x.shape[1]] for i, k in enumerate(kernel))
+        detail = smooth - following
+        limit = np.median(np.abs(detail), axis=1, keepdims=True) / 0.6745 * np.sqrt(2 * np.log(max(x.shape[1], 2)))
+        details.append(np.sign(detail) * np.maximum(np.abs(detail) - limit, 0))
+        smooth = following
+    return smooth + sum(details)
+
+
+def aligned(x: np.ndarray, target: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shift, trace moved by it) that brings each trace closest to the target by correlation; zeros move in."""
+    n = x.shape[1]
+    best, score = np.zeros(len(x), int), np.full(len(x), -np.inf)
+    moved = np.zeros_like(x)
+    for shift in sorted(range(-reach, reach + 1), key=lambda s: (abs(s), s)):
+        rolled = np.zeros_like(x)
+        rolled[:, max(0, shift) : n + min(0, shift)] = x[:, max(0, -shift) : n - max(0, shift)]
+        value = rolled @ target
+        better = value > score + 1e-12
+        best[better], score[better], moved[better] = shift, value[better], rolled[better]
+    return best, moved

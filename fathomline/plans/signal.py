@@ -73,3 +73,23 @@ def band_pass(spark, d):
 @register("wavelet_ridges")
 def wavelet_ridges(spark, d):
     return signal.per_trace(_traces(spark, d), "vec_id", "embedding", signal.ricker_ridges, "ridges")
+
+
+@register("soft_denoise")
+def soft_denoise(spark, d):
+    return signal.per_trace(_traces(spark, d), "vec_id", "embedding", signal.soft_denoise, "denoised")
+
+
+@register("mixed_phase_reflectivity")
+def mixed_phase_reflectivity(spark, d):
+    return signal.per_trace(_traces(spark, d), "vec_id", "embedding", lambda x: signal.sparsest_rotation(x)[1], "reflectivity")
+
+
+@register("plate_alignment")
+def plate_alignment(spark, d):
+    """Every trace aligned to the median trace, one row of 64 values."""
+    import numpy as np
+
+    cells = _traces(spark, d).select(F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "v")).groupBy("k").agg(F.median("v").alias("m"))
+    target = np.array([r.m for r in cells.orderBy("k").collect()])
+    return signal.per_trace(_traces(spark, d), "vec_id", "embedding", lambda x: signal.aligned(x, target, 4)[1], "aligned")
