@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules whose queries register themselves."""
-    from . import aggregates, evaluation, functions, guidance, joins, links, paths, selection, signal, solvers, stateful, windows  # noqa: F401
+    from . import aggregates, audit, evaluation, functions, guidance, joins, links, paths, selection, signal, solvers, stateful, windows  # noqa: F401
