@@ -76,10 +76,13 @@ def split_blocks_mod5(spark, d):
     "WITH g AS (SELECT DISTINCT o_custkey FROM orders), r AS (SELECT *, percent_rank() OVER (ORDER BY sha256(CAST(o_custkey AS VARCHAR))) AS p FROM g) SELECT o_custkey, CASE WHEN p < 0.2 THEN 'test' WHEN p < 0.4 THEN 'validation' ELSE 'train' END AS split FROM r",
 )
 def hash_split_groups(spark, d):
-    """Groups in the order of their hash; the catalogue of groups is small, but its rank needs one order over all of it."""
-    groups = read(spark, d, "orders").select("o_custkey").distinct().withColumn("h", F.sha2(F.col("o_custkey").cast("string"), 256))
-    p = F.percent_rank().over(Window.orderBy("h"))
-    return groups.select("o_custkey", F.when(p < 0.2, "test").when(p < 0.4, "validation").otherwise("train").alias("split"))
+    """Groups in the order of their hash. Ranks come from 4,096 classes of the hash: their counts are summed in order, a few rows, and groups are ranked within their class."""
+    groups = read(spark, d, "orders").select("o_custkey").distinct().withColumn("h", F.sha2(F.col("o_custkey").cast("string"), 256)).withColumn("c", F.substring("h", 1, 3))
+    counts = groups.groupBy("c").count()
+    before = counts.select("c", (F.sum("count").over(Window.orderBy("c")) - F.col("count")).alias("before"), F.sum("count").over(Window.partitionBy()).alias("n"))
+    ranked = groups.withColumn("k", F.rank().over(Window.partitionBy("c").orderBy("h"))).join(before, "c")
+    p = (F.col("before") + F.col("k") - 1) / F.greatest(F.col("n") - 1, F.lit(1))
+    return ranked.select("o_custkey", F.when(p < 0.2, "test").when(p < 0.4, "validation").otherwise("train").alias("split"))
 
 
 @register(
