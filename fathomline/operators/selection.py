@@ -42,3 +42,16 @@ def at_shares(df: DataFrame, keys: list[str], place: str, tie: str, shares: list
 def pmod_class(x: Column, full: float, classes: int) -> Column:
     """The class of an angle-like value among ``classes`` equal parts of ``full``, half-open, negatives wrapped."""
     return F.floor(F.pmod(x + F.lit(full / 2), F.lit(full)) * F.lit(classes) / F.lit(full)).cast("int")
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, name: str, width: int = 4096) -> DataFrame:
+    """``df`` with rows numbered from 0 along a whole-number ``order`` within keys, without a task that holds a key.
+
+    Rows are ranked within pieces of the order of ``width``; the pieces' counts, a few rows, are summed along a key. Equal
+    places share no number only where ``order`` is unique within keys.
+    """
+    pieces = df.withColumn("_p", F.floor(F.col(order) / width))
+    counts = pieces.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_b", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_n")).drop("_n")
+    within = pieces.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(order)) - 1)
+    return within.join(before, [*keys, "_p"]).withColumn(name, (F.col("_b") + F.col("_k")).cast("long")).drop("_p", "_k", "_b")

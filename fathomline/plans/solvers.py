@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import grids, solvers
+from ..operators import grids, selection, solvers
 from .registry import register
 from .tables import read
 
@@ -14,8 +13,7 @@ from .tables import read
 def _blocks(spark, d, rows=12, states=8):
     """(label, block, vec_id, s): the traces of a road in blocks of so many."""
     emb = read(spark, d, "embeddings").select("label", "vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, states).alias("s"))
-    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return emb.withColumn("block", F.floor(n / rows).cast("int"))
+    return selection.numbered(emb, ["label"], "vec_id", "n").withColumn("block", F.floor(F.col("n") / rows).cast("int")).drop("n")
 
 
 @register("second_order_paths")
@@ -65,7 +63,7 @@ def layered_beam_paths(spark, d):
 
 def _grid(spark, d, fn, margin, out):
     emb = read(spark, d, "embeddings").select("label", "vec_id", "embedding")
-    numbered = emb.withColumn("row", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long"))
+    numbered = selection.numbered(emb, ["label"], "vec_id", "row")
     return grids.over_blocks(numbered, ["label"], "row", "embedding", fn, 64, margin, out)
 
 

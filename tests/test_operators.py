@@ -71,6 +71,12 @@ def test_suppression(spark):
     assert values(selection.suppress(df, ["k"], "i", "v", "i", 2, 2), "rank", "i") == [(1, 1), (2, 4)]
 
 
+def test_numbering_by_pieces(spark):
+    df = spark.createDataFrame([("a", i * i) for i in range(30)] + [("b", 5)], "k string, x long")
+    rows = selection.numbered(df, ["k"], "x", "n", 50).orderBy("k", "x").collect()
+    assert [r.n for r in rows] == [*range(30), 0]
+
+
 def test_rates_of_nothing_are_null(spark):
     row = spark.createDataFrame([(False, True)], "a boolean, c boolean").agg(*evaluation.cohort(F.col("a"), F.col("c"))).first()
     assert row.precision is None and row.coverage == 0
