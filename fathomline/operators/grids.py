@@ -29,7 +29,7 @@ def over_blocks(df: DataFrame, keys: list[str], row: str, samples: str, fn: Call
         pdf = pdf.sort_values(row)
         made = fn(np.stack([np.asarray(v, float) for v in pdf["_s"]]))
         mine = (pdf[row] // size == pdf["_b"]).to_numpy()
-        return pd.DataFrame({**{k: pdf[k][mine] for k in keys}, row: pdf[row][mine], out: [v.tolist() for v in made[mine]]})
+        return pd.DataFrame({**{k: pdf[k][mine] for k in keys}, row: pdf[row][mine], out: pd.Series([v.tolist() for v in made[mine]], index=pdf.index[mine], dtype=object)})
 
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{row} {kinds[row]}", f"{out} array<double>"])
     return spread.groupBy(*keys, "_b").applyInPandas(run, schema)
