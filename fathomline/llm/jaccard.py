@@ -36,8 +36,8 @@ RATIO = 1.3
 UNIT, PIVOTS = 256, 8
 #: Tokens of at most so many members of a unit are counted pair by pair.
 FEW = 24
-#: A token is hot in more than one of so many documents, and in more than so many.
-HOT, LEAST_HOT = 500, 20
+#: A token is hot in more than so many documents; at most so many are; tokens counted at once in a task.
+LEAST_HOT, MOST_HOT, COUNTED = 40, 1_000_000, 2_000_000
 #: Signatures sorted at once in a task.
 HELD = 700_000
 _R1, _R2, _S32 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(32)
@@ -454,33 +454,41 @@ def _join_block(percent: int):
 
 
 def _hot_tokens(df: DataFrame, read) -> np.ndarray:
-    """Tokens in more than one of HOT documents, sorted. At most HOT times the mean set size of them exist, whatever the corpus.
+    """Tokens in more than LEAST_HOT documents, sorted; where these are more than MOST_HOT, the most frequent ones by classes of their count.
 
-    Each task counts its documents in portions of about HELD tokens and reports what is frequent there; signatures hold for any choice of these tokens, so a
-    token just under a task's bound costs time, never a link.
+    Each task counts its documents in portions of about COUNTED tokens and reports the tokens that several documents there
+    have; signatures hold for any choice of hot tokens, so one that a portion passes over costs time, never a link.
     """
 
-    def report(held, docs):
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        often = counts >= max(3, docs // (2 * HOT))
-        return pa.RecordBatch.from_arrays([pa.array(np.append(tokens[often].view(np.int64), NULL_ID)), pa.array(np.append(counts[often], docs))], names=["token", "n"])
+    def report(held):
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        often = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
 
     def run(batches):
-        held, docs, size = [], 0, 0
+        held, size = [], 0
         for batch in batches:
-            for _, hashes, bounds in read(batch):
+            for _, hashes, _ in read(batch):
                 held.append(hashes)
-                docs += len(bounds) - 1
                 size += len(hashes)
-                if size > HELD:
-                    yield report(held, docs)
-                    held, docs, size = [], 0, 0
-        yield report(held, docs)
+                if size > COUNTED:
+                    yield report(held)
+                    held, size = [], 0
+        if held:
+            yield report(held)
+        held.clear()
         give_back()
 
-    counted, path = stage_table(df.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "jaccard-counts")
-    docs = counted.filter(F.col("token") == NULL_ID).agg(F.sum("n")).first()[0] or 0
-    found = counted.filter((F.col("token") != NULL_ID) & (F.col("n") > max(LEAST_HOT, docs / HOT))).select("token").toPandas()["token"].to_numpy()
+    counts = df.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > LEAST_HOT)
+    counted, path = stage_table(counts, "jaccard-counts")
+    sizes = counted.groupBy(F.floor(4 * F.log2("n")).cast("int").alias("c")).count().collect()
+    least, total = 0, 0
+    for row in sorted(sizes, reverse=True):
+        total += row["count"]
+        if total > MOST_HOT:
+            least = row["c"] + 1
+            break
+    found = counted.filter(F.floor(4 * F.log2("n")) >= least).select("token").toArrow()["token"].to_numpy()
     delete_path(df.sparkSession, path)
     return np.sort(found.astype(np.int64).view(np.uint64))
 
