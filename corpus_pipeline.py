@@ -53,7 +53,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document, that with the smallest doc_id, of each component of the Jaccard join; of rows that repeat an id one stays. Null ids stay."""
     groups, _ = stage_table(jaccard_components(docs, WORDS, PERCENT), "pipeline-groups")
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    # One plan at every size, as in the join itself.
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if not repeated.isEmpty():
         kept = kept.filter("doc_id is null").union(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
