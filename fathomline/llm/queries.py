@@ -14,7 +14,7 @@ from .nndescent import op7_nn_descent
 from .packing import op2_best_fit
 from .quality import op8_quality
 from .sharding import op5_shard_tree
-from .sql import url_filter
+from .sql import jaccard_join, near_duplicates, url_filter
 from .tiff import op6_media_tiff
 from .urlfilter import op9_url_filter
 
@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": url_filter()}
+    return {"op1_jaccard_join": jaccard_join(), "op7_nn_descent": near_duplicates(), "op9_url_filter": url_filter()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .jaccard import PERCENT, WORDS
+from .nndescent import THRESHOLD
 from .urlfilter import ALIKE, DEPTH, LOWER, PRIOR, REJECT, RULES, STRENGTH, UPPER, VARIETY
 
 
@@ -38,3 +40,28 @@ def url_filter() -> str:
         "WITH " + ", ".join(parts) + " SELECT page_id, g.host, path, rule, coalesce(ruled, CASE WHEN purity >= " + str(REJECT) + " THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(t.template, '/') AS template, purity "
         f"FROM raws g JOIN t{DEPTH} t ON g.host = t.host AND g.raw = t.raw JOIN scored s ON t.host = s.host AND t.template = s.template"
     )
+
+
+#: From links n (u, v, both ways) and nodes s (id): the smallest id reachable.
+_REACH = "r AS (SELECT id AS node, id AS root FROM s UNION SELECT n.v, r.root FROM r JOIN n ON n.u = r.node WHERE r.root < n.v), c AS (SELECT node, min(root) AS root FROM r GROUP BY 1)"
+
+
+def jaccard_join() -> str:
+    """All pairs that share a shingle: right for small tables only."""
+    words = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    return (
+        f"WITH RECURSIVE w AS (SELECT doc_id AS id, {words} AS ws FROM documents), "
+        f"s AS (SELECT id, list_distinct(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < {WORDS} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {WORDS - 2}), lambda i: array_to_string(ws[i:i + {WORDS - 1}], ' ')) END) AS sh FROM w), "
+        "e AS (SELECT id, unnest(sh) AS t FROM s), p AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2), "
+        f"l AS (SELECT x, y FROM p JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE 100 * c >= {PERCENT} * (len(a.sh) + len(b.sh) - c)), n AS (SELECT x AS u, y AS v FROM l UNION SELECT y, x FROM l), {_REACH} "
+        "SELECT s.id AS doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, root AS component_id FROM s JOIN c ON c.node = s.id"
+    )
+
+
+def near_duplicates() -> str:
+    """All pairs of vectors: right for small tables only."""
+    return (
+        "WITH RECURSIVE s AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), g AS (SELECT * FROM s WHERE len(x) > 0 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND list_aggregate(x, 'max') <> 0), "
+        f"n AS (SELECT a.id AS u, b.id AS v FROM g a JOIN g b ON a.id <> b.id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= {THRESHOLD}), {_REACH}, d AS (SELECT u, count(*) AS k FROM n GROUP BY 1) "
+        "SELECT s.id AS vec_id, coalesce(k, 0) AS n_links, root AS component_id, s.id = root AS kept FROM s JOIN c ON c.node = s.id LEFT JOIN d ON d.u = s.id"
+    )
