@@ -25,7 +25,8 @@ class Batch:
         points, size = self.points, len(self.points)
         value = np.full(size, np.uint32(n), np.uint32)
         for k in range(n):
-            value[: size - k] = (value[: size - k] ^ points[k:]) * MIX
+            rest = max(size - k, 0)
+            value[:rest] = (value[:rest] ^ points[k:]) * MIX
         value = value * SPREAD >> np.uint32(32 - bits)
         inside = np.ones(size, bool)
         for k in range(n):
