@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -77,4 +78,4 @@ def test_nothing_outside_imports_the_corpus_folder():
     for path in glob.glob(f"{root}/fathomline/**/*.py", recursive=True):
         if "/llm/" not in path:
             with open(path) as f:
-                assert "llm" not in f.read()
+                assert not re.search(r"\bllm\b", f.read()), path
