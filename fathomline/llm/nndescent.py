@@ -2,7 +2,7 @@
 
 Neighbour lists start from leaves of random hyperplane trees and are refined by joining neighbours of neighbours: every
 vector meets, in one unit of work, its neighbours and those it is a neighbour of, and all of these are compared with each
-other. A list that is full of links (saturated) is enlarged. Every pair at the threshold that a unit sees is an edge, kept
+other. What they find is merged into the lists, and joins go on until few entries change. A list that is full of links (saturated) is enlarged. Every pair at the threshold that a unit sees is an edge, kept
 as stars of the unit, so that a dense group costs a few edges a member however long its lists would have to be. Links
 stay within components; their exact number is counted there, block against block, by the angle to a block's centre where
 that settles it and by products where it doesn't. An audit compares the links of a fixed number of vectors
@@ -27,6 +27,8 @@ THRESHOLD = 0.9
 K, SATURATED, TREES, LEAF, BLOCK = 8, 24, 8, 256, 512
 #: Vectors of the audit, the recall it asks for, and the rounds after which it gives in.
 AUDIT, RECALL, ROUNDS = 200, 0.995, 6
+#: Joins go on while more than this share of the lists' entries is new.
+SETTLED = 0.01
 EDGE = "kind int, u long, v long, s double"
 LIST, LINK = 0, 1
 
@@ -117,10 +119,17 @@ def _compare(keys: int, threshold: float, own_list: bool):
 
 
 def _trim(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): the K best of each u, SATURATED where the K-th is a link. A unit sends a bounded number a vector, so lists to merge are short."""
-    best = pairs.groupBy("u").agg(F.sort_array(F.collect_set(F.struct((-F.col("s")).alias("far"), "v"))).alias("l"))
+    """(u, v, s, fresh): the K best of each u, SATURATED where the K-th is a link. A unit sends a bounded number a vector, so lists to merge are short.
+
+    ``pairs`` has (u, v, s, fresh); an entry is fresh where no row of it is not. Equal cosines (rounded, as a product's last
+    digits depend on its unit) go by a hash of the pair, so that copies do not all list the same few.
+    """
+    once = pairs.groupBy("u", "v").agg(F.max("s").alias("s"), F.bool_and("fresh").alias("fresh"))
+    entry = F.struct((-F.round("s", 12)).alias("far"), F.xxhash64("u", "v").alias("h"), "v", "fresh")
+    best = once.groupBy("u").agg(F.sort_array(F.collect_list(entry)).alias("l"))
     long = F.coalesce(F.get("l", F.lit(K - 1))["far"], F.lit(2.0)) <= -threshold
-    return best.select("u", F.explode(F.slice("l", F.lit(1), F.when(long, SATURATED).otherwise(K))).alias("e")).select("u", F.col("e.v").alias("v"))
+    cut = best.select("u", F.explode(F.slice("l", F.lit(1), F.when(long, SATURATED).otherwise(K))).alias("e"))
+    return cut.select("u", F.col("e.v").alias("v"), (-F.col("e.far")).alias("s"), F.col("e.fresh").alias("fresh"))
 
 
 def _tree_round(vectors: DataFrame, n: int, turn: int, threshold: float) -> DataFrame:
@@ -135,14 +144,34 @@ def _tree_round(vectors: DataFrame, n: int, turn: int, threshold: float) -> Data
 
 
 def _descend(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Neighbours of neighbours: each vector's list and at most K of those that list it are compared in one unit."""
+    """Neighbours of neighbours: each vector's list and at most K of those that list it are compared in one unit.
+
+    Only units that a fresh entry touches are run: the others have compared the same vectors before.
+    """
     parts = shuffle_partitions(vectors.sparkSession)
+    fresh = lists.filter("fresh")
+    active = fresh.select(F.col("u").alias("w")).union(fresh.select(F.col("v").alias("w"))).distinct()
     back = lists.groupBy(F.col("v").alias("w"), F.pmod(F.xxhash64("u"), F.lit(K)).alias("slot")).agg(F.min("u").alias("id")).select("w", "id")
-    around = lists.select(F.col("u").alias("w"), F.col("v").alias("id")).union(back).union(lists.select(F.col("u").alias("w"), F.col("u").alias("id"))).distinct()
+    around = lists.select(F.col("u").alias("w"), F.col("v").alias("id")).union(back).union(lists.select(F.col("u").alias("w"), F.col("u").alias("id"))).join(active, "w", "left_semi").distinct()
     met = around.join(vectors, "id").select("w", "id", "d", "vec")
     return met.repartition(parts, "w").sortWithinPartitions("w").mapInArrow(_compare(1, threshold, True), EDGE)
 
 
+def _refine(pairs: DataFrame, lists: DataFrame | None, vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """(lists, links seen): fresh ``pairs`` merged with the ``lists`` so far, then joins merged into them until few entries change."""
+    links = None
+    found = pairs.select("u", "v", "s", F.lit(True).alias("fresh"))
+    while True:
+        lists, _ = stage_table(_trim(found if lists is None else lists.withColumn("fresh", F.lit(False)).union(found), threshold), "nn-lists")
+        entries, fresh = lists.agg(F.count("*"), F.count_if("fresh")).first()
+        if fresh <= SETTLED * entries:
+            return lists, links
+        joined, _ = stage_table(_descend(lists, vectors, threshold), "nn-joined")
+        seen = joined.filter(F.col("kind") == LINK).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        links = seen if links is None else links.union(seen)
+        found = joined.filter(F.col("kind") == LIST).select("u", "v", "s", F.lit(True).alias("fresh"))
+
+
 def _count_direct(threshold: float, summary: bool):
     """Units (g, b, id, d, vec): each member's links in the unit; with ``summary`` also the block's centre, least cosine to it and size."""
 
@@ -269,9 +298,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             break
         seen, _ = stage_table(_tree_round(vectors, n, turn, threshold), "nn-leaves")
         pairs = seen.filter(F.col("kind") == LIST).select("u", "v", "s")
-        lists, _ = stage_table(_trim(pairs, threshold), "nn-lists")
-        joined, _ = stage_table(_descend(lists, vectors, threshold), "nn-joined")
-        fresh = seen.union(joined).filter(F.col("kind") == LINK).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        lists, met = _refine(pairs, lists, vectors, threshold)
+        fresh = seen.filter(F.col("kind") == LINK).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        fresh = fresh if met is None else fresh.union(met)
         links = fresh if links is None else links.union(fresh)
         roots, _ = stage_table(components(links, "nn-cc"), "nn-roots")
         counts, _ = stage_table(_link_counts(vectors, roots, threshold), "nn-counts")
