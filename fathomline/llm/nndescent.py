@@ -6,7 +6,9 @@ other. What they find is merged into the lists, and joins go on until few entrie
 as stars of the unit, so that a dense group costs a few edges a member however long its lists would have to be. Links
 stay within components; their exact number is counted there, block against block, by the angle to a block's centre where
 that settles it and by products where it doesn't. An audit compares the links of a fixed number of vectors
-with brute force over all rows and adds further trees and refinements until the recall is reached.
+with brute force over all rows and adds further trees and refinements until the recall is reached. It weighs vectors, not
+links, and looks at vectors of few links by themselves, so that a dense group cannot hide lost pairs. Where the rounds are used
+up before, all pairs are compared, block against block.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ from .jaccard import _units
 THRESHOLD = 0.9
 #: Length of a list, and of a saturated one; trees a round; rows of a leaf and of a block.
 K, SATURATED, TREES, LEAF, BLOCK = 8, 24, 8, 256, 512
-#: Vectors of the audit, the recall it asks for, and the rounds after which it gives in.
+#: Vectors of the audit, the recall it asks for, and the rounds after which all pairs are compared.
 AUDIT, RECALL, ROUNDS = 200, 0.995, 6
+#: Vectors of the audit among those with no link found, and among those with K at most.
+SPARSE = 2000
+#: Rows of a side of the exact pass.
+SIDE = 4096
 #: Joins go on while more than this share of the lists' entries is new.
 SETTLED = 0.01
 EDGE = "kind int, u long, v long, s double"
@@ -257,27 +263,85 @@ def _link_counts(vectors: DataFrame, roots: DataFrame, threshold: float) -> Data
     return total.union(across.filter("g is null").select("id", "n")).union(open_).groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> tuple[int, int]:
-    """(links found, links by brute force) of AUDIT vectors against all rows; AUDIT vectors and as many counts reach the driver."""
-    chosen = vectors.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(AUDIT)
-    sample = chosen.select("id", "d", "vec").collect()
-    queries: dict[int, list] = {}
-    for r in sample:
-        queries.setdefault(r["d"], []).append((r["id"], np.frombuffer(bytes(r["vec"]), np.float64)))
+def _audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
+    """The smaller of two mean recalls, of vectors with up to K true links and of those with more, 1 where there are none.
+
+    Vectors are drawn from those with no link found, up to K and more (SPARSE, SPARSE, AUDIT), each standing for its share of
+    these, and compared with all rows. No more than these reach the driver.
+    """
+    found = F.coalesce("n", F.lit(0))
+    layer = F.when(found == 0, 0).when(found <= K, 1).otherwise(2)
+    marked, _ = stage_table(vectors.select("id").join(counts, "id", "left").select("id", found.alias("found"), layer.alias("layer")), "nn-audit")
+    sizes = {r["layer"]: r["count"] for r in marked.groupBy("layer").count().collect()}
+    seen: dict[int, tuple[int, float]] = {}
+    for k, most in enumerate((SPARSE, SPARSE, AUDIT)):
+        chosen = marked.filter(F.col("layer") == k).orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(most).select("id", "found").collect()
+        seen |= {r["id"]: (r["found"], sizes[k] / len(chosen)) for r in chosen}
+    sample: dict[int, tuple[list, list]] = {}
+    for r in vectors.filter(F.col("id").isin(list(seen))).select("id", "d", "vec").collect():
+        ids, units = sample.setdefault(r["d"], ([], []))
+        ids.append(r["id"])
+        units.append(np.frombuffer(bytes(r["vec"]), np.float64))
+    queries = {d: (np.array(ids), np.stack(units)) for d, (ids, units) in sample.items()}
 
     def run(batches):
-        total = 0
+        totals = {d: np.zeros(len(ids), np.int64) for d, (ids, _) in queries.items()}
         for batch in batches:
-            dims = np.asarray(batch.column(1))
+            dims = np.asarray(batch.column(0))
             for d in np.unique(dims).tolist():
                 if d in queries:
-                    x = _matrix(batch.filter(pa.array(dims == d)).column(2), d)
-                    total += int((x @ np.stack([q for _, q in queries[d]]).T >= threshold).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
+                    x = _matrix(batch.filter(pa.array(dims == d)).column(1), d)
+                    for i in range(0, len(x), 1024):
+                        totals[d] += (x[i : i + 1024] @ queries[d][1].T >= threshold).sum(axis=0)
+        for d, n in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array(queries[d][0]), pa.array(n)], names=["id", "n"])
+
+    true = vectors.select("d", "vec").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    total, reached = [0.0, 0.0], [0.0, 0.0]
+    for r in true:
+        # A vector meets itself among all rows.
+        n, (got, weight) = r["n"] - 1, seen[r["id"]]
+        if n > 0:
+            total[n > K] += weight
+            reached[n > K] += weight * min(1.0, got / n)
+    return min((b / a for a, b in zip(total, reached, strict=True) if a), default=1.0)
+
+
+def _compare_sides(threshold: float):
+    """Units (d, i, j, b, id, vec) of the blocks i and j: stars (a, b) of all their pairs at the threshold."""
+
+    def run(batches):
+        for unit in _units(batches, 3):
+            unit = unit.combine_chunks()
+            ids, blocks, d = unit["id"].to_numpy(), unit["b"].to_numpy(), unit["d"][0].as_py()
+            i, j = unit["i"][0].as_py(), unit["j"][0].as_py()
+            x = _matrix(unit["vec"].combine_chunks(), d)
+            left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+            held_a, held_b = [], []
+            for k in range(0, len(left), 512):
+                rows = left[k : k + 512]
+                a, b = np.nonzero(x[rows] @ x[right].T >= threshold)
+                a, b = ids[rows[a]], ids[right[b]]
+                off = a != b
+                if off.any():
+                    nodes, roots = _local_roots(a[off], b[off])
+                    held_a.append(nodes[nodes != roots])
+                    held_b.append(roots[nodes != roots])
+            if held_a:
+                nodes, roots = _local_roots(np.concatenate(held_a), np.concatenate(held_b))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[nodes != roots]), pa.array(roots[nodes != roots])], names=["a", "b"])
+
+    return run
 
-    true = vectors.select("id", "d", "vec").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
-    found = counts.filter(F.col("id").isin([r["id"] for r in sample])).agg(F.sum("n")).first()[0] or 0
-    return int(found), int(true) - len(sample)
+
+def _all_links(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b): stars of the links of all pairs. Every two blocks of a hash, of SIDE rows or so, meet in one unit."""
+    parts = shuffle_partitions(vectors.sparkSession)
+    k = max(1, math.ceil(n / SIDE))
+    own = vectors.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int"))
+    met = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select("d", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "vec")
+    links, _ = stage_table(met.repartition(parts, "d", "i", "j").sortWithinPartitions("d", "i", "j").mapInArrow(_compare_sides(threshold), "a long, b long"), "nn-exact")
+    return links
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -304,11 +368,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         links = fresh if links is None else links.union(fresh)
         roots, _ = stage_table(components(links, "nn-cc"), "nn-roots")
         counts, _ = stage_table(_link_counts(vectors, roots, threshold), "nn-counts")
-        found, true = _audit(vectors, counts, threshold)
-        if found >= RECALL * true:
+        if _audit(vectors, counts, threshold) >= RECALL:
             break
         # The next round's links go on from this round's components.
         links = roots.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    else:
+        roots, _ = stage_table(components(_all_links(vectors, n, threshold), "nn-cc"), "nn-roots")
+        counts, _ = stage_table(_link_counts(vectors, roots, threshold), "nn-counts")
     if counts is None:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     out = rows.join(counts, "id", "left").join(roots.select(F.col("node").alias("id"), "component"), "id", "left")

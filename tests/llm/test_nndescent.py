@@ -78,3 +78,31 @@ def test_joins_improve_the_lists_until_they_settle(spark, monkeypatch):
     assert got_rows == brute(rows, 0.9999)
     # One tree's lists miss most true neighbours; the joins find them without fresh trees.
     assert recalls[0] < 0.7 and len(recalls) > 2 and recalls[-1] > 0.9
+
+
+def test_a_dense_group_does_not_hide_lost_pairs(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    rows = [(i, (np.eye(16)[0] + 0.001 * draw.standard_normal(16)).tolist()) for i in range(100)]
+    for i in range(60):
+        a, b = np.linalg.qr(draw.standard_normal((16, 2)))[0].T
+        rows += [(1000 + 2 * i, a.tolist()), (1001 + 2 * i, (0.905 * a + (1 - 0.905**2) ** 0.5 * b).tolist())]
+    monkeypatch.setattr(nndescent, "TREES", 1)
+    monkeypatch.setattr(nndescent, "LEAF", 2)
+    monkeypatch.setattr(nndescent, "K", 1)
+    monkeypatch.setattr(nndescent, "SATURATED", 1)
+    monkeypatch.setattr(nndescent, "ROUNDS", 1)
+    monkeypatch.setattr(nndescent, "SIDE", 50, raising=False)
+    assert got(spark, [(*r, 1) for r in rows]) == brute(rows)
+
+
+def test_the_audit_weighs_vectors_and_not_links(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, [1.0, 0.0] + [0.0] * 20) for i in range(300)]
+    rows += [(1000 + i, [0.0, 0.0] + [float(i // 2 == k) for k in range(20)]) for i in range(40)]
+    vectors = spark.createDataFrame([(i, 22, np.array(v).tobytes()) for i, v in rows], "id long, d int, vec binary")
+    # 89,700 of 89,740 links: the 20 pairs are lost.
+    counts = spark.createDataFrame([(i, 299) for i in range(300)], "id long, n long")
+    assert nndescent._audit(vectors, counts, 0.9) < nndescent.RECALL
+    whole = counts.union(vectors.filter("id >= 1000").select("id", F.lit(1).cast("long")))
+    assert nndescent._audit(vectors, whole, 0.9) == 1
