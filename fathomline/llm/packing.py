@@ -23,8 +23,6 @@ VOCABULARY, CAPACITY, END = "byte_bpe_50k.json", 2048, 0
 SLACK = 16
 #: Groups whose unfilled bins are packed again together.
 TOGETHER = 64
-#: Swaps tried for a bin, and rounds over all underfull bins, before the search gives up.
-TRIES, ROUNDS = 64, 40
 
 
 @functools.lru_cache(maxsize=2)
@@ -92,59 +90,31 @@ class Bins:
     def improve(self) -> None:
         """Local search on the sum of squared fills over underfull bins.
 
-        The emptiest bin gives: its items move into another bin (move), or swap with a shorter item there
-        (one-for-one) or with two shorter ones (two-for-one) that leave that bin fuller. Each step raises the sum of squared
-        fills, as the fuller bin gains what the emptier loses; when the emptiest is empty, a sequence is saved.
+        Every bin gives in turn, the emptiest first: its items move into another bin (move), or swap with a shorter item there
+        (one-for-one) or with two shorter ones (two-for-one), where that raises the sum of squared fills. Of all underfull bins the one
+        that is left fullest takes an item. When a bin is empty, a sequence is saved. The search ends when a
+        sweep over all givers finds nothing, or no bin can be saved.
         """
-        lengths, capacity = self.lengths, self.capacity
-        for _ in range(ROUNDS):
-            under = [b for b in range(len(self.bins)) if self.bins[b] and self.free[b]]
-            if len(under) < 2:
-                return
-            giver = max(under, key=lambda b: (self.free[b], -b))
-            others = sorted((b for b in under if b != giver), key=lambda b: (-self.free[b], b))[:TRIES]
-            # No search can save a bin where the free room elsewhere cannot take the emptiest one.
-            if sum(self.free[b] for b in under if b != giver) < capacity - self.free[giver]:
-                return
+        lengths = self.lengths
+        under = [b for b in range(len(self.bins)) if self.bins[b] and self.free[b]]
+        options = Options(self, under)
+        moved = True
+        while moved:
             moved = False
-            for item in sorted(self.bins[giver], key=lambda i: (-lengths[i], i)):
-                if item not in self.bins[giver]:
-                    continue
-                for b in others:
-                    room, mine = self.free[b], lengths[item]
-                    if mine <= room:
-                        self._exchange(giver, [item], b, [])
-                        moved = True
-                        break
-                    # What leaves must be short enough for the rest to fit, and shorter than what comes.
-                    least = mine - room
-                    theirs = sorted((lengths[i], i) for i in self.bins[b])
-                    k = bisect_left(theirs, (least, -1))
-                    if k < len(theirs) and theirs[k][0] < mine:
-                        self._exchange(giver, [item], b, [theirs[k][1]])
+            for giver in sorted(under, key=lambda b: (-self.free[b], b)):
+                # Another bin is saved only if the free room in all could take a whole one.
+                if sum(self.free[b] for b in under if self.bins[b]) < self.capacity:
+                    return
+                for item in sorted(self.bins[giver], key=lambda i: (-lengths[i], i)):
+                    if item not in self.bins[giver]:
+                        continue
+                    found = options.best(giver, lengths[item])
+                    if found:
+                        taker, theirs = found
+                        self._exchange(giver, [item], taker, theirs)
+                        options.renew(giver)
+                        options.renew(taker)
                         moved = True
-                        break
-                    pair = self._pair(theirs, least, mine)
-                    if pair:
-                        self._exchange(giver, [item], b, pair)
-                        moved = True
-                        break
-            if not moved:
-                return
-
-    @staticmethod
-    def _pair(theirs: list[tuple[int, int]], least: int, below: int) -> list[int] | None:
-        """Two items with the smallest sum in [least, below)."""
-        i, j, found = 0, len(theirs) - 1, None
-        while i < j:
-            total = theirs[i][0] + theirs[j][0]
-            if total < least:
-                i += 1
-                continue
-            if total < below and (found is None or total < found[0]):
-                found = (total, [theirs[i][1], theirs[j][1]])
-            j -= 1
-        return found and found[1]
 
     def _exchange(self, a: int, from_a: list[int], b: int, from_b: list[int]) -> None:
         gone = sum(self.lengths[i] for i in from_a) - sum(self.lengths[i] for i in from_b)
@@ -154,6 +124,67 @@ class Bins:
         self.free[b] -= gone
 
 
+class Options:
+    """What the underfull bins could give for an item that comes: nothing, one item or two, a row for each sum in a bin.
+
+    An item of length L fits a row's place where sum + free >= L, and leaves that bin sum + free - L of room.
+    """
+
+    def __init__(self, bins: Bins, under: list[int]):
+        self.of = bins
+        self.sums, self.bin, self.what = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        self.free, self.used, self.rows = np.array(bins.free, np.int64), 0, {}
+        for b in under:
+            self.renew(b)
+
+    def renew(self, b: int) -> None:
+        """The rows of a bin that has changed; its old ones become unusable and are dropped when they are half of all."""
+        for k in range(*self.rows.get(b, (0, 0))):
+            self.sums[k] = -1
+        self.free[b] = self.of.free[b]
+        # One or two items of each length stand for all of that length.
+        kept: dict[int, list[int]] = defaultdict(list)
+        for i in sorted(self.of.bins[b]):
+            if len(kept[self.of.lengths[i]]) < 2:
+                kept[self.of.lengths[i]].append(i)
+        items = [i for x in kept.values() for i in x]
+        found: dict[int, list[int]] = {}
+        if items and self.free[b]:
+            found = {0: []} | {self.of.lengths[i]: [i] for i in items}
+            for k, i in enumerate(items):
+                for j in items[k + 1 :]:
+                    found.setdefault(self.of.lengths[i] + self.of.lengths[j], [i, j])
+        if self.used + len(found) > len(self.sums):
+            self._grow(len(found))
+        start, self.used = self.used, self.used + len(found)
+        self.sums[start : self.used] = list(found)
+        self.bin[start : self.used] = b
+        self.what[start : self.used] = list(found.values())
+        self.rows[b] = (start, self.used)
+
+    def _grow(self, more: int) -> None:
+        """Drop the unusable rows and make room for as many as there are."""
+        live = np.flatnonzero(self.sums[: self.used] >= 0)
+        at = np.concatenate([[0], np.cumsum(self.sums[: self.used] >= 0)])
+        self.rows = {b: (int(at[x]), int(at[y])) for b, (x, y) in self.rows.items()}
+        spare = len(live) + 2 * more + 64
+        self.sums = np.concatenate([self.sums[live], np.full(spare, -1)])
+        self.bin = np.concatenate([self.bin[live], np.zeros(spare, np.int64)])
+        self.what = [self.what[k] for k in live.tolist()]
+        self.used = len(live)
+
+    def best(self, giver: int, length: int) -> tuple[int, list[int]] | None:
+        """(bin, items that leave it) where an item of the giver fits, the sum of squares rises and the least room is left."""
+        sums, bins = self.sums[: self.used], self.bin[: self.used]
+        room = sums + self.free[bins] - length
+        # The taker ends fuller than the giver was: its room stays below the giver's.
+        good = np.flatnonzero((sums >= 0) & (sums < length) & (room >= 0) & (room < self.free[giver]) & (bins != giver))
+        if not len(good):
+            return None
+        k = int(good[room[good].argmin()])
+        return int(bins[k]), self.what[k]
+
+
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Bins of item numbers, each with a sum of at most ``capacity``; the fewest that best fit and local search find."""
     bins = Bins(lengths, capacity)

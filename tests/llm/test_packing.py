@@ -50,6 +50,14 @@ def test_search_never_lowers_the_sum_of_squares(lengths):
     assert sum((40 - f) ** 2 for f in bins.free) >= before and all(f >= 0 for f in bins.free)
 
 
+@pytest.mark.parametrize(("low", "high"), [(400, 1000), (500, 900), (250, 700)])
+def test_local_search_saves_bins_of_middling_lengths(low, high):
+    lengths = np.random.default_rng(7).integers(low, high + 1, 1500).tolist()
+    bins = packing.Bins(lengths, 2048)
+    bins.best_fit()
+    assert len(packing.pack(lengths, 2048)) < sum(1 for b in bins.bins if b)
+
+
 def test_cut():
     assert packing.cut(5, 10) == [(0, 5)] and packing.cut(10, 10) == [(0, 10)] and packing.cut(23, 10) == [(0, 3), (3, 10), (13, 10)] and packing.cut(20, 10) == [(0, 10), (10, 10)]
 
