@@ -80,8 +80,18 @@ def promotion_gate(spark, d):
     SELECT layer, CAST(sum(n) AS BIGINT) AS n, round(sum(c) / nullif(sum(a), 0), 6) AS pooled, round(avg(c / nullif(a, 0)), 6) AS macro, round(min(c / nullif(a, 0)), 6) AS worst_road FROM r GROUP BY 1""",
 )
 def macro_vs_pooled_rollup(spark, d):
+    return _rollup(scored(spark, d).filter("road < 5"))
+
+
+@register("macro_vs_pooled_rollup_whole")
+def macro_vs_pooled_rollup_whole(spark, d):
+    """``macro_vs_pooled_rollup`` over all roads; the SQL, of five, doesn't apply."""
+    return _rollup(scored(spark, d))
+
+
+def _rollup(rows):
     take = F.col("score") >= 0.9
-    r = scored(spark, d).filter("road < 5").groupBy("layer", "road").agg(F.count_if(take).alias("a"), F.count_if(take & F.col("correct")).alias("c"), F.count("*").alias("n"))
+    r = rows.groupBy("layer", "road").agg(F.count_if(take).alias("a"), F.count_if(take & F.col("correct")).alias("c"), F.count("*").alias("n"))
     own = ev.rate(F.col("c"), F.col("a"))
     return r.groupBy("layer").agg(F.sum("n").alias("n"), F.round(ev.rate(F.sum("c"), F.sum("a")), 6).alias("pooled"), F.round(F.avg(own), 6).alias("macro"), F.round(F.min(own), 6).alias("worst_road"))
 
