@@ -22,6 +22,13 @@ def viterbi_l1_score(spark, d):
     return paths.l1_viterbi(rows, ["label"], "vec_id", "s", 8, 0.05).select("label", F.round("best", 6).alias("best"))
 
 
+@register("viterbi_l1_score_whole")
+def viterbi_l1_score_whole(spark, d):
+    """``viterbi_l1_score`` over all 64 samples; the SQL, of 8, doesn't apply."""
+    rows = read(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("s"))
+    return paths.l1_viterbi(rows, ["label"], "vec_id", "s", 64, 0.05).select("label", F.round("best", 6).alias("best"))
+
+
 @register(
     "bottleneck_support",
     f"""WITH {SQL_EVENTS}, p AS (SELECT *, least(value / 100, 1.0) AS w, event_type = 'signup' AS seed FROM ev), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, max(CASE WHEN seed THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS bs, min(CASE WHEN seed THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fs FROM p)
@@ -67,6 +74,15 @@ def constrained_dtw_pairs(spark, d):
     return pairs.select("vec_id", cost.alias("c")).select("vec_id", F.round("c", 6).alias("cost"), F.round(F.exp(-F.col("c")), 6).alias("agreement"))
 
 
+@register("constrained_dtw_pairs_whole")
+def constrained_dtw_pairs_whole(spark, d):
+    """``constrained_dtw_pairs`` over all neighbouring traces and all 64 samples; the SQL, of a part, doesn't apply."""
+    emb = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("s"))
+    pairs = emb.join(emb.select((F.col("vec_id") - 1).alias("vec_id"), F.col("s").alias("t")), "vec_id")
+    cost = paths.banded_dtw(F.col("s"), F.col("t"), 64, 2)
+    return pairs.select("vec_id", cost.alias("c")).select("vec_id", F.round("c", 6).alias("cost"), F.round(F.exp(-F.col("c")), 6).alias("agreement"))
+
+
 @register(
     "correspondence_links",
     """WITH c AS (SELECT vec_id, label, CAST(k - 1 AS INTEGER) AS k, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k)), m AS (SELECT *, lag(v) OVER w AS b, lead(v) OVER w AS a FROM c WINDOW w AS (PARTITION BY vec_id ORDER BY k)), p AS (SELECT vec_id, k, v FROM m WHERE v > b AND v >= a AND v > 0.1),

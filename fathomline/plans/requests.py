@@ -63,7 +63,16 @@ def stationary_competitors(spark, d):
 )
 def blended_seed_scores(spark, d):
     """Scores against the seeds at both ends blended by distance; the larger where the seeds' polarity differs."""
-    near = cells(spark, d).filter("k < 8")
+    return _blended(cells(spark, d).filter("k < 8"))
+
+
+@register("blended_seed_scores_whole")
+def blended_seed_scores_whole(spark, d):
+    """``blended_seed_scores`` over all 64 samples; the SQL, of 8, doesn't apply."""
+    return _blended(cells(spark, d))
+
+
+def _blended(near):
     numbered = selection.numbered(near.select("label", "vec_id").distinct(), ["label"], "vec_id", "i")
     size = numbered.groupBy("label").agg(F.count("*").alias("n"))
     rows = near.join(numbered, ["label", "vec_id"]).join(size, "label")

@@ -16,13 +16,18 @@ def _blocks(spark, d, rows=12, states=8):
     return selection.numbered(emb, ["label"], "vec_id", "n").withColumn("block", F.floor(F.col("n") / rows).cast("int")).drop("n")
 
 
+def _roads(spark, d):
+    """(label, vec_id, s): whole traces. A road is solved in one run."""
+    return read(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("s"))
+
+
 @register("second_order_paths")
 def second_order_paths(spark, d):
     def solve(scores):
         path, value = solvers.second_order_path(scores, 0.03, 0.008)
         return [{"path": path.tolist(), "score": value}]
 
-    return solvers.grouped(_blocks(spark, d), ["label", "block"], "vec_id", "s", solve, "label int, block int, path array<int>, score double")
+    return solvers.grouped(_roads(spark, d), ["label"], "vec_id", "s", solve, "label int, path array<int>, score double")
 
 
 @register("k_best_paths")
@@ -41,7 +46,7 @@ def interval_min_marginals(spark, d):
         m = np.sort(solvers.min_marginals(-scores, lambda a, b: 0.05 * np.minimum(np.abs(a - b), 3)), axis=1)
         return [{"row": i, "margin": float(r[1] - r[0])} for i, r in enumerate(m)]
 
-    return solvers.grouped(_blocks(spark, d), ["label", "block"], "vec_id", "s", solve, "label int, block int, row int, margin double")
+    return solvers.grouped(_roads(spark, d), ["label"], "vec_id", "s", solve, "label int, row int, margin double")
 
 
 @register("gapped_decoding")
@@ -49,7 +54,7 @@ def gapped_decoding(spark, d):
     def solve(scores):
         return [{"row": i, "state": int(s)} for i, s in enumerate(solvers.gapped_path(scores, 0.05, 0.02, -0.1))]
 
-    return solvers.grouped(_blocks(spark, d), ["label", "block"], "vec_id", "s", solve, "label int, block int, row int, state int")
+    return solvers.grouped(_roads(spark, d), ["label"], "vec_id", "s", solve, "label int, row int, state int")
 
 
 @register("layered_beam_paths")

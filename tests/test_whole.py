@@ -2,6 +2,9 @@
 
 from collections import defaultdict
 
+import numpy as np
+
+from fathomline.operators import solvers
 from fathomline.plans import registry
 from fathomline.plans.evaluation import scored
 
@@ -42,3 +45,45 @@ def test_rollup_of_all_roads(spark, small):
     for r in QUERIES["macro_vs_pooled_rollup_whole"](spark, small).collect():
         rates = [right[k] / taken[k] for k in taken if k[0] == r.layer]
         assert r.n == n[r.layer] and abs(r.worst_road - min(rates)) < 1e-5 and abs(r.macro - sum(rates) / len(rates)) < 1e-5
+
+
+def roads(spark, small):
+    out = defaultdict(list)
+    for r in sorted(spark.read.parquet(f"{small}/embeddings.parquet").collect(), key=lambda r: r.vec_id):
+        out[r.label].append((r.vec_id, np.array(r.embedding, float)))
+    return out
+
+
+def test_solvers_take_whole_roads(spark, small):
+    for label, rows in roads(spark, small).items():
+        s = np.stack([v for _, v in rows])
+        want = solvers.second_order_path(s, 0.03, 0.008)[1]
+        got = [r for r in QUERIES["second_order_paths"](spark, small).filter(f"label = {label}").collect()]
+        assert len(got) == 1 and len(got[0].path) == len(s) and np.isclose(got[0].score, want)
+        break
+    for name in ("gapped_decoding", "interval_min_marginals"):
+        got = QUERIES[name](spark, small).groupBy("label").count().collect()
+        assert {r.label: r["count"] for r in got} == {k: len(v) for k, v in roads(spark, small).items()}
+
+
+def test_all_samples_count(spark, small):
+    traces = {i: v for rows in roads(spark, small).values() for i, v in rows}
+    best = {}
+    step = 0.05 * np.abs(np.arange(64)[:, None] - np.arange(64))
+    for label, rows in roads(spark, small).items():
+        acc = rows[0][1]
+        for _, v in rows[1:]:
+            acc = (acc[:, None] - step).max(axis=0) + v
+        best[label] = acc.max()
+    got = {r.label: r.best for r in QUERIES["viterbi_l1_score_whole"](spark, small).collect()}
+    assert set(got) == set(best) and all(abs(got[k] - best[k]) < 1e-4 for k in best)
+    assert QUERIES["blended_seed_scores_whole"](spark, small).count() == 64 * len(traces)
+    pairs = {r.vec_id: r.cost for r in QUERIES["constrained_dtw_pairs_whole"](spark, small).collect()}
+    assert set(pairs) == {i for i in traces if i + 1 in traces}
+    for i in sorted(pairs)[:20]:
+        w = np.full((65, 65), np.inf)
+        w[0, 0] = 0
+        for a in range(1, 65):
+            for b in range(max(1, a - 2), min(64, a + 2) + 1):
+                w[a, b] = (traces[i][a - 1] - traces[i + 1][b - 1]) ** 2 + min(w[a - 1, b], w[a, b - 1], w[a - 1, b - 1])
+        assert abs(pairs[i] - w[64, 64]) < 1e-4
