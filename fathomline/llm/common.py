@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by a Python worker; a longer single text is handled alone.
@@ -88,10 +88,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in local tests."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one for a local master, as in tests, and an error on a cluster."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="fathomline-"))
     return f"file://{_own_dir[0]}"
@@ -131,6 +133,29 @@ def stage_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(schema).parquet(path), path
 
 
+# ---------------------------------------------------------------- joins with hot keys
+
+#: A key is hot where it meets more than 1 / HOT of the rows, so HOT keys at most are.
+HOT = 1000
+
+
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, spread: Column) -> DataFrame:
+    """``left`` left-joined with ``right`` on ``keys``, the first a string, of which ``right`` has one row each.
+
+    ``weight`` in ``right`` says how many rows of ``left`` a key meets, ``total`` how many rows there are. Hot keys, HOT at most
+    whatever the size of the tables, are broadcast. The rows of ``left`` that these take go through the shuffle of the others
+    under a key of their own, made of ``spread``, which nothing meets. The weight is left out of the result.
+    """
+    values = [c for c in right.columns if c not in keys and c != weight]
+    held = right.select(*keys, F.struct(F.lit(True).alias("met"), *values).alias("_v"), (F.col(weight) * HOT > total).alias("_hot"))
+    first = left.join(F.broadcast(held.filter("_hot").select(*keys, F.col("_v").alias("_h"))), keys, "left")
+    # A zero character before the key: no key of a cold row begins with two.
+    own = F.when(F.col("_h").isNotNull(), F.concat(F.lit("\0\0"), spread.cast("string"))).otherwise(F.concat(F.lit("\0"), F.col(keys[0])))
+    cold = held.filter("not _hot").withColumn("_k", F.concat(F.lit("\0"), F.col(keys[0]))).select("_k", *keys[1:], F.col("_v").alias("_c"))
+    met = first.withColumn("_k", own).join(cold, ["_k", *keys[1:]], "left")
+    return met.select(*left.columns, *(F.coalesce(F.col("_h")[c], F.col("_c")[c]).alias(c) for c in values))
+
+
 # ---------------------------------------------------------------- connected components
 
 
