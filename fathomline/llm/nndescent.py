@@ -1,14 +1,17 @@
 """Near-duplicate embeddings by NN-descent.
 
-Neighbour lists start from leaves of random hyperplane trees and are refined by joining neighbours of neighbours: every
-vector meets, in one unit of work, its neighbours and those it is a neighbour of, and all of these are compared with each
-other. What they find is merged into the lists, and joins go on until few entries change. A list that is full of links (saturated) is enlarged. Every pair at the threshold that a unit sees is an edge, kept
-as stars of the unit, so that a dense group costs a few edges a member however long its lists would have to be. Links
-stay within components; their exact number is counted there, block against block, by the angle to a block's centre where
-that settles it and by products where it doesn't. An audit compares the links of a fixed number of vectors
+Exact copies are one vector with a weight. Neighbour lists start from leaves of random hyperplane trees and are refined by
+joining neighbours of neighbours: every vector meets, in one unit of work, its neighbours and those it is a neighbour of, and all
+of these are compared with each other. What they find is merged into the lists, and joins go on until few entries change. A
+list that is full of links (saturated) is enlarged. Every pair at the threshold that a unit sees is an edge, kept as stars, so that a dense
+group costs a few edges a member however long its lists would have to be. Links stay within components; their exact
+number is counted there: members are dealt to blocks that lie close together, pairs of blocks are settled by the angles between
+their centres where these allow, and by products of their members where not. An audit compares the links of a fixed number of vectors
 with brute force over all rows and adds further trees and refinements until the recall is reached. It weighs vectors, not
 links, and looks at vectors of few links by themselves, so that a dense group cannot hide lost pairs. Where the rounds are used
 up before, all pairs are compared, block against block.
+
+Vectors travel as 32-bit numbers where that loses nothing and are normalised to doubles in each unit.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _local_roots, components, shuffle_partitions, stage_table, table
+from .common import _local_roots, components, delete_path, keyed_join, shuffle_partitions, stage_table, table
 from .jaccard import _units
 
 THRESHOLD = 0.9
 #: Length of a list, and of a saturated one; trees a round; rows of a leaf and of a block.
-K, SATURATED, TREES, LEAF, BLOCK = 8, 24, 8, 256, 512
+K, SATURATED, TREES, LEAF, BLOCK = 8, 24, 4, 256, 1024
 #: Vectors of the audit, the recall it asks for, and the rounds after which all pairs are compared.
 AUDIT, RECALL, ROUNDS = 200, 0.995, 6
 #: Vectors of the audit among those with no link found, and among those with K at most.
@@ -34,31 +37,46 @@ SPARSE = 2000
 #: Rows of a side of the exact pass.
 SIDE = 4096
 #: Joins go on while more than this share of the lists' entries is new.
-SETTLED = 0.01
+SETTLED = 0.03
+#: Blocks whose pairs are settled in one unit, and partners that a block meets in one.
+CENTRES, PARTNERS = 1024, 16
+#: Vectors of small units that are compared at once.
+AT_ONCE = 4096
 EDGE = "kind int, u long, v long, s double"
 LIST, LINK = 0, 1
+#: Neighbours that one neighbourhood names to each of its members.
+FEW = 3
 
 
-def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, d, vec): unit vectors as doubles; vec is null where the vector has no direction."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, d, vec): the numbers as bytes, 32-bit ones where that loses nothing; vec is null where the vector has no direction."""
     for batch in batches:
         ids, d, out = batch.column(0), [], []
         for vector in batch.column(1).to_pylist():
-            unit = None
+            raw = None
             if vector and None not in vector:
                 x = np.array(vector, np.float64)
-                if np.isfinite(x).all():
-                    top = np.abs(x).max()
-                    if top > 0:
-                        x = x / top
-                        unit = (x / np.linalg.norm(x)).tobytes()
-            out.append(unit)
+                if np.isfinite(x).all() and x.any():
+                    with np.errstate(over="ignore"):
+                        short = x.astype(np.float32)
+                    raw = (short if (short == x).all() else x).tobytes()
+            out.append(raw)
             d.append(len(vector) if vector else 0)
         yield pa.RecordBatch.from_arrays([ids, pa.array(d, pa.int32()), pa.array(out, pa.binary())], names=["id", "d", "vec"])
 
 
 def _matrix(column, d: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in column), np.float64).reshape(-1, d)
+    """Unit vectors of packed ones, as doubles. Each row depends on its own bytes only."""
+    raws = [x.as_buffer() for x in column]
+    x = np.empty((len(raws), d))
+    short = np.fromiter((r.size == 4 * d for r in raws), bool, len(raws))
+    for some, kind in ((short, np.float32), (~short, np.float64)):
+        at = np.flatnonzero(some)
+        if len(at):
+            x[at] = np.frombuffer(b"".join(raws[i].to_pybytes() for i in at.tolist()), kind).reshape(-1, d)
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=np.finfo(float).tiny)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x
 
 
 def _leaves(first: int, trees: int, bits: int):
@@ -78,11 +96,12 @@ def _leaves(first: int, trees: int, bits: int):
     return run
 
 
-def _compare(keys: int, threshold: float, own_list: bool):
-    """Units of vectors: each one's nearest others as LIST rows, and stars of the pairs at the threshold as LINK rows.
+def _found(kinds: list, us: list, vs: list, ss: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(us)), pa.array(np.concatenate(vs)), pa.array(np.concatenate(ss))], names=["kind", "u", "v", "s"])
 
-    ``own_list``: a unit's rows are one vector's neighbourhood, from which only a few best of each go on.
-    """
+
+def _compare(keys: int, threshold: float):
+    """Units of vectors: each one's nearest others as LIST rows, and stars of the pairs at the threshold as LINK rows."""
 
     def run(batches):
         for unit in _units(batches, keys):
@@ -90,11 +109,7 @@ def _compare(keys: int, threshold: float, own_list: bool):
             ids, first = np.unique(unit["id"].to_numpy(), return_index=True)
             if len(ids) < 2:
                 continue
-            dims = unit["d"].to_numpy()[first]
-            if (dims != dims[0]).any():
-                keep = dims == dims[0]
-                ids, first = ids[keep], first[keep]
-            x = _matrix(unit["vec"].take(pa.array(first)).combine_chunks(), int(dims[0]))
+            x = _matrix(unit["vec"].take(pa.array(first)).combine_chunks(), unit["d"][0].as_py())
             s = np.clip(x @ x.T, -1, 1)
             a, b = np.nonzero(np.triu(s >= threshold, 1))
             kinds, us, vs, ss = [], [], [], []
@@ -106,7 +121,7 @@ def _compare(keys: int, threshold: float, own_list: bool):
                 ss.append(np.ones(off.sum()))
                 kinds.append(np.full(off.sum(), LINK, np.int32))
             np.fill_diagonal(s, -2)
-            most = min(len(ids) - 1, 3 if own_list else SATURATED)
+            most = min(len(ids) - 1, SATURATED)
             order = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < len(ids) - 1 else np.argsort(-s, axis=1)[:, :most]
             near = np.take_along_axis(s, order, axis=1)
             rank = np.argsort(-near, axis=1, kind="stable")
@@ -119,7 +134,71 @@ def _compare(keys: int, threshold: float, own_list: bool):
             vs.append(ids[order[r, c]])
             ss.append(near[r, c])
             kinds.append(np.full(len(r), LIST, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(us)), pa.array(np.concatenate(vs)), pa.array(np.concatenate(ss))], names=["kind", "u", "v", "s"])
+            yield _found(kinds, us, vs, ss)
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole runs of rows with an equal first column, several together in tables of about AT_ONCE rows."""
+    held, size = [], 0
+    for unit in _units(batches, 1):
+        held.append(unit)
+        size += unit.num_rows
+        if size >= AT_ONCE:
+            yield pa.concat_tables(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _compare_around(threshold: float):
+    """Neighbourhoods (w, id, d, vec, least) of many vectors w at once: from each, the few best of every member that are better than its list's last, and stars of the links."""
+
+    def run(batches):
+        for table_ in _gathered(batches):
+            dims = table_["d"].to_numpy()
+            for d in np.unique(dims).tolist():
+                part = table_.filter(pa.array(dims == d)).combine_chunks()
+                w, ids, least = part["w"].to_numpy(), part["id"].to_numpy(), part["least"].to_numpy()
+                x = _matrix(part["vec"].combine_chunks(), d)
+                heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                sizes = np.diff(np.append(heads, len(w)))
+                wide = int(sizes.max())
+                unit = np.repeat(np.arange(len(heads)), sizes)
+                place = np.arange(len(w)) - heads[unit]
+                row = np.full((len(heads), wide), -1)
+                row[unit, place] = np.arange(len(w))
+                grid = np.zeros((len(heads), wide, d))
+                grid[unit, place] = x
+                s = np.clip(grid @ grid.transpose(0, 2, 1), -1, 1)
+                s[np.broadcast_to((row < 0)[:, None, :], s.shape)] = -2
+                s[:, np.arange(wide), np.arange(wide)] = -2
+                # A vector that a neighbourhood holds twice is no neighbour of itself.
+                named = np.where(row >= 0, ids[row], 0)
+                s[(named[:, :, None] == named[:, None, :])] = -2
+                kinds, us, vs, ss = [], [], [], []
+                t, i, j = np.nonzero(s >= threshold)
+                use = (row[t, i] >= 0) & (i < j)
+                if use.any():
+                    nodes, roots = _local_roots(named[t, i][use], named[t, j][use])
+                    off = nodes != roots
+                    us.append(nodes[off])
+                    vs.append(roots[off])
+                    ss.append(np.ones(off.sum()))
+                    kinds.append(np.full(off.sum(), LINK, np.int32))
+                most = min(wide - 1, FEW)
+                if most > 0:
+                    order = np.argpartition(-s, most - 1, axis=2)[:, :, :most]
+                    near = np.take_along_axis(s, order, axis=2)
+                    bar = np.where(row >= 0, least[row], 2.0)
+                    t, i, k = np.nonzero((near > bar[:, :, None]) & (near > -2))
+                    us.append(named[t, i])
+                    vs.append(named[t, order[t, i, k]])
+                    ss.append(near[t, i, k])
+                    kinds.append(np.full(len(t), LIST, np.int32))
+                if us:
+                    yield _found(kinds, us, vs, ss)
 
     return run
 
@@ -146,7 +225,7 @@ def _tree_round(vectors: DataFrame, n: int, turn: int, threshold: float) -> Data
     counts = leaves.groupBy("t", "code", "d").count().filter(F.col("count") > LEAF).select("t", "code", "d", F.ceil(F.col("count") / LEAF).cast("int").alias("k"))
     dealt = leaves.join(counts, ["t", "code", "d"], "left").select("t", "code", "d", F.pmod(F.xxhash64("id", "t"), F.coalesce("k", F.lit(1))).cast("int").alias("part"), "id", "vec")
     keys = ["t", "code", "d", "part"]
-    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare(4, threshold, False), EDGE)
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare(4, threshold), EDGE)
 
 
 def _descend(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -159,8 +238,11 @@ def _descend(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
     active = fresh.select(F.col("u").alias("w")).union(fresh.select(F.col("v").alias("w"))).distinct()
     back = lists.groupBy(F.col("v").alias("w"), F.pmod(F.xxhash64("u"), F.lit(K)).alias("slot")).agg(F.min("u").alias("id")).select("w", "id")
     around = lists.select(F.col("u").alias("w"), F.col("v").alias("id")).union(back).union(lists.select(F.col("u").alias("w"), F.col("u").alias("id"))).join(active, "w", "left_semi").distinct()
-    met = around.join(vectors, "id").select("w", "id", "d", "vec")
-    return met.repartition(parts, "w").sortWithinPartitions("w").mapInArrow(_compare(1, threshold, True), EDGE)
+    # A list's last entry, for lists that are full: worse ones need not come back. A list of links always takes more.
+    last = lists.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("n"), F.min("s").alias("s")).select("id", F.when((F.col("n") >= K) & ((F.col("n") >= SATURATED) | (F.col("s") < threshold)), F.col("s")).alias("bar"))
+    known = vectors.join(last, "id", "left").select("id", "d", "vec", F.coalesce("bar", F.lit(-2.0)).alias("least"))
+    met = around.join(known, "id").select("w", "id", "d", "vec", "least")
+    return met.repartition(parts, "w").sortWithinPartitions("w", "id").mapInArrow(_compare_around(threshold), EDGE)
 
 
 def _refine(pairs: DataFrame, lists: DataFrame | None, vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
@@ -178,89 +260,143 @@ def _refine(pairs: DataFrame, lists: DataFrame | None, vectors: DataFrame, thres
         found = joined.filter(F.col("kind") == LIST).select("u", "v", "s", F.lit(True).alias("fresh"))
 
 
-def _count_direct(threshold: float, summary: bool):
-    """Units (g, b, id, d, vec): each member's links in the unit; with ``summary`` also the block's centre, least cosine to it and size."""
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, id, d, vec, w, k, ref) with the code of the side of each of log2(k) hyperplanes through ref on which a vector lies."""
+    for batch in batches:
+        dims, blocks = np.asarray(batch.column(2)), np.asarray(batch.column(5))
+        code = np.zeros(batch.num_rows, np.int64)
+        for d in np.unique(dims[blocks > 1]).tolist():
+            at = np.flatnonzero((dims == d) & (blocks > 1))
+            rows = batch.take(pa.array(at))
+            bits = np.ceil(np.log2(blocks[at])).astype(np.int64)
+            planes = np.random.default_rng([73, d]).standard_normal((d, 32))
+            side = (_matrix(rows.column(3), d) - _matrix(rows.column(6), d)) @ planes > 0
+            code[at] = (side & (np.arange(32) < bits[:, None])) @ (1 << np.arange(32, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(code)], names=["g", "id", "d", "vec", "w", "code"])
+
+
+COUNT = "id long, n long, g string, b long, d int, centre binary, least double"
+
+
+def _count_direct(threshold: float):
+    """Units (g, b, id, d, vec, w): each member's links in the unit, and the block's weight, centre and least cosine to it."""
 
     def run(batches):
         for unit in _units(batches, 2):
             unit = unit.combine_chunks()
-            ids, d = unit["id"].to_numpy(), unit["d"][0].as_py()
+            ids, d, weight = unit["id"].to_numpy(), unit["d"][0].as_py(), unit["w"].to_numpy()
             x = _matrix(unit["vec"].combine_chunks(), d)
             n = np.zeros(len(x), np.int64)
             for i in range(0, len(x), 1024):
-                # Identical vectors may round below 1; a vector never counts itself.
-                n[i : i + 1024] = (x[i : i + 1024] @ x.T >= threshold).sum(axis=1) - 1
+                linked = x[i : i + 1024] @ x.T >= threshold
+                # A vector meets itself and its copies whatever its product rounds to; it never counts itself.
+                linked[np.arange(len(linked)), np.arange(i, i + len(linked))] = True
+                n[i : i + 1024] = linked @ weight - 1
             size = len(ids)
-            out = {"id": pa.array(ids), "n": pa.array(n), "g": pa.array([None] * size, pa.int64()), "b": pa.array([None] * size, pa.int32()), "centre": pa.array([None] * size, pa.binary()), "least": pa.array([None] * size, pa.float64())}
-            yield pa.RecordBatch.from_pydict(out)
-            if summary:
-                centre = x.mean(axis=0)
-                centre /= max(np.linalg.norm(centre), 1e-300)
-                yield pa.RecordBatch.from_pydict({"id": pa.array([None], pa.int64()), "n": pa.array([size]), "g": pa.array([unit["g"][0].as_py()]), "b": pa.array([unit["b"][0].as_py()], pa.int32()), "centre": pa.array([centre.tobytes()], pa.binary()), "least": pa.array([float((x @ centre).min())])})
+            none = lambda kind, size=size: pa.nulls(size, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), none(pa.string()), none(pa.int64()), none(pa.int32()), none(pa.binary()), none(pa.float64())], names=["id", "n", "g", "b", "d", "centre", "least"])
+            centre = x.mean(axis=0)
+            centre /= max(np.linalg.norm(centre), 1e-300)
+            yield pa.RecordBatch.from_pydict({"id": pa.array([None], pa.int64()), "n": pa.array([int(weight.sum())]), "g": pa.array([unit["g"][0].as_py()]), "b": pa.array([unit["b"][0].as_py()]), "d": pa.array([d], pa.int32()), "centre": pa.array([centre.tobytes()], pa.binary()), "least": pa.array([float((x @ centre).min())])})
 
     return run
 
 
-COUNT = "id long, n long, g long, b int, centre binary, least double"
+PAIRED = "g string, i long, j long, part int, n long"
 
 
-def _count_blocks(threshold: float):
-    """Units (g, b, id, d, vec, blocks): links with the group's other blocks where the angle to their centre settles it; the rest come back as queries for these blocks."""
+def _settle(threshold: float):
+    """Units (g, part, own, b, n, d, centre, least): for own blocks, the weight of the others that are all within the threshold, and as pairs (i, j, part) those that only products can tell."""
     limit = math.acos(threshold)
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                d, x = batch.column(3)[i].as_py(), np.frombuffer(batch.column(4)[i].as_buffer(), np.float64)
-                others = [o for o in batch.column(5)[i].as_py() if o["b"] != batch.column(1)[i].as_py()]
-                sure, ask = 0, []
-                if others:
-                    centres = np.stack([np.frombuffer(o["centre"], np.float64) for o in others])
-                    angle = np.arccos(np.clip(centres @ x[:d], -1, 1))
-                    radius = np.arccos(np.clip([o["least"] for o in others], -1, 1))
-                    sizes = np.array([o["n"] for o in others])
-                    inside = angle + radius <= limit - 1e-7
-                    open_ = ~inside & (angle - radius <= limit + 1e-7)
-                    sure, ask = int(sizes[inside].sum()), [others[k]["b"] for k in np.flatnonzero(open_)]
-                rows = [(batch.column(2)[i].as_py(), sure, None, None, None)] + [(batch.column(2)[i].as_py(), 0, batch.column(0)[i].as_py(), b, batch.column(4)[i].as_py()) for b in ask]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["id", "n", "g", "b", "vec"])
+        for unit in _units(batches, 2):
+            unit = unit.combine_chunks()
+            own, names, weight = unit["own"].to_numpy(zero_copy_only=False), unit["b"].to_numpy(), unit["n"].to_numpy()
+            centres = np.frombuffer(b"".join(unit["centre"].to_pylist()), np.float64).reshape(len(names), -1)
+            radius = np.arccos(np.clip(unit["least"].to_numpy(), -1, 1))
+            g = unit["g"][0].as_py()
+            for i in np.flatnonzero(own).tolist():
+                angle = np.arccos(np.clip(centres @ centres[i], -1, 1))
+                inside = angle + radius + radius[i] <= limit - 1e-7
+                inside[i] = False
+                ask = names[(~inside) & (angle - radius - radius[i] <= limit + 1e-7) & (names > names[i])]
+                size = 1 + len(ask)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g] * size), pa.array(np.full(size, names[i])), pa.array([None, *ask.tolist()], pa.int64()), pa.array(np.concatenate([[0], np.arange(len(ask)) // PARTNERS]).astype(np.int32)), pa.array(np.concatenate([[weight[inside].sum()], np.zeros(len(ask), np.int64)]).astype(np.int64))],
+                    names=["g", "i", "j", "part", "n"],
+                )
 
     return run
 
 
-def _count_asked(threshold: float):
-    """Units (g, b, asks, id, d, vec): links of the askers with the block's own members."""
+def _count_open(threshold: float):
+    """Units (g, i, part, role, id, d, vec, w): links between block i, role 0, which comes first and is held, and the members of its partners, a batch at a time."""
 
     def run(batches):
-        for unit in _units(batches, 2):
-            unit = unit.combine_chunks()
-            asks = unit["asks"].to_numpy(zero_copy_only=False)
-            if asks.any() and not asks.all():
-                x = _matrix(unit["vec"].combine_chunks(), unit["d"][0].as_py())
-                n = (x[asks] @ x[~asks].T >= threshold).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(unit["id"].to_numpy()[asks]), pa.array(n.astype(np.int64))], names=["id", "n"])
+        key, ids, x, weight, total = None, None, None, None, None
+
+        def counted():
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                *unit, role = keys[low]
+                part = batch.slice(low, high - low)
+                d, own, w = part.column(5)[0].as_py(), np.asarray(part.column(4)), np.asarray(part.column(7))
+                y = _matrix(part.column(6), d)
+                if unit != key:
+                    if key is not None:
+                        yield counted()
+                    key, ids, x, weight, total = unit, own[:0], y[:0], w[:0], np.zeros(0, np.int64)
+                if role == 0:
+                    ids, x, weight, total = np.concatenate([ids, own]), np.concatenate([x, y]), np.concatenate([weight, w]), np.concatenate([total, np.zeros(len(own), np.int64)])
+                    continue
+                linked = x @ y.T >= threshold
+                total += linked @ w
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(weight @ linked)], names=["id", "n"])
+        if key is not None:
+            yield counted()
 
     return run
 
 
 def _link_counts(vectors: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(id, n): links of every vector within its component."""
-    parts = shuffle_partitions(vectors.sparkSession)
-    member = vectors.join(roots.select(F.col("node").alias("id"), F.col("component").alias("g")), "id")
-    sizes = roots.groupBy(F.col("component").alias("g")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    dealt, _ = stage_table(member.join(sizes, "g").select("g", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("b"), "id", "d", "vec", "k"), "nn-members")
-    unit = dealt.select("g", "b", "id", "d", "vec").repartition(parts, "g", "b").sortWithinPartitions("g", "b")
-    direct, _ = stage_table(unit.mapInArrow(_count_direct(threshold, True), COUNT), "nn-direct")
-    total = direct.filter("g is null").select("id", "n")
-    many = dealt.filter("k > 1")
-    if many.isEmpty():
-        return total
-    blocks = direct.filter("g is not null").groupBy("g").agg(F.collect_list(F.struct("b", "centre", "least", "n")).alias("blocks")).filter(F.size("blocks") > 1)
-    across, _ = stage_table(many.select("g", "b", "id", "d", "vec").join(blocks, "g").mapInArrow(_count_blocks(threshold), "id long, n long, g long, b int, vec binary"), "nn-across")
-    asked = across.filter("g is not null").select("g", "b", F.lit(True).alias("asks"), "id", (F.octet_length("vec") / 8).cast("int").alias("d"), "vec")
-    rest = many.select("g", "b", F.lit(False).alias("asks"), "id", "d", "vec").join(asked.select("g", "b").distinct(), ["g", "b"], "left_semi").union(asked)
-    open_ = rest.repartition(parts, "g", "b").sortWithinPartitions("g", "b").mapInArrow(_count_asked(threshold), "id long, n long")
-    return total.union(across.filter("g is null").select("id", "n")).union(open_).groupBy("id").agg(F.sum("n").alias("n"))
+    """(id, n): links of every vector within its component, copies counted by their weight.
+
+    Components of more than BLOCK vectors are dealt to blocks by hyperplanes through their first vector, so that blocks
+    lie close together; a code with more than BLOCK of them is split further by a hash.
+    """
+    spark = vectors.sparkSession
+    parts = shuffle_partitions(spark)
+    # The component's first vector is one of its members: no search for a centre.
+    large = roots.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK).join(vectors.select(F.col("id").alias("component"), F.col("vec").alias("ref")), "component")
+    large = large.select(F.col("component").cast("string").alias("g"), "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("k"), "ref")
+    total = roots.count()
+    named = keyed_join(roots.select(F.col("node").alias("id"), F.col("component").cast("string").alias("g")), large, ["g"], "size", total, F.col("id"))
+    member = vectors.join(named, "id").select("g", "id", "d", "vec", "w", F.coalesce("k", F.lit(1)).alias("k"), "ref")
+    coded, coded_path = stage_table(member.mapInArrow(_codes, "g string, id long, d int, vec binary, w long, code long"), "nn-coded")
+    full = coded.groupBy("g", "code").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK).select("g", "code", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("k"))
+    block = F.shiftleft("code", 24) + F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1)))
+    dealt, _ = stage_table(keyed_join(coded, full, ["g", "code"], "size", total, F.col("id")).select("g", block.alias("b"), "id", "d", "vec", "w"), "nn-members")
+    delete_path(spark, coded_path)
+    direct, _ = stage_table(dealt.repartition(parts, "g", "b").sortWithinPartitions("g", "b").mapInArrow(_count_direct(threshold), COUNT), "nn-direct")
+    counts = direct.filter("g is null").select("id", "n")
+    blocks = direct.filter("g is not null").select("g", "b", "n", "d", "centre", "least")
+    several = blocks.groupBy("g").agg(F.ceil(F.count("*") / CENTRES).cast("int").alias("k"), F.count("*").alias("c")).filter("c > 1").select("g", "k")
+    shown = blocks.join(several, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("g", "part", (F.pmod(F.xxhash64("b"), F.col("k")) == F.col("part")).alias("own"), "b", "n", "d", "centre", "least")
+    pairs, _ = stage_table(shown.repartition(parts, "g", "part").sortWithinPartitions("g", "part", "b").mapInArrow(_settle(threshold), PAIRED), "nn-pairs")
+    settled = dealt.select("g", F.col("b").alias("i"), "id").join(pairs.filter("j is null and n > 0").select("g", "i", "n"), ["g", "i"]).select("id", "n")
+    open_ = pairs.filter("j is not null")
+    columns = ["g", "i", "part", "role", "id", "d", "vec", "w"]
+    first = open_.select("g", "i", "part", F.lit(0).alias("role")).distinct().join(dealt.withColumnRenamed("b", "i"), ["g", "i"]).select(columns)
+    other = open_.select("g", "i", "part", F.lit(1).alias("role"), F.col("j").alias("b")).join(dealt, ["g", "b"]).select(columns)
+    across = first.union(other).repartition(parts, "g", "i", "part").sortWithinPartitions("g", "i", "part", "role").mapInArrow(_count_open(threshold), "id long, n long")
+    return counts.union(settled).union(across).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
@@ -281,8 +417,8 @@ def _audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
     for r in vectors.filter(F.col("id").isin(list(seen))).select("id", "d", "vec").collect():
         ids, units = sample.setdefault(r["d"], ([], []))
         ids.append(r["id"])
-        units.append(np.frombuffer(bytes(r["vec"]), np.float64))
-    queries = {d: (np.array(ids), np.stack(units)) for d, (ids, units) in sample.items()}
+        units.append(bytes(r["vec"]))
+    queries = {d: (np.array(ids), _matrix(pa.array(units, pa.binary()), d)) for d, (ids, units) in sample.items()}
 
     def run(batches):
         totals = {d: np.zeros(len(ids), np.int64) for d, (ids, _) in queries.items()}
@@ -290,16 +426,18 @@ def _audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
             dims = np.asarray(batch.column(0))
             for d in np.unique(dims).tolist():
                 if d in queries:
-                    x = _matrix(batch.filter(pa.array(dims == d)).column(1), d)
+                    rows = batch.filter(pa.array(dims == d))
+                    x, w = _matrix(rows.column(1), d), np.asarray(rows.column(2))
                     for i in range(0, len(x), 1024):
-                        totals[d] += (x[i : i + 1024] @ queries[d][1].T >= threshold).sum(axis=0)
+                        totals[d] += w[i : i + 1024] @ (x[i : i + 1024] @ queries[d][1].T >= threshold)
         for d, n in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array(queries[d][0]), pa.array(n)], names=["id", "n"])
 
-    true = vectors.select("d", "vec").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    weight = F.col("w") if "w" in vectors.columns else F.lit(1).cast("long")
+    true = vectors.select("d", "vec", weight.alias("w")).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total, reached = [0.0, 0.0], [0.0, 0.0]
     for r in true:
-        # A vector meets itself among all rows.
+        # A vector meets itself among all rows, and its copies are links found at the start.
         n, (got, weight) = r["n"] - 1, seen[r["id"]]
         if n > 0:
             total[n > K] += weight
@@ -351,10 +489,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     null or non-finite components, and rows with a null id, have no links; a null id has a null component and is not
     kept. Rows that repeat an id count as one vector, the first by its bytes.
     """
+    spark = df.sparkSession
     raw = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    every, _ = stage_table(raw.mapInArrow(_normal, "id long, d int, vec binary"), "nn-vectors")
+    every, _ = stage_table(raw.mapInArrow(_packed, "id long, d int, vec binary"), "nn-vectors")
     rows = every.select("id")
-    vectors, _ = stage_table(every.filter("id is not null and vec is not null").groupBy("id").agg(F.min(F.struct("d", "vec")).alias("x")).select("id", "x.d", "x.vec"), "nn-unit")
+    once = every.filter("id is not null and vec is not null").groupBy("id").agg(F.min(F.struct("d", "vec")).alias("x"))
+    usable, _ = stage_table(once.select("id", "x.d", "x.vec", F.xxhash64("x.vec").cast("string").alias("h")), "nn-usable")
+    vectors, _ = stage_table(usable.groupBy("d", "vec").agg(F.min("id").alias("id"), F.count("*").alias("w")).select("id", "d", "vec", "w"), "nn-unit")
+    # Copies point at the first of them.
+    copied = vectors.filter("w > 1").select(F.xxhash64("vec").cast("string").alias("h"), "vec", "w", F.col("id").alias("first"))
+    owner, _ = stage_table(keyed_join(usable.select("id", "h", "vec"), copied, ["h", "vec"], "w", usable.count(), F.col("id")).select("id", F.coalesce("first", "id").alias("first")), "nn-owner")
     n = vectors.count()
     links, lists, counts, roots = None, None, None, None
     for turn in range(ROUNDS):
@@ -375,9 +519,16 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     else:
         roots, _ = stage_table(components(_all_links(vectors, n, threshold), "nn-cc"), "nn-roots")
         counts, _ = stage_table(_link_counts(vectors, roots, threshold), "nn-counts")
-    if counts is None:
-        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    out = rows.join(counts, "id", "left").join(roots.select(F.col("node").alias("id"), "component"), "id", "left")
+    known = vectors.select("id", (F.col("w") - 1).alias("copies"))
+    if counts is not None:
+        known = known.join(counts, "id", "left").join(roots.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("n", "copies").alias("n"), F.coalesce("component", "id").alias("component"))
+    else:
+        known = known.select("id", F.col("copies").alias("n"), F.col("id").alias("component"))
+    # A first vector has many copies only where these are exact: its row is joined by the same rule as above.
+    weights = vectors.select(F.col("id").alias("first"), "w")
+    of = known.withColumnRenamed("id", "first").join(weights, "first").select(F.col("first").cast("string").alias("first"), "n", "component", "w")
+    told = keyed_join(owner.select(F.col("first").cast("string").alias("first"), "id"), of, ["first"], "w", owner.count(), F.col("id")).select("id", "n", "component")
+    out = rows.join(told, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
