@@ -62,8 +62,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 2048 tokens."""
-    return packing.packed(packing.pieces(docs, public_tokenizers.path(packing.VOCABULARY)))
+    """All documents in sequences of at most 2048 tokens, each piece with its ids (little-endian unsigned 32-bit). A null text is the end token alone; a very long one is cut into pieces."""
+    return packing.packed(packing.pieces(docs, public_tokenizers.path(packing.VOCABULARY), carry_ids=True))
 
 
 STAGES = [("quality", quality_stage), ("language", language_stage), ("near_duplicates", jaccard_stage), ("packing", packing_stage)]

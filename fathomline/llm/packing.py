@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from .bytebpe import byte_characters
 from .common import map_texts, shuffle_partitions, stage_table, table
+from .jaccard import _units
 
 VOCABULARY, CAPACITY, END = "byte_bpe_50k.json", 2048, 0
-#: Bins with more free tokens than this go from each group to a second packing of several groups together.
+#: Bins with more free tokens than this are packed again with those of other groups.
 SLACK = 16
-#: Groups whose unfilled bins are packed again together.
-TOGETHER = 64
+#: The share of its sequences that a level must save for another to follow.
+WORTH = 0.01
+#: Pieces of a group, which one unit of work packs, whatever the size of the table.
+GROUP = 4096
 
 
 @functools.lru_cache(maxsize=2)
@@ -198,7 +201,11 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, carry_ids: bool = False) -> DataFrame:
-    """One row a piece of every document: its ids, END after them, cut where longer than ``capacity``."""
+    """One row a piece of every document: its ids, END after them, cut where longer than ``capacity``.
+
+    A null or empty text is END alone; a very long one is encoded whole. Rows that repeat an id give their pieces each;
+    columns other than doc_id and text are not read; an empty table gives no rows.
+    """
 
     def run(ids, texts):
         encode = coder(path)
@@ -216,54 +223,61 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, carry_ids: bool =
     return map_texts(df, run, PIECES + (", ids binary" if carry_ids else ""))
 
 
+def _packer(level: int, capacity: int):
+    """Units (g, pid, piece columns): sequence_id and offset of each piece, and whether its sequence should be packed again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _units(batches, 1):
+            unit = unit.sort_by([("length", "descending"), ("pid", "ascending")]).combine_chunks()
+            lengths = unit["length"].to_pylist()
+            number, offset, again = np.empty(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
+            base = (level << 56) + (unit["g"][0].as_py() << 20)
+            for k, items in enumerate(pack(lengths, capacity)):
+                at = 0
+                for item in items:
+                    number[item], offset[item] = base + k, at
+                    at += lengths[item]
+                again[items] = capacity - at > SLACK
+            out = unit.drop_columns(["g"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset)).append_column("again", pa.array(again))
+            yield from out.combine_chunks().to_batches(max_chunksize=20_000)
+
+    return run
+
+
 def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``parts`` (PIECES) with sequence_id and offset.
+    """``parts`` (PIECES, and further columns such as the ids) with sequence_id and offset.
 
-    Pieces are dealt evenly to groups of a hash, some for each shuffle partition, so each task packs a bounded share
-    whatever the sources are. A group's bins that stay emptier than SLACK allows are packed again with those of other
-    groups: what is left over is at most one bin for TOGETHER groups.
+    Pieces are dealt evenly by a hash of their row to groups of about GROUP, so a unit of work is bounded
+    whatever the sources and the size of the table. Sequences that stay emptier than SLACK allows are packed again, in groups of other
+    pieces, as long as a level saves WORTH of them. Every piece keeps its own row: rows that repeat
+    an id, equal texts and pieces of equal length are packed each for itself, in the order of their rows; a clashing further
+    column must not be named pid, g, again, sequence_id or offset; no rows give none. A piece longer than ``capacity`` is an error.
     """
     spark = parts.sparkSession
-    groups = shuffle_partitions(spark)
-    columns = [c.split(" ")[0] for c in PIECES.split(", ")]
-
-    def packer(second: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [b for b in batches if b.num_rows]
-            if not held:
-                return
-            rows = pa.Table.from_batches(held).sort_by([("g", "ascending"), ("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-            keys = rows["g"].to_numpy()
-            bounds = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-            for low, high in zip(bounds, bounds[1:], strict=False):
-                part = rows.slice(low, high - low)
-                lengths = part["length"].to_pylist()
-                number, offset, again = np.empty(high - low, np.int64), np.zeros(high - low, np.int64), np.zeros(high - low, bool)
-                base = (int(keys[low]) << 33) + (int(second) << 32)
-                for k, items in enumerate(pack(lengths, capacity)):
-                    at = 0
-                    for item in items:
-                        number[item], offset[item] = base + k, at
-                        at += lengths[item]
-                    if not second and capacity - at > SLACK:
-                        again[items] = True
-                out = part.select(columns).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
-                if not second:
-                    out = out.append_column("again", pa.array(again)).append_column("g", pa.array(keys[low:high]))
-                yield from out.combine_chunks().to_batches(max_chunksize=20_000)
-
-        return run
-
-    dealt = parts.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    first = dealt.repartition(groups, "g").mapInArrow(packer(False), PACKED + ", again boolean, g int")
-    return _merge(first, packer(True), groups)
-
-
-def _merge(first: DataFrame, second, groups: int) -> DataFrame:
-    held, _ = stage_table(first, "packing")
-    over = held.filter("again").withColumn("g", (F.col("g") / F.lit(TOGETHER)).cast("int")).drop("sequence_id", "offset", "again")
-    again = over.repartition(max(1, -(-groups // TOGETHER)), "g").mapInArrow(second, PACKED)
-    return held.filter("not again").drop("again", "g").union(again)
+    most = shuffle_partitions(spark)
+    columns = ["pid", *(c.split(" ")[0] for c in PIECES.split(", "))]
+    schema = "pid long, " + PACKED + ", again boolean"
+    held, _ = stage_table(parts.withColumn("pid", F.monotonically_increasing_id()), "packing-pieces")
+    left, bins, done = held.select(columns), None, []
+    for level in range(64):
+        n = left.count()
+        if not n:
+            break
+        groups = -(-n // GROUP)
+        dealt = left.select(F.pmod(F.xxhash64("pid", F.lit(level)), F.lit(groups)).alias("g"), *columns)
+        out, _ = stage_table(dealt.repartition(min(most, groups), "g").sortWithinPartitions("g").mapInArrow(_packer(level, capacity), schema), "packing")
+        opened = out.filter("again and offset = 0").count()
+        saved = None if bins is None else bins - out.filter("offset = 0").count()
+        if groups == 1 or not opened or (saved is not None and saved < WORTH * bins):
+            done.append(out)
+            break
+        done.append(out.filter("not again"))
+        left, bins = out.filter("again").select(columns), opened
+    placed = functools.reduce(DataFrame.union, done) if done else spark.createDataFrame([], schema)
+    extra = [c for c in held.columns if c not in columns]
+    if extra:
+        placed = placed.join(held.select("pid", *extra), "pid")
+    return placed.select(*columns[1:], "sequence_id", "offset", *extra)
 
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

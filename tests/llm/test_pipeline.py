@@ -40,6 +40,7 @@ def test_stages_against_a_plain_version(spark, small, tmp_path):
     fills = defaultdict(int)
     for r in packed:
         fills[r.sequence_id] += r.length
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
     assert max(fills.values()) <= packing.CAPACITY
 
 
