@@ -133,6 +133,23 @@ def stage_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(schema).parquet(path), path
 
 
+class Stages:
+    """Stage tables of one run, dropped together when what was made of them is written."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[SparkSession, str]] = []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        out, path = stage_table(df, label)
+        self.held.append((df.sparkSession, path))
+        return out
+
+    def drop(self) -> None:
+        for spark, path in self.held:
+            delete_path(spark, path)
+        self.held.clear()
+
+
 # ---------------------------------------------------------------- joins with hot keys
 
 #: A key is hot where it meets more than 1 / HOT of the rows, so HOT keys at most are.

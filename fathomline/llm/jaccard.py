@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _local_roots, components, delete_path, documents_of, give_back, shuffle_partitions, slices, stage_table, table
+from .common import Stages, _local_roots, components, delete_path, documents_of, give_back, shuffle_partitions, slices, stage_table, table
 from .shingles import C, mix, shingle_sets
 
 WORDS, PERCENT = 4, 85
@@ -41,7 +42,6 @@ LEAST_HOT, MOST_HOT, COUNTED = 40, 1_000_000, 2_000_000
 #: Signatures sorted at once in a task.
 HELD = 700_000
 _R1, _R2, _S32 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(32)
-NULL_ID = -(1 << 63)
 
 
 @functools.lru_cache(maxsize=8)
@@ -145,7 +145,7 @@ def _chain(ids: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return pairs[:, 0], pairs[:, 1], order[heads]
 
 
-DOC, CHAIN, SAME = 0, 1, 2
+DOC, CHAIN, SAME, NAMELESS = 0, 1, 2, 3
 
 
 def _sketch(percent: int, buckets: int, read, hot):
@@ -179,11 +179,11 @@ def _sketch(percent: int, buckets: int, read, hot):
 
         count = 0
         for batch in batches:
-            for ids, hashes, bounds in read(batch):
+            for ids, named, hashes, bounds in read(batch):
                 sizes = np.diff(bounds)
-                out = [rows(DOC, ids, sizes)]
+                out = [rows(kind, ids[some], sizes[some]) for kind, some in ((DOC, named), (NAMELESS, ~named)) if some.any()]
                 # Equal sets of this task: all but one leave.
-                usable = np.flatnonzero((sizes > 0) & (ids != NULL_ID))
+                usable = np.flatnonzero((sizes > 0) & named)
                 same, keep = [], []
                 sums = np.zeros(len(sizes), np.uint64)
                 if len(usable):
@@ -203,7 +203,7 @@ def _sketch(percent: int, buckets: int, read, hot):
                 if keep:
                     n = sizes[keep]
                     place = np.repeat(bounds[keep] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    who, signs = signatures(hashes[place], np.concatenate([[0], np.cumsum(n)]), percent, hot.value)
+                    who, signs = signatures(hashes[place], np.concatenate([[0], np.cumsum(n)]), percent, hot.value[0])
                     held.append((ids[keep][who], signs))
                     count += len(signs)
                     if count > HELD:
@@ -218,11 +218,12 @@ def _sketch(percent: int, buckets: int, read, hot):
 
 
 def _from_texts(words: int):
-    """Reader of (doc_id, text)."""
+    """Reader of (doc_id, text): ids, which of them are not null, and the sets."""
 
     def read(batch):
         for part in slices(batch):
-            yield np.array([NULL_ID if x is None else x for x in part.column(0).to_pylist()], np.int64), *shingle_sets(part.column(1).to_pylist(), words)
+            ids = part.column(0)
+            yield np.asarray(pc.fill_null(ids, 0)), np.asarray(pc.is_valid(ids)), *shingle_sets(part.column(1).to_pylist(), words)
 
     return read
 
@@ -231,7 +232,7 @@ def _from_sets(batch):
     """Reader of (doc_id, tokens)."""
     for i in range(0, batch.num_rows, 512):
         part = batch.slice(i, 512)
-        yield part.column(0).to_numpy(), *_unpack(part.column(1))
+        yield part.column(0).to_numpy(), np.ones(part.num_rows, bool), *_unpack(part.column(1))
 
 
 def _links(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -411,7 +412,8 @@ def _block_tokens(batches):
         hashes, bounds = _unpack(unit["tokens"].combine_chunks())
         ids = unit["doc_id"].to_numpy()
         tokens, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-        owner = np.where(counts == 1, np.repeat(ids, np.diff(bounds))[first] if len(first) else 0, NULL_ID)
+        owner = np.repeat(ids, np.diff(bounds))[first] if len(first) else np.zeros(0, np.int64)
+        once = counts == 1
         k = unit["k"][0].as_py()
         part = ((tokens >> _S32) * np.uint64(k) >> _S32).astype(np.int64)
         ends = np.searchsorted(part, np.arange(k + 1))
@@ -420,23 +422,27 @@ def _block_tokens(batches):
         for i in range(0, k, 256):
             some = [(j, x, y) for j, (x, y) in enumerate(found[i : i + 256], i) if y > x]
             if some:
-                yield pa.RecordBatch.from_arrays([pa.array([g] * len(some), pa.int64()), pa.array([s[0] for s in some], pa.int32()), pa.array([tokens[s[1] : s[2]].tobytes() for s in some], pa.binary()), pa.array([owner[s[1] : s[2]].tobytes() for s in some], pa.binary())], names=["g", "block", "tokens", "owners"])
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(some), pa.int64()), pa.array([s[0] for s in some], pa.int32()), pa.array([tokens[s[1] : s[2]].tobytes() for s in some], pa.binary()), pa.array([owner[s[1] : s[2]].tobytes() for s in some], pa.binary()), pa.array([once[s[1] : s[2]].tobytes() for s in some], pa.binary())], names=["g", "block", "tokens", "owners", "once"])
 
 
 def _alone(batches):
-    """Units (g, range, tokens, owners) of all blocks: how many tokens each document has that no other in the group has."""
+    """Units (g, range, tokens, owners, once) of all blocks: how many tokens each document has that no other in the group has."""
     for unit in _units(batches, 2):
         tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for c in unit["tokens"].chunks for x in c])
         owners = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for c in unit["owners"].chunks for x in c])
+        once = np.concatenate([np.frombuffer(x.as_buffer(), np.bool_) for c in unit["once"].chunks for x in c])
         _, first, counts = np.unique(tokens, return_index=True, return_counts=True)
-        own = owners[first[counts == 1]]
-        ids, n = np.unique(own[own != NULL_ID], return_counts=True)
+        first = first[counts == 1]
+        ids, n = np.unique(owners[first[once[first]]], return_counts=True)
         if len(ids):
             yield _edges(ids, n.astype(np.int64))
 
 
+LINKS = "a long, b long, best boolean"
+
+
 def _join_block(percent: int):
-    """Units (g, block, doc_id, tokens, query): links of each block as stars; with queries, only theirs with the block's own. The member with most links comes back as (doc_id, NULL_ID)."""
+    """Units (g, block, doc_id, tokens, query): links of each block as stars; with queries, only theirs with the block's own. The member with most links comes back as a row that is ``best``."""
 
     def run(batches):
         for unit in _units(batches, 2):
@@ -448,13 +454,13 @@ def _join_block(percent: int):
             x, y = _stars(ids, a, b)
             if len(x):
                 most = ids[np.bincount(a, minlength=len(ids)).argmax()]
-                yield _edges(np.append(x, most), np.append(y, NULL_ID))
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(x, most)), pa.array(np.append(y, most)), pa.array(np.append(np.zeros(len(x), bool), True))], names=["a", "b", "best"])
 
     return run
 
 
-def _hot_tokens(df: DataFrame, read) -> np.ndarray:
-    """Tokens in more than LEAST_HOT documents, sorted; where these are more than MOST_HOT, the most frequent ones by classes of their count.
+def _hot_tokens(df: DataFrame, read) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens in more than LEAST_HOT documents, sorted, and their counts; where these are more than MOST_HOT, the most frequent ones by classes of their count.
 
     Each task counts its documents in portions of about COUNTED tokens and reports the tokens that several documents there
     have; signatures hold for any choice of hot tokens, so one that a portion passes over costs time, never a link.
@@ -468,7 +474,7 @@ def _hot_tokens(df: DataFrame, read) -> np.ndarray:
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for _, hashes, _ in read(batch):
+            for _, _, hashes, _ in read(batch):
                 held.append(hashes)
                 size += len(hashes)
                 if size > COUNTED:
@@ -488,16 +494,18 @@ def _hot_tokens(df: DataFrame, read) -> np.ndarray:
         if total > MOST_HOT:
             least = row["c"] + 1
             break
-    found = counted.filter(F.floor(4 * F.log2("n")) >= least).select("token").toArrow()["token"].to_numpy()
+    found = counted.filter(F.floor(4 * F.log2("n")) >= least).select("token", "n").toArrow()
     delete_path(df.sparkSession, path)
-    return np.sort(found.astype(np.int64).view(np.uint64))
+    tokens = found["token"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.minimum(found["n"].to_numpy()[order], 1 << 31).astype(np.uint32)
 
 
-def _group(df: DataFrame, percent: int, read, hot, label: str) -> DataFrame:
-    """The staged rows (kind, a, b) of ``df`` under the signatures: DOC sizes, CHAIN and SAME edges. ``hot``: the broadcast hot tokens."""
+def _group(df: DataFrame, percent: int, read, hot, label: str, stages: Stages) -> DataFrame:
+    """The staged rows (kind, a, b) of ``df`` under the signatures: DOC and NAMELESS sizes, CHAIN and SAME edges. ``hot``: the broadcast hot tokens and their counts."""
     parts = shuffle_partitions(df.sparkSession)
     sketched = df.mapInArrow(_sketch(percent, 8 * parts, read, hot), "p int, kind int, a binary, b binary")
-    return stage_table(sketched.repartition(parts, "p").mapInArrow(_match, "kind int, a long, b long"), label)[0]
+    return stages.keep(sketched.repartition(parts, "p").mapInArrow(_match, "kind int, a long, b long"), label)
 
 
 def _edges_of(found: DataFrame, kind: int) -> DataFrame:
@@ -518,15 +526,15 @@ def _run(df: DataFrame, fn, schema: str, *columns: str) -> DataFrame:
     return df.select("g", "block", *columns).repartition(shuffle_partitions(df.sparkSession), "g", "block").sortWithinPartitions("g", "block").mapInArrow(fn, schema)
 
 
-def _prune(sets: DataFrame, percent: int) -> DataFrame:
+def _prune(sets: DataFrame, percent: int, stages: Stages) -> DataFrame:
     """Without the documents whose tokens that somebody else in the group has are too few for any link."""
     held = _blocks(sets, _sizes(sets))
-    tokens = _run(held, _block_tokens, "g long, block int, tokens binary, owners binary", "doc_id", "k", "n", "tokens")
-    alone = _run(tokens, _alone, "a long, b long", "tokens", "owners").groupBy("a").agg(F.sum("b").alias("alone"))
+    tokens = _run(held, _block_tokens, "g long, block int, tokens binary, owners binary, once binary", "doc_id", "k", "n", "tokens")
+    alone = _run(tokens, _alone, "a long, b long", "tokens", "owners", "once").groupBy("a").agg(F.sum("b").alias("alone"))
     known = held.join(alone.withColumnRenamed("a", "doc_id"), "doc_id", "left")
     partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     able = known.filter((F.col("n") - F.coalesce("alone", F.lit(0))) * (100 + percent) >= percent * (F.col("n") + partner)).select("g", "doc_id", "n", "tokens")
-    return stage_table(able, "jaccard-able")[0]
+    return stages.keep(able, "jaccard-able")
 
 
 def _is_large(members: DataFrame) -> DataFrame:
@@ -535,47 +543,90 @@ def _is_large(members: DataFrame) -> DataFrame:
     return weight.filter((F.col("members") > UNIT) | (F.col("weight") > 4_000_000)).select("g", F.lit(True).alias("large"))
 
 
-def _large(sets: DataFrame, percent: int, hot) -> list[DataFrame]:
+def _large(sets: DataFrame, percent: int, hot, stages: Stages) -> list[DataFrame]:
     """Links (a, b) of large groups; ``sets`` has g, doc_id, n, tokens.
 
     Documents that cannot link leave, and those that stay are grouped again: chains that ran over the others break. Groups
     that are small then are opened whole; those that stay large go on to their blocks.
     """
-    able = _prune(sets, percent)
-    found = _group(able.select("doc_id", "tokens"), percent, _from_sets, hot, "jaccard-regrouped")
+    able = _prune(sets, percent, stages)
+    found = _group(able.select("doc_id", "tokens"), percent, _from_sets, hot, "jaccard-regrouped", stages)
     groups = components(_edges_of(found, CHAIN), "jaccard-regroup").select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
     grouped = able.drop("g").join(groups, "doc_id")
-    members, _ = stage_table(grouped.join(_is_large(grouped.select("g", "n")), "g", "left").select("g", "doc_id", "n", "tokens", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-members")
+    members = stages.keep(grouped.join(_is_large(grouped.select("g", "n")), "g", "left").select("g", "doc_id", "n", "tokens", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-members")
     small = members.filter("not large").select("g", F.lit(0).alias("block"), "doc_id", "tokens", F.lit(False).alias("query"))
-    out = [_edges_of(found, SAME), _run(small, _join_block(percent), "a long, b long", "doc_id", "tokens", "query").filter(F.col("b") != NULL_ID)]
+    out = [_edges_of(found, SAME), _run(small, _join_block(percent), LINKS, "doc_id", "tokens", "query").filter("not best").select("a", "b")]
     left = members.filter("large").drop("large")
-    return out if left.isEmpty() else out + _opened(left, percent)
+    return out if left.isEmpty() else out + _opened(left, percent, hot, stages)
+
+
+def _rarest(percent: int, hot, key: str):
+    """(g, key, token) of the rarest tokens of each set of (g, key, tokens): two sets that link share one of them.
 
+    A set of n tokens shares with any partner all but n - ceil(percent * n / 100) of them at most, and the same order, by the
+    count of hot tokens and then by hash, holds for all sets.
+    """
 
-def _opened(sets: DataFrame, percent: int) -> list[DataFrame]:
-    """Links of large groups by blocks: within each, with pivots, and of the documents outside a group's main component with all blocks."""
+    def run(batches):
+        tokens_hot, counts_hot = hot.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                hashes, bounds = _unpack(part.column(2))
+                cost = np.zeros(len(hashes), np.uint32)
+                if len(tokens_hot):
+                    at = np.searchsorted(tokens_hot, hashes)
+                    at[at == len(tokens_hot)] = 0
+                    cost = np.where(tokens_hot[at] == hashes, counts_hot[at], 0)
+                sizes = np.diff(bounds)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((hashes, cost, owner))
+                rank = np.arange(len(hashes)) - bounds[owner]
+                take = order[rank < (sizes - -(-percent * sizes // 100) + 1)[owner]]
+                who = pa.array(owner[take])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), pa.array(hashes[take].view(np.int64))], names=["g", key, "token"])
+
+    return run
+
+
+def _opened(sets: DataFrame, percent: int, hot, stages: Stages) -> list[DataFrame]:
+    """Links of large groups by blocks: within each, with pivots, and of the documents outside a group's main component with the blocks that can hold a partner.
+
+    These blocks are found before any set is shipped: a document opens a block only where one of its rarest tokens is
+    among the rarest of a member there, which no link can do without. What a token costs is bounded by its own documents in
+    the group, so a long chain of overlapping texts opens a few blocks a document. Queries come to a block in parts of bounded weight.
+    """
     sizes = _sizes(sets)
-    dealt = _blocks(sets, sizes).withColumn("query", F.lit(False))
-    columns = ["g", "block", "doc_id", "tokens", "query"]
+    dealt = _blocks(sets, sizes)
+    columns = ["g", "block", "part", "doc_id", "tokens", "query"]
 
     def opened(queries: DataFrame | None, label: str) -> DataFrame:
-        rows, join = dealt.select(columns), _join_block(percent)
-        if queries is not None:
-            everywhere = queries.join(sizes.select("g", "k"), "g").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("query", F.lit(True))
-            rows, join = rows.union(everywhere.select(columns)), _only_queries(percent)
-        return stage_table(_run(rows, join, "a long, b long", "doc_id", "tokens", "query"), label)[0]
+        """Blocks in themselves, or ``queries`` (g, block, doc_id, n, tokens) with the blocks that they name."""
+        if queries is None:
+            rows, join = dealt.select("g", "block", F.lit(0).alias("part"), "doc_id", "tokens", F.lit(False).alias("query")), _join_block(percent)
+        else:
+            parts = queries.groupBy("g", "block").agg(F.ceil(F.greatest(F.count("*") / (4 * UNIT), F.sum("n") / 2_000_000)).cast("int").alias("parts"))
+            asking = queries.join(parts, ["g", "block"]).select("g", "block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), "doc_id", "tokens", F.lit(True).alias("query"))
+            asked = dealt.join(parts, ["g", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", "block", "part", "doc_id", "tokens", F.lit(False).alias("query"))
+            rows, join = asking.union(asked), _only_queries(percent)
+        unit = rows.select(columns).repartition(shuffle_partitions(sets.sparkSession), "g", "block", "part").sortWithinPartitions("g", "block", "part")
+        return stages.keep(unit.mapInArrow(join, LINKS), label)
 
     first = opened(None, "jaccard-first")
-    links = first.filter(F.col("b") != NULL_ID)
+    links = first.filter("not best").select("a", "b")
     # Pivots: the best linked members of some blocks, sent to every block of their group.
-    best = first.filter(F.col("b") == NULL_ID).select(F.col("a").alias("doc_id")).distinct().join(sets, "doc_id")
-    pivots = best.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("doc_id")))).filter(F.col("r") <= PIVOTS).select("g", "doc_id", "tokens")
-    second = opened(pivots, "jaccard-second").filter(F.col("b") != NULL_ID)
+    best = first.filter("best").select(F.col("a").alias("doc_id")).distinct().join(sets, "doc_id")
+    pivots = best.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("doc_id")))).filter(F.col("r") <= PIVOTS)
+    everywhere = pivots.join(sizes.select("g", "k"), "g").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("g", "block", "doc_id", "n", "tokens")
+    second = opened(everywhere, "jaccard-second").filter("not best").select("a", "b")
     roots = components(links.union(second), "jaccard-large")
-    labelled, _ = stage_table(sets.select("g", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("g", "doc_id", F.coalesce("component", "doc_id").alias("c")), "jaccard-labels")
+    labelled = stages.keep(sets.select("g", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("g", "doc_id", F.coalesce("component", "doc_id").alias("c")), "jaccard-labels")
     main = labelled.groupBy("g", "c").count().groupBy("g").agg(F.max(F.struct("count", "c")).alias("m")).select("g", F.col("m.c").alias("c"))
-    minor = labelled.join(main, ["g", "c"], "left_anti").select("doc_id").join(sets, "doc_id").select("g", "doc_id", "tokens")
-    third = opened(minor, "jaccard-third").filter(F.col("b") != NULL_ID)
+    minor = stages.keep(labelled.join(main, ["g", "c"], "left_anti").select("doc_id").join(sets, "doc_id").select("g", "doc_id", "n", "tokens"), "jaccard-minor")
+    asked = minor.select("g", "doc_id", "tokens").mapInArrow(_rarest(percent, hot, "doc_id"), "g long, doc_id long, token long")
+    held = dealt.select("g", "block", "tokens").mapInArrow(_rarest(percent, hot, "block"), "g long, block int, token long").distinct()
+    named = stages.keep(asked.join(held, ["g", "token"]).select("g", "block", "doc_id").distinct(), "jaccard-named")
+    third = opened(named.join(minor, ["g", "doc_id"]).select("g", "block", "doc_id", "n", "tokens"), "jaccard-third").filter("not best").select("a", "b")
     return [links, second, third]
 
 
@@ -584,7 +635,7 @@ def _only_queries(percent: int):
     join = _join_block(percent)
 
     def run(batches):
-        for unit in _units(batches, 2):
+        for unit in _units(batches, 3):
             if any(unit["query"].to_pylist()):
                 yield from join(iter(unit.to_batches()))
 
@@ -596,28 +647,33 @@ def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     Two documents link when 100 * intersection >= percent * union of their sets of distinct ``words``-word shingles;
     component_id is the smallest doc_id reachable by links. Texts that are null or without words have the empty set
-    and link with nothing, not even each other; shorter texts are one shingle. Rows with a null id link with nothing and have a null
-    component; rows with one id are one node. Sets are held as 64-bit hashes.
+    and link with nothing, not even each other; shorter texts are one shingle, very long ones are read whole. Rows with a null id link with nothing
+    and have a null component; rows with one id are one node, with the links of all their texts. Other columns are not
+    read, so none can clash; an empty table gives no rows. Sets are held as 64-bit hashes.
     """
+    stages = Stages()
     parts = shuffle_partitions(df.sparkSession)
     docs = documents_of(df, id_col, text_col)
     read = _from_texts(words)
     hot = df.sparkSession.sparkContext.broadcast(_hot_tokens(docs, read))
-    found = _group(docs, percent, read, hot, "jaccard-sketch")
-    rows = found.filter(F.col("kind") == DOC).select(F.when(F.col("a") != NULL_ID, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"))
-    groups, _ = stage_table(components(_edges_of(found, CHAIN), "jaccard-groups").select(F.col("node").alias("doc_id"), F.col("component").alias("g")), "jaccard-grouped")
+    found = _group(docs, percent, read, hot, "jaccard-sketch", Stages())
+    rows = found.filter(F.col("kind").isin(DOC, NAMELESS)).select(F.when(F.col("kind") == DOC, F.col("a")).alias("doc_id"), F.col("b").alias("n_shingles"))
+    groups = stages.keep(components(_edges_of(found, CHAIN), "jaccard-groups").select(F.col("node").alias("doc_id"), F.col("component").alias("g")), "jaccard-grouped")
     large = _is_large(rows.groupBy("doc_id").agg(F.max("n_shingles").alias("n")).join(groups, "doc_id"))
     # One plan at every size: the texts move once, to their ids, and only members of groups are kept.
-    members, _ = stage_table(docs.join(groups.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text"]).join(large, "g", "left").select("g", "doc_id", "text", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-texts")
+    members = stages.keep(docs.join(groups.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text"]).join(large, "g", "left").select("g", "doc_id", "text", F.coalesce("large", F.lit(False)).alias("large")), "jaccard-texts")
     small = members.filter("not large").select("g", "doc_id", "text").repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_join_small(words, percent), "a long, b long")
     links = [_edges_of(found, SAME), small]
-    sets, _ = stage_table(members.filter("large").select("g", "doc_id", "text").mapInArrow(_pack_sets(words), "g long, doc_id long, n long, tokens binary"), "jaccard-sets")
+    sets = stages.keep(members.filter("large").select("g", "doc_id", "text").mapInArrow(_pack_sets(words), "g long, doc_id long, n long, tokens binary"), "jaccard-sets")
     if not sets.isEmpty():
-        links += _large(sets, percent, hot)
+        links += _large(sets, percent, hot, stages)
     every = links[0]
     for more in links[1:]:
         every = every.union(more)
+    # The links are written by the first step of this, after which only the sketch's rows and the components are read.
     roots = components(every, "jaccard-links")
+    stages.drop()
+    hot.unpersist()
     return rows.join(roots.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -117,3 +117,44 @@ def test_edge_rows(spark):
     assert found[10].component_id == 10 and found[11].component_id == 10  # equal texts
     assert found[0].n_shingles == found[1].n_shingles == found[2].n_shingles == 0 and found[1].component_id == 1
     assert jaccard.jaccard_components(fixtures.empty(spark)).collect() == []
+
+
+def windows(n, step=6, length=44):
+    """Overlapping windows of one long text: neighbours share most words, but too few for a link."""
+    draw = random.Random(5)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(n * step + length)]
+    return [" ".join(words[i * step : i * step + length]) for i in range(n)]
+
+
+def test_a_chain_of_windows_opens_blocks_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "UNIT", 16)
+    monkeypatch.setattr(jaccard, "LEAST_HOT", 3)
+    shipped = {}
+    keep = jaccard.Stages.keep
+
+    def watched(self, df, label):
+        out = keep(self, df, label)
+        if label == "jaccard-named":
+            shipped[count] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.Stages, "keep", watched)
+    for count in (600, 1200):
+        texts = windows(count) + copies(20, 40, 2, 9)
+        rows = list(enumerate(texts))
+        assert got(spark, rows) == brute(rows, 4, 85)
+        # The same windows as one large group: what is shipped grows with the texts, not with their square.
+        hashes, bounds = shingle_sets(texts, 4)
+        sets = spark.createDataFrame([(0, i, int(b - a), hashes[a:b].tobytes()) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))], "g long, doc_id long, n long, tokens binary")
+        hot = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.uint32)))
+        links = jaccard._opened(sets, 85, hot, jaccard.Stages())
+        pairs = {tuple(sorted((r.a, r.b))) for part in links for r in part.collect()}
+        assert all(a >= count for a, _ in pairs) and pairs
+    assert shipped[600] and shipped[1200] <= 2.2 * shipped[600] and shipped[1200] < 1200 * 14
+
+
+def test_the_smallest_long_is_an_id(spark):
+    text = " ".join(fixtures.WORDS)
+    rows = [(-(1 << 63), text), (5, text), (7, "other words than these here"), (None, text)]
+    out = sorted(((r.doc_id is None, r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert out == sorted([(False, -(1 << 63), -(1 << 63)), (False, 5, -(1 << 63)), (False, 7, 7), (True, None, None)], key=str)
