@@ -7,15 +7,20 @@ Two deterministic machines count tokens without building them:
   at once, the maps are composed by a parallel prefix scan, and a second pass from the known start states annotates
   every transition. A document boundary is a symbol that resets the machine, so one scan serves a whole batch and
   a long text has no sequential tail.
-* The token machine reads the bytes of a pre-token. Its state is the last token of every prefix that can still end
-  a token; the transition on a byte emits the change of the number of tokens (a merge may take tokens back). Its
-  paths are compiled on demand, for pre-tokens not met before, in sorted order, so that shared prefixes are walked once.
+* The token machine reads the bytes of a pre-token. A state is the set of places from which a token could still run on: for each
+  the place in the vocabulary's trie, the last token before it and the tokens up to it. The transition on a byte emits the change
+  of the number of tokens (a merge may take tokens back). Transitions are compiled when they are first met, into a table
+  (state, byte) -> (state, emitted) that all pre-tokens of a batch read at once, a byte of each at a time. Pre-tokens longer than a
+  chunk are cut: each chunk starts from the state that its run-up gives, the chunks' maps are composed, and a chunk whose start
+  was not the end of the one before it runs again from there.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -31,8 +36,10 @@ from .shingles import C, mix, span_hashes
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
 #: Characters of a chunk of the scan.
 CHUNK = 128
-#: Pre-tokens whose count a worker remembers.
-REMEMBER = 600_000
+#: Pre-tokens whose count a worker remembers, and states of the token machine.
+REMEMBER, STATES_HELD = 600_000, 200_000
+#: Bytes of a chunk of a long pre-token.
+PIECE = 1024
 
 # States of the boundary machine: at a boundary; in letters, numbers, other marks; after a space that joins what
 # follows; in white space; with one or two characters of a contraction to come.
@@ -120,24 +127,184 @@ def marks(seen: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     return out.T.reshape(-1)[:n]
 
 
+class Table:
+    """Transitions (state, byte) -> (state, emitted) by open addressing, read for many at once."""
+
+    def __init__(self) -> None:
+        self.size, self.bits = 0, 14
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.to, self.emit = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int16)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the free slot where it would go."""
+        last = (1 << self.bits) - 1
+        at = (mix(keys.view(np.uint64)) & np.uint64(last)).astype(np.int64)
+        open_ = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & last
+            held = self.keys[at[open_]]
+            open_ = open_[(held != keys[open_]) & (held >= 0)]
+        return at
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 for keys that are not there."""
+        at = self._slots(keys)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, to: np.ndarray, emit: np.ndarray) -> None:
+        """Distinct keys that are not there yet."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            used = self.keys >= 0
+            old = self.keys[used], self.to[used], self.emit[used]
+            while 2 * (self.size + len(keys)) > 1 << self.bits:
+                self.bits += 1
+            self._empty()
+            self.size = 0
+            self._put(*old)
+        self._put(keys, to, emit)
+
+    def _put(self, keys: np.ndarray, to: np.ndarray, emit: np.ndarray) -> None:
+        self.size += len(keys)
+        while len(keys):
+            at = self._slots(keys)
+            _, first = np.unique(at, return_index=True)
+            self.keys[at[first]], self.to[at[first]], self.emit[at[first]] = keys[first], to[first], emit[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, to, emit = keys[rest], to[rest], emit[rest]
+
+
 class TokenMachine:
-    """Counts of byte-level BPE tokens of pre-tokens, by the last token of each prefix."""
+    """Counts of byte-level BPE tokens of pre-tokens by a transducer over bytes."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         value = {c: i for i, c in enumerate(byte_characters())}
         raw = lambda s: bytes(value[c] for c in s)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        specials = sorted((t["content"] for t in spec["added_tokens"]), key=lambda t: (-len(t), t))
+        #: Of special strings that overlap the first counts, of those that begin together the longest.
+        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         rank = {k: i for i, k in enumerate([*byte_characters(), *(a + b for a, b in spec["model"]["merges"])])}
         if len(rank) != 256 + len(spec["model"]["merges"]):
             raise ValueError("a token comes from two merges")
         # Tokens are numbered by merge order here, bytes first, whatever their ids are: only counts leave this class.
-        self.token = {raw(k): i for k, i in rank.items()}
         self.parts = {256 + i: (rank[a], rank[b]) for i, (a, b) in enumerate(spec["model"]["merges"])}
         self.merged = {pair: k for k, pair in self.parts.items()}
-        self.tails = {t[i:] for t in self.token for i in range(len(t))}
         self.pairs: dict[int, bool] = {}
+        # The trie of all tokens: (node, byte) -> node, the token that ends at a node, and whether one goes on from it.
+        self.child: dict[int, int] = {}
+        self.token, self.more = [-1], [True]
+        for text, number in rank.items():
+            node = 0
+            for byte in raw(text):
+                self.more[node] = True
+                following = self.child.setdefault(node << 8 | byte, len(self.token))
+                if following == len(self.token):
+                    self.token.append(-1)
+                    self.more.append(False)
+                node = following
+            self.token[node] = number
+        self.longest = max(map(len, rank))
+        self.none = len(rank)  # stands for the token before a pre-token
+        self._forget()
+
+    def _forget(self) -> None:
+        self.states: list[bytes] = []
+        self.number: dict[bytes, int] = {}
+        self.table = Table()
+        self._state([self._place(0, self.none, 0)])
+
+    @staticmethod
+    def _place(node: int, left: int, total: int) -> int:
+        """A place from which a token could run on: trie node, token before it, tokens up to it less those up to here."""
+        return (node << 20 | left) << 20 | total + (1 << 19)
+
+    def _state(self, places: list[int]) -> int:
+        key = array("q", places).tobytes()
+        found = self.number.get(key)
+        if found is None:
+            found = self.number[key] = len(self.states)
+            self.states.append(key)
+        return found
+
+    def _compile(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition of one state, whose places are ordered from the earliest: the first token that fits is the longest, as in BPE."""
+        last = emitted = None
+        going = []
+        mask = (1 << 20) - 1
+        for place in array("q", self.states[state]):
+            left, total = place >> 20 & mask, (place & mask) - (1 << 19)
+            node = self.child.get(place >> 40 << 8 | byte)
+            if node is None:
+                continue
+            token = self.token[node]
+            if last is None and token >= 0 and (left == self.none or self.adjacent(left, token)):
+                last, emitted = token, total + 1
+            if self.more[node]:
+                going.append((node, left, total))
+        if last is None:
+            raise AssertionError("a byte without a token")
+        return self._state([*(self._place(node, left, total - emitted) for node, left, total in going), self._place(0, last, 0)]), emitted
+
+    def _step(self, states: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = states.astype(np.int64) << 8 | data
+        at = self.table.find(keys)
+        if (at < 0).any():
+            fresh = np.unique(keys[at < 0])
+            made = [self._compile(k >> 8, k & 255) for k in fresh.tolist()]
+            self.table.add(fresh, np.array([m[0] for m in made], np.int32), np.array([m[1] for m in made], np.int16))
+            at = self.table.find(keys)
+        return self.table.to[at], self.table.emit[at]
+
+    def run(self, data: np.ndarray, begins: np.ndarray, stops: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(end state, tokens emitted) of spans of bytes, a byte of every span at a time."""
+        order = np.argsort(begins - stops, kind="stable")
+        at, left, state = begins[order], (stops - begins)[order], states[order].astype(np.int32)
+        total = np.zeros(len(at), np.int64)
+        alive = len(at)
+        for k in range(int(left[0]) if len(left) else 0):
+            while left[alive - 1] <= k:
+                alive -= 1
+            state[:alive], emitted = self._step(state[:alive], data[at[:alive] + k])
+            total[:alive] += emitted
+        ends, counts = np.empty_like(state), np.empty_like(total)
+        ends[order], counts[order] = state, total
+        return ends, counts
+
+    def _pieces(self, data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Tokens of spans that are longer than a chunk: maps of their chunks, each for the state that its run-up gives, composed."""
+        n = -(-(stops - begins) // PIECE)
+        owner = np.repeat(np.arange(len(n)), n)
+        low = begins[owner] + PIECE * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n))
+        high = np.minimum(low + PIECE, stops[owner])
+        head = np.concatenate([[True], owner[1:] != owner[:-1]])
+        start, _ = self.run(data, np.where(head, low, np.maximum(low - 2 * self.longest, begins[owner])), low, np.zeros(len(low), np.int32))
+        end, count = self.run(data, low, high, start)
+        while True:
+            wrong = np.flatnonzero(~head & (start != np.concatenate([[0], end[:-1]])))
+            if not len(wrong):
+                return np.bincount(owner, weights=count, minlength=len(n)).astype(np.int64)
+            start[wrong] = end[wrong - 1]
+            end[wrong], count[wrong] = self.run(data, low[wrong], high[wrong], start[wrong])
+
+    def counts(self, words: list[bytes]) -> list[int]:
+        """Tokens of each pre-token."""
+        if len(self.states) > STATES_HELD:
+            self._forget()
+        if len(self.pairs) > 2_000_000:
+            self.pairs.clear()
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        begins = np.concatenate([[0], stops[:-1]])
+        long = stops - begins > 2 * PIECE
+        out = np.zeros(len(words), np.int64)
+        out[~long] = self.run(data, begins[~long], stops[~long], np.zeros(int((~long).sum()), np.int32))[1]
+        if long.any():
+            out[long] = self._pieces(data, begins[long], stops[long])
+        return out.tolist()
 
     def adjacent(self, left: int, right: int) -> bool:
         """Whether BPE can leave ``left`` beside ``right``: no merge across their border comes before the merges that made them."""
@@ -172,45 +339,6 @@ class TokenMachine:
                         return True
                     left = parts[left][1]
 
-    def counts(self, words: list[bytes]) -> list[int]:
-        """Tokens of each pre-token."""
-        order = sorted(range(len(words)), key=words.__getitem__)
-        out = [0] * len(words)
-        last, total, before = [0], [0], b""
-        token, tails, adjacent = self.token, self.tails, self.adjacent
-        for k in order:
-            word = words[k]
-            n = len(word)
-            shared = 0
-            most = min(n, len(before))
-            while shared < most and word[shared] == before[shared]:
-                shared += 1
-            del last[shared + 1 :], total[shared + 1 :]
-            for end in range(shared + 1, n + 1):
-                # Tokens that end here, found from the shortest; the longest that fits what stands before it is right.
-                start = end - 1
-                piece = word[start:end]
-                found = []
-                while piece in tails:
-                    if piece in token:
-                        found.append((token[piece], start))
-                    if not start:
-                        break
-                    start -= 1
-                    piece = word[start:end]
-                for number, at in reversed(found):
-                    if not at or adjacent(last[at], number):
-                        last.append(number)
-                        total.append(total[at] + 1)
-                        break
-                else:
-                    raise AssertionError("a byte without a token")
-            before = word
-            out[k] = total[n]
-        if len(self.pairs) > 2_000_000:
-            self.pairs.clear()
-        return out
-
 
 class Counter:
     """Token counts of texts in batches; what a worker keeps between batches is bounded by REMEMBER."""
@@ -225,12 +353,8 @@ class Counter:
         """Tokens of each text, special tokens in it counting one each."""
         parts, owner, counts = [], [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
-            pieces = [text]
-            for special in self.machine.special:
-                if special in text:
-                    split = [p.split(special) for p in pieces]
-                    counts[k] += sum(len(p) - 1 for p in split)
-                    pieces = [x for p in split for x in p]
+            pieces = self.machine.special.split(text) if self.machine.special else [text]
+            counts[k] += len(pieces) - 1
             for piece in pieces:
                 if piece:
                     parts.append(piece)
@@ -276,7 +400,12 @@ def load(path: str, classes: bytes) -> Counter:
 
 
 def token_counts(df: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every whole text; a null text counts as empty: no bytes, no tokens."""
+    """(doc_id, n_bytes, n_tokens, over_limit) of every whole text; a null text counts as empty: no bytes, no tokens.
+
+    A special string of the vocabulary inside a text is one token, as the library's default has it. Equal texts and rows that repeat an
+    id get equal counts, a row each; null ids stay; columns other than doc_id and text are not read; an empty table gives no
+    rows. A very long text is one scan of chunks, and so is a very long run without a boundary.
+    """
     classes = packed_classes()
 
     def run(batches):
