@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, shuffle_partitions, table
+from .common import documents_of, shuffle_partitions, stage_table, table
 
 #: Shards of a rack and racks of a region in the query's tree.
 SHARDS_PER_RACK, RACKS_PER_REGION = 4, 3
@@ -65,8 +65,11 @@ def shard(df: DataFrame, id_col: str, shards: int = 24, grow: int = 1, weights:
     """``carry`` columns with id, shard, grown_shard (with ``grow`` more shards) and slot, gapless from 0 in each shard.
 
     The id alone decides the shard (law ``key``), so equal texts may part and repeated ids stay together; a null id is
-    a key of its own. Slots follow chunks of a hash of the id, numbered within each chunk, so no task holds a whole
-    shard: only the chunk counts, a few for each shuffle partition, are summed along a shard.
+    a key of its own. Slots follow chunks of a hash of the row and of the task that read it, numbered within each chunk, so no task holds a whole
+    shard, nor all copies of a row: only the chunk counts, a few for each shuffle partition, are summed along a shard. The placed rows
+    are written first, so that a slot never depends on a second reading. A column of ``carry`` must not be named shard,
+    grown_shard, chunk, k, before or slot; others are not read; an empty table gives no rows. The cost is a draw a shard
+    and row: a shared draw for each inner node would move rows into shards whose weights stay.
     """
     if shards < 1:
         raise ValueError("at least one shard")
@@ -77,8 +80,9 @@ def shard(df: DataFrame, id_col: str, shards: int = 24, grow: int = 1, weights:
         *[F.col(c) for c in carry or []],
         place(key, tree(shards, weights)).cast("int").alias("shard"),
         place(key, tree(shards + grow, weights)).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit("slot"), *[F.col(c) for c in carry or []]), F.lit(chunks)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64(key, F.spark_partition_id(), *[F.col(c) for c in carry or []]), F.lit(chunks)).cast("int").alias("chunk"),
     )
+    placed, _ = stage_table(placed, "shards")
     numbered = placed.withColumn("k", F.row_number().over(Window.partitionBy("shard", "chunk").orderBy(id_col, *(carry or []))))
     counts = placed.groupBy("shard", "chunk").count()
     offsets = counts.select("shard", "chunk", (F.sum("count").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("count")).alias("before"))

@@ -37,3 +37,21 @@ def test_edge_rows(spark):
     assert len(rows) == df.count() and len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
     assert len({r["shard"] for r in rows if r["doc_id"] == 10}) == 1
     assert sharding.shard(fixtures.empty(spark), "doc_id", 3).collect() == []
+
+
+def test_copies_of_one_row_are_dealt_to_several_chunks(spark):
+    one = spark.range(1000, numPartitions=8).selectExpr("cast(7 as long) as doc_id", "'t' as text")
+    got = sharding.shard(one, "doc_id", 3).collect()
+    assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(1000))
+
+
+def test_shards_are_those_of_a_plain_rendezvous(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    weights = {s: 1.0 + s % 3 for s in range(30)}
+    rows = spark.range(500).select(F.col("id").cast("string").alias("k")).select("k", *[F.shiftrightunsigned(F.xxhash64("k", F.lit(s)), 12).alias(f"h{s}") for s in weights]).collect()
+    want = {r["k"]: min(weights, key=lambda s: -math.log((r[f"h{s}"] + 0.5) / 2**52) / weights[s]) for r in rows}
+    got = spark.range(500).select(F.col("id").cast("string").alias("k")).select("k", sharding.place(F.col("k"), sharding.tree(30, weights)).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in got} == want
