@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,10 @@ from .common import documents_of, id_crc, map_texts, slices, table
 from .ngrams import Batch
 
 ORDERS, BITS, ALPHA = (1, 2, 3), 16, 0.1
-#: Counts travel in slices of so many buckets.
-SLICE = 4096
+#: Counts travel in slices of so many buckets, added up in so many groups of tasks before they meet.
+SLICE, TASK_GROUPS = 4096, 512
+#: Labels that a model may have; each costs some MB in every task and at the driver.
+MOST_LABELS = 200
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -39,9 +42,15 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """(label, its posterior). Texts that are null or have no letter are UNKNOWN with score 0."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(label, its posterior, gain): the gain is the mean log probability of an n-gram under the label, less that of a
+        bucket drawn evenly. The posterior only compares labels; a text unlike all of them has a gain below zero, whatever its length.
+        """
         known = np.fromiter((bool(t) and LETTER.search(t) is not None for t in texts), bool, len(texts))
         if not self.labels:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         batch = Batch([(t or "").lower() for t in texts])
         total = np.tile(self.prior, (batch.size, 1))
         for k, n in enumerate(ORDERS):
@@ -51,15 +60,25 @@ class Model:
                 values = rows[:, j][bucket]
                 values[~inside] = 0
                 total[:, j] += batch.sums(values)
+        best = total.argmax(axis=1)
+        at = np.arange(batch.size)
+        grams = sum(np.maximum(batch.ends - batch.starts - n + 1, 0) for n in ORDERS)
+        gain = (total[at, best] - self.prior[best]) / np.maximum(grams, 1) + BITS * np.log(2)
         total -= total.max(axis=1, keepdims=True)
         odds = np.exp(total)
-        best = total.argmax(axis=1)
-        score = odds[np.arange(batch.size), best] / odds.sum(axis=1)
-        return [self.labels[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)], np.where(known, score, 0.0)
+        score = odds[at, best] / odds.sum(axis=1)
+        return [self.labels[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)], np.where(known, score, 0.0), gain
 
 
 def fit(df: DataFrame, text_col: str, label_col: str) -> Model:
-    """Counts over all rows with text and label. Each task adds up its own rows; what leaves it has a size set by labels and buckets."""
+    """Counts over all rows with text and label. Each task adds up its own rows; what leaves it has a size set by labels and buckets.
+
+    The tasks' sums are added up in two steps, so that a unit of work holds TASK_GROUPS of them, or a TASK_GROUPS-th part, however many tasks
+    there are. More than MOST_LABELS labels are an error: the matrix grows with them. No rows give a model without labels.
+    """
+    named = df.filter(F.col(label_col).isNotNull()).select(label_col).distinct().limit(MOST_LABELS + 1).count()
+    if named > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     rows = df.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,18 +93,21 @@ def fit(df: DataFrame, text_col: str, label_col: str) -> Model:
                 for k, name in enumerate(names):
                     sums[name] = sums[name] + found[k] if name in sums else found[k]
                     docs[name] = docs.get(name, 0) + int((codes == k).sum())
+        context = TaskContext.get()
+        group = context.partitionId() % TASK_GROUPS if context else 0
         for name, counts in sums.items():
             pieces = [counts[i : i + SLICE].tobytes() for i in range(0, len(counts), SLICE)]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(pieces)), pa.array(range(len(pieces)), pa.int32()), pa.array([docs[name] if not i else 0 for i in range(len(pieces))], pa.int64()), pa.array(pieces, pa.binary())], names=["label", "part", "docs", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(pieces)), pa.array([group] * len(pieces), pa.int32()), pa.array(range(len(pieces)), pa.int32()), pa.array([docs[name] if not i else 0 for i in range(len(pieces))], pa.int64()), pa.array(pieces, pa.binary())], names=["label", "tasks", "part", "docs", "counts"])
 
     def add(key, group):
         total = np.zeros(SLICE, np.int64)
         for blob in group["counts"]:
             total += np.frombuffer(blob.as_py(), np.int64)
-        return pa.table({"label": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int32()), "docs": pa.array([sum(group["docs"].to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"label": [key[0].as_py()], "part": pa.array([key[-1].as_py()], pa.int32()), "docs": pa.array([sum(group["docs"].to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     schema = "label string, part int, docs long, counts binary"
-    counted = rows.mapInArrow(count, schema).groupBy("label", "part").applyInArrow(add, schema).collect()
+    some = rows.mapInArrow(count, "label string, tasks int, part int, docs long, counts binary").groupBy("label", "tasks", "part").applyInArrow(add, schema)
+    counted = some.groupBy("label", "part").applyInArrow(add, schema).collect()
     labels = sorted({r["label"] for r in counted})
     counts = np.zeros((len(ORDERS) << BITS, len(labels)))
     docs = np.zeros(len(labels))
@@ -101,7 +123,12 @@ def fit(df: DataFrame, text_col: str, label_col: str) -> Model:
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text. The matrix, some MB whatever the corpus, is broadcast."""
+    """(doc_id, lang_pred, score) of every whole text. The matrix, some MB whatever the corpus, is broadcast.
+
+    A null or empty text, or one without a letter, is UNKNOWN with score 0, as is every text under a model without labels.
+    Of equal posteriors the first label by name wins. Equal texts and rows that repeat an id are judged alike, a row each; null
+    ids stay; other columns are not read, so none can clash; an empty table gives no rows. Long texts are read whole, in slices.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(ids, texts):

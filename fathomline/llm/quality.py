@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_of, id_crc, map_texts, slices, table
+from .common import delete_path, documents_of, id_crc, map_texts, slices, stage_table, table
 from .ngrams import Batch
 
 ORDERS, BITS, DIM = (2, 3, 4), 16, 8
 #: Labelled rows that the model is fitted on at most: those with the smallest hash of doc_id.
 SAMPLE = 4000
+#: Bytes of features that the model is fitted on at most; in the same order, a row that would go beyond is left out.
+FEATURE_BYTES = 64 << 20
 EPOCHS, RATE, SEED = 6, 0.4, 17
 THRESHOLD = 0.3
 
@@ -100,7 +102,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
 
 
 def fit(df: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
-    """Fitted on all rows given, whose number the caller bounds; features are counted on the executors."""
+    """Fitted on the rows given, whose number the caller bounds; features are counted on the executors, FEATURE_BYTES of them reach the driver.
+
+    Rows whose label is null or neither 0 nor 1 teach nothing; a null or empty text has no features; rows that repeat an id and a label count once.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,13 +119,26 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
     found = rows.mapInArrow(extract, "id long, label int, buckets binary, counts binary")
     # A repeated id counts once; so the number of rows is that of the ids.
-    got = found.groupBy("id", "label").agg(F.min(F.struct("buckets", "counts")).alias("f")).select("id", "label", "f.*").collect()
-    examples = sorted((r["id"] if r["id"] is not None else -1, r["label"], bytes(r["buckets"]), bytes(r["counts"])) for r in got)
+    once, path = stage_table(found.groupBy("id", "label").agg(F.min(F.struct("buckets", "counts")).alias("f")).select("id", "label", "f.*"), "quality-features")
+    sizes = once.select(F.xxhash64("id").alias("h"), "id", "label", (2 * F.octet_length("buckets")).alias("bytes")).collect()
+    chosen, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["h"], r["id"] or 0, r["label"])):
+        if total + r["bytes"] <= FEATURE_BYTES:
+            total += r["bytes"]
+            chosen.append((r["id"], r["label"]))
+    if len(chosen) < len(sizes):
+        once = once.join(F.broadcast(df.sparkSession.createDataFrame(chosen, "id long, label int")), ["id", "label"])
+    examples = sorted((r["id"] if r["id"] is not None else -1, r["label"], bytes(r["buckets"]), bytes(r["counts"])) for r in once.collect())
+    delete_path(df.sparkSession, path)
     return train([(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4"), label) for _, label, b, c in examples])
 
 
 def rate(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every whole text; the weights, 2 MB, are broadcast."""
+    """(doc_id, score) of every whole text; the weights, 2 MB, are broadcast.
+
+    A null or empty text gets what the bias alone gives. Equal texts and rows that repeat an id are scored alike, a row each; null ids
+    stay; other columns are not read, so none can clash; an empty table gives no rows. Long texts are read whole, in slices.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(ids, texts):

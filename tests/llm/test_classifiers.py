@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from fathomline.llm import language, ngrams, quality
 
@@ -91,3 +92,64 @@ def test_quality_edge_rows(spark, tmp_path):
     spark.createDataFrame([(10, 1, 0), (11, 0, 1), (None, 1, 1), (3, None, 0), (10, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = quality.op8_quality(spark, str(tmp_path)).collect()
     assert len(rows) == len(fixtures.rows()) and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_sums_in_groups_of_tasks(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    one = language.fit(docs.coalesce(1), "text", "lang")
+    monkeypatch.setattr(language, "TASK_GROUPS", 3)
+    many = language.fit(docs.repartition(11), "text", "lang")
+    assert one.labels == many.labels and (one.weights == many.weights).all() and (one.prior == many.prior).all()
+    monkeypatch.setattr(language, "MOST_LABELS", 1)
+    with pytest.raises(ValueError):
+        language.fit(docs, "text", "lang")
+
+
+def test_quality_features_are_bounded(spark, monkeypatch):
+    texts = ["good " + " ".join(f"w{i}{j}" for j in range(i % 7 + 1)) for i in range(40)] + ["bad " + "x".join(str(j) for j in range(3000))] * 2
+    rows = [(i, t, i % 2) for i, t in enumerate(texts)]
+    seen = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda found: seen.append(sum(8 * len(b) for b, _, _ in found)) or train(found))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    whole = quality.fit(df, "doc_id", "text", "quality")
+    monkeypatch.setattr(quality, "FEATURE_BYTES", 20_000)
+    quality.fit(df, "doc_id", "text", "quality")
+    assert seen[0] > 20_000 >= seen[1] > 0 and np.isfinite(whole.bias)
+
+
+def test_quality_on_empty_tables(spark, tmp_path):
+    fixtures.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert quality.op8_quality(spark, str(tmp_path)).collect() == []
+
+
+def test_training_equals_a_plain_version(monkeypatch):
+    """The same steps written out bucket by bucket."""
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    rows = [(*quality.features(t), y) for t, y in (("good text here", 1), ("bad bad", 0), ("", 1), ("good bad", 0))]
+    got = quality.train(rows)
+    draw = np.random.default_rng(quality.SEED)
+    start = draw.uniform(-1 / quality.DIM, 1 / quality.DIM, (quality.SIZE, quality.DIM)).astype(np.float32)
+    vectors = {}
+    out, bias = [[0.0] * quality.DIM for _ in range(2)], [0.0, 0.0]
+    step = 0
+    for _ in range(2):
+        for i in draw.permutation(len(rows)):
+            buckets, counts, label = rows[i]
+            rate = quality.RATE * (1 - step / (2 * len(rows)))
+            step += 1
+            own = [vectors.setdefault(int(b), [float(x) for x in start[b]]) for b in buckets]
+            mean = [sum(c * v[k] for c, v in zip(counts, own, strict=True)) / max(1, sum(counts)) for k in range(quality.DIM)]
+            logit = [sum(o * m for o, m in zip(out[y], mean, strict=True)) + bias[y] for y in range(2)]
+            e = [math.exp(z - max(logit)) for z in logit]
+            p = [x / sum(e) - (y == label) for y, x in enumerate(e)]
+            down = [p[0] * out[0][k] + p[1] * out[1][k] for k in range(quality.DIM)]
+            for y in range(2):
+                out[y] = [o - rate * p[y] * m for o, m in zip(out[y], mean, strict=True)]
+                bias[y] -= 0.1 * rate * p[y]
+            for b, v in zip(buckets, own, strict=True):
+                vectors[int(b)] = [x - rate * g for x, g in zip(v, down, strict=True)]
+    for b, v in vectors.items():
+        assert abs(got.weights[b] - sum(x * (out[1][k] - out[0][k]) for k, x in enumerate(v))) < 1e-4
+    assert abs(got.bias - (bias[1] - bias[0])) < 1e-4
