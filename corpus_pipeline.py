@@ -39,26 +39,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: null texts, texts without a letter and unsure predictions go."""
+    """Documents with a language: null and empty texts, texts without a letter, unsure predictions and texts unlike every learned language go, each row by its own whole text."""
     model = spark.sparkContext.broadcast(language.trained(docs))
 
     def keep(texts):
-        labels, scores = model.value.predict(texts)
-        return (np.array(labels) != language.UNKNOWN) & (scores >= SURE)
+        labels, scores, gains = model.value.judge(texts)
+        return (np.array(labels) != language.UNKNOWN) & (scores >= SURE) & (gains > 0)
 
     return _filtered(docs, keep)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each component of the Jaccard join; of rows that repeat an id one stays. Null ids stay."""
+    """One document, that with the smallest doc_id, of each component of the Jaccard join. Null ids stay, as do null, empty and wordless texts, which link with nothing.
+
+    Of rows that repeat an id the one stays whose text, and then whose row, has the smallest hash. Long texts are compared whole.
+    """
     groups, _ = stage_table(jaccard_components(docs, WORDS, PERCENT), "pipeline-groups")
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     # One plan at every size, as in the join itself.
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():
-        kept = kept.filter("doc_id is null").union(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept.select(docs.columns)
+    repeated, _ = stage_table(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    # Only the rows of repeated ids are compared with each other, by an aggregate that is combined before its shuffle.
+    order = F.struct(F.xxhash64("text").alias("t"), F.xxhash64(*docs.columns).alias("r"), F.struct(*docs.columns).alias("row"))
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(order).alias("m")).select("m.row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(one.select(docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

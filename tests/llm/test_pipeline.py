@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 from collections import defaultdict
 
@@ -6,7 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fathomline.llm import language, packing, quality
+from fathomline.llm import language, ngrams, packing, quality
 
 from . import fixtures
 from .test_jaccard import brute
@@ -24,7 +26,19 @@ def test_stages_against_a_plain_version(spark, small, tmp_path):
     first = corpus_pipeline.quality_stage(spark, docs, where)
     assert first.columns == columns and {r.doc_id for r in first.collect()} == set(rows)
     speaks = language.trained(first)
-    rows = {d: t for d, t in rows.items() if speaks.predict([t])[0][0] != "und"}
+
+    def likely(text):
+        """Mean log probability of an n-gram under the predicted language, n-gram by n-gram, against an even draw of buckets."""
+        label, score = (x[0] for x in speaks.predict([text]))
+        if label == "und" or score < corpus_pipeline.SURE:
+            return False
+        batch, found = ngrams.Batch([text.lower()]), []
+        for k, n in enumerate(language.ORDERS):
+            bucket, inside = batch.grams(n, language.BITS)
+            found += [speaks.weights[(k << language.BITS) + int(b), speaks.labels.index(label)] for b in bucket[inside]]
+        return sum(found) / len(found) > math.log(1 / (1 << language.BITS))
+
+    rows = {d: t for d, t in rows.items() if likely(t)}
     second = corpus_pipeline.language_stage(spark, first, where)
     assert second.columns == columns and {r.doc_id for r in second.collect()} == set(rows)
     kept = {d for d, _, c in brute(sorted(rows.items()), 5, 80) if d == c}
@@ -49,3 +63,20 @@ def test_repeated_ids_and_nulls(spark, tmp_path):
     kept = corpus_pipeline.jaccard_stage(spark, docs, str(tmp_path))
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and ids.count(10) == 1 and 11 not in ids and None in ids
+
+
+def test_texts_unlike_every_language_go(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    draw = random.Random(3)
+    foreign = ["".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(n)) for n in (30, 3000)] + ["".join(draw.choice("qxzjkvwþ§ß") for _ in range(400))]
+    extra = spark.createDataFrame([(10**9 + i, t, "en", "s", len(t)) for i, t in enumerate(foreign)], docs.schema)
+    model = language.trained(docs)
+    assert all(g <= 0 for g in model.judge(foreign)[2])
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs.union(extra), small).collect()}
+    assert not any(10**9 + i in kept for i in range(2)) and len(kept) >= 0.98 * docs.count()
+
+
+def test_empty_tables(spark, small, tmp_path):
+    spark.read.parquet(f"{small}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{small}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
