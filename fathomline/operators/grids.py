@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .solvers import matrix
+
 
 def over_blocks(df: DataFrame, keys: list[str], row: str, samples: str, fn: Callable[[np.ndarray], np.ndarray], size: int, margin: int, out: str) -> DataFrame:
     """(keys, row, out): ``fn`` of each block of ``size`` rows of a key, numbered by ``row``, with ``margin`` rows of its neighbours.
@@ -25,14 +27,18 @@ def over_blocks(df: DataFrame, keys: list[str], row: str, samples: str, fn: Call
     blocks = F.array_distinct(F.array(own, F.floor((F.col(row) - margin) / size), F.floor((F.col(row) + margin) / size)))
     spread = df.select(*keys, row, F.col(samples).cast("array<double>").alias("_s"), F.explode(blocks).alias("_b")).filter("_b >= 0")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row)
-        made = fn(np.stack([np.asarray(v, float) for v in pdf["_s"]]))
-        mine = (pdf[row] // size == pdf["_b"]).to_numpy()
-        return pd.DataFrame({**{k: pdf[k][mine] for k in keys}, row: pdf[row][mine], out: pd.Series([v.tolist() for v in made[mine]], index=pdf.index[mine], dtype=object)})
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by(row)
+        made = np.ascontiguousarray(fn(matrix(block["_s"])), np.float64)
+        place = block[row].to_numpy()
+        mine = np.flatnonzero(place // size == block["_b"].to_numpy())
+        part = block.take(pa.array(mine))
+        offsets = np.arange(len(mine) + 1, dtype=np.int32) * made.shape[1]
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made[mine].ravel()))
+        return part.select([*keys, row]).append_column(out, lists)
 
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{row} {kinds[row]}", f"{out} array<double>"])
-    return spread.groupBy(*keys, "_b").applyInPandas(run, schema)
+    return spread.groupBy(*keys, "_b").applyInArrow(run, schema)
 
 
 def _shifted(x: np.ndarray, rows: int, samples: int) -> np.ndarray:

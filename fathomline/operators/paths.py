@@ -6,19 +6,21 @@ which are bounded, and run in parallel. Components of link tables run as joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def l1_viterbi(df: DataFrame, keys: list[str], order: str, scores: str, states: int, slope: float) -> DataFrame:
     """(keys, best): the best path's score through rows of ``states`` scores, a step between states i and j costing slope * |i - j|.
 
-    The step is a distance transform: a forward and a backward running maximum, linear in the states.
+    A fold over a key's rows in order; each step looks at all pairs of states.
     """
     rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(scores).alias("s")))).alias("_rows"))
 
     def transform(prev: Column) -> Column:
-        # max_j prev[j] - slope * |i - j|, as two sweeps of a running maximum over the states.
+        # max_j prev[j] - slope * |i - j|
         index = F.sequence(F.lit(0), F.lit(states - 1))
         return F.transform(index, lambda i: F.array_max(F.transform(index, lambda j: F.get(prev, j) - F.lit(slope) * F.abs(i - j))))
 
@@ -51,29 +53,33 @@ def bottleneck(df: DataFrame, keys: list[str], order: str, weight: str, seed: st
     return both.select(*keys, F.posexplode("_v").alias("_i", out), "_r").select(*keys, F.get("_r", F.col("_i"))["o"].alias(order), out)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the symmetric closure of (a, b), component the smallest node reachable.
 
     Each round takes the smallest label of the neighbours and then of the label's own label, so paths shrink
-    fast; checkpoints in the session's shared folder cut the lineage.
+    fast; rounds go on until no label changes. Checkpoints in the folder of ``spark.checkpoint.dir`` cut the lineage.
     """
-    spark = edges.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fathomline-"))
+    shared_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("l")).withColumnRenamed("a", "node").checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("l").alias("m"))
         joined = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("l", "m").alias("l"), F.col("l").alias("old"))
         up = joined.select(F.col("node").alias("p"), F.col("l").alias("pl"))
         following = joined.join(up, F.col("l") == F.col("p"), "left").select("node", F.least("l", F.coalesce("pl", "l")).alias("l"), "old").checkpoint()
-        changed = not following.filter("l <> old").isEmpty()
         labels = following.select("node", "l")
-        if not changed:
-            break
-    return labels.select("node", F.col("l").alias("component"))
+        if following.filter("l <> old").isEmpty():
+            return labels.select("node", F.col("l").alias("component"))
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """See that checkpoints have a folder: that of ``spark.checkpoint.dir``, a temporary one for a local master, an error on a cluster without one."""
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="fathomline-"))
 
 
 def banded_dtw(a: Column, b: Column, n: int, band: int) -> Column:

@@ -1,7 +1,7 @@
 """Sequential solvers on one group's arrays, in numpy; roads, blocks or brackets run in parallel through applyInArrow.
 
-Every solver takes plain arrays, so it can be tested by enumeration, and ``grouped`` runs one over a table. Groups are bounded: a
-road is cut into blocks before.
+Every solver takes plain arrays, so it can be tested by enumeration, and ``grouped`` runs one over a table. A group is a road, whose
+rows one unit of work holds.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 NEVER = -1e18
 
@@ -46,24 +48,45 @@ def second_order_path(scores: np.ndarray, slope: float, curve: float, fixed: dic
 
 
 def best_paths(scores: np.ndarray, slope: float, count: int, apart: int = 0) -> list[tuple[list[int], float]]:
-    """The ``count`` best first-order paths, best first, ties by the path itself; with ``apart`` a path within that many states of a kept one everywhere is skipped."""
+    """The ``count`` best first-order paths, best first, each more than ``apart`` states from every better one in some row.
+
+    Exact: beside its state a path carries which of the better ones it has left already, and only paths that have left all
+    count. With ``apart`` 0 these are the best different paths. Of equal ones the lowest states from the end on win.
+    """
     n, m = scores.shape
-    keep = max(1, count) * (1 if not apart else 8)
-    table = [[(float(scores[0, j]), (j,))] for j in range(m)]
-    for row in range(1, n):
-        following = []
-        for j in range(m):
-            rows = [(v - slope * abs(p[-1] - j) + float(scores[row, j]), (*p, j)) for cell in table for v, p in cell]
-            rows.sort(key=lambda x: (-x[0], x[1]))
-            following.append(rows[:keep])
-        table = following
-    ranked = sorted((x for cell in table for x in cell), key=lambda x: (-x[0], x[1]))
+    index = np.arange(m)
+    move = -slope * np.abs(index[:, None] - index[None, :])
     out: list[tuple[list[int], float]] = []
-    for value, path in ranked:
-        if len(out) == count:
+    for _ in range(count):
+        masks = 1 << len(out)
+        kept = np.array([p for p, _ in out]).reshape(len(out), n)
+        # The set of better paths that each state of a row leaves.
+        left = [np.array([sum((abs(j - int(kept[k, row])) > apart) << k for k in range(len(out))) for j in range(m)], int) for row in range(n)]
+        best = np.full((masks, m), NEVER)
+        best[left[0], index] = scores[0]
+        back = []
+        for row in range(1, n):
+            reached = best[:, :, None] + move[None]  # mask, from, to
+            choice = reached.argmax(axis=1)
+            value = reached.max(axis=1)
+            following, origin = np.full((masks, m), NEVER), np.zeros((masks, m, 2), int)
+            for mask in range(masks):
+                target = mask | left[row]
+                better = value[mask] + scores[row] > following[target, index]
+                at = index[better]
+                following[target[better], at] = value[mask][better] + scores[row][better]
+                origin[target[better], at, 0], origin[target[better], at, 1] = mask, choice[mask][better]
+            best = following
+            back.append(origin)
+        last = int(best[masks - 1].argmax())
+        total = float(best[masks - 1, last])
+        if total <= NEVER / 2:
             break
-        if not apart or all(max(abs(a - b) for a, b in zip(path, kept, strict=True)) > apart for kept, _ in out):
-            out.append((list(path), value))
+        path, mask, state = [last], masks - 1, last
+        for origin in reversed(back):
+            mask, state = (int(x) for x in origin[mask, state])
+            path.append(state)
+        out.append((path[::-1], total))
     return out
 
 
@@ -127,26 +150,24 @@ def layered_beam(scores: list[np.ndarray], slope: float, between: int, beam: int
             out = out[: beam * 4]
         return out[:beam]
 
-    table = [(v, c, None) for v, c in combinations(0)]
-    history = [table]
-    for row in range(1, n):
-        states = np.array([t[1] for t in table])
-        values = np.array([t[0] for t in table])
-        following = []
-        for v, c in combinations(row):
-            total = values - slope * np.abs(states - np.array(c)).sum(axis=1)
-            k = int(total.argmax())
-            following.append((float(total[k]) + v, c, k))
-        following.sort(key=lambda x: (-x[0], x[1]))
-        table = following[:beam]
-        history.append(table)
-    if not table:
+    first = combinations(0)
+    if not first:
         return np.zeros((0, layers), int), NEVER
-    k, value, path = 0, table[0][0], []
-    for level in reversed(history):
-        path.append(level[k][1])
-        k = level[k][2] if level[k][2] is not None else 0
-    return np.array(path[::-1]), value
+    states, values, history = np.array([c for _, c in first]), np.array([v for v, _ in first]), []
+    for row in range(1, n):
+        own = combinations(row)
+        here = np.array([c for _, c in own])
+        total = values[None, :] - slope * np.abs(states[None, :, :] - here[:, None, :]).sum(axis=2)
+        origin = total.argmax(axis=1)
+        reached = total.max(axis=1) + np.array([v for v, _ in own])
+        order = np.lexsort((*here.T[::-1], -reached))[:beam]
+        history.append((states, origin[order]))
+        states, values = here[order], reached[order]
+    k, path = 0, [states[0]]
+    for before, origin in reversed(history):
+        k = int(origin[k])
+        path.append(before[k])
+    return np.array(path[::-1]), float(values[0])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -164,13 +185,24 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, ste
     return beta[:-1], float(beta[-1])
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column of one length as a matrix."""
+    rows = column.combine_chunks()
+    return np.asarray(rows.flatten(), np.float64).reshape(len(rows), -1)
+
+
 def grouped(df: DataFrame, keys: list[str], order: str, values: str, solve: Callable[[np.ndarray], list[dict]], schema: str) -> DataFrame:
     """``solve`` over each key's matrix of ``values`` rows in order: its dicts become rows with the keys."""
-    rows = df.select(*keys, order, values)
+    return by_road(df.select(*keys, order, values), keys, order, lambda road: solve(matrix(road[values])), schema)
+
+
+def by_road(df: DataFrame, keys: list[str], order: str, solve: Callable[[pa.Table], list[dict]], schema: str) -> DataFrame:
+    """``solve`` over each key's rows in order, as an Arrow table: its dicts become rows with the keys. A key's rows, a road, are one unit of work."""
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out = solve(np.stack([np.asarray(v, float) for v in pdf[values]]))
-        return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | r for r in out])
+    def run(road: pa.Table) -> pa.Table:
+        road = road.sort_by(order)
+        own = {k: road[k][0].as_py() for k in keys}
+        return pa.Table.from_pylist([own | r for r in solve(road)], schema=target)
 
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    return df.groupBy(*keys).applyInArrow(run, schema)

@@ -95,19 +95,10 @@ def layer_sequence_check(spark, d):
 
 @register(
     "case_metrics",
-    """WITH r AS (SELECT o_orderpriority AS layer, CASE WHEN o_orderkey % 3 = 0 THEN 'seed' ELSE 'blind' END AS kind, abs(o_totalprice / 1000 - 150) AS err FROM orders WHERE o_orderkey % 100 > 10) SELECT layer, kind, count(*) AS n, round(avg(CASE WHEN err <= 50 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, round(avg(err), 6) AS mae, round(quantile_cont(err, 0.9), 6) AS p90, concat_ws(';', CASE WHEN count(*) < 30 THEN 'too_few' END, CASE WHEN avg(CASE WHEN err <= 50 THEN 1.0 ELSE 0.0 END) < 0.3 THEN 'low_pass_rate' END) AS reasons FROM r GROUP BY 1, 2""",
+    """WITH r AS (SELECT o_orderpriority AS layer, CASE WHEN o_orderkey % 3 = 0 THEN 'seed' ELSE 'blind' END AS kind, abs(o_totalprice / 1000 - 150) AS err FROM orders) SELECT layer, kind, count(*) AS n, round(avg(CASE WHEN err <= 50 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, round(avg(err), 6) AS mae, round(quantile_cont(err, 0.9), 6) AS p90, concat_ws(';', CASE WHEN count(*) < 30 THEN 'too_few' END, CASE WHEN avg(CASE WHEN err <= 50 THEN 1.0 ELSE 0.0 END) < 0.3 THEN 'low_pass_rate' END) AS reasons FROM r GROUP BY 1, 2""",
 )
 def case_metrics(spark, d):
-    return _case_metrics(read(spark, d, "orders").filter("o_orderkey % 100 > 10"))
-
-
-@register("case_metrics_whole")
-def case_metrics_whole(spark, d):
-    """``case_metrics`` over all orders; the SQL, of a part, doesn't apply."""
-    return _case_metrics(read(spark, d, "orders"))
-
-
-def _case_metrics(orders):
+    orders = read(spark, d, "orders")
     r = orders.select(F.col("o_orderpriority").alias("layer"), F.when(F.col("o_orderkey") % 3 == 0, "seed").otherwise("blind").alias("kind"), F.abs(F.col("o_totalprice") / 1000 - 150).alias("err"))
     passed = F.avg(F.when(F.col("err") <= 50, 1.0).otherwise(0.0))
     g = r.groupBy("layer", "kind").agg(F.count("*").alias("n"), passed.alias("p"), F.avg("err").alias("mae"), F.percentile("err", F.lit(0.9)).alias("p90"))

@@ -76,20 +76,11 @@ def promotion_gate(spark, d):
 
 @register(
     "macro_vs_pooled_rollup",
-    f"""{SQL_SCORED}, r AS (SELECT layer, road, count(*) FILTER (WHERE score >= 0.9) AS a, count(*) FILTER (WHERE score >= 0.9 AND correct) AS c, count(*) AS n FROM s WHERE road < 5 GROUP BY 1, 2)
+    f"""{SQL_SCORED}, r AS (SELECT layer, road, count(*) FILTER (WHERE score >= 0.9) AS a, count(*) FILTER (WHERE score >= 0.9 AND correct) AS c, count(*) AS n FROM s GROUP BY 1, 2)
     SELECT layer, CAST(sum(n) AS BIGINT) AS n, round(sum(c) / nullif(sum(a), 0), 6) AS pooled, round(avg(c / nullif(a, 0)), 6) AS macro, round(min(c / nullif(a, 0)), 6) AS worst_road FROM r GROUP BY 1""",
 )
 def macro_vs_pooled_rollup(spark, d):
-    return _rollup(scored(spark, d).filter("road < 5"))
-
-
-@register("macro_vs_pooled_rollup_whole")
-def macro_vs_pooled_rollup_whole(spark, d):
-    """``macro_vs_pooled_rollup`` over all roads; the SQL, of five, doesn't apply."""
-    return _rollup(scored(spark, d))
-
-
-def _rollup(rows):
+    rows = scored(spark, d)
     take = F.col("score") >= 0.9
     r = rows.groupBy("layer", "road").agg(F.count_if(take).alias("a"), F.count_if(take & F.col("correct")).alias("c"), F.count("*").alias("n"))
     own = ev.rate(F.col("c"), F.col("a"))

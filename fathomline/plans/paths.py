@@ -13,18 +13,12 @@ from .windows import cells
 
 @register(
     "viterbi_l1_score",
-    """WITH RECURSIVE r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings),
-    v AS (SELECT label, n, s AS best FROM r WHERE n = 1 UNION ALL SELECT r.label, r.n, list_transform(range(1, 9), lambda i: list_max(list_transform(range(1, 9), lambda j: v.best[j] - 0.05 * abs(i - j))) + r.s[i]) FROM v JOIN r ON r.label = v.label AND r.n = v.n + 1)
+    """WITH RECURSIVE r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings),
+    v AS (SELECT label, n, s AS best FROM r WHERE n = 1 UNION ALL SELECT r.label, r.n, list_transform(range(1, 65), lambda i: list_max(list_transform(range(1, 65), lambda j: v.best[j] - 0.05 * abs(i - j))) + r.s[i]) FROM v JOIN r ON r.label = v.label AND r.n = v.n + 1)
     SELECT label, round(list_max(best), 6) AS best FROM v WHERE (label, n) IN (SELECT label, max(n) FROM r GROUP BY 1)""",
 )
 def viterbi_l1_score(spark, d):
-    rows = read(spark, d, "embeddings").select("label", "vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("s"))
-    return paths.l1_viterbi(rows, ["label"], "vec_id", "s", 8, 0.05).select("label", F.round("best", 6).alias("best"))
-
-
-@register("viterbi_l1_score_whole")
-def viterbi_l1_score_whole(spark, d):
-    """``viterbi_l1_score`` over all 64 samples; the SQL, of 8, doesn't apply."""
+    """The best path's score through all samples of a road's traces."""
     rows = read(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("s"))
     return paths.l1_viterbi(rows, ["label"], "vec_id", "s", 64, 0.05).select("label", F.round("best", 6).alias("best"))
 
@@ -41,46 +35,34 @@ def bottleneck_support(spark, d):
 
 @register(
     "connected_components_roads",
-    """WITH RECURSIVE e AS (SELECT o_custkey AS a, 1000000 + o_orderkey % 700 AS b FROM orders WHERE o_orderkey % 5 = 0), n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x AS node, x AS root FROM n UNION SELECT n.y, r.root FROM r JOIN n ON n.x = r.node WHERE r.root < n.y)
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + o_orderkey % 700 AS b FROM orders), n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x AS node, x AS root FROM n UNION SELECT n.y, r.root FROM r JOIN n ON n.x = r.node WHERE r.root < n.y)
     SELECT node, min(root) AS component FROM r GROUP BY 1""",
 )
 def connected_components_roads(spark, d):
     """Roads that share a file, grouped before they are split into folds."""
-    return paths.components(_shared_files(spark, d).filter("o_orderkey % 5 = 0"))
-
+    return paths.components(read(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 700 + 1000000).alias("b")))
 
-def _shared_files(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 700 + 1000000).alias("b"))
 
-
-@register("connected_components_roads_whole")
-def connected_components_roads_whole(spark, d):
-    """``connected_components_roads`` over all orders; the SQL, of a fifth, doesn't apply."""
-    return paths.components(_shared_files(spark, d))
+#: Costs of aligning arrays s and t of 64 within a band of 2, an antidiagonal at a time.
+SQL_DTW = """g AS (SELECT vec_id, 0 AS k, CAST(NULL AS DOUBLE[]) AS before, CAST(NULL AS DOUBLE[]) AS last FROM p
+    UNION ALL SELECT g.vec_id, k + 1, last, list_transform(range(1, 65), lambda i: CASE WHEN k + 2 - i BETWEEN 1 AND 64 AND abs(i - (k + 2 - i)) <= 2 THEN (p.s[i] - p.t[k + 2 - i]) ** 2 + CASE WHEN k = 0 THEN 0 ELSE least(coalesce(CASE WHEN i > 1 THEN last[i - 1] END, 1e18), coalesce(last[i], 1e18), coalesce(CASE WHEN i > 1 THEN before[i - 1] END, 1e18)) END ELSE 1e18 END) FROM g JOIN p ON p.vec_id = g.vec_id WHERE k < 127)"""
 
 
 @register(
     "constrained_dtw_pairs",
-    """WITH RECURSIVE p AS (SELECT a.vec_id, list_transform(a.embedding[1:12], lambda x: CAST(x AS DOUBLE)) AS s, list_transform(b.embedding[1:12], lambda x: CAST(x AS DOUBLE)) AS t FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 10 = 0),
-    g AS (SELECT p.vec_id, i, j, (s[i] - t[j]) ** 2 AS c FROM p, (SELECT unnest(range(1, 13)) AS i), (SELECT unnest(range(1, 13)) AS j) WHERE abs(i - j) <= 2),
-    w AS (SELECT vec_id, 0 AS k, CAST(NULL AS DOUBLE[]) AS before, CAST(NULL AS DOUBLE[]) AS last FROM p
-    UNION ALL SELECT w.vec_id, k + 1, last, list_transform(range(1, 13), lambda i: CASE WHEN k + 2 - i BETWEEN 1 AND 12 AND abs(i - (k + 2 - i)) <= 2 THEN (p.s[i] - p.t[k + 2 - i]) ** 2 + CASE WHEN k = 0 THEN 0 ELSE least(coalesce(CASE WHEN i > 1 THEN last[i - 1] END, 1e18), coalesce(last[i], 1e18), coalesce(CASE WHEN i > 1 THEN before[i - 1] END, 1e18)) END ELSE 1e18 END) FROM w JOIN p ON p.vec_id = w.vec_id WHERE k < 23)
-    SELECT vec_id, round(last[12], 6) AS cost, round(exp(-last[12]), 6) AS agreement FROM w WHERE k = 23""",
+    f"""WITH RECURSIVE p AS (SELECT a.vec_id, list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)) AS s, list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)) AS t FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), {SQL_DTW}
+    SELECT vec_id, round(last[64], 6) AS cost, round(exp(-last[64] / 64), 6) AS agreement FROM g WHERE k = 127""",
 )
 def constrained_dtw_pairs(spark, d):
-    emb = read(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 12).alias("s"))
-    pairs = emb.filter("vec_id % 10 = 0").join(emb.select((F.col("vec_id") - 1).alias("vec_id"), F.col("s").alias("t")), "vec_id")
-    cost = paths.banded_dtw(F.col("s"), F.col("t"), 12, 2)
-    return pairs.select("vec_id", cost.alias("c")).select("vec_id", F.round("c", 6).alias("cost"), F.round(F.exp(-F.col("c")), 6).alias("agreement"))
+    """The cost of aligning every two neighbouring traces, whole, within a band."""
+    pairs = _neighbours(spark, d)
+    cost = paths.banded_dtw(F.col("s"), F.col("t"), 64, 2)
+    return pairs.select("vec_id", cost.alias("c")).select("vec_id", F.round("c", 6).alias("cost"), F.round(F.exp(-F.col("c") / 64), 6).alias("agreement"))
 
 
-@register("constrained_dtw_pairs_whole")
-def constrained_dtw_pairs_whole(spark, d):
-    """``constrained_dtw_pairs`` over all neighbouring traces and all 64 samples; the SQL, of a part, doesn't apply."""
+def _neighbours(spark, d):
     emb = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("s"))
-    pairs = emb.join(emb.select((F.col("vec_id") - 1).alias("vec_id"), F.col("s").alias("t")), "vec_id")
-    cost = paths.banded_dtw(F.col("s"), F.col("t"), 64, 2)
-    return pairs.select("vec_id", cost.alias("c")).select("vec_id", F.round("c", 6).alias("cost"), F.round(F.exp(-F.col("c")), 6).alias("agreement"))
+    return emb.join(emb.select((F.col("vec_id") - 1).alias("vec_id"), F.col("s").alias("t")), "vec_id")
 
 
 @register(

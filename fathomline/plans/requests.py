@@ -59,20 +59,11 @@ def stationary_competitors(spark, d):
 @register(
     "blended_seed_scores",
     f"""WITH {SQL_CELLS}, r AS (SELECT *, row_number() OVER (PARTITION BY label, k ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label, k) AS n FROM cell), s AS (SELECT label, k, max(v) FILTER (WHERE i = 0) AS first, max(v) FILTER (WHERE i = n - 1) AS last FROM r GROUP BY 1, 2)
-    SELECT r.vec_id, r.k, round(CASE WHEN first * last < 0 THEN greatest(v * first, v * last) ELSE (1 - i / greatest(n - 1, 1)) * v * first + i / greatest(n - 1, 1) * v * last END, 8) AS score FROM r JOIN s ON r.label = s.label AND r.k = s.k WHERE r.k < 8""",
+    SELECT r.vec_id, r.k, round(CASE WHEN first * last < 0 THEN greatest(v * first, v * last) ELSE (1 - i / greatest(n - 1, 1)) * v * first + i / greatest(n - 1, 1) * v * last END, 8) AS score FROM r JOIN s ON r.label = s.label AND r.k = s.k""",
 )
 def blended_seed_scores(spark, d):
     """Scores against the seeds at both ends blended by distance; the larger where the seeds' polarity differs."""
-    return _blended(cells(spark, d).filter("k < 8"))
-
-
-@register("blended_seed_scores_whole")
-def blended_seed_scores_whole(spark, d):
-    """``blended_seed_scores`` over all 64 samples; the SQL, of 8, doesn't apply."""
-    return _blended(cells(spark, d))
-
-
-def _blended(near):
+    near = cells(spark, d)
     numbered = selection.numbered(near.select("label", "vec_id").distinct(), ["label"], "vec_id", "i")
     size = numbered.groupBy("label").agg(F.count("*").alias("n"))
     rows = near.join(numbered, ["label", "vec_id"]).join(size, "label")

@@ -10,12 +10,6 @@ from .registry import register
 from .tables import read
 
 
-def _blocks(spark, d, rows=12, states=8):
-    """(label, block, vec_id, s): the traces of a road in blocks of so many."""
-    emb = read(spark, d, "embeddings").select("label", "vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, states).alias("s"))
-    return selection.numbered(emb, ["label"], "vec_id", "n").withColumn("block", F.floor(F.col("n") / rows).cast("int")).drop("n")
-
-
 def _roads(spark, d):
     """(label, vec_id, s): whole traces. A road is solved in one run."""
     return read(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("s"))
@@ -35,7 +29,7 @@ def k_best_paths(spark, d):
     def solve(scores):
         return [{"rank": k + 1, "path": p, "score": v} for k, (p, v) in enumerate(solvers.best_paths(scores, 0.05, 3, 1))]
 
-    return solvers.grouped(_blocks(spark, d), ["label", "block"], "vec_id", "s", solve, "label int, block int, rank int, path array<int>, score double")
+    return solvers.grouped(_roads(spark, d), ["label"], "vec_id", "s", solve, "label int, rank int, path array<int>, score double")
 
 
 @register("interval_min_marginals")
@@ -63,7 +57,7 @@ def layered_beam_paths(spark, d):
         path, value = solvers.layered_beam([scores, scores[:, ::-1]], 0.05, 1, 64)
         return [{"upper": path[:, 0].tolist(), "lower": path[:, 1].tolist(), "score": value}]
 
-    return solvers.grouped(_blocks(spark, d), ["label", "block"], "vec_id", "s", solve, "label int, block int, upper array<int>, lower array<int>, score double")
+    return solvers.grouped(_roads(spark, d), ["label"], "vec_id", "s", solve, "label int, upper array<int>, lower array<int>, score double")
 
 
 def _grid(spark, d, fn, margin, out):

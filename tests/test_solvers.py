@@ -84,3 +84,17 @@ def test_grid_transforms():
     assert back[0].argmax() == 10 and back[0].argmin() == 40
     c = grids.packet_correlation(made, w)
     assert c[0].argmax() == 12 and np.isclose(c[0].max(), 1)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_diverse_paths_by_enumeration(seed):
+    s = np.random.default_rng(seed).standard_normal((5, 4))
+    value = lambda p: s[np.arange(5), p].sum() - 0.2 * np.abs(np.diff(p)).sum()
+    kept = []
+    for p in sorted(all_paths(5, 4), key=value, reverse=True):
+        if all(np.abs(p - q).max() > 1 for q in kept):
+            kept.append(p)
+        if len(kept) == 4:
+            break
+    got = solvers.best_paths(s, 0.2, 4, 1)
+    assert np.allclose([v for _, v in got], [value(p) for p in kept]) and all(np.isclose(value(np.array(p)), v) for p, v in got)

@@ -1,4 +1,4 @@
-"""Queries over whole tables, beside those that are compared with SQL of a part, against plain loops."""
+"""Queries over whole tables against plain loops."""
 
 from collections import defaultdict
 
@@ -23,14 +23,14 @@ def test_components_of_all_orders(spark, small):
     for r in spark.read.parquet(f"{small}/orders.parquet").select("o_custkey", "o_orderkey").collect():
         a, b = find(r.o_custkey), find(1000000 + r.o_orderkey % 700)
         parent[max(a, b)] = min(a, b)
-    assert {(r.node, r.component) for r in QUERIES["connected_components_roads_whole"](spark, small).collect()} == {(x, find(x)) for x in parent}
+    assert {(r.node, r.component) for r in QUERIES["connected_components_roads"](spark, small).collect()} == {(x, find(x)) for x in parent}
 
 
 def test_case_metrics_count_all_orders(spark, small):
     errors = defaultdict(list)
     for r in spark.read.parquet(f"{small}/orders.parquet").collect():
         errors[r.o_orderpriority, "seed" if r.o_orderkey % 3 == 0 else "blind"].append(abs(float(r.o_totalprice) / 1000 - 150))
-    got = {(r.layer, r.kind): r for r in QUERIES["case_metrics_whole"](spark, small).collect()}
+    got = {(r.layer, r.kind): r for r in QUERIES["case_metrics"](spark, small).collect()}
     assert set(got) == set(errors)
     assert all(got[k].n == len(e) and abs(got[k].mae - sum(e) / len(e)) < 1e-5 and abs(got[k].pass_rate - sum(x <= 50 for x in e) / len(e)) < 1e-5 for k, e in errors.items())
 
@@ -42,7 +42,7 @@ def test_rollup_of_all_roads(spark, small):
         if r.score is not None and r.score >= 0.9:
             taken[r.layer, r.road] += 1
             right[r.layer, r.road] += bool(r.correct)
-    for r in QUERIES["macro_vs_pooled_rollup_whole"](spark, small).collect():
+    for r in QUERIES["macro_vs_pooled_rollup"](spark, small).collect():
         rates = [right[k] / taken[k] for k in taken if k[0] == r.layer]
         assert r.n == n[r.layer] and abs(r.worst_road - min(rates)) < 1e-5 and abs(r.macro - sum(rates) / len(rates)) < 1e-5
 
@@ -75,10 +75,10 @@ def test_all_samples_count(spark, small):
         for _, v in rows[1:]:
             acc = (acc[:, None] - step).max(axis=0) + v
         best[label] = acc.max()
-    got = {r.label: r.best for r in QUERIES["viterbi_l1_score_whole"](spark, small).collect()}
+    got = {r.label: r.best for r in QUERIES["viterbi_l1_score"](spark, small).collect()}
     assert set(got) == set(best) and all(abs(got[k] - best[k]) < 1e-4 for k in best)
-    assert QUERIES["blended_seed_scores_whole"](spark, small).count() == 64 * len(traces)
-    pairs = {r.vec_id: r.cost for r in QUERIES["constrained_dtw_pairs_whole"](spark, small).collect()}
+    assert QUERIES["blended_seed_scores"](spark, small).count() == 64 * len(traces)
+    pairs = {r.vec_id: r.cost for r in QUERIES["constrained_dtw_pairs"](spark, small).collect()}
     assert set(pairs) == {i for i in traces if i + 1 in traces}
     for i in sorted(pairs)[:20]:
         w = np.full((65, 65), np.inf)
