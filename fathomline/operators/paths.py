@@ -6,11 +6,11 @@ which are bounded, and run in parallel. Components of link tables run as joins.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import shared_dir
+
 
 def l1_viterbi(df: DataFrame, keys: list[str], order: str, scores: str, states: int, slope: float) -> DataFrame:
     """(keys, best): the best path's score through rows of ``states`` scores, a step between states i and j costing slope * |i - j|.
@@ -59,7 +59,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label of the neighbours and then of the label's own label, so paths shrink
     fast; rounds go on until no label changes. Checkpoints in the folder of ``spark.checkpoint.dir`` cut the lineage.
     """
-    shared_checkpoints(edges.sparkSession)
+    context = edges.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(edges.sparkSession))
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("l")).withColumnRenamed("a", "node").checkpoint()
     while True:
@@ -72,16 +74,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("l").alias("component"))
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """See that checkpoints have a folder: that of ``spark.checkpoint.dir``, a temporary one for a local master, an error on a cluster without one."""
-    context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
-        return
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="fathomline-"))
-
-
 def banded_dtw(a: Column, b: Column, n: int, band: int) -> Column:
     """Cost of aligning two arrays of n values by steps (1, 1), (1, 0), (0, 1) within a band, squared differences: a fold over rows."""
     big = F.lit(1e18)

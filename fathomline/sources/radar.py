@@ -6,10 +6,13 @@ channel and sample. Fields by byte offset are in HEADER.
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -80,15 +83,66 @@ def _arrow(fields: list[str]) -> pa.Schema:
     return pa.schema([("path", pa.string()), ("sha256", pa.string()), ("length", pa.int64()), *[(n, kinds[t]) for n, t in (f.split(" ") for f in fields)]])
 
 
+def encode_header(fields: dict) -> bytes:
+    """A header of one unit with the given fields, others zero."""
+    head = bytearray(UNIT)
+    for name, value in ({"tag": 255, "data_field": 1, "channels": 1} | fields).items():
+        at, code = HEADER[name]
+        struct.pack_into("<" + code, head, at, value)
+    return bytes(head)
+
+
+WRITTEN = "file string, traces long, length long, sha256 string"
+
+
+def write_traces(df: DataFrame, key: str, order: str, samples: str, folder: str, bits: int = 32, fields: dict | None = None) -> DataFrame:
+    """Write a trace file ``<key>.dzt`` for each ``key`` below ``folder`` and return (file, traces, length, sha256) of each.
+
+    ``samples`` holds whole numbers, an array of one length a road. A road is one unit of work. The frame must be used once for
+    the files to be written; a unit that runs again writes the same bytes, in place of the old ones when they are complete.
+    """
+    kind, zero = SAMPLE[bits]
+
+    def run(road: pa.Table) -> pa.Table:
+        road = road.sort_by(order)
+        rows = road[samples].combine_chunks()
+        cube = (np.asarray(rows.flatten(), np.int64) + zero).astype(kind).reshape(len(rows), -1)
+        data = encode_header({"samples": cube.shape[1], "bits": bits} | (fields or {})) + cube.tobytes()
+        system, path = pa.fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        target, part = f"{path}/{road[key][0].as_py()}.dzt", f"{path}/.{uuid.uuid4().hex}"
+        with system.open_output_stream(part) as f:
+            f.write(data)
+        system.move(part, target)
+        return pa.table({"file": [target.rpartition("/")[2]], "traces": pa.array([len(cube)], pa.int64()), "length": pa.array([len(data)], pa.int64()), "sha256": [hashlib.sha256(data).hexdigest()]})
+
+    return df.select(key, order, samples).groupBy(key).applyInArrow(run, WRITTEN)
+
+
+def write_bytes(df: DataFrame, folder: str) -> DataFrame:
+    """Write each row of (file, content) as a file below ``folder``; returns (file, length). The frame must be used once."""
+
+    def run(batches):
+        system, path = pa.fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_output_stream(f"{path}/{name}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64())], names=["file", "length"])
+
+    return df.select("file", "content").mapInArrow(run, "file string, length long")
+
+
 class _Chunk(InputPartition):
-    def __init__(self, start: int, stop: int):
-        self.start, self.stop = start, stop
+    def __init__(self, path: str, start: int, stop: int):
+        self.path, self.start, self.stop = path, start, stop
 
 
 class TraceSource(DataSource):
-    """``spark.read.format("traces").option("path", ...)``: (trace, channel, samples) with options start, stop and channel.
+    """``spark.read.format("traces").option("path", ...)``: (file, trace, channel, samples) of a trace file, or of all in a folder, with options start, stop and channel.
 
-    The path must be reachable by every executor as a file, as on a shared mount; ``headers`` reads any store.
+    Files are read through Arrow's file systems, so the path may be a URI of any that it knows.
     """
 
     @classmethod
@@ -96,7 +150,7 @@ class TraceSource(DataSource):
         return "traces"
 
     def schema(self) -> str:
-        return "trace long, channel int, samples array<float>"
+        return "file string, trace long, channel int, samples array<float>"
 
     def reader(self, schema) -> DataSourceReader:
         return _TraceReader(self.options)
@@ -104,32 +158,45 @@ class TraceSource(DataSource):
 
 class _TraceReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"].removeprefix("file://")
-        with open(self.path, "rb") as f:
-            raw = f.read(UNIT)
-            f.seek(0, 2)
-            self.head = parse_header(raw, f.tell())
-        self.start = int(options.get("start", 0))
-        self.stop = min(int(options.get("stop", self.head["traces"])), self.head["traces"])
+        self.uri = options["path"]
+        self.start, self.stop = int(options.get("start", 0)), int(options["stop"]) if "stop" in options else None
         self.channel = int(options["channel"]) if "channel" in options else None
-        if self.start < 0 or self.channel is not None and not 0 <= self.channel < self.head["channels"]:
-            raise ValueError("no such trace or channel")
+        if self.start < 0:
+            raise ValueError("no such trace")
+
+    def _head(self, system, path: str) -> dict:
+        with system.open_input_file(path) as f:
+            head = parse_header(f.read(UNIT), f.size())
+        if self.channel is not None and not 0 <= self.channel < head["channels"]:
+            raise ValueError("no such channel")
+        return head
 
     def partitions(self) -> list[InputPartition]:
-        """One for each chunk of the asked range: traces outside it are never read."""
-        return [_Chunk(a, min(a + CHUNK, self.stop)) for a in range(self.start, self.stop, CHUNK)]
+        """One for each chunk of the asked range of each file: traces outside it are never read."""
+        system, path = pa.fs.FileSystem.from_uri(self.uri)
+        info = system.get_file_info(path)
+        files = sorted(x.path for x in system.get_file_info(pa.fs.FileSelector(path)) if x.path.endswith(".dzt")) if info.type == pa.fs.FileType.Directory else [path]
+        out = []
+        for name in files:
+            stop = min(self._head(system, name)["traces"], self.stop if self.stop is not None else 1 << 62)
+            out += [_Chunk(name, a, min(a + CHUNK, stop)) for a in range(self.start, stop, CHUNK)]
+        return out
 
     def read(self, partition):
-        head = self.head
+        system, _ = pa.fs.FileSystem.from_uri(self.uri)
+        head = self._head(system, partition.path)
         kind, zero = SAMPLE[head["bits"]]
         width = head["samples"] * head["channels"]
-        with open(self.path, "rb") as f:
-            f.seek(head["data_offset"] + partition.start * width * np.dtype(kind).itemsize)
-            data = np.fromfile(f, kind, (partition.stop - partition.start) * width)
+        size = np.dtype(kind).itemsize
+        with system.open_input_file(partition.path) as f:
+            f.seek(head["data_offset"] + partition.start * width * size)
+            data = np.frombuffer(f.read((partition.stop - partition.start) * width * size), kind)
         cube = (data.astype(np.float32) - zero).reshape(-1, head["channels"], head["samples"])
+        file = partition.path.rpartition("/")[2]
         for channel in range(head["channels"]) if self.channel is None else [self.channel]:
-            rows = cube[:, channel]
-            yield pa.RecordBatch.from_arrays([pa.array(range(partition.start, partition.stop), pa.int64()), pa.array([channel] * len(rows), pa.int32()), pa.array(rows.tolist(), pa.list_(pa.float32()))], names=["trace", "channel", "samples"])
+            rows = np.ascontiguousarray(cube[:, channel])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * head["samples"]), pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array(range(partition.start, partition.stop), pa.int64()), pa.array([channel] * len(rows), pa.int32()), lists], names=["file", "trace", "channel", "samples"])
 
 
 def register(spark: SparkSession) -> None:

@@ -20,7 +20,8 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    flat(df).write.option("header", True).mode("errorifexists").csv(path)
+    """CSV with a header; quotes inside a cell are doubled."""
+    flat(df).write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
 
 
 def manifest(df: DataFrame, columns: list[str]) -> Column:
@@ -39,3 +40,63 @@ def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], version: str) -
 def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows numbered from 1 within keys."""
     return df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def seed_conflicts(picks: DataFrame) -> DataFrame:
+    """(survey_id, layer, regime) in which visible model seeds name different lobes: another lobe or polarity than the first, or a phase three eighths away.
+
+    ``picks`` has survey_id, station_id, chainage_m, role, layer, regime, lobe, polarity, phase_class.
+    """
+    model = picks.filter("role <> 'correction' and visibility = 'visible'")
+    first = model.groupBy("survey_id", "layer", "regime").agg(F.min(F.struct("chainage_m", "station_id", "lobe", "polarity", "phase_class")).alias("f"))
+    off = F.abs(F.col("phase_class") - F.col("f.phase_class"))
+    unlike = (F.col("lobe") != F.col("f.lobe")) | (F.col("polarity") != F.col("f.polarity")) | (F.least(off, 8 - off) >= 3)
+    return model.join(first, ["survey_id", "layer", "regime"]).filter(unlike).select("survey_id", "layer", "regime").distinct()
+
+
+def seed_documents(picks: DataFrame) -> DataFrame:
+    """(survey_id, document): a seed file of version 4 for each survey without conflicts, stations by chainage."""
+    sound = picks.join(seed_conflicts(picks).select("survey_id").distinct(), "survey_id", "left_anti")
+    pick = F.struct(F.col("sample").cast("double").alias("sample_index"), "visibility", F.lit(True).alias("user_confirmed"))
+    stations = sound.groupBy("survey_id", "station_id", "chainage_m", "role").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("layer").cast("string").alias("k"), pick.alias("v"))))).alias("picks"))
+    listed = stations.groupBy("survey_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chainage_m", "station_id", "role", F.to_json("picks").alias("picks")))), lambda s: F.struct(s["station_id"].alias("station_id"), s["chainage_m"].alias("chainage_m"), s["role"].alias("role"), F.from_json(s["picks"], "map<string,struct<sample_index double, visibility string, user_confirmed boolean>>").alias("picks"))).alias("stations"))
+    return listed.select("survey_id", F.to_json(F.struct(F.lit(4).alias("schema_version"), "survey_id", "stations")).alias("document"))
+
+
+def checkpoint_documents(points: DataFrame) -> DataFrame:
+    """(survey_id, document): a blinded checkpoint file of version 1 for each survey; training on it is prohibited."""
+    rest = [c for c in points.columns if c != "survey_id"]
+    listed = points.groupBy("survey_id").agg(F.sort_array(F.collect_list(F.struct("checkpoint_id", *[c for c in rest if c != "checkpoint_id"]))).alias("checkpoints"))
+    return listed.select("survey_id", F.to_json(F.struct(F.lit(1).alias("schema_version"), "survey_id", F.lit("radar_only").alias("selection_source"), F.lit("prohibited").alias("training_use"), "checkpoints")).alias("document"))
+
+
+def annotations(clicks: DataFrame, surfaces: DataFrame, processed: bool) -> DataFrame:
+    """Annotation rows of confirmed clicks of current stations, in raw or processed coordinates; automatic picks never get here.
+
+    ``clicks`` has source_sha256, trace_index, layer_order, sample, visibility, role, user_confirmed, current, lobe, pulse; ``surfaces``
+    (source_sha256, trace_index, surface, reference). A raw sample is taken back from the flattened surface.
+    """
+    known = clicks.filter("user_confirmed and current").join(surfaces, ["source_sha256", "trace_index"])
+    seen = F.col("visibility") == "visible"
+    raw = F.lit(None).cast("double") if processed else F.when(seen, F.col("sample") - F.col("reference") + F.col("surface"))
+    columns = ["source_sha256", "trace_index", "layer_order", raw.alias("sample_raw"), "visibility", F.lit("true").alias("verified"), F.when(F.col("role") == "correction", "manual_correction").otherwise("manual").alias("origin"), F.lit("incompatible_processed_coordinates" if processed else "allowed").alias("training_use"), F.coalesce("lobe", F.lit("")).alias("selected_lobe"), F.coalesce("pulse", F.lit(7.0)).alias("pulse_width_samples")]
+    if processed:
+        columns += [F.lit("processed").alias("input_mode"), F.when(seen, F.col("sample").cast("double")).alias("sample_processed")]
+    return known.select(*columns)
+
+
+def write_package(folder: str, tables: dict[str, DataFrame], about: DataFrame) -> DataFrame:
+    """Write ``tables`` as CSV and ``about``, one row a run, as JSON below ``folder``; returns the manifest (name, rows), itself written as JSON.
+
+    Rows are counted where they are read back, so the manifest says what a reader gets.
+    """
+    spark = about.sparkSession
+    for name, df in tables.items():
+        write_csv(df, f"{folder}/{name}")
+    flat(about).write.mode("errorifexists").json(f"{folder}/about")
+    parts = [spark.read.option("header", True).csv(f"{folder}/{name}").agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name in sorted(tables)]
+    listed = parts[0]
+    for part in parts[1:]:
+        listed = listed.union(part)
+    listed.coalesce(1).write.mode("errorifexists").json(f"{folder}/manifest")
+    return spark.read.schema("name string, rows long").json(f"{folder}/manifest")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.physics import degrees, parsed_thickness
@@ -50,9 +52,9 @@ def design_schedule(spark: SparkSession, path: str) -> DataFrame:
 SEEDS = "schema_version int, survey_id string, layers map<string,string>, stations array<struct<station_id string, chainage_m double, role string, picks map<string,struct<sample_index double, visibility string, user_confirmed boolean>>>>"
 
 
-def seeds(spark: SparkSession, path: str) -> DataFrame:
-    """(survey_id, station_id, chainage_m, role, layer, sample, visibility) of confirmed seed files of version 4; other versions and broken rows fail the read."""
-    doc = spark.read.schema(SEEDS).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def seeds(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(survey_id, station_id, chainage_m, role, layer, sample, visibility) of confirmed seed files of version 4, with ``lines`` a document a line; other versions and broken rows fail the read."""
+    doc = spark.read.schema(SEEDS).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     rows = doc.select("schema_version", "survey_id", F.explode("stations").alias("s")).select("schema_version", "survey_id", "s.*").select("*", F.explode("picks").alias("layer", "p"))
     sound = (F.col("schema_version") == 4) & (F.col("chainage_m") >= 0) & (F.col("p.sample_index").isNull() | (F.col("p.sample_index") >= 0)) & F.col("p.user_confirmed")
     checked = rows.withColumn("_a", F.assert_true(F.coalesce(sound, F.lit(False)), F.lit("seed file of another version, or an unconfirmed or negative pick")))
@@ -73,3 +75,73 @@ def catalogue(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     others = files.filter("kind in ('dzg', 'dzx')").select("stem", "kind", "path")
     attached = others.groupBy("stem").agg(F.min(F.when(F.col("kind") == "dzg", F.col("path"))).alias("positions"), F.min(F.when(F.col("kind") == "dzx", F.col("path"))).alias("metadata"))
     return surveys.join(attached, "stem", "left"), others.join(surveys.select("stem"), "stem", "left_anti")
+
+
+CHECKPOINTS = "schema_version int, survey_id string, selection_source string, checkpoints array<struct<checkpoint_id string, layer_order int, chainage_m double, sample_index double, canonical_sample_index double, visibility string, user_confirmed boolean, selected_lobe string, event_family_id string, regime_id string, pulse_width_samples double, source string>>"
+
+
+def checkpoints(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(survey_id, checkpoint fields) of blinded checkpoint files of version 1; anything unconfirmed, repeated or out of range fails the read.
+
+    A missing canonical sample is the sample, a missing regime ``default``, a missing pulse 7.
+    """
+    doc = spark.read.schema(CHECKPOINTS).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+    ids = F.transform("checkpoints", lambda c: F.trim(c["checkpoint_id"]))
+    whole = (F.col("schema_version") == 1) & (F.col("selection_source") == "radar_only") & (F.trim("survey_id") != "") & (F.size("checkpoints") > 0) & (F.size(F.array_distinct(ids)) == F.size("checkpoints")) & ~F.exists(ids, lambda i: i.isNull() | (i == ""))
+    rows = doc.select("survey_id", F.coalesce(whole, F.lit(False)).alias("_w"), F.inline_outer("checkpoints"))
+    positive = lambda c, least: F.col(c).isNull() | (F.col(c) >= least) & (F.col(c) < float("inf"))
+    one = F.col("user_confirmed") & F.col("layer_order").between(1, 3) & (F.col("chainage_m") >= 0) & positive("sample_index", 0) & positive("canonical_sample_index", 0) & (F.col("pulse_width_samples").isNull() | (F.col("pulse_width_samples") > 0)) & ((F.coalesce("visibility", F.lit("visible")) != "visible") | F.col("sample_index").isNotNull()) & F.coalesce("visibility", F.lit("visible")).isin("visible", "uncertain", "not_visible", "absent")
+    checked = rows.withColumn("_a", F.assert_true(F.col("_w") & F.coalesce(one, F.lit(False)), F.lit("not a confirmed checkpoint file of version 1")))
+    return checked.filter("_a is null").select("survey_id", "checkpoint_id", "layer_order", "chainage_m", "sample_index", F.coalesce("canonical_sample_index", "sample_index").alias("canonical_sample_index"), F.coalesce("visibility", F.lit("visible")).alias("visibility"), "selected_lobe", "event_family_id", F.coalesce("regime_id", F.lit("default")).alias("regime_id"), F.coalesce("pulse_width_samples", F.lit(7.0)).alias("pulse_width_samples"), F.coalesce("source", F.lit("radar_only")).alias("source"))
+
+
+NATIVE = "schema string, mode string, dzt_sha256 string, observations map<string,array<struct<trace long, sample int, channel int>>>"
+
+
+def native_observations(documents: DataFrame, traces: DataFrame) -> DataFrame:
+    """(file, layer, trace, sample, polarity, phase_class, width, lobe) of native seed documents, checked against the traces that they name.
+
+    ``documents`` has (file, document, sha256), the file's own hash; ``traces`` (file, trace, channel, samples). A document of
+    another schema or file, an unknown layer, a place off the grid or a repeated row of a layer fails. The width is that of the lobe: the run of
+    one sign around the sample. The phase is that of the analytic signal, as one of eight classes.
+    """
+    read = documents.select("file", "sha256", F.from_json("document", NATIVE).alias("d"))
+    bound = (F.col("d.schema") == "conventional-native-seeds-v1") & (F.col("d.mode") == "processed") & (F.col("d.dzt_sha256") == F.col("sha256"))
+    checked = read.withColumn("_a", F.assert_true(F.coalesce(bound, F.lit(False)), F.lit("seeds of another schema or file"))).filter("_a is null")
+    points = checked.select("file", F.explode("d.observations").alias("layer", "p")).select("file", F.col("layer").try_cast("int").alias("layer"), F.inline("p"))
+    at = points.join(traces.select("file", "trace", F.col("channel").alias("_c"), F.col("samples").cast("array<double>").alias("x")).filter("_c = 0"), ["file", "trace"], "left")
+    once = F.count("*").over(Window.partitionBy("file", "layer", "trace"))
+    sound = F.col("layer").between(1, 3) & (F.col("channel") == 0) & F.col("x").isNotNull() & (F.col("sample") >= 0) & (F.col("sample") < F.size("x")) & (once == 1)
+    kept = at.withColumn("_ok", sound).withColumn("_a", F.assert_true(F.coalesce("_ok", F.lit(False)), F.lit("an observation off the grid or given twice"))).filter("_a is null")
+    sign = F.signum(F.get("x", F.col("sample")))
+    other = F.transform("x", lambda v, k: F.when(F.signum(v) != sign, k))
+    left = F.coalesce(F.array_max(F.filter(other, lambda k: k < F.col("sample"))), F.lit(-1))
+    right = F.coalesce(F.array_min(F.filter(other, lambda k: k > F.col("sample"))), F.size("x"))
+    return kept.select("file", "layer", "trace", "sample", sign.cast("int").alias("polarity"), phase_class(F.get("x", F.col("sample")), hilbert_at(F.col("x"), F.col("sample"))).alias("phase_class"), F.when(sign == 0, 1).otherwise(right - left - 1).cast("int").alias("width"), F.when(sign < 0, "negative_trough").otherwise("positive_peak").alias("lobe"))
+
+
+def hilbert_at(x: Column, at: Column) -> Column:
+    """The imaginary part of the analytic signal of an array of even length at one place: a sum over every second sample."""
+    n = F.size(x)
+    terms = F.transform(x, lambda v, k: F.when((at - k) % 2 != 0, v * (2 / n) / F.tan(F.lit(math.pi) * (at - k) / n)).otherwise(0.0))
+    return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+
+
+def phase_class(real: Column, imaginary: Column) -> Column:
+    """The eighth of the circle, from -pi on, in which a phase lies."""
+    return F.least(F.floor((F.atan2(imaginary, real) + math.pi) * 8 / (2 * math.pi)), F.lit(7)).cast("int")
+
+
+def support(given: DataFrame, reviewed: DataFrame, stride: int) -> DataFrame:
+    """(file, layer, row, sample): seeds of a file's layers on a grid of every ``stride``-th trace.
+
+    ``given`` and ``reviewed`` have (file, layer, trace, sample). Every seed must be exactly a reviewed observation and stand on the grid, no trace of a
+    layer may be given twice, and every reviewed layer must have seeds: nothing is snapped, anything else fails.
+    """
+    w = Window.partitionBy("file", "layer", "trace")
+    known = reviewed.select("file", "layer", "trace", "sample").distinct().withColumn("_known", F.lit(True))
+    # A layer without seeds stays as a row without a trace, which no observation equals.
+    asked = reviewed.select("file", "layer").distinct().join(given.select("file", "layer", "trace", "sample"), ["file", "layer"], "full")
+    checked = asked.join(known, ["file", "layer", "trace", "sample"], "left").withColumn("_n", F.count("*").over(w))
+    sound = F.coalesce("_known", F.lit(False)) & F.coalesce(F.col("trace") % stride == 0, F.lit(False)) & (F.col("_n") == 1)
+    return checked.withColumn("_a", F.assert_true(sound, F.lit("a seed is no reviewed observation on the grid, or a layer has none"))).filter("_a is null").select("file", "layer", F.expr(f"trace div {stride}").alias("row"), F.col("sample").cast("long").alias("sample"))

@@ -103,3 +103,67 @@ def test_streaming_replay(spark, tmp_path):
     assert sorted((r.k, r.d, r.actions) for r in spark.table("latest").collect()) == [("a", "y", 2), ("b", "z", 1)]
     batch = replay.latest_decisions(rows, ["k"], "ts", "d").select(F.col("k"), "d").collect()
     assert sorted(tuple(r) for r in batch) == [("a", "y"), ("b", "z")]
+
+
+def test_checkpoints_fail_on_anything_unsound(spark, tmp_path):
+    point = {"checkpoint_id": "a", "layer_order": 1, "chainage_m": 1.0, "sample_index": 4.0, "user_confirmed": True}
+    doc = {"schema_version": 1, "survey_id": "s", "selection_source": "radar_only", "checkpoints": [point, point | {"checkpoint_id": "b", "visibility": "absent", "sample_index": None}]}
+
+    def rows(change):
+        made = json.loads(json.dumps(doc))
+        change(made)
+        (tmp_path / "c.json").write_text(json.dumps(made, indent=1))
+        return survey.checkpoints(spark, f"{tmp_path}/c.json").collect()
+
+    assert sorted((r.checkpoint_id, r.canonical_sample_index, r.regime_id, r.pulse_width_samples) for r in rows(lambda m: None)) == [("a", 4.0, "default", 7.0), ("b", None, "default", 7.0)]
+    for change in (lambda m: m.update(schema_version=2), lambda m: m.update(survey_id=" "), lambda m: m.update(checkpoints=[]), lambda m: m["checkpoints"][1].update(checkpoint_id="a"), lambda m: m["checkpoints"][0].update(user_confirmed=False), lambda m: m["checkpoints"][0].update(sample_index=None), lambda m: m["checkpoints"][0].update(layer_order=4), lambda m: m["checkpoints"][0].update(pulse_width_samples=0.0)):
+        with pytest.raises(Exception, match="checkpoint file"):
+            assert rows(change)
+
+
+def test_native_observations_are_bound_to_their_file(spark):
+    x = np.sin(np.arange(16) / 2.0)
+    traces = spark.createDataFrame([("f", 0, 0, x.tolist()), ("f", 1, 0, (-x).tolist())], "file string, trace long, channel int, samples array<double>")
+
+    def rows(points, sha="h", layer="2"):
+        doc = json.dumps({"schema": "conventional-native-seeds-v1", "mode": "processed", "dzt_sha256": sha, "observations": {layer: points}})
+        return survey.native_observations(spark.createDataFrame([("f", doc, "h")], "file string, document string, sha256 string"), traces).collect()
+
+    point = {"trace": 0, "sample": 3, "channel": 0}
+    got = {r.trace: r for r in rows([point, point | {"trace": 1}])}
+    spectrum = np.fft.fft(x)
+    spectrum[1:8] *= 2
+    spectrum[9:] = 0
+    phase = np.angle(np.fft.ifft(spectrum)[3])
+    assert (got[0].polarity, got[1].polarity, got[0].width, got[0].lobe) == (1, -1, 6, "positive_peak") and got[0].phase_class == int((phase + np.pi) * 8 / (2 * np.pi))
+    for bad in ([point, point], [point | {"sample": 16}], [point | {"channel": 1}], [point | {"trace": 5}]):
+        with pytest.raises(Exception, match="off the grid"):
+            assert rows(bad)
+    with pytest.raises(Exception, match="another schema"):
+        assert rows([point], sha="other")
+    with pytest.raises(Exception, match="off the grid"):
+        assert rows([point], layer="7")
+
+
+def test_support_never_snaps(spark):
+    kind = "file string, layer int, trace long, sample long"
+    reviewed = spark.createDataFrame([("f", 1, 0, 5), ("f", 1, 4, 6), ("f", 1, 5, 6), ("f", 2, 0, 9)], kind)
+    rows = lambda given: sorted(tuple(r) for r in survey.support(spark.createDataFrame(given, kind), reviewed, 4).collect())
+    assert rows([("f", 1, 4, 6), ("f", 2, 0, 9)]) == [("f", 1, 1, 6), ("f", 2, 0, 9)]
+    for bad in ([("f", 1, 4, 6)], [("f", 1, 4, 7), ("f", 2, 0, 9)], [("f", 1, 5, 6), ("f", 2, 0, 9)], [("f", 1, 4, 6), ("f", 1, 4, 6), ("f", 2, 0, 9)], [("f", 1, 4, 6), ("f", 2, 0, 9), ("f", 3, 0, 9)]):
+        with pytest.raises(Exception, match="reviewed observation"):
+            assert rows(bad)
+
+
+def test_records_notice_changed_content(spark, tmp_path):
+    from fathomline.sources import cache
+
+    rows = spark.createDataFrame([("a", t, [0, 0, t + 1, 2, 3, 3]) for t in range(5)] + [("b", 0, [1, 2, 3, 4, 5, 6])], "record string, trace long, samples array<long>")
+    labels = spark.createDataFrame([("a", 1, 0, 3, 2), ("a", 1, 1, 3, 9), ("a", 1, 2, 0, 0), ("a", 1, 3, 2, 4), ("a", 1, 3, 3, 2), ("b", 1, 0, 3, 4), ("b", 2, 0, 2, 3), ("b", 1, 7, 0, 0)], "record string, layer int, trace long, sample long, amplitude long")
+    reasons = sorted((r.record, r.layer, r.trace, r["sample"], r.reason) for r in cache.label_reasons(labels, rows).collect())
+    assert reasons == [("a", 1, 0, 3, None), ("a", 1, 1, 3, "amplitude"), ("a", 1, 2, 0, "padding"), ("a", 1, 3, 2, "conflict"), ("a", 1, 3, 3, "conflict"), ("b", 1, 0, 3, "order"), ("b", 1, 7, 0, "off_grid"), ("b", 2, 0, 2, "order")]
+    manifest = {r.record: (r.traces, r.samples, r.labels) for r in cache.write_records(rows, labels, f"file://{tmp_path}/r").collect()}
+    assert manifest == {"a": (5, 6, 1), "b": (1, 6, 0)}
+    assert all(r.intact for r in cache.verified(spark, f"file://{tmp_path}/r").collect())
+    rows.limit(1).selectExpr("trace + 100 as trace", "cast(samples as array<float>) samples", "array(true) as valid").write.mode("append").parquet(f"{tmp_path}/r/traces/record=a")
+    assert {r.record: r.intact for r in cache.verified(spark, f"file://{tmp_path}/r").collect()} == {"a": False, "b": True}
