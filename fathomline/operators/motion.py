@@ -1,0 +1,228 @@
+"""Displacement of reflections from trace to trace, and registration of traces, in numpy on a road's image."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+import numpy as np
+
+from . import signal
+from .images import box, odd
+
+#: What a step that skips a sample on one side costs in registration, fixed value.
+STRETCH = 0.02
+
+
+def _moved(z: np.ndarray, by: int) -> np.ndarray:
+    """The value ``by`` samples deeper, zeros beyond the ends."""
+    out = np.zeros_like(z)
+    n = z.shape[1]
+    out[:, max(0, -by) : n - max(0, by)] = z[:, max(0, by) : n + min(0, by)]
+    return out
+
+
+def adjacent(x: np.ndarray, pulse: float) -> dict[str, dict[str, np.ndarray]]:
+    """For each direction, the shift of each sample in the next trace, how well it fits and by how much better than a different one.
+
+    The real part of the windowed correlation of analytic signals keeps phase and polarity. Shifts are a pulse at most, of
+    equal ones the smallest; the outermost pulse of a trace has none.
+    """
+    reach = max(2, int(np.ceil(pulse)))
+    size = 2 * reach + 1
+    z = signal.analytic(x)
+    shifts = np.array(sorted(range(-reach, reach + 1), key=lambda s: (abs(s), s)))
+    out = {}
+    for name, source, target, place in (("forward", z[:-1], z[1:], slice(0, len(x) - 1)), ("backward", z[1:], z[:-1], slice(1, len(x)))):
+        found = {k: np.zeros(x.shape) for k in ("shift", "support", "margin")}
+        if len(source):
+            own = box(np.abs(source) ** 2, size, 1, zeros=True)
+            scores = np.empty((len(shifts), *source.shape))
+            for k, s in enumerate(shifts):
+                other = _moved(target, int(s))
+                cross = box(np.conj(source) * other, size, 1, zeros=True).real
+                scores[k] = np.clip(cross / np.sqrt(np.maximum(own * box(np.abs(other) ** 2, size, 1, zeros=True), 1e-20)), -1, 1)
+            scores[:, :, :reach] = scores[:, :, -reach:] = -1
+            chosen = (scores - 1e-6 * np.abs(shifts)[:, None, None]).argmax(axis=0)
+            best = np.take_along_axis(scores, chosen[None], axis=0)[0]
+            unlike = np.abs(shifts[:, None, None] - shifts[chosen]) > max(1, reach // 3)
+            found["shift"][place] = shifts[chosen]
+            found["support"][place] = np.clip(best, 0, 1)
+            found["margin"][place] = np.maximum(best - np.where(unlike, scores, -1).max(axis=0), 0)
+        out[name] = found
+    return out
+
+
+def _joined(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The flow ``a``, which goes ``rows`` on, followed by ``b``: shifts add up, the worse quality holds; nothing where it leaves the image."""
+    shift, quality = a
+    i, j = np.indices(shift.shape)
+    at, deep = i + rows, j + shift
+    inside = (at >= 0) & (at < shift.shape[0]) & (deep >= 0) & (deep <= shift.shape[1] - 1)
+    place = np.clip(at, 0, shift.shape[0] - 1), np.clip(np.rint(deep).astype(int), 0, shift.shape[1] - 1)
+    return shift + b[0][place], np.where(inside, np.minimum(quality, b[1][place]), 0)
+
+
+def composed(motion: dict[str, dict[str, np.ndarray]], distances: Iterable[int], margin: float = 0.0) -> dict[int, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """(shift, quality) over several traces for each distance and direction, by doubling: log(distance) compositions a direction."""
+    wanted = sorted({int(d) for d in distances if d > 0})
+    out: dict[int, dict[str, tuple[np.ndarray, np.ndarray]]] = {d: {} for d in wanted}
+    for name, sign in (("forward", 1), ("backward", -1)):
+        quality = motion[name]["support"] * (motion[name]["margin"] >= margin)
+        if len(quality):
+            quality[-1 if sign > 0 else 0] = 0
+        powers = [(motion[name]["shift"], quality)]
+        while wanted and 2 ** len(powers) <= wanted[-1]:
+            powers.append(_joined(powers[-1], powers[-1], sign * 2 ** (len(powers) - 1)))
+        for d in wanted:
+            flow, gone = None, 0
+            for bit, power in enumerate(powers):
+                if d >> bit & 1:
+                    flow = power if flow is None else _joined(flow, power, sign * gone)
+                    gone += 1 << bit
+            shift, quality = flow
+            i, j = np.indices(shift.shape)
+            ends = (i + sign * d >= 0) & (i + sign * d < shift.shape[0]) & (j + shift >= 0) & (j + shift <= shift.shape[1] - 1)
+            out[d][name] = shift, np.where(ends, quality, 0)
+    return out
+
+
+def advected(samples: np.ndarray, first: int, last: int, flow: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of trace ``first`` carried to ``last`` along the flow of that direction, and the worst support on the way."""
+    at, worst = samples.astype(float), np.ones(len(samples))
+    for row in range(first, last, 1 if last > first else -1):
+        column = np.clip(np.rint(at).astype(int), 0, flow["shift"].shape[1] - 1)
+        worst = np.minimum(worst, flow["support"][row, column])
+        at = at + flow["shift"][row, column]
+    return at, worst
+
+
+def balanced(x: np.ndarray, pulse: float) -> np.ndarray:
+    """Samples over the local root mean square of two pulses, with a floor of a twentieth of the trace's."""
+    scale = np.maximum(np.sqrt(np.maximum(box(x.astype(float) ** 2, odd(2 * pulse, 3), 1), 0)), 0.05 * np.sqrt((x.astype(float) ** 2).mean(axis=1, keepdims=True)))
+    return np.divide(x, scale, out=np.zeros(x.shape), where=scale > 0)
+
+
+def register(a: np.ndarray, b: np.ndarray, band: int, pulse: float) -> tuple[np.ndarray, np.ndarray]:
+    """(map, agreement): for pairs of traces, the sample of ``b`` that each sample of ``a`` meets, and exp of minus half the local mean squared difference.
+
+    Whole traces are aligned within ``band`` by steps of one sample on both sides, or one here and two there at a price; so
+    several cycles never fall on one sample. Pairs are solved together, a row of all at a time.
+    """
+    pairs, n = a.shape
+    band = min(band, n - 1)
+    offsets = np.arange(-band, band + 1)
+    infinite = np.full((pairs, len(offsets)), np.inf)
+    last, before, last_error = infinite, infinite, infinite
+    move = np.zeros((n, pairs, len(offsets)), np.int8)
+    for i in range(n):
+        j = i + offsets
+        error = np.where((j >= 0) & (j < n), (a[:, i, None] - b[:, np.clip(j, 0, n - 1)]) ** 2, np.inf)
+        wide, deep = infinite.copy(), infinite.copy()
+        wide[:, 1:] = last[:, :-1] + error[:, :-1] + STRETCH  # two of b to one of a
+        deep[:, :-1] = before[:, 1:] + last_error[:, 1:] + STRETCH  # one of b to two of a
+        ways = np.stack([last, wide, deep])
+        move[i] = ways.argmin(axis=0)
+        now = ways.min(axis=0) + error
+        if i == 0:
+            now = np.where(offsets == 0, error, np.inf)
+        before, last, last_error = last, now, error
+    total, count = np.zeros((pairs, n)), np.zeros((pairs, n))
+    which = np.arange(pairs)
+    i, j = np.full(pairs, n - 1), np.full(pairs, n - 1)
+    going = np.ones(pairs, bool)
+    while going.any():
+        p = which[going]
+        total[p, i[p]] += j[p]
+        count[p, i[p]] += 1
+        step = move[i[p], p, np.clip(j[p] - i[p] + band, 0, 2 * band)]
+        step = np.where((i[p] == 0) & (j[p] == 0), -1, step)
+        w = p[step == 1]
+        total[w, i[w]] += j[w] - 1
+        count[w, i[w]] += 1
+        s = p[step == 2]
+        total[s, i[s] - 1] += j[s]
+        count[s, i[s] - 1] += 1
+        i[p] -= np.where(step == 2, 2, 1)
+        j[p] -= np.where(step == 1, 2, 1)
+        going[p[step == -1]] = False
+        going &= (i >= 0) & (j >= 0)
+    mapped = total / np.maximum(count, 1)
+    index = np.arange(n)
+    off = np.stack([(a[p] - np.interp(mapped[p], index, b[p])) ** 2 for p in range(pairs)]) if pairs else np.zeros((0, n))
+    return mapped, np.exp(-0.5 * box(off, odd(2 * pulse, 3), 1))
+
+
+def sparse_registration(x: np.ndarray, distances: Iterable[int], regions: np.ndarray, pulse: float, step: float, batch: int = 64) -> dict[int, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Registration of every trace with the one ``d`` further, within one region, in both directions independently. The band grows with the root of the way."""
+    image = balanced(x, pulse)
+    out = {}
+    for d in distances:
+        source = np.arange(max(0, len(x) - d))
+        source = source[regions[source] == regions[source + d]]
+        if not len(source):
+            continue
+        band = max(1, int(np.ceil(pulse * (1 + np.sqrt(d * step) / 2))))
+        maps = {name: (np.full(x.shape, np.nan), np.zeros(x.shape)) for name in ("forward", "backward")}
+        for k in range(0, len(source), batch):
+            some = source[k : k + batch]
+            for name, here, there in (("forward", some, some + d), ("backward", some + d, some)):
+                maps[name][0][here], maps[name][1][here] = register(image[here], image[there], band, pulse)
+        out[d] = maps
+    return out
+
+
+def profile_path(a: np.ndarray, b: np.ndarray, valid: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of an unconstrained alignment of each run of valid samples of two traces, squared differences; runs of one sample or of silence have none."""
+    use = np.isfinite(a) & np.isfinite(b) & (True if valid is None else valid)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], use, [False]]).astype(int)))
+    out: list[tuple[int, int]] = []
+    for low, high in zip(edge[::2], edge[1::2], strict=True):
+        u, v = a[low:high], b[low:high]
+        n = len(u)
+        if n < 2 or not u.any() or not v.any():
+            continue
+        cost = np.full((n + 1, n + 1), np.inf)
+        cost[0, 0] = 0
+        apart = (u[:, None] - v[None, :]) ** 2
+        # Cells of one antidiagonal depend on the two before only.
+        for s in range(2, 2 * n + 1):
+            i = np.arange(max(1, s - n), min(n, s - 1) + 1)
+            j = s - i
+            cost[i, j] = apart[i - 1, j - 1] + np.minimum(cost[i - 1, j - 1], np.minimum(cost[i - 1, j], cost[i, j - 1]))
+        i = j = n
+        way = []
+        while i and j:
+            way.append((int(low + i - 1), int(low + j - 1)))
+            i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda c: cost[c])
+        out += way[::-1]
+    return out
+
+
+def trace_offset(processed: np.ndarray, raw: np.ndarray, probes: np.ndarray, most: int, reach: int) -> dict:
+    """Which number of traces, and which lag, maps one recording to another: the offset of the best median correlation over the probes.
+
+    Verified where the correlation is 0.8 at least, all lags are within a sample of their median and the runner-up is 0.02 worse.
+    """
+    found = []
+    for offset in range(-most, most + 1):
+        lags, quality = [], []
+        for r in probes:
+            at = int(r) + offset
+            if not 0 <= at < len(raw):
+                continue
+            u, v = processed[r] - processed[r].mean(), raw[at] - raw[at].mean()
+            size = np.linalg.norm(u) * np.linalg.norm(v)
+            if size <= 0:
+                continue
+            values = np.correlate(v, u, "full") / size
+            lag = np.arange(-len(u) + 1, len(v))
+            values[np.abs(lag) > reach] = -np.inf
+            lags.append(int(lag[values.argmax()]))
+            quality.append(float(values.max()))
+        found.append((float(np.median(quality)) if quality else 0.0, -abs(offset), offset, lags))
+    found.sort(reverse=True)
+    quality, _, offset, lags = found[0]
+    lag = float(np.median(lags)) if lags else 0.0
+    spread = float(np.abs(np.array(lags) - lag).max()) if lags else float(raw.shape[1])
+    apart = quality - found[1][0] if len(found) > 1 else 1.0
+    return {"offset": offset, "lag": lag, "quality": quality, "spread": spread, "verified": bool(quality >= 0.8 and spread <= 1 and apart >= 0.02 and len(lags) >= 0.8 * len(probes))}

@@ -1,0 +1 @@
+"""Tracking of seeded interfaces through a road's image, in numpy for one road at a time."""

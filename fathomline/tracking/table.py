@@ -1,0 +1,196 @@
+"""Evidence maps of an image and the table of candidate picks of its traces."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import numpy as np
+
+from ..operators import grids, images, signal
+from ..operators.identity import DETECTION, IDENTITY, SEEDED, UNSEEDED
+
+#: Features of a candidate by number; the weights of ``operators.identity`` go by these.
+NAMES = ("signed", "absolute", "phase", "polarity", "coherence", "reflectivity", "envelope", "gradient", "strength", "stripped", "agreement", "tracklet", "near_seed", "safety", "second", "generic", "measured", "design")
+#: Weights of what makes a packet, fixed values.
+PACKET = {"envelope": 0.20, "gradient": 0.14, "reflectivity": 0.22, "coherence": 0.24, "strength": 0.12, "stripped": 0.05, "agreement": 0.03}
+
+
+@dataclass
+class Table:
+    """Candidates by trace and place in its list: samples (-1 none), polarity, phase class, waveform, features; what tracking adds."""
+
+    samples: np.ndarray
+    pole: np.ndarray
+    phase: np.ndarray
+    wave: np.ndarray
+    features: dict[str, np.ndarray]
+    which: np.ndarray
+    slip: np.ndarray = field(default=None)
+    family: np.ndarray = field(default=None)
+    lineage: np.ndarray = field(default=None)
+    reached: np.ndarray = field(default=None)
+
+    def __post_init__(self) -> None:
+        shape = self.samples.shape
+        self.slip = np.full(shape, 0.5) if self.slip is None else self.slip
+        self.family = np.full(shape, -1) if self.family is None else self.family
+        self.lineage = np.full(shape, -1) if self.lineage is None else self.lineage
+        self.reached = np.zeros(shape, bool) if self.reached is None else self.reached
+
+    @property
+    def valid(self) -> np.ndarray:
+        return self.samples >= 0
+
+    def nearest(self, row: int, sample: float) -> int:
+        """The candidate of a trace nearest to a sample, -1 without any."""
+        at = np.flatnonzero(self.valid[row])
+        return int(at[np.abs(self.samples[row, at] - sample).argmin()]) if len(at) else -1
+
+    def columns(self, path: np.ndarray) -> np.ndarray:
+        """The candidate that a path takes in each trace, -1 for none."""
+        hit = self.valid & (self.samples == path[:, None]) & (path[:, None] >= 0)
+        return np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
+
+    def along(self, values: np.ndarray, path: np.ndarray, missing: float = 0.0) -> np.ndarray:
+        """``values`` of the candidates that a path takes."""
+        c = self.columns(path)
+        return np.where(c >= 0, values[np.arange(len(path)), np.maximum(c, 0)], missing)
+
+
+def row_range(x: np.ndarray) -> np.ndarray:
+    """Each trace between its 2nd and 98th percentile, cut to 0 and 1."""
+    low, high = np.percentile(x, [2, 98], axis=1, keepdims=True)
+    return np.clip((x - low) / np.maximum(high - low, 1e-6), 0, 1)
+
+
+def score_of(features: dict[str, np.ndarray], layer: int, seeded: bool) -> np.ndarray:
+    """One score from the features: of a seeded deeper layer the geometric mean of detection and identity, else a weighted sum."""
+    part = lambda weights: np.clip(sum(w * features[NAMES[k]] for k, w in weights.items()), 0, 1)
+    if seeded and layer >= 2:
+        return np.sqrt(part(DETECTION) * part(IDENTITY))
+    return part(dict(enumerate(SEEDED if seeded else UNSEEDED)))
+
+
+def evidence_maps(x: np.ndarray, residuals: list[np.ndarray], branches: dict[str, np.ndarray], seeds: dict[int, int], pulse: float) -> tuple[dict[str, np.ndarray], list[dict], list[np.ndarray]]:
+    """(maps by NAMES, prototypes, correlation with each): what the image and its stripped versions say at every sample.
+
+    Stripping may add support and never take away what the image itself shows; identity goes by the same prototype throughout.
+    """
+    found = images.prototypes(x, seeds, pulse)
+    whole = signal.envelope(x)
+    stripped = [signal.envelope(r) for r in residuals]
+    largest = np.maximum.reduce(stripped)
+    level = lambda e: max(np.percentile(e, 97.5), 1e-7)
+    trace = np.clip(np.percentile(whole, 97, axis=1, keepdims=True) / level(whole), 0, 1)
+    maps = {
+        "envelope": np.maximum.reduce([row_range(e) for e in stripped]),
+        "gradient": np.maximum.reduce([row_range(np.abs(np.gradient(r, axis=1))) for r in residuals]),
+        "reflectivity": row_range(np.abs(branches.get("reflectivity", residuals[0]))),
+        "coherence": np.clip(branches["oriented_coherence"] if "oriented_coherence" in branches else grids.lateral_phase_coherence(x, 3), 0, 1),
+        "strength": np.clip(np.maximum.reduce([largest / level(largest), whole / level(whole), 0.25 * row_range(whole) * trace]), 0, 1),
+        "stripped": np.clip(row_range(largest) - row_range(whole) + 0.5, 0, 1),
+        "measured": np.clip(branches.get("measured", np.ones(x.shape)), 0, 1),
+    }
+    views = [*residuals, *(branches[n] for n in ("background_full", "wavelet_amplitude", "deconvolved") if n in branches)]
+    agree = np.zeros(x.shape)
+    if len(views) >= 3:
+        # Agreement is that of events: a peak in a branch counts within two pulses.
+        for v in views:
+            size = row_range(np.abs(v))
+            peak = (size >= images.peak_of(size, images.odd(0.7 * pulse, 3), 1)) & (size >= 0.14)
+            agree += images.peak_of(peak.astype(float), images.odd(2 * pulse, 3), 1) / len(views)
+    maps["agreement"] = agree
+    own, each = images.template_maps(x, found)
+    for r in residuals:
+        other, some = images.template_maps(r, found)
+        better = other["signed"] > own["signed"]
+        own["which"] = np.where(better, other["which"], own["which"])
+        for name in ("signed", "absolute", "second"):
+            own[name] = np.maximum(own[name], other[name])
+        each = [np.maximum(a, b) for a, b in zip(each, some, strict=True)]
+    if found:
+        phase = images.phase_classes(np.angle(signal.analytic(x)))
+        off = np.abs(phase - np.array([p["phase"] for p in found])[own["which"]])
+        own["phase"] = 0.5 + 0.5 * np.cos(np.minimum(off, 8 - off) * np.pi / 4)
+        own["polarity"] = (np.sign(x) == np.array([p["polarity"] for p in found])[own["which"]]).astype(float)
+    maps |= {n: own[n] for n in ("signed", "absolute", "phase", "polarity", "second", "which")}
+    packet = sum(w * maps[n] for n, w in PACKET.items())
+    if found:
+        # A packet's shape finds a reflection; which of its lobes is the interface, the seeds say.
+        same = 0.58 * maps["signed"] + 0.27 * maps["phase"] + 0.15 * maps["polarity"]
+        packet = 0.72 * same + 0.28 * packet * (0.1 + 0.9 * maps["polarity"]) * (0.15 + 0.85 * same)
+    maps["generic"] = np.clip(packet, 0, 1)
+    return maps | {n: np.zeros(x.shape) for n in ("tracklet", "near_seed")} | {"safety": np.full(x.shape, 0.5)}, found, each
+
+
+def bounds(rows: int, samples: int, surface: int, layer: dict, above: tuple[np.ndarray, np.ndarray] | None, seeds: dict[int, int], pulse: float, step: float, corridor: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower, centre, upper) of the samples searched in each trace.
+
+    The layer's offsets from the surface, at least its gap below the candidates of the layer above, within a corridor of gaps where one is given, and
+    opened by a cone around each seed for ten metres.
+    """
+    lower, upper = np.full(rows, float(surface + layer["least"])), np.full(rows, float(min(samples - 1, surface + layer["most"])))
+    centre = (lower + upper) / 2
+    if above is not None:
+        lower = np.maximum(lower, above[0] + layer["gap"])
+    if corridor is not None:
+        top = above if above is not None else (np.full(rows, float(surface)),) * 2
+        use = np.isfinite(corridor[0]) & np.isfinite(corridor[1]) & np.isfinite(corridor[2])
+        lower = np.where(use, np.maximum(lower, top[0] + corridor[0]), lower)
+        upper = np.where(use, np.minimum(upper, top[1] + corridor[2]), upper)
+        centre = np.where(use, (top[0] + top[1]) / 2 + corridor[1], centre)
+    reach = max(2, round(10 / max(step, 1e-3)))
+    for row, sample in seeds.items():
+        at = np.arange(max(0, row - reach), min(rows, row + reach + 1))
+        wide = 2 * pulse + 1.5 * np.abs(at - row)
+        lower[at], upper[at] = np.minimum(lower[at], sample - wide), np.maximum(upper[at], sample + wide)
+        centre[row] = sample
+    lower = np.clip(lower, 0, samples - 1)
+    return lower, centre, np.clip(np.maximum(upper, lower + 1), 0, samples - 1)
+
+
+def build(x: np.ndarray, maps: dict[str, np.ndarray], limits: tuple[np.ndarray, np.ndarray, np.ndarray], seeds: dict[int, int], skip: np.ndarray, pulse: float, most: int = 12) -> Table:
+    """Candidates of every trace: local maxima of any map within the limits, the ``most`` packets of the best score half a pulse apart, and the seed of the trace."""
+    rows, samples = x.shape
+    lower, centre, upper = limits
+    peaks = np.zeros(x.shape, bool)
+    for m in (np.abs(x), *(maps[n] for n in ("envelope", "gradient", "reflectivity", "coherence", "signed"))):
+        peaks |= (m >= images.peak_of(m, 3, 1)) & (m > 0)
+    axis = np.arange(samples)
+    peaks &= (axis >= lower[:, None]) & (axis <= upper[:, None])
+    peaks[skip] = False
+    apart = max(1, round(pulse / 2))
+    listed = np.full((rows, most + 1), -1)
+    for row in range(rows):
+        taken: list[int] = [seeds[row]] if row in seeds and 0 <= seeds[row] < samples else []
+        at = np.flatnonzero(peaks[row])
+        for k in at[np.argsort(-maps["generic"][row, at], kind="stable")].tolist():
+            if len(taken) > most - 1:
+                break
+            if all(abs(k - t) >= apart for t in taken):
+                taken.append(k)
+        listed[row, : len(taken)] = sorted(taken)
+    radius = max(5, round(1.5 * pulse))
+    place = np.maximum(listed, 0)
+    rr = np.arange(rows)[:, None]
+    wave = np.pad(x, ((0, 0), (radius, radius)))[rr[:, :, None], place[:, :, None] + np.arange(2 * radius + 1)]
+    wave = wave - wave.mean(axis=2, keepdims=True)
+    wave = wave / np.maximum(np.linalg.norm(wave, axis=2, keepdims=True), 1e-9) * (listed >= 0)[:, :, None]
+    half = np.maximum((upper - lower) / 2, 1)
+    design = np.exp(-0.5 * ((axis - centre[:, None]) / np.maximum(0.55 * half[:, None], 1)) ** 2)
+    maps = maps | {"design": design}
+    none = listed < 0
+    features = {n: np.where(none, 0.0, maps[n][rr, place]) for n in NAMES}
+    phase = images.phase_classes(np.angle(signal.analytic(x)))
+    return Table(listed, np.where(none, 0, np.sign(x)[rr, place]).astype(int), np.where(none, -1, phase[rr, place]), wave, features, np.where(none, -1, maps["which"][rr, place]).astype(int))
+
+
+def likeness(a: np.ndarray, b: np.ndarray, shift: int = 2) -> np.ndarray:
+    """Cosines of waveforms (n, w) with (m, w), the best over shifts of up to two samples, cut at 0."""
+    best = np.zeros((len(a), len(b)))
+    size = np.maximum(np.linalg.norm(a, axis=1), 1e-8)[:, None]
+    for s in range(-shift, shift + 1):
+        moved = np.zeros_like(b)
+        moved[:, max(0, s) : b.shape[1] + min(0, s)] = b[:, max(0, -s) : b.shape[1] - max(0, s)]
+        best = np.maximum(best, a @ moved.T / np.maximum(size * np.linalg.norm(moved, axis=1)[None, :], 1e-8))
+    return np.clip(best, 0, 1)
