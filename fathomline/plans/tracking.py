@@ -1,0 +1,603 @@
+"""Queries of images, motion, registration and trackers over the traces of all roads. No SQL; tests compare them with loops, synthetic roads and enumeration."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from .. import workspace
+from ..operators import images, motion, paths, solvers
+from ..tracking import engine, joint, segments
+from ..tracking.table import bounds, build, evidence_maps, score_of
+from .candidates import candidates, traces
+from .registry import register
+from .tables import read
+
+PULSE, STEP, SURFACE = 5.0, 0.4, 2
+OPTIONS = engine.Options(input_mode="processed", surface=SURFACE, pulse_samples=PULSE, trace_spacing_m=STEP, layers=((1, 4, 30, 4), (2, 12, 60, 4)))
+
+
+def roads(spark, d):
+    """(road, row, samples): the traces of every road, numbered."""
+    emb = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"))
+    return traces(spark, d).join(emb, "vec_id").select(F.col("label").cast("string").alias("road"), F.col("i").cast("int").alias("row"), "samples")
+
+
+def reviewed(spark, d):
+    """(road, layer, row, sample): the strongest pick of each layer's depths in every trace; stands for reviewed observations."""
+    c = candidates(spark, d).withColumn("layer", F.when(F.col("k").between(6, 30), 1).when(F.col("k").between(36, 58), 2)).filter("layer is not null")
+    best = c.groupBy("label", "layer", "i").agg(F.min(F.struct((-F.col("score")).alias("o"), "k")).alias("m"))
+    return best.select(F.col("label").cast("string").alias("road"), F.col("layer").cast("int").alias("layer"), F.col("i").cast("int").alias("row"), F.col("m.k").cast("int").alias("sample"))
+
+
+def seeds(spark, d):
+    """Reviewed observations of the first, the middle and the last trace."""
+    ends = traces(spark, d).groupBy("label").agg(F.max("i").alias("last")).select(F.col("label").cast("string").alias("road"), "last")
+    return reviewed(spark, d).join(ends, "road").filter("row in (0, last div 2, last)").drop("last")
+
+
+def _images(spark, d, fn, schema):
+    """``fn(image)`` of each road, as rows with its name."""
+    return solvers.by_road(roads(spark, d), ["road"], "row", lambda t: fn(solvers.matrix(t["samples"])), schema)
+
+
+def _seeded(spark, d, fn, schema):
+    """``fn(image, seeds by layer)`` of each road."""
+    return engine.per_road(roads(spark, d), seeds(spark, d), lambda _, image, known: fn(image, engine.seeds_of(known)), schema)
+
+
+def _each(x, **columns):
+    return [{"row": k} | {n: v[k].tolist() for n, v in columns.items()} for k in range(len(x))]
+
+
+@register("automatic_band")
+def automatic_band(spark, d):
+    """The band of frequencies that holds nearly all energy of a road."""
+
+    def fn(x):
+        low, high = images.main_band(x, SURFACE)
+        return [{"low": low, "high": high}]
+
+    return _images(spark, d, fn, "road string, low double, high double")
+
+
+@register("packet_support")
+def packet_support(spark, d):
+    return _images(spark, d, lambda x: _each(x, support=images.packet_support(x, PULSE)), "road string, row int, support array<double>")
+
+
+@register("interpretation_branches")
+def interpretation_branches(spark, d):
+    """All branches of evidence of every trace, and its anomaly."""
+
+    def fn(x):
+        b = images.branches(x, SURFACE)
+        score, support = b.pop("anomaly_score"), b.pop("anomaly_support")
+        return [{"row": k, "branches": [(n, v[k].tolist()) for n, v in b.items()], "anomaly_score": float(score[k]), "anomaly_support": float(support[k])} for k in range(len(x))]
+
+    return _images(spark, d, fn, "road string, row int, branches map<string,array<double>>, anomaly_score double, anomaly_support double")
+
+
+@register("reflection_subtracted")
+def reflection_subtracted(spark, d):
+    """The image without the first seeded layer, along a line through its seeds."""
+
+    def fn(x, known):
+        s = known.get(1, {})
+        path = np.rint(np.interp(np.arange(len(x)), sorted(s), [s[r] for r in sorted(s)])).astype(int) if s else np.full(len(x), -1)
+        out, gain = images.without_reflection(x, path, PULSE)
+        return [{"row": k, "residual": out[k].tolist(), "gain": float(gain[k].max())} for k in range(len(x))]
+
+    return _seeded(spark, d, fn, "road string, row int, residual array<double>, gain double")
+
+
+@register("seed_templates")
+def seed_templates(spark, d):
+    """Prototypes of the seeds."""
+    fn = lambda x, known: [{"layer": layer, "seed_row": p["row"], "sample": p["sample"], "polarity": p["polarity"], "phase": p["phase"], "real": p["real"].tolist(), "quadrature": p["quadrature"].tolist()} for layer, s in known.items() for p in images.prototypes(x, s, PULSE)]
+    return _seeded(spark, d, fn, "road string, layer int, seed_row int, sample int, polarity int, phase int, real array<double>, quadrature array<double>")
+
+
+@register("template_scores")
+def template_scores(spark, d):
+    """Agreement of every sample with a layer's seeds."""
+
+    def fn(x, known):
+        out = []
+        for layer, s in sorted(known.items()):
+            m, _ = images.template_maps(x, images.prototypes(x, s, PULSE))
+            out += [{"layer": layer} | r for r in _each(x, signed=m["signed"], phase=m["phase"], second=m["second"])]
+        return out
+
+    return _seeded(spark, d, fn, "road string, layer int, row int, signed array<double>, phase array<double>, second array<double>")
+
+
+@register("evidence_branches")
+def evidence_branches(spark, d):
+    """Maps of evidence of the first layer, by name."""
+
+    def fn(x, known):
+        m, _, _ = evidence_maps(x, [x], {}, known.get(1, {}), PULSE)
+        m.pop("which")
+        return [{"row": k, "maps": [(n, v[k].tolist()) for n, v in m.items()]} for k in range(len(x))]
+
+    return _seeded(spark, d, fn, "road string, row int, maps map<string,array<double>>")
+
+
+@register("phase_motion")
+def phase_motion(spark, d):
+    """Displacement of every sample into the next and the previous trace."""
+
+    def fn(x):
+        m = motion.adjacent(x, PULSE)
+        return _each(x, forward=m["forward"]["shift"], forward_support=m["forward"]["support"], backward=m["backward"]["shift"], backward_support=m["backward"]["support"])
+
+    return _images(spark, d, fn, "road string, row int, forward array<double>, forward_support array<double>, backward array<double>, backward_support array<double>")
+
+
+@register("composed_motion")
+def composed_motion(spark, d):
+    """Displacement over three and five traces."""
+
+    def fn(x):
+        flow = motion.composed(motion.adjacent(x, PULSE), [3, 5])
+        return [{"distance": g} | r for g, v in flow.items() for r in _each(x, shift=v["forward"][0], quality=v["forward"][1])]
+
+    return _images(spark, d, fn, "road string, distance int, row int, shift array<double>, quality array<double>")
+
+
+@register("advected_seeds")
+def advected_seeds(spark, d):
+    """Where motion carries the first layer's first seed along the road, and its worst support so far."""
+
+    def fn(x, known):
+        s = known.get(1, {})
+        if not s:
+            return []
+        row = min(s)
+        flows = motion.adjacent(x, PULSE)
+        out = []
+        for k in range(row, len(x)):
+            at, worst = motion.advected(np.array([s[row]]), row, k, flows["forward"])
+            out.append({"row": k, "sample": float(at[0]), "support": float(worst[0])})
+        return out
+
+    return _seeded(spark, d, fn, "road string, row int, sample double, support double")
+
+
+@register("registered_pairs")
+def registered_pairs(spark, d):
+    """Whole traces registered with the next, both ways independently."""
+
+    def fn(x):
+        image = motion.balanced(x, PULSE)
+        there, quality = motion.register(image[:-1], image[1:], 6, PULSE)
+        back, _ = motion.register(image[1:], image[:-1], 6, PULSE)
+        return [{"row": k, "forward": there[k].tolist(), "inverse": back[k].tolist(), "agreement": quality[k].tolist()} for k in range(len(x) - 1)]
+
+    return _images(spark, d, fn, "road string, row int, forward array<double>, inverse array<double>, agreement array<double>")
+
+
+@register("sparse_registration")
+def sparse_registration(spark, d):
+    """Registration over one and five traces within the regions of a road, which a break at trace 20 divides."""
+
+    def fn(x):
+        found = motion.sparse_registration(x, [1, 5], (np.arange(len(x)) >= 20).astype(int), PULSE, STEP)
+        return [{"distance": g, "row": k, "mapped": v["forward"][0][k].tolist(), "quality": float(v["forward"][1][k].mean())} for g, v in found.items() for k in range(len(x)) if np.isfinite(v["forward"][0][k]).all()]
+
+    return _images(spark, d, fn, "road string, distance int, row int, mapped array<double>, quality double")
+
+
+@register("profile_paths")
+def profile_paths(spark, d):
+    """Unconstrained alignments of neighbouring traces, both ways, on samples that are valid in both."""
+
+    def fn(x):
+        out = []
+        for k in range(len(x) - 1):
+            valid = (np.arange(x.shape[1]) + k) % 17 != 0
+            for name, a, b in (("forward", x[k], x[k + 1]), ("reverse", x[k + 1], x[k])):
+                out.append({"row": k, "way": name, "path": [list(p) for p in motion.profile_path(a, b, valid)]})
+        return out
+
+    return _images(spark, d, fn, "road string, row int, way string, path array<array<int>>")
+
+
+@register("source_registration")
+def source_registration(spark, d):
+    """The offset and lag that map each road's traces to the same road two traces further on, from 21 probes."""
+
+    def fn(x):
+        return [motion.trace_offset(x, x[2:], np.unique(np.linspace(4, len(x) - 5, 21).astype(int)), 4, 8)]
+
+    return _images(spark, d, fn, "road string, offset int, lag double, quality double, spread double, verified boolean")
+
+
+@register("seed_patches")
+def seed_patches(spark, d):
+    """Normalised patches around the seeds with what supports them."""
+
+    def fn(x, known):
+        out = []
+        for layer, s in sorted(known.items()):
+            rows, at = np.array(sorted(s)), np.array([s[r] for r in sorted(s)])
+            values, support, usable = images.patches(x, np.ones(x.shape, bool), rows, at, 1, 3)
+            out += [{"layer": layer, "seed_row": int(r), "values": v.ravel().tolist(), "support": int(m.sum()), "usable": bool(u)} for r, v, m, u in zip(rows, values, support, usable, strict=True)]
+        return out
+
+    return _seeded(spark, d, fn, "road string, layer int, seed_row int, values array<double>, support int, usable boolean")
+
+
+@register("model_channels")
+def model_channels(spark, d):
+    """Six input channels of a model of the first layer for each trace."""
+
+    def fn(x, known):
+        s = known.get(1, {})
+        c = images.model_channels(x, 1, [p["real"] for p in images.prototypes(x, s, PULSE)], list(s.items()), [])
+        return [{"row": k, "channels": c[:, k].tolist()} for k in range(len(x))]
+
+    return _seeded(spark, d, fn, "road string, row int, channels array<array<double>>")
+
+
+def _table(x, known, layer=1):
+    s = known.get(layer, {})
+    spec = {"order": layer, "least": 4 if layer == 1 else 12, "most": 30 if layer == 1 else 60, "gap": 4}
+    maps, found, each = evidence_maps(x, [x], {}, s, PULSE)
+    t = build(x, maps, bounds(len(x), x.shape[1], SURFACE, spec, None, s, PULSE, STEP), s, np.zeros(len(x), bool), PULSE)
+    return t, s, found, each
+
+
+@register("contextual_waveforms")
+def contextual_waveforms(spark, d):
+    """Waveforms of candidates averaged with what motion finds of them in the traces beside."""
+
+    def fn(x, known):
+        t, _, _, _ = _table(x, known)
+        w = segments.contextual(t, x, motion.adjacent(x, PULSE), PULSE, STEP, 2 * STEP, set())
+        return [{"row": int(r), "sample": int(t.samples[r, c]), "wave": w[r, c].tolist()} for r, c in zip(*np.nonzero(t.valid), strict=True)]
+
+    return _seeded(spark, d, fn, "road string, row int, sample int, wave array<double>")
+
+
+@register("spatial_lineage")
+def spatial_lineage(spark, d):
+    """Components of continuing candidates over all roads, and whether a seed is in them. Links are made road by road, components by joins over all."""
+
+    def fn(x, known):
+        t, s, _, _ = _table(x, known)
+        width = t.samples.shape[1]
+        place = lambda n: (n // width) * x.shape[1] + int(t.samples[n // width, n % width])
+        edges = joint.lineage(t, motion.adjacent(x, PULSE), s, set(), PULSE, STEP)
+        own = [{"a": int(r) * x.shape[1] + int(t.samples[r, c]), "b": int(r) * x.shape[1] + int(t.samples[r, c]), "seeded": s.get(int(r)) == t.samples[r, c]} for r, c in zip(*np.nonzero(t.valid), strict=True)]
+        return own + [{"a": place(a), "b": place(b), "seeded": False} for a, b in edges]
+
+    size = 1 << 32
+    found = _seeded(spark, d, fn, "road string, a long, b long, seeded boolean")
+    number = lambda c: F.col("road").cast("long") * size + F.col(c)
+    path = f"{workspace.new_folder(spark, 'lineage')}/links"
+    found.select(number("a").alias("a"), number("b").alias("b"), "seeded").write.parquet(path)
+    links = spark.read.parquet(path)
+    parts = paths.components(links.select("a", "b"))
+    reached = links.filter("seeded").select(F.col("a").alias("node")).join(parts, "node").select("component").distinct().withColumn("reached", F.lit(True))
+    return parts.join(reached, "component", "left").select(F.expr(f"node div {size}").alias("road"), F.expr(f"(node % {size}) div 64").alias("row"), F.expr("node % 64").alias("sample"), "component", F.coalesce("reached", F.lit(False)).alias("reached"))
+
+
+@register("seed_propagation")
+def seed_propagation(spark, d):
+    """Rows that each layer's seeds reach by clear steps that point back."""
+
+    def fn(x, known):
+        out = []
+        for layer in (1, 2):
+            t, s, _, _ = _table(x, known, layer)
+            out += [{"layer": layer, "row": r, "sample": v, "seeded": r in s} for r, v in sorted(joint.propagated(t, s, PULSE, STEP, layer).items())]
+        return out
+
+    return _seeded(spark, d, fn, "road string, layer int, row int, sample int, seeded boolean")
+
+
+@register("phase_tracklets")
+def phase_tracklets(spark, d):
+    """How far each seed's event grows, and why it stops on either side."""
+
+    def fn(x, known):
+        out = []
+        for layer in (1, 2):
+            t, s, _, _ = _table(x, known, layer)
+            out += [{"layer": layer, "seed_row": g["seed"], "family": g["family"], "first": g["rows"][0], "last": g["rows"][-1], "rows": len(g["rows"]), "stopped": g["stopped"]} for g in joint.tracklets(t, s, PULSE, STEP, set(), layer)]
+        return out
+
+    return _seeded(spark, d, fn, "road string, layer int, seed_row int, family int, first int, last int, rows int, stopped array<string>")
+
+
+@register("family_extension")
+def family_extension(spark, d):
+    """Candidates with the family that they grow in, or fit."""
+
+    def fn(x, known):
+        t, s, _, _ = _table(x, known)
+        joint.tracklets(t, s, PULSE, STEP, set(), 1)
+        grown = t.family.copy()
+        joint.extend_families(t, s, 1)
+        return [{"row": int(r), "sample": int(t.samples[r, c]), "family": int(t.family[r, c]), "grown": bool(grown[r, c] >= 0)} for r, c in zip(*np.nonzero(t.valid), strict=True)]
+
+    return _seeded(spark, d, fn, "road string, row int, sample int, family int, grown boolean")
+
+
+@register("graph_hypotheses")
+def graph_hypotheses(spark, d):
+    """The best second-order paths of the first layer over its candidates."""
+
+    def fn(x, known):
+        t, s, _, _ = _table(x, known)
+        value = joint.emissions(t, score_of(t.features, 1, bool(s)), s, {}, np.zeros(len(x), bool), 1, PULSE)
+        found, total = joint.paths(t, value, set(), STEP, 4)
+        return [{"rank": k + 1, "path": p.tolist(), "value": float(v)} for k, (p, v) in enumerate(zip(found, total, strict=True))]
+
+    return _seeded(spark, d, fn, "road string, rank int, path array<int>, value double")
+
+
+def _layers(x, known):
+    out = []
+    for layer in (1, 2):
+        t, s, _, _ = _table(x, known, layer)
+        score = score_of(t.features, layer, bool(s))
+        out.append(joint.Layer(layer, 4, t, score, joint.emissions(t, score, s, {}, np.zeros(len(x), bool), layer, PULSE), s))
+    return out
+
+
+@register("joint_layer_paths")
+def joint_layer_paths(spark, d):
+    """Both layers solved together from either end: path, the one from the other end, and the share of hypotheses that agree."""
+
+    def fn(x, known):
+        found = joint.solved(_layers(x, known), set(), STEP, PULSE)
+        return [{"layer": k + 1, "row": r, "sample": int(f["path"][r]), "backward": int(f["backward"][r]), "support": float(f["support"][r])} for k, f in enumerate(found) for r in range(len(x))]
+
+    return _seeded(spark, d, fn, "road string, layer int, row int, sample int, backward int, support double")
+
+
+@register("path_confidence")
+def path_confidence(spark, d):
+    """Confidence and evidence of the joint paths."""
+
+    def fn(x, known):
+        layers = _layers(x, known)
+        out = []
+        for layer, f in zip(layers, joint.solved(layers, set(), STEP, PULSE), strict=True):
+            sure, e = joint.confidence(layer, f, PULSE)
+            out += [{"layer": layer.order, "row": r, "confidence": float(sure[r]), "evidence": [(n, float(v[r])) for n, v in e.items()]} for r in range(len(x))]
+        return out
+
+    return _seeded(spark, d, fn, "road string, layer int, row int, confidence double, evidence map<string,double>")
+
+
+@register("pass_reconciliation")
+def pass_reconciliation(spark, d):
+    """The best sequence of choices between the joint tracker's paths and those of the segments."""
+
+    def fn(x, known):
+        road = engine.road_of(x, known, OPTIONS)
+        a, b = joint.track(road), segments.track(road)
+        both = np.stack([np.stack([a[k]["provisional"], b[k]["provisional"]], axis=1) for k in (1, 2)], axis=1)
+        lobes = np.where(both >= 0, np.sign(np.take_along_axis(x[:, None, :].repeat(2, 1), np.maximum(both, 0), axis=2)) + 2, 0)
+        support = np.stack([np.stack([a[k]["confidence"], b[k]["confidence"]], axis=1) for k in (1, 2)], axis=1)
+        chosen = joint.reconciled(both, lobes, support, np.zeros((len(x), 2), int), [0, 4], PULSE, STEP, set())
+        return [{"row": r, "upper": int(chosen[r, 0]), "lower": int(chosen[r, 1])} for r in range(len(x))]
+
+    return _seeded(spark, d, fn, "road string, row int, upper int, lower int")
+
+
+def _segments(x, known, layer=1):
+    t, s, found, each = _table(x, known, layer)
+    near = segments.links(t, x, motion.adjacent(x, PULSE), s, set(), PULSE, STEP)
+    parts, member, edges = segments.contracted(t, s, near)
+    return t, s, near, parts, edges, found, each
+
+
+@register("segment_solutions")
+def segment_solutions(spark, d):
+    """Routes of the connected components of segments, laid together."""
+
+    def fn(x, known):
+        t, s, _, parts, edges, _, _ = _segments(x, known)
+        found = segments.solve(t, x, parts, edges, score_of(t.features, 1, bool(s)) * STEP, s, PULSE, STEP)
+        return [{"rank": k + 1, "path": p.tolist()} for k, p in enumerate(found["paths"])]
+
+    return _seeded(spark, d, fn, "road string, rank int, path array<int>")
+
+
+@register("interval_solutions")
+def interval_solutions(spark, d):
+    """The stretches between seeds, each with both of them on the route, or told as open."""
+
+    def fn(x, known):
+        t, s, _, parts, edges, _, _ = _segments(x, known)
+        found = segments.solve_spans(t, x, parts, edges, score_of(t.features, 1, bool(s)) * STEP, s, set(), PULSE, STEP)
+        return [{"path": found["paths"][0].tolist(), "margin": found["margin"].tolist(), "unresolved": [list(u) for u in found["unresolved"]]}]
+
+    return _seeded(spark, d, fn, "road string, path array<int>, margin array<double>, unresolved array<array<int>>")
+
+
+@register("identity_intervals")
+def identity_intervals(spark, d):
+    """The same under one seed's evidence from end to end and a price on bends."""
+
+    def fn(x, known):
+        t, s, _, parts, edges, found, each = _segments(x, known)
+        modes = segments.immutable_modes(t, found, each) * STEP
+        made = segments.solve_spans(t, x, parts, edges, score_of(t.features, 1, bool(s)) * STEP, s, set(), PULSE, STEP, 0.01, modes)
+        return [{"path": made["paths"][0].tolist(), "margin": made["margin"].tolist(), "unresolved": [list(u) for u in made["unresolved"]]}]
+
+    return _seeded(spark, d, fn, "road string, path array<int>, margin array<double>, unresolved array<array<int>>")
+
+
+@register("adaptive_templates")
+def adaptive_templates(spark, d):
+    """Supplements to scores from waveforms that change along the road."""
+
+    def fn(x, known):
+        t, s, near, parts, edges, _, _ = _segments(x, known)
+        found = segments.solve_spans(t, x, parts, edges, score_of(t.features, 1, bool(s)) * STEP, s, set(), PULSE, STEP)
+        path = found["paths"][0]
+        bonus = segments.adapted_bonus(t, path, t.along(segments.supported(t, x, s, near, PULSE), path), found["margin"], np.ones(len(x)), s, set(), STEP)
+        return [{"row": r, "bonus": float(bonus[r].max(initial=0.0))} for r in range(len(x))]
+
+    return _seeded(spark, d, fn, "road string, row int, bonus double")
+
+
+def _by_method(method):
+    return lambda spark, d: engine.track(roads(spark, d), seeds(spark, d), engine.variant(OPTIONS, method=method))
+
+
+for _name, _method in (("joint_tracker", "joint_seed_adaptive"), ("segment_tracker", "seed_hybrid"), ("identity_tracker", "seed_identity"), ("packet_tracker", "seeded_packet")):
+    register(_name)(_by_method(_method))
+
+
+@register("design_guided_tracker")
+def design_guided_tracker(spark, d):
+    """The radar's pass and the one that design guides, with their conflicts."""
+    return engine.track(roads(spark, d), seeds(spark, d), engine.variant(OPTIONS, design_gaps=((2, 10.0, 25.0, 40.0),)))
+
+
+@register("final_acceptance")
+def final_acceptance(spark, d):
+    """How many rows each gate lets through, and what is measured in the end."""
+    e = lambda n: F.coalesce(F.element_at("evidence", F.lit(n)), F.lit(0.0))
+    p = engine.track(roads(spark, d), seeds(spark, d), OPTIONS)
+    return p.groupBy("road", "layer").agg(F.count_if(F.col("provisional") >= 0).alias("proposed"), F.count_if(e("pre_gate_confidence") >= 0.24).alias("sure"), F.count_if(e("measurement_support_gate") > 0).alias("observed"), F.count_if(e("deep_identity_support") > 0).alias("identified"), F.count_if(F.col("sample") >= 0).alias("measured"), F.count_if("interpolated").alias("bridged"))
+
+
+def _kept(spark):
+    def keep(df):
+        path = f"{workspace.new_folder(spark, 'picks')}/picks"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    return keep
+
+
+def _analysis(spark, d):
+    return engine.analyze(roads(spark, d), seeds(spark, d), OPTIONS, _kept(spark))
+
+
+@register("analysis_thickness")
+def analysis_thickness(spark, d):
+    """A whole analysis: thickness of every bin and layer of every road."""
+    return _analysis(spark, d).thickness
+
+
+@register("analysis_issues")
+def analysis_issues(spark, d):
+    """A whole analysis: the runs that need a decision."""
+    return _analysis(spark, d).issues
+
+
+@register("analysis_package")
+def analysis_package(spark, d):
+    """A whole run: analysis, design, reference, and the package that is written."""
+    design = spark.createDataFrame([(str(r), layer, 40.0 * layer) for r in range(10) for layer in (1, 2)], "road string, layer int, design_mm double")
+    return engine.run_analysis(roads(spark, d), seeds(spark, d), design, reviewed(spark, d), OPTIONS, workspace.new_folder(spark, "run"), _kept(spark))[1]
+
+
+@register("folder_analysis")
+def folder_analysis(spark, d):
+    """A survey found in a folder by its name, read from its file and tracked."""
+    from ..sources import radar, survey
+    from .files import _written
+
+    folder, _ = _written(spark, d)
+    path = engine.survey_of(survey.inventory(spark, folder), "3")
+    radar.register(spark)
+    rows = spark.read.format("traces").option("path", path).load().select(F.lit("3").alias("road"), F.col("trace").cast("int").alias("row"), F.transform("samples", lambda v: v.cast("double") / 1_000_000).alias("samples"))
+    return engine.track(rows, seeds(spark, d).filter("road = '3'"), OPTIONS)
+
+
+@register("processed_fit")
+def processed_fit(spark, d):
+    """Each road as processed input, by two methods."""
+    return engine.track(roads(spark, d), seeds(spark, d), OPTIONS, ("joint_seed_adaptive", "seed_hybrid"))
+
+
+@register("corrected_picks")
+def corrected_picks(spark, d):
+    """A correction of the first layer between rows 10 and 20 with a further seed, merged with what was there."""
+    before = _kept(spark)(engine.described(engine.track(roads(spark, d), seeds(spark, d), OPTIONS), OPTIONS))
+    more = seeds(spark, d).union(reviewed(spark, d).filter("row = 15 and layer = 1")).distinct()
+    return engine.corrected(roads(spark, d), before, more, OPTIONS, 10, 20, (1,))
+
+
+@register("model_replay")
+def model_replay(spark, d):
+    """Requests, answers and scores turn by turn."""
+    return engine.replay(roads(spark, d), seeds(spark, d), reviewed(spark, d), engine.variant(OPTIONS, budget=2), 3.0)
+
+
+METHODS = ("joint_seed_adaptive", "seed_hybrid", "seeded_packet")
+
+
+@register("reference_evaluation")
+def reference_evaluation(spark, d):
+    """Three methods against the reviewed observations of every road."""
+    return engine.evaluate(roads(spark, d), seeds(spark, d), reviewed(spark, d), OPTIONS, METHODS, 3.0)
+
+
+@register("split_evaluation")
+def split_evaluation(spark, d):
+    """The same over splits of roads: pooled, mean and worst."""
+    splits = roads(spark, d).select("road").distinct().withColumn("split", F.when(F.col("road").cast("int") % 3 == 0, "test").otherwise("train"))
+    return engine.by_split(engine.evaluate(roads(spark, d), seeds(spark, d), reviewed(spark, d), OPTIONS, METHODS, 3.0), splits)
+
+
+@register("acceptance_calibration")
+def acceptance_calibration(spark, d):
+    """The confidence from which picks away from seeds agree often enough."""
+    picks = _kept(spark)(engine.track(roads(spark, d), seeds(spark, d), OPTIONS, METHODS))
+    return engine.calibrated(picks, reviewed(spark, d), seeds(spark, d), 0.5, 2, 3.0)
+
+
+def _bundle(spark, d):
+    """A model of the first layer from two roads: a bounded sample of 100 labels each."""
+    rows = roads(spark, d).filter("road in ('0', '1') and row < 100").orderBy("road", "row").collect()
+    known, told = seeds(spark, d).filter("layer = 1 and road in ('0', '1') and row < 100").collect(), reviewed(spark, d).filter("layer = 1 and road in ('0', '1') and row < 100").collect()
+    pick = lambda found, r: {x.row: x["sample"] for x in found if x.road == r}
+    return engine.fit_bundle([(r, np.array([x.samples for x in rows if x.road == r]), pick(known, r), pick(told, r)) for r in ("0", "1")], 1, OPTIONS.sample_interval_ns, PULSE)
+
+
+@register("frozen_inference")
+def frozen_inference(spark, d):
+    """Depth probabilities of a frozen model on the roads that it was not made from."""
+    return engine.infer(roads(spark, d).filter("road not in ('0', '1')"), seeds(spark, d).filter("road not in ('0', '1')"), _bundle(spark, d), OPTIONS)
+
+
+@register("evidence_tracker")
+def evidence_tracker(spark, d):
+    """The joint tracker with a frozen model's evidence beside the radar's."""
+    others, known = roads(spark, d).filter("road not in ('0', '1')"), seeds(spark, d).filter("road not in ('0', '1')")
+    bundle = _bundle(spark, d)
+    likely = engine.infer(others, known, bundle, OPTIONS)
+    provenance = others.select("road").distinct().withColumn("trained_on", F.array(*[F.lit(r) for r in bundle.trained_on]))
+    return engine.track_with(engine.with_evidence(others, likely, "likelihood"), known, OPTIONS, "likelihood", provenance)
+
+
+@register("cached_features")
+def cached_features(spark, d):
+    """Ridges and motion made once for each distinct content; a copy of every road has the same."""
+    rows = roads(spark, d)
+    twice = rows.union(rows.select(F.concat(F.lit("copy "), "road"), "row", "samples"))
+    from ..operators import signal
+
+    def compute(x):
+        return [{"ridge": float(signal.ricker_ridges(x).mean()), "motion": float(motion.adjacent(x, PULSE)["forward"]["support"].mean())}]
+
+    return engine.by_content(twice, compute, "road string, content string, ridge double, motion double")
+
+
+@register("training_crops")
+def training_crops(spark, d):
+    """Aligned crops of 16 traces with their labels, by road."""
+    rows = roads(spark, d)
+    surfaces = rows.select("road", "row", (F.col("row") % 4).alias("surface"))
+    return engine.crops(rows, reviewed(spark, d), surfaces, 2, 16, f"{workspace.new_folder(spark, 'crops')}/crops")

@@ -1,0 +1,521 @@
+"""Tracking over tables: roads in, picks out; analysis, corrections, replays and evaluations as DataFrames.
+
+A road, whose traces and seeds one unit of work holds, is the group of every step; roads run in parallel.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..operators import images, solvers
+from ..operators.solvers import matrix
+from . import joint, segments
+
+PICKS = "road string, method string, layer int, row int, sample int, provisional int, confidence double, interpolated boolean, evidence map<string,double>"
+SPEED_MM_NS = 299.792458
+
+
+@dataclass(frozen=True)
+class Options:
+    """What a run can be told. Layers are (order, least and most samples below the surface, least gap to the layer above)."""
+
+    survey_id: str = "survey"
+    method: str = "joint_seed_adaptive"
+    input_mode: str = "raw"
+    surface: int = 2
+    sample_interval_ns: float = 0.06
+    trace_spacing_m: float = 0.4
+    pulse_samples: float = 5.0
+    requested_stack: int = 0
+    report_interval_m: float = 5.0
+    dielectric: float = 7.0
+    anomaly_review: float = 0.5
+    layers: tuple[tuple[int, int, int, int], ...] = ((1, 4, 30, 4), (2, 12, 60, 4))
+    breaks: tuple[int, ...] = ()
+    design_weight: float = 0.05
+    design_gaps: tuple[tuple[int, float, float, float], ...] = ()
+    interpolate_rows: int = 4
+    enabled: bool = True
+    prepare: bool = True
+    maximum_gain: float = 3.0
+    background_traces: int = 61
+    wavelet: tuple[float, ...] = ()
+    least_support: float = 0.75
+    least_margin: float = 0.01
+    least_observed: float = 0.2
+    review_confidence: float = 0.5
+    tolerance_mm: float = 15.0
+    request_limit: int = 3
+    request_spacing_m: float = 10.0
+    seed_policy: str = "uncertainty"
+    budget: int = 4
+    preserve_accepted: bool = True
+
+    def fingerprint(self) -> str:
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
+
+
+METHODS: dict[str, Callable[[joint.Road], dict[int, dict]]] = {
+    "joint_seed_adaptive": joint.track,
+    "seed_hybrid": segments.track,
+    "seed_identity": lambda road: segments.track(road, identity=True),
+    "seeded_packet": lambda road: segments.in_order({s["order"]: segments.packet_track(road.image, road.seeds.get(s["order"], {}), road.pulse, road.step, 0.06, road.surface, road.breaks) for s in road.layers}, road.layers, road.seeds),
+}
+
+
+def road_of(image: np.ndarray, seeds: dict[int, dict[int, int]], o: Options, evidence: dict[str, np.ndarray] | None = None) -> joint.Road:
+    """The road as the trackers take it: prepared branches for raw input, the image as it is for processed input; traces beyond doubt are skipped."""
+    branches: dict[str, np.ndarray] = {}
+    x = image
+    if o.input_mode == "raw" and o.prepare:
+        branches = images.branches(image, o.surface, np.array(o.wavelet) if o.wavelet else None, o.background_traces, o.maximum_gain)
+        x = branches["amplitude"]
+    branches["measured"] = images.packet_support(image, o.pulse_samples)
+    for name, values in (evidence or {}).items():
+        if values.shape != image.shape:
+            raise ValueError(f"evidence {name} has another shape than the road")
+        branches[name] = values
+    skip = branches["anomaly_score"] >= 0.9 if "anomaly_score" in branches else np.zeros(len(image), bool)
+    for known in seeds.values():
+        skip[[r for r in known if r < len(skip)]] = False
+    rows = len(image)
+    corridors = {order: (np.full(rows, low), np.full(rows, mid), np.full(rows, high)) for order, low, mid, high in o.design_gaps}
+    layers = [{"order": order, "least": low, "most": high, "gap": gap} for order, low, high, gap in o.layers]
+    return joint.Road(x, o.surface, o.trace_spacing_m, o.pulse_samples, layers, seeds, set(o.breaks), skip, branches, corridors, o.design_weight)
+
+
+def picked(road: joint.Road, method: str) -> dict[int, dict]:
+    """Run a method by name; an unknown name is an error."""
+    if method not in METHODS:
+        raise ValueError(f"no tracker {method}: {sorted(METHODS)}")
+    return METHODS[method](road)
+
+
+def seeds_of(table: pa.Table) -> dict[int, dict[int, int]]:
+    """layer -> row -> sample. Rows that repeat a layer and row must agree."""
+    out: dict[int, dict[int, int]] = {}
+    for layer, row, sample in zip(table["layer"].to_pylist(), table["row"].to_pylist(), table["sample"].to_pylist(), strict=True):
+        if out.setdefault(layer, {}).setdefault(row, sample) != sample:
+            raise ValueError(f"two seeds of layer {layer} in row {row}")
+    return out
+
+
+def per_road(traces: DataFrame, beside: DataFrame, solve: Callable[[str, np.ndarray, pa.Table], list[dict]], schema: str) -> DataFrame:
+    """``solve(road, image, rows of beside)`` for each road of ``traces`` (road, row, samples); ``beside`` has a road column. Roads without rows there get an empty table."""
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(own: pa.Table, other: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return target.empty_table()
+        own = own.sort_by("row")
+        name = own["road"][0].as_py()
+        return pa.Table.from_pylist([{"road": name} | r for r in solve(name, matrix(own["samples"]), other)], schema=target)
+
+    t = traces.select(F.col("road").cast("string").alias("road"), "row", F.col("samples").cast("array<double>").alias("samples"))
+    b = beside.withColumn("road", F.col("road").cast("string"))
+    return t.groupBy("road").cogroup(b.groupBy("road")).applyInArrow(run, schema)
+
+
+def rows_of(found: dict[int, dict], method: str) -> list[dict]:
+    out = []
+    for layer, r in sorted(found.items()):
+        for k in range(len(r["samples"])):
+            evidence = [(n, float(v[k])) for n, v in r["evidence"].items() if np.isfinite(v[k])]
+            out.append({"method": method, "layer": layer, "row": k, "sample": int(r["samples"][k]), "provisional": int(r["provisional"][k]), "confidence": float(r["confidence"][k]), "interpolated": bool(r["interpolated"][k]), "evidence": evidence})
+    return out
+
+
+def track(traces: DataFrame, seeds: DataFrame, o: Options, methods: tuple[str, ...] = ()) -> DataFrame:
+    """PICKS of every row and layer of every road by ``o.method``, or by several methods; ``seeds`` has (road, layer, row, sample)."""
+
+    def solve(_, image, known):
+        road = road_of(image, seeds_of(known), o)
+        return [r for m in methods or (o.method,) for r in rows_of(picked(road, m), m)]
+
+    return per_road(traces, seeds, solve, PICKS)
+
+
+def with_evidence(traces: DataFrame, evidence: DataFrame, name: str) -> DataFrame:
+    """``traces`` with an evidence array of (road, row, values) as ``name``: every trace must have one, of its own length."""
+    joined = traces.join(evidence.select("road", "row", F.col("values").alias(name)), ["road", "row"], "left")
+    fits = F.coalesce(F.size(name) == F.size("samples"), F.lit(False))
+    return joined.withColumn("_a", F.assert_true(fits, F.lit("evidence does not cover the road"))).filter("_a is null").drop("_a")
+
+
+def track_with(traces: DataFrame, seeds: DataFrame, o: Options, name: str = "likelihood", provenance: DataFrame | None = None) -> DataFrame:
+    """As ``track`` with an evidence column of ``traces`` beside the radar's own branches.
+
+    ``provenance`` (road, trained_on array) must not name the road itself: evidence learned on a road is no evidence there.
+    """
+    if provenance is not None:
+        own = F.array_contains("trained_on", F.col("road").cast("string"))
+        checked = provenance.withColumn("_a", F.assert_true(~own, F.lit("evidence was learned on this road"))).filter("_a is null").select("road")
+        traces = traces.join(checked, "road", "left_semi")
+    target = to_arrow_schema(StructType.fromDDL(PICKS))
+
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return target.empty_table()
+        own = own.sort_by("row")
+        road = road_of(matrix(own["samples"]), seeds_of(known), o, {"reflectivity": matrix(own[name])})
+        label = own["road"][0].as_py()
+        return pa.Table.from_pylist([{"road": label} | r for r in rows_of(picked(road, o.method), o.method)], schema=target)
+
+    t = traces.select(F.col("road").cast("string").alias("road"), "row", F.col("samples").cast("array<double>").alias("samples"), F.col(name).cast("array<double>").alias(name))
+    return t.groupBy("road").cogroup(seeds.withColumn("road", F.col("road").cast("string")).groupBy("road")).applyInArrow(run, PICKS)
+
+
+# ---------------------------------------------------------------- analysis
+
+
+@dataclass
+class Analysis:
+    """The tables of a run. Each is a plan over the written picks."""
+
+    options: Options
+    picks: DataFrame
+    thickness: DataFrame
+    issues: DataFrame
+    requests: DataFrame
+    about: DataFrame = field(default=None)
+
+
+def described(picks: DataFrame, o: Options) -> DataFrame:
+    """Picks with chainage, travel time below the surface and status: accepted, review, or unresolved where nothing is measured."""
+    status = F.when(F.col("sample") < 0, "unresolved").when(F.col("interpolated") | (F.col("confidence") < o.review_confidence), "review").otherwise("accepted")
+    return picks.select("*", (F.col("row") * o.trace_spacing_m).alias("chainage_m"), F.when(F.col("sample") >= 0, (F.col("sample") - o.surface) * o.sample_interval_ns).alias("twtt_ns"), status.alias("status"))
+
+
+def thickness(picks: DataFrame, o: Options) -> DataFrame:
+    """(road, bin, layer, picks, status, twtt_ns, thickness_mm): medians of the measured picks of a bin; thickness from the layer above, null where that one is missing there."""
+    b = picks.withColumn("bin", F.floor(F.col("chainage_m") / o.report_interval_m).cast("long")).groupBy("road", "bin", "layer").agg(
+        F.count("*").alias("picks"),
+        F.median("twtt_ns").alias("twtt_ns"),
+        F.when(F.bool_or(F.col("status") == "unresolved"), "unresolved").when(F.bool_and(F.col("status") == "accepted"), "accepted").otherwise("review").alias("status"),
+    )
+    w = Window.partitionBy("road", "bin").orderBy("layer")
+    above = F.when(F.col("layer") == 1, F.lit(0.0)).when(F.lag("layer").over(w) == F.col("layer") - 1, F.lag("twtt_ns").over(w))
+    return b.withColumn("thickness_mm", (F.col("twtt_ns") - above) * SPEED_MM_NS / (2 * o.dielectric**0.5))
+
+
+def issues(picks: DataFrame) -> DataFrame:
+    """(road, layer, first, last, rows, worst): runs of rows that need a decision."""
+    w = Window.partitionBy("road", "layer").orderBy("row")
+    open_ = picks.filter("status <> 'accepted'").withColumn("_g", F.col("row") - F.row_number().over(w))
+    return open_.groupBy("road", "layer", "_g").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("rows"), F.min("confidence").alias("worst")).drop("_g")
+
+
+def requests(found: DataFrame, o: Options) -> DataFrame:
+    """(road, layer, rank, row): the middles of the longest open runs, a few a road."""
+    w = Window.partitionBy("road").orderBy(F.desc("rows"), "layer", "first")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= o.request_limit).select("road", "layer", "rank", F.expr("(first + last) div 2").cast("int").alias("row"))
+
+
+def analyze(traces: DataFrame, seeds: DataFrame, o: Options, keep: Callable[[DataFrame], DataFrame]) -> Analysis:
+    """Track, describe, bin and review all roads. ``keep`` writes the picks, which everything else reads, so roads are tracked once."""
+    picks = keep(described(track(traces, seeds, o), o))
+    found = issues(picks)
+    about = picks.groupBy("road", "layer").agg(F.avg((F.col("status") != "accepted").cast("double")).alias("open_share")).select("*", F.lit(o.fingerprint()).alias("options"), F.lit(o.method).alias("method"))
+    return Analysis(o, picks, thickness(picks, o), found, requests(found, o), about)
+
+
+def against_design(result: Analysis, design: DataFrame) -> DataFrame:
+    """Thickness bins with their design (road, layer, design_mm): compliant within the tolerance, unresolved where the bin is, not evaluated without a design."""
+    t = F.col("thickness_mm")
+    state = F.when(F.col("design_mm").isNull(), "not_evaluated").when(t.isNull() | (F.col("status") == "unresolved"), "unresolved").when(F.abs(t - F.col("design_mm")) <= result.options.tolerance_mm, "compliant").otherwise("out_of_tolerance")
+    return result.thickness.join(design, ["road", "layer"], "left").withColumn("compliance", state)
+
+
+def against_reference(result: Analysis, reference: DataFrame) -> DataFrame:
+    """(road, layer, n, measured, mean_error): reference samples (road, layer, row, sample) against the picks of their rows."""
+    j = reference.withColumnRenamed("sample", "reference").join(result.picks.select("road", "layer", "row", "sample"), ["road", "layer", "row"])
+    hit = F.col("sample") >= 0
+    return j.groupBy("road", "layer").agg(F.count("*").alias("n"), F.count_if(hit).alias("measured"), F.avg(F.when(hit, F.abs(F.col("sample") - F.col("reference")))).alias("mean_error"))
+
+
+def run_analysis(traces: DataFrame, seeds: DataFrame, design: DataFrame, reference: DataFrame, o: Options, folder: str, keep: Callable[[DataFrame], DataFrame]) -> tuple[Analysis, DataFrame]:
+    """Analyse, compare with design and reference, and write the package; returns the analysis and the package's manifest."""
+    from ..sources.sinks import write_package
+
+    result = analyze(traces, seeds, o, keep)
+    tables = {"picks": result.picks, "thickness": against_design(result, design), "issues": result.issues, "reference": against_reference(result, reference)}
+    return result, write_package(folder, tables, result.about)
+
+
+def survey_of(files: DataFrame, wanted: str) -> str:
+    """The path of the one survey file whose stem is ``wanted``; none or several are an error, never a guess."""
+    found = [r.path for r in files.filter((F.col("stem") == wanted) & (F.col("kind") == "dzt")).select("path").limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"{'no' if not found else 'more than one'} survey {wanted}")
+    return found[0]
+
+
+# ---------------------------------------------------------------- corrections and replays
+
+
+def corrected(traces: DataFrame, before: DataFrame, seeds: DataFrame, o: Options, start: int, stop: int, orders: tuple[int, ...]) -> DataFrame:
+    """PICKS after a correction of some layers between two rows: new there, old elsewhere.
+
+    With ``preserve_accepted`` accepted picks stay. New picks that come closer to a kept layer than the gap give way; a seed that does is an error.
+    """
+    gap = {order: least for order, _, _, least in o.layers}
+    old = before.select("road", "layer", "row", F.col("sample").alias("old"), F.col("confidence").alias("old_confidence"), F.col("status").alias("old_status"))
+    new = track(traces, seeds, o)
+    both = new.join(old, ["road", "layer", "row"], "left")
+    inside = F.col("row").between(start, stop) & F.col("layer").isin(*orders)
+    if o.preserve_accepted:
+        inside = inside & (F.coalesce("old_status", F.lit("")) != "accepted")
+    merged = both.withColumn("changed", inside).withColumn("now", F.when(inside, F.col("sample")).otherwise(F.coalesce("old", "sample"))).withColumn("sure", F.when(inside, F.col("confidence")).otherwise(F.coalesce("old_confidence", "confidence")))
+    side = merged.select("road", "row", F.struct("layer", "now", "changed").alias("s")).groupBy("road", "row").agg(F.collect_list("s").alias("all"))
+    least = F.element_at(F.create_map(*[F.lit(v) for pair in gap.items() for v in pair]), F.col("layer"))
+    other = lambda s: F.element_at(F.create_map(*[F.lit(v) for pair in gap.items() for v in pair]), s["layer"])
+    kept = F.filter("all", lambda s: ~s["changed"] & (s["now"] >= 0))
+    clash = F.exists(kept, lambda s: F.when(s["layer"] < F.col("layer"), F.col("now") < s["now"] + least).when(s["layer"] > F.col("layer"), s["now"] < F.col("now") + other(s)).otherwise(False))
+    bad = F.col("changed") & (F.col("now") >= 0) & clash
+    guarded = merged.join(side, ["road", "row"]).withColumn("bad", bad).join(seeds.select(F.col("road").cast("string").alias("road"), "layer", "row", F.lit(True).alias("seeded")).distinct(), ["road", "layer", "row"], "left")
+    checked = guarded.withColumn("_a", F.assert_true(~(F.col("bad") & F.coalesce("seeded", F.lit(False))), F.lit("a correction contradicts a kept layer"))).filter("_a is null")
+    return checked.select("road", "method", "layer", "row", F.when(F.col("bad"), -1).otherwise(F.col("now")).cast("int").alias("sample"), "provisional", F.when(F.col("bad"), 0.0).otherwise(F.col("sure")).alias("confidence"), "interpolated", "evidence", "changed")
+
+
+REPLAY = "road string, turn int, layer int, row int, answer int, priority double, accepted int, correct int, total int"
+
+
+def next_request(found: dict[int, dict], known: dict[int, dict[int, int]], asked: set[tuple[int, int]], step: float, policy: str, slots: int = 4) -> tuple[int, int, float] | None:
+    """(layer, row, priority) to ask for next: the most uncertain row, tapered within a metre of known ones, the middle of the widest interval, or fixed positions. References are never looked at."""
+    out = []
+    for order, r in sorted(found.items()):
+        rows = len(r["samples"])
+        taken = set(known.get(order, {})) | {b for a, b in asked if a == order}
+        free = np.array([k for k in range(rows) if k not in taken])
+        if not len(free):
+            continue
+        if policy == "fixed_spacing":
+            spots = [int(v) for v in np.rint(np.linspace(0, rows - 1, slots + 2)[1:-1]) if int(v) not in taken]
+            if spots:
+                out.append((float(slots - (slots - len(spots))), -order, -spots[0], order, spots[0]))
+        elif policy == "largest_interval_midpoint":
+            edge = sorted(taken | {0, rows - 1})
+            for a, b in zip(edge, edge[1:], strict=False):
+                inside = free[(free > a) & (free < b)]
+                if len(inside):
+                    row = int(inside[np.abs(inside - (a + b) / 2).argmin()])
+                    out.append(((b - a) * step, -order, -row, order, row))
+        elif policy == "uncertainty":
+            doubt = 1 - r["confidence"]
+            near = np.abs(free[:, None] - np.array(sorted(taken))[None, :]).min(axis=1) if taken else np.full(len(free), rows)
+            value = np.maximum(0, doubt[free]) * np.minimum(1, near * step / max(step, 1.0))
+            k = int(value.argmax())
+            out.append((float(value[k]), -order, -int(free[k]), order, int(free[k])))
+        else:
+            raise ValueError(f"no policy {policy}")
+    if not out:
+        return None
+    best = max(out)
+    return best[3], best[4], best[0]
+
+
+def replay(traces: DataFrame, seeds: DataFrame, references: DataFrame, o: Options, tolerance: float) -> DataFrame:
+    """REPLAY: for each road, ask for a row, get its reference as a seed, track again, ``o.budget`` times; every request is charged, also one without an answer.
+
+    Turn 0 is the start. Scores count the references that were not supplied. ``seeds`` and ``references`` have (road, layer, row, sample).
+    """
+    both = seeds.select("road", "layer", "row", "sample", F.lit(True).alias("given")).unionByName(references.select("road", "layer", "row", "sample", F.lit(False).alias("given")))
+
+    def solve(_, image, table):
+        given = np.array(table["given"].to_pylist(), bool) if table.num_rows else np.zeros(0, bool)
+        known, truth = seeds_of(table.filter(pa.array(given))), seeds_of(table.filter(pa.array(~given)))
+        start = {a: set(b) for a, b in known.items()}
+        asked: set[tuple[int, int]] = set()
+        out, request = [], None
+        for turn in range(o.budget + 1):
+            found = picked(road_of(image, known, o), o.method)
+            taken = correct = total = 0
+            for layer, points in truth.items():
+                for row, sample in points.items():
+                    if row in start.get(layer, ()) or (layer, row) in asked or layer not in found:
+                        continue
+                    total += 1
+                    pick = found[layer]["samples"][row]
+                    taken += pick >= 0
+                    correct += pick >= 0 and abs(pick - sample) <= tolerance
+            layer, row, priority = request if request else (None, None, None)
+            out.append({"turn": turn, "layer": layer, "row": row, "answer": truth.get(layer, {}).get(row) if request else None, "priority": priority, "accepted": int(taken), "correct": int(correct), "total": total})
+            request = next_request(found, known, asked, o.trace_spacing_m, o.seed_policy)
+            if request is None:
+                break
+            asked.add(request[:2])
+            answer = truth.get(request[0], {}).get(request[1])
+            if answer is not None:
+                known = known | {request[0]: known.get(request[0], {}) | {request[1]: answer}}
+        return out
+
+    return per_road(traces, both, solve, REPLAY)
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+def evaluate(traces: DataFrame, seeds: DataFrame, references: DataFrame, o: Options, methods: tuple[str, ...], tolerance: float) -> DataFrame:
+    """(road, method, layer, n, accepted, agree, proposed_agree, precision, coverage, mean_error) of methods against references without the seeds' rows."""
+    key = ["road", "layer", "row"]
+    as_text = lambda df: df.withColumn("road", F.col("road").cast("string"))
+    blind = as_text(references).withColumnRenamed("sample", "reference").join(as_text(seeds).select(key), key, "left_anti")
+    j = track(traces, seeds, o, methods).join(blind, key)
+    hit, off = F.col("sample") >= 0, F.abs(F.col("sample") - F.col("reference"))
+    proposed = (F.col("provisional") >= 0) & (F.abs(F.col("provisional") - F.col("reference")) <= tolerance)
+    g = j.groupBy("road", "method", "layer").agg(F.count("*").alias("n"), F.count_if(hit).alias("accepted"), F.count_if(hit & (off <= tolerance)).alias("agree"), F.count_if(proposed).alias("proposed_agree"), F.avg(F.when(hit, off)).alias("mean_error"))
+    return g.withColumn("precision", F.try_divide("agree", "accepted")).withColumn("coverage", F.col("agree") / F.col("n"))
+
+
+def by_split(scores: DataFrame, splits: DataFrame) -> DataFrame:
+    """Scores of ``evaluate`` over the roads of each split (road, split): pooled, mean of roads, and worst road."""
+    j = scores.join(splits.withColumn("road", F.col("road").cast("string")), "road")
+    return j.groupBy("split", "method", "layer").agg(F.count("*").alias("roads"), F.sum("n").alias("n"), F.try_divide(F.sum("agree"), F.sum("accepted")).alias("pooled"), F.avg("precision").alias("macro"), F.min("precision").alias("worst"))
+
+
+def calibrated(picks: DataFrame, references: DataFrame, seeds: DataFrame, target: float, buffer: int, tolerance: float, steps: int = 20) -> DataFrame:
+    """(method, layer, threshold, accepted, agreement, coverage): the lowest confidence from which the picks that are farther than ``buffer`` rows from any seed agree with the references as often as ``target``.
+
+    Null where none does. One aggregate over all thresholds; buffers are an anti join on the rows beside seeds.
+    """
+    key = ["road", "layer", "row"]
+    near = seeds.select(F.col("road").cast("string").alias("road"), "layer", F.explode(F.sequence(F.col("row") - buffer, F.col("row") + buffer)).alias("row")).distinct()
+    blind = references.withColumn("road", F.col("road").cast("string")).withColumnRenamed("sample", "reference").join(near, key, "left_anti")
+    j = picks.join(blind, key).withColumn("threshold", F.explode(F.array(*[F.lit(k / steps) for k in range(steps + 1)])))
+    take = (F.col("sample") >= 0) & (F.col("confidence") >= F.col("threshold"))
+    c = j.groupBy("method", "layer", "threshold").agg(F.count("*").alias("n"), F.count_if(take).alias("accepted"), F.count_if(take & (F.abs(F.col("sample") - F.col("reference")) <= tolerance)).alias("agree"))
+    good = F.min(F.when((F.col("accepted") > 0) & (F.col("agree") >= target * F.col("accepted")), F.struct("threshold", "accepted", "agree", "n")))
+    b = c.groupBy("method", "layer").agg(good.alias("b"))
+    return b.select("method", "layer", F.col("b.threshold").alias("threshold"), F.col("b.accepted").alias("accepted"), F.try_divide("b.agree", "b.accepted").alias("agreement"), F.try_divide("b.agree", "b.n").alias("coverage"))
+
+
+# ---------------------------------------------------------------- frozen models
+
+
+@dataclass(frozen=True)
+class Bundle:
+    """A frozen model of patches around a sample: weights of every patch value and channel, and what it was made for."""
+
+    weights: tuple[float, ...]
+    intercept: float
+    beside: int
+    along: int
+    layer: int
+    sample_interval_ns: float
+    trained_on: tuple[str, ...] = ()
+
+    def sha256(self) -> str:
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
+
+
+def channels(image: np.ndarray, layer: int, seeds: dict[int, int], pulse: float) -> np.ndarray:
+    found = images.prototypes(image, seeds, pulse)
+    return images.model_channels(image, layer, [p["real"] for p in found], list(seeds.items()), [])[:3]
+
+
+def fit_bundle(roads: list[tuple[str, np.ndarray, dict[int, int], dict[int, int]]], layer: int, interval: float, pulse: float, beside: int = 1, along: int = 3, ridge: float = 1.0) -> Bundle:
+    """A bundle from (road, image, seeds, labels): logistic regression of whether a sample is the labelled one, against samples a pulse and more away."""
+    xs, ys = [], []
+    for _, image, seeds, labels in roads:
+        c = channels(image, layer, seeds, pulse)
+        for row, sample in labels.items():
+            for at, y in ((sample, 1.0), *((s, 0.0) for s in range(along, image.shape[1] - along, max(2, round(pulse))) if abs(s - sample) >= pulse)):
+                if along <= at < image.shape[1] - along:
+                    xs.append(_patch(c, row, at, beside, along))
+                    ys.append(y)
+    x, y = np.array(xs), np.array(ys)
+    w = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    beta, intercept = solvers.logistic(x, y, w, ridge)
+    return Bundle(tuple(beta.tolist()), float(intercept), beside, along, layer, interval, tuple(r[0] for r in roads))
+
+
+def _patch(c: np.ndarray, row: int, at: int, beside: int, along: int) -> np.ndarray:
+    rows = np.clip(np.arange(row - beside, row + beside + 1), 0, c.shape[1] - 1)
+    return c[:, rows, at - along : at + along + 1].ravel()
+
+
+class Predictor:
+    """A frozen bundle over tiles of a road, and the log of what it was asked: the same request gives the same answer, and the weights cannot change on the way."""
+
+    def __init__(self, bundle: Bundle, pulse: float, tile: int = 32):
+        self.bundle, self.pulse, self.tile = bundle, pulse, tile
+        self.sha256 = bundle.sha256()
+        self.history: list[dict] = []
+
+    def __call__(self, road: str, image: np.ndarray, seeds: dict[int, int], interval: float) -> np.ndarray:
+        """Depth probabilities (row, sample), overlapping tiles averaged with weights that fall off to their edges."""
+        b = self.bundle
+        if b.sha256() != self.sha256 or interval != b.sample_interval_ns or road in b.trained_on:
+            raise ValueError("the bundle is not the frozen one, of another grid, or learned on this road")
+        rows, samples = image.shape
+        c = channels(image, b.layer, seeds, self.pulse)
+        total, weight = np.zeros((rows, samples)), np.zeros((rows, 1))
+        kernel = np.array(b.weights).reshape(c.shape[0], 2 * b.beside + 1, 2 * b.along + 1)
+        starts = [0] if rows <= self.tile else sorted({*range(0, rows - self.tile + 1, self.tile // 2), rows - self.tile})
+        for start in starts:
+            part = np.pad(c[:, start : start + self.tile], ((0, 0), (b.beside, b.beside), (0, 0)), mode="edge")
+            windows = np.lib.stride_tricks.sliding_window_view(part, (2 * b.beside + 1, 2 * b.along + 1), axis=(1, 2))
+            z = np.full((part.shape[1] - 2 * b.beside, samples), -30.0)
+            z[:, b.along : samples - b.along] = np.einsum("crsij,cij->rs", windows, kernel) + b.intercept
+            taper = np.minimum(np.arange(len(z)) + 1, len(z) - np.arange(len(z)))[:, None].astype(float)
+            total[start : start + len(z)] += taper / (1 + np.exp(-np.clip(z, -30, 30)))
+            weight[start : start + len(z)] += taper
+        p = total / weight
+        p[:, : b.along] = p[:, samples - b.along :] = 0
+        p = p / np.maximum(p.sum(axis=1, keepdims=True), 1e-12)
+        self.history.append({"road": road, "seeds": dict(seeds), "bundle": self.sha256})
+        return p
+
+
+LIKELIHOOD = "road string, row int, values array<double>, bundle string"
+
+
+def infer(traces: DataFrame, seeds: DataFrame, bundle: Bundle, o: Options) -> DataFrame:
+    """LIKELIHOOD of every trace under a frozen bundle, which travels with the plan; a few thousand numbers."""
+
+    def solve(road, image, known):
+        p = Predictor(bundle, o.pulse_samples)(road, image, seeds_of(known).get(bundle.layer, {}), o.sample_interval_ns)
+        return [{"row": k, "values": v.tolist(), "bundle": bundle.sha256()} for k, v in enumerate(p)]
+
+    return per_road(traces, seeds, solve, LIKELIHOOD)
+
+
+def by_content(traces: DataFrame, compute: Callable[[np.ndarray], list[dict]], schema: str) -> DataFrame:
+    """``compute`` once for each distinct content of a road, its rows for every road that has it, with the content's hash.
+
+    ``schema`` has road, content and what ``compute`` gives. Hashes are made where the roads are; only equal ones meet.
+    """
+    digest = lambda image: hashlib.sha256(np.ascontiguousarray(image).tobytes()).hexdigest()
+    named = per_road(traces, traces.select("road").limit(0), lambda _, image, __: [{"content": digest(image)}], "road string, content string")
+    first = named.groupBy("content").agg(F.min("road").alias("road"))
+    chosen = traces.withColumn("road", F.col("road").cast("string")).join(first.select("road"), "road", "left_semi")
+    made = per_road(chosen, traces.select("road").limit(0), lambda _, image, __: [{"content": digest(image)} | r for r in compute(image)], schema)
+    return named.join(made.drop("road"), "content").select([f.name for f in StructType.fromDDL(schema)])
+
+
+def crops(traces: DataFrame, labels: DataFrame, surfaces: DataFrame, reference: int, size: int, folder: str) -> DataFrame:
+    """Write training crops of ``size`` traces, aligned to a common surface, with their labels, by road; returns (road, crop, rows, labels).
+
+    ``labels`` (road, row, layer, sample) belong to their own row; ``surfaces`` (road, row, surface). Samples move with the surface, as the traces do.
+    """
+    key = ["road", "row"]
+    moved = F.transform(F.sequence(F.lit(0), F.size("samples") - 1), lambda k: F.get("samples", k + F.col("surface") - reference))
+    rows = traces.join(surfaces, key).select("road", "row", F.floor(F.col("row") / size).cast("int").alias("crop"), moved.alias("samples"), "surface")
+    told = labels.join(surfaces, key).select("road", "row", F.struct("layer", (F.col("sample") - F.col("surface") + reference).alias("sample")).alias("label")).groupBy(key).agg(F.sort_array(F.collect_list("label")).alias("labels"))
+    rows.join(told, key, "left").withColumn("labels", F.coalesce("labels", F.expr("array()").cast("array<struct<layer:int,sample:int>>"))).write.mode("errorifexists").partitionBy("road").parquet(folder)
+    back = traces.sparkSession.read.parquet(folder)
+    return back.groupBy(F.col("road").cast("string").alias("road"), "crop").agg(F.count("*").alias("rows"), F.sum(F.size("labels")).cast("long").alias("labels"))
+
+
+def variant(o: Options, **changes) -> Options:
+    return replace(o, **changes)

@@ -1,0 +1,637 @@
+"""Images, motion and trackers against loops, enumeration and synthetic roads whose interfaces are known."""
+
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fathomline.operators import images, motion, signal
+from fathomline.tracking import engine, joint, segments
+from fathomline.tracking.table import Table, build, evidence_maps, row_range
+
+SPECS = [{"order": 1, "least": 10, "most": 60, "gap": 6}, {"order": 2, "least": 30, "most": 100, "gap": 8}]
+
+
+def pulse(n, at, width):
+    z = (np.arange(n) - at) / width
+    return (1 - z**2) * np.exp(-(z**2) / 2)
+
+
+def synthetic(rows=60, n=128, seed=0, noise=0.02, weak=()):
+    """(image, upper, lower): a surface and two undulating interfaces; ``weak`` rows have noise alone below the surface."""
+    draw = np.random.default_rng(seed)
+    i = np.arange(rows)
+    upper, lower = 45 + np.round(2 * np.sin(i / 9)).astype(int), 80 + np.round(3 * np.sin(i / 11)).astype(int)
+    x = np.stack([-3 * pulse(n, 15, 2.5) + (0.0 if k in weak else 1.0) * (0.9 * pulse(n, a, 2.4) - 0.7 * pulse(n, b, 3.2)) for k, (a, b) in enumerate(zip(upper, lower, strict=True))])
+    return x + noise * draw.standard_normal(x.shape), upper, lower
+
+
+def road(x, upper, lower, rows=(5, 30, 55), prepared=True, **more):
+    branches = images.branches(x, 15) if prepared else {}
+    image = branches.get("amplitude", x)
+    branches["measured"] = images.packet_support(x, 7.0)
+    seeds = {1: {r: int(upper[r]) for r in rows}, 2: {r: int(lower[r]) for r in rows}}
+    return joint.Road(image, 15, 0.4, 7.0, SPECS, seeds, branches=branches, **more)
+
+
+# ---------------------------------------------------------------- images
+
+
+def test_windows_against_loops():
+    x = np.random.default_rng(0).standard_normal((6, 11))
+    for size in (3, 5):
+        for axis in (0, 1):
+            n = x.shape[axis]
+            at = [np.clip(np.arange(k - size // 2, k + size // 2 + 1), 0, n - 1) for k in range(n)]
+            assert np.allclose(images.box(x, size, axis), np.stack([np.take(x, a, axis).mean(axis=axis) for a in at], axis=axis))
+            assert np.allclose(images.peak_of(x, size, axis), np.stack([np.take(x, a, axis).max(axis=axis) for a in at], axis=axis))
+    padded = np.pad(x, ((0, 0), (2, 2)))
+    assert np.allclose(images.box(x, 5, 1, zeros=True), np.stack([padded[:, k : k + 5].sum(axis=1) / 5 for k in range(11)], axis=1))
+    assert np.isclose(images.blurred(np.eye(1, 41, 20), 2.0, 1).sum(), 1)
+
+
+def test_band_and_gain():
+    t = np.arange(128)
+    x = np.sin(2 * np.pi * 0.1 * t)[None, :] * np.linspace(1, 0.2, 128) + 0 * np.ones((9, 1))
+    low, high = images.main_band(x, 5)
+    assert low <= 0.1 <= high
+    gain = images.time_gain(x, 5, 3.0)
+    assert (gain[:2] == 1).all() and gain.max() <= 3.0 and gain[-1] > gain[30]
+
+
+def test_subtraction_takes_the_tracked_reflection_and_leaves_the_other():
+    x, upper, lower = synthetic(noise=0.0)
+    out, gain = images.without_reflection(x, upper, 7.0)
+    near = lambda image, path: np.mean([np.abs(image[k, p - 3 : p + 4]).max() for k, p in enumerate(path)])
+    assert near(out, upper) < 0.35 * near(x, upper) and near(out, lower) > 0.9 * near(x, lower) and gain.max() > 0.6
+    same, none = images.without_reflection(x, np.full(len(x), -1), 7.0)
+    assert (same == x).all() and not none.any()
+
+
+def test_packets_and_anomalies():
+    x, upper, lower = synthetic()
+    s = images.packet_support(x, 7.0)
+    assert 0 <= s.min() and s.max() <= 1
+    on = np.mean([s[k, u] for k, u in enumerate(upper)])
+    off = np.mean([s[k, 100:120].mean() for k in range(len(x))])
+    assert on > 0.5 and on > 2 * off
+    broken = x.copy()
+    broken[30] = 40 * np.random.default_rng(1).standard_normal(x.shape[1])
+    score, support = images.anomalies(broken, signal.envelope(broken), np.ones(x.shape), 15)
+    assert score.argmax() == 30 and support[30] > 0
+
+
+def test_templates_know_their_seed():
+    x, upper, _ = synthetic()
+    found = images.prototypes(x, {10: int(upper[10]), 40: int(upper[40]), 3: 2}, 7.0)
+    assert [p["row"] for p in found] == [10, 40]
+    m, each = images.template_maps(x, found)
+    assert all(m["signed"][k, u] > 0.9 and m["phase"][k, u] > 0.8 for k, u in enumerate(upper)) and len(each) == 2
+    template = found[0]["real"]
+    k = int(upper[20])
+    window = x[20, k - found[0]["radius"] : k + found[0]["radius"] + 1]
+    assert np.isclose(each[0][20, k], np.clip(window @ template / np.sqrt((window**2).sum()), -1, 1))
+
+
+def test_patches_never_fill_in():
+    x = np.random.default_rng(2).standard_normal((5, 20))
+    valid = np.ones(x.shape, bool)
+    valid[2, 9] = False
+    values, support, usable = images.patches(x, valid, np.array([2, 2, 0]), np.array([10, 9, 0]), 1, 2)
+    assert usable.tolist() == [True, False, True] and not values[~support].any()
+    assert np.allclose(np.linalg.norm(values[0], axis=1), 1) and support[2].sum() == 2 * 3
+
+
+# ---------------------------------------------------------------- motion
+
+
+def moving(shifts, n=96):
+    at = 40 + np.concatenate([[0], np.cumsum(shifts)])
+    return np.stack([pulse(n, a, 3.0) - 0.5 * pulse(n, a + 25, 3.0) for a in at]), at
+
+
+def test_motion_finds_shifts_and_composes_them():
+    x, at = moving([2, -1, 3, 0, 1])
+    m = motion.adjacent(x, 5.0)
+    for k, s in enumerate([2, -1, 3, 0, 1]):
+        assert m["forward"]["shift"][k, at[k]] == s and m["backward"]["shift"][k + 1, at[k + 1]] == -s
+        assert m["forward"]["support"][k, at[k]] > 0.9
+    flow = motion.composed(m, [1, 2, 3, 5])
+    for d in (1, 2, 3, 5):
+        shift, quality = flow[d]["forward"]
+        there, worst = motion.advected(np.array([at[0]]), 0, d, m["forward"])
+        assert shift[0, at[0]] == there[0] - at[0] == at[d] - at[0] and np.isclose(quality[0, at[0]], worst[0])
+        assert not quality[len(x) - d :].any()
+
+
+def test_registration_against_enumeration():
+    draw = np.random.default_rng(3)
+    a, b = draw.standard_normal((2, 1, 6))
+    steps = {0: (1, 1), 1: (1, 2), 2: (2, 1)}
+
+    def walks(i, j):
+        if (i, j) == (5, 5):
+            yield ()
+            return
+        for name, (p, q) in steps.items():
+            if i + p <= 5 and j + q <= 5 and abs(i + p - j - q) <= 2:
+                for rest in walks(i + p, j + q):
+                    yield (name, *rest)
+
+    def priced(walk):
+        i = j = 0
+        total, pairs = (a[0, 0] - b[0, 0]) ** 2, [(0, 0)]
+        for name in walk:
+            if name == 1:
+                total += (a[0, i + 1] - b[0, j + 1]) ** 2 + motion.STRETCH
+                pairs.append((i + 1, j + 1))
+            if name == 2:
+                total += (a[0, i + 1] - b[0, j + 1]) ** 2 + motion.STRETCH
+                pairs.append((i + 1, j + 1))
+            i, j = i + steps[name][0], j + steps[name][1]
+            total += (a[0, i] - b[0, j]) ** 2
+            pairs.append((i, j))
+        return total, pairs
+
+    _, pairs = min(map(priced, walks(0, 0)), key=lambda r: r[0])
+    want = [np.mean([q for p, q in pairs if p == k]) for k in range(6)]
+    mapped, agreement = motion.register(a, b, 2, 3.0)
+    assert np.allclose(mapped[0], want) and 0 < agreement.min() <= 1
+    x, at = moving([3])
+    image = motion.balanced(x, 5.0)
+    there, _ = motion.register(image[:1], image[1:], 6, 5.0)
+    assert abs(there[0, at[0]] - at[1]) <= 1
+
+
+def test_profile_paths_cost_least():
+    draw = np.random.default_rng(4)
+    a, b = draw.standard_normal((2, 5))
+
+    def least(i, j):
+        if i == j == 0:
+            return (a[0] - b[0]) ** 2
+        return (a[i] - b[j]) ** 2 + min(least(p, q) for p, q in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if p >= 0 and q >= 0)
+
+    path = motion.profile_path(a, b)
+    assert path[0] == (0, 0) and path[-1] == (4, 4) and np.isclose(sum((a[i] - b[j]) ** 2 for i, j in path), least(4, 4))
+    cut = motion.profile_path(a, b, np.array([True, True, False, True, True]))
+    assert {p for p, _ in cut} == {0, 1, 3, 4} and motion.profile_path(np.zeros(4), b[:4]) == []
+
+
+def test_offsets_of_sources():
+    x = np.random.default_rng(5).standard_normal((60, 80)).cumsum(axis=1)
+    raw = np.roll(np.pad(x, ((3, 0), (0, 0))), 2, axis=1)
+    found = motion.trace_offset(x, raw, np.arange(5, 50, 5), 4, 20)
+    assert (found["offset"], found["lag"]) == (3, 2) and found["verified"]
+    assert not motion.trace_offset(x, np.random.default_rng(6).standard_normal((60, 80)), np.arange(5, 50, 5), 4, 20)["verified"]
+
+
+# ---------------------------------------------------------------- tables and paths
+
+
+def small(rows=5, width=3, seed=0):
+    draw = np.random.default_rng(seed)
+    samples = np.sort(draw.choice(np.arange(10, 60), (rows, width), replace=True), axis=1)
+    wave = draw.standard_normal((rows, width, 11))
+    wave /= np.linalg.norm(wave, axis=2, keepdims=True)
+    features = {n: draw.random((rows, width)) for n in ("signed", "phase", "tracklet", "coherence", "generic", "agreement", "near_seed", "safety", "design", "polarity")}
+    return Table(samples, draw.choice([-1, 1], (rows, width)), draw.integers(0, 8, (rows, width)), wave, features, np.zeros((rows, width), int))
+
+
+def total(t, value, way, breaks, step):
+    s = np.column_stack([t.samples, np.full(len(t.samples), -1)])
+    out = value[0, way[0]]
+    for r in range(1, len(way)):
+        out += value[r, way[r]] - joint.pair_cost(t, r, step, r in breaks)[way[r - 1], way[r]]
+        if r > 1:
+            o, p, c = s[r - 2, way[r - 2]], s[r - 1, way[r - 1]], s[r, way[r]]
+            if min(o, p, c) >= 0:
+                out -= (0.002 if r in breaks else 0.008) * abs((c - p) - (p - o)) / step / step
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_second_order_paths_by_enumeration(seed):
+    t = small(seed=seed)
+    value = np.column_stack([np.random.default_rng(seed).random((5, 3)) * 4, np.full(5, -0.03)])
+    best = max(total(t, value, w, {3}, 0.5) for w in itertools.product(range(4), repeat=5))
+    found, got = joint.paths(t, value, {3}, 0.5, 2, beam=10_000)
+    assert np.isclose(got[0], best) and got[0] >= got[-1]
+    turned, other = joint.paths(joint.reversed_table(t), value[::-1], {2}, 0.5, 1, beam=10_000)
+    assert len(turned[0]) == 5 and np.isfinite(other[0])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_joint_paths_by_enumeration(seed):
+    a, b = small(4, 2, seed), small(4, 2, seed + 10)
+    layers = []
+    for order, t in ((1, a), (2, b)):
+        value = np.column_stack([np.random.default_rng(seed + order).random((4, 2)) * 3, np.full(4, -0.03)])
+        layers.append(joint.Layer(order, 3, t, value[:, :-1], value, {}))
+    s = [np.column_stack([x.table.samples, np.full(4, -1)]) for x in layers]
+
+    def worth(ways):
+        out = 0.0
+        for k, x in enumerate(layers):
+            out += sum(x.value[r, ways[k][r]] for r in range(4)) - sum(joint.pair_cost(x.table, r, 0.5, False)[ways[k][r - 1], ways[k][r]] for r in range(1, 4))
+        for r in range(4):
+            u, v = (s[k][r, ways[k][r]] for k in (0, 1))
+            if min(u, v) >= 0 and v < u + 3:
+                return -np.inf
+            if r:
+                p, q = (s[k][r - 1, ways[k][r - 1]] for k in (0, 1))
+                if min(u, v, p, q) >= 0:
+                    out -= 0.02 * abs((v - u) - (q - p))
+        return out
+
+    every = list(itertools.product(range(3), repeat=4))
+    best = max(worth(w) for w in itertools.product(every, every))
+    _, got = joint.joint_paths(layers, set(), 0.5)
+    assert np.isclose(got[0], best)
+
+
+def test_reconciled_by_enumeration():
+    draw = np.random.default_rng(0)
+    samples = np.sort(draw.integers(10, 40, (4, 2, 2)), axis=1)
+    samples[2, 0, 1] = -1
+    lobes, support, preferred = draw.integers(1, 3, (4, 2, 2)), draw.random((4, 2, 2)), draw.integers(0, 2, (4, 2))
+    gaps, step = [0, 5], 0.5
+    seen = np.concatenate([samples, np.full((4, 2, 1), -1)], axis=2)
+    side = np.concatenate([lobes, np.zeros((4, 2, 1))], axis=2)
+
+    def worth(way):
+        out = 0.0
+        for r in range(4):
+            at = [seen[r, k, way[r][k]] for k in (0, 1)]
+            for k in (0, 1):
+                c = way[r][k]
+                if c < 2 and samples[r, k, c] < 0:
+                    return -np.inf
+                out += -0.35 if c == 2 else support[r, k, c] + 0.08 * (c == preferred[r, k])
+            if min(at) >= 0 and at[1] < at[0] + gaps[1]:
+                return -np.inf
+            if r:
+                for k in (0, 1):
+                    p, q = seen[r - 1, k, way[r - 1][k]], at[k]
+                    changed = way[r - 1][k] != way[r][k]
+                    if min(p, q) >= 0:
+                        u, v = side[r - 1, k, way[r - 1][k]], side[r, k, way[r][k]]
+                        if changed and r != 2 and (abs(p - q) > 7 or u != v and min(u, v) > 0):
+                            return -np.inf
+                        out -= (0.003 if r == 2 else 0.018) * abs(p - q) / step + 0.08 * changed
+                    out -= 0.15 * ((p >= 0) != (q >= 0))
+        return out
+
+    every = list(itertools.product(range(3), repeat=2))
+    best = max(itertools.product(every, repeat=4), key=worth)
+    got = joint.reconciled(samples, lobes, support, preferred, gaps, 7.0, step, {2})
+    assert np.isclose(worth([tuple(g) for g in got]), worth(best))
+
+
+def test_bounds_and_candidates_hold_the_seed():
+    x, upper, _ = synthetic()
+    maps, _, _ = evidence_maps(x, [x], {}, {5: int(upper[5])}, 7.0)
+    from fathomline.tracking.table import bounds
+
+    low, mid, high = bounds(60, 128, 15, SPECS[0], None, {5: 110}, 7.0, 0.4)
+    assert (low <= mid).all() and (mid <= high).all() and high[5] >= 110 and high[5] > high[40] and mid[5] == 110
+    t = build(x, maps, (low, mid, high), {5: 110}, np.arange(60) == 50, 7.0, 6)
+    assert 110 in t.samples[5] and not t.valid[50].any() and (t.valid.sum(axis=1) <= 6).all()
+    assert all((np.diff(r[r >= 0]) >= 4).all() for r in np.delete(t.samples, 5, axis=0))
+    assert all(np.abs(t.samples[k] - upper[k]).min() <= 1 for k in range(50))
+    assert np.allclose(row_range(np.tile(np.arange(101.0), (2, 1)))[:, 50], 0.5)
+
+
+# ---------------------------------------------------------------- trackers
+
+
+@pytest.mark.parametrize("name", sorted(engine.METHODS))
+def test_trackers_follow_both_interfaces(name):
+    x, upper, lower = synthetic()
+    found = engine.METHODS[name](road(x, upper, lower))
+    for order, truth in ((1, upper), (2, lower)):
+        got = found[order]["samples"]
+        assert (got >= 0).mean() > 0.9 and np.abs(got - truth)[got >= 0].max() <= 2
+        assert all(got[r] == truth[r] for r in (5, 30, 55))
+
+
+@pytest.mark.parametrize("name", ["joint_seed_adaptive", "seed_hybrid", "seed_identity"])
+def test_nothing_is_measured_where_nothing_is_seen(name):
+    weak = set(range(36, 50))
+    x, upper, lower = synthetic(weak=weak)
+    found = engine.METHODS[name](road(x, upper, lower))
+    inside = [found[2]["samples"][r] >= 0 for r in sorted(weak)[3:-3]]
+    assert np.mean(inside) < 0.4 and (found[2]["samples"][:30] >= 0).mean() > 0.8
+
+
+def test_noise_gives_no_deep_interface():
+    draw = np.random.default_rng(8)
+    x = draw.standard_normal((60, 128))
+    found = joint.track(road(x, np.full(60, 40), np.full(60, 80), prepared=False))
+    assert (found[2]["samples"] >= 0).mean() < 0.3
+
+
+def test_skipped_rows_and_order_hold():
+    x, upper, lower = synthetic()
+    skip = np.zeros(60, bool)
+    skip[40:44] = True
+    found = joint.track(road(x, upper, lower, skip=skip))
+    assert (found[1]["samples"][40:44] == -1).all()
+    both = (found[1]["samples"] >= 0) & (found[2]["samples"] >= 0)
+    assert (found[2]["samples"] - found[1]["samples"])[both].min() >= 8
+    crossed = {1: {"samples": np.array([10, 20]), "confidence": np.array([0.9, 0.2])}, 2: {"samples": np.array([12, 22]), "confidence": np.array([0.5, 0.8])}}
+    segments.in_order(crossed, SPECS, {1: {}, 2: {}})
+    assert crossed[1]["samples"].tolist() == [10, -1] and crossed[2]["samples"].tolist() == [-1, 22]
+
+
+def test_design_never_measures():
+    x, upper, lower = synthetic()
+    right = {2: (np.full(60, 20.0), np.full(60, 35.0), np.full(60, 50.0))}
+    wrong = {2: (np.full(60, 5.0), np.full(60, 8.0), np.full(60, 12.0))}
+    ok = joint.track(road(x, upper, lower, corridors=right))[2]
+    off = joint.track(road(x, upper, lower, corridors=wrong))[2]
+    assert (ok["samples"] >= 0).mean() > 0.9
+    told = off["samples"] >= 0
+    assert np.abs(off["samples"] - lower)[told].max() <= 2
+
+
+def test_tracklets_and_lineage():
+    x, upper, _ = synthetic()
+    flows = motion.adjacent(x, 7.0)
+    seeds = {30: int(upper[30])}
+    maps, _, _ = evidence_maps(x, [x], {}, seeds, 7.0)
+    limits = np.full(60, 30.0), np.full(60, 45.0), np.full(60, 60.0)
+    t = build(x, maps, limits, seeds, np.zeros(60, bool), 7.0)
+    grown = joint.tracklets(t, seeds, 7.0, 0.4, {50}, 1)
+    assert grown[0]["rows"][0] == 0 and grown[0]["rows"][-1] == 49 and grown[0]["stopped"] == ["road ends", "structural break"]
+    joint.lineage(t, flows, seeds, {50}, 7.0, 0.4)
+    reach = [t.reached[r][t.nearest(r, upper[r])] for r in range(60)]
+    assert all(reach[:50]) and not any(reach[50:])
+    wide = joint.propagated(t, seeds, 7.0, 0.4, 1)
+    assert all(abs(wide[r] - upper[r]) <= 1 for r in wide)
+
+
+def chain_table():
+    """Two parallel reflections over eight rows; the seeds stand on the first."""
+    samples = np.stack([[20, 40]] * 8)
+    wave = np.zeros((8, 2, 11))
+    wave[:, :, 5] = 1
+    ones = {n: np.ones((8, 2)) for n in ("signed", "phase")}
+    return Table(samples, np.ones((8, 2), int), np.zeros((8, 2), int), wave, ones, np.zeros((8, 2), int))
+
+
+def test_segments_cut_at_seeds_and_long_links():
+    t = chain_table()
+    found = [((r, c), (r + 1, c), 0.9, 1) for r in range(7) for c in (0, 1)] + [((1, 1), (4, 0), 0.8, 3)]
+    parts, member, edges = segments.contracted(t, {0: 20, 7: 20}, found)
+    assert sorted(len(p.nodes) for p in parts) == [1, 1, 1, 1, 1, 3, 4, 4] or sum(len(p.nodes) for p in parts) == 16
+    assert member[1, 1] != member[2, 1] and member[3, 0] != member[4, 0] and edges[member[1, 1], member[4, 0]] == 0.8
+    assert {r for p in parts for r in p.seeds} == {0, 7}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_routes_and_margins_by_enumeration(seed):
+    draw = np.random.default_rng(seed)
+    t = chain_table()
+    t.samples[:] = np.sort(draw.choice(np.arange(10, 60), (8, 2)), axis=1)
+    t.samples[:, 1] = np.maximum(t.samples[:, 1], t.samples[:, 0] + 5)
+    x = np.tile(np.where(np.arange(80) % 4 < 2, 1.0, -1.0), (8, 1))
+    found = [((r, a), (r + 1, b), float(draw.uniform(0.5, 1)), 1) for r in range(7) for a in (0, 1) for b in (0, 1)]
+    seeds = {0: int(t.samples[0, 0]), 7: int(t.samples[7, 1])}
+    score = draw.random((8, 2))
+    parts, member, edges = segments.contracted(t, seeds, found)
+
+    def every(want=None):
+        out = []
+        for way in itertools.product((0, 1), repeat=8):
+            if way[0] == 0 and way[7] == 1 and (want is None or way[want[0]] == want[1]):
+                value = sum(score[r, way[r]] for r in range(8)) - sum(1 - next(q for a, b, q, _ in found if a == (r, way[r]) and b == (r + 1, way[r + 1])) for r in range(7))
+                out.append((value, way))
+        return max(out)
+
+    best, way = every()
+    got = segments.routes(t, parts, edges, score, seeds, 4.0, 1.0, whole=True)
+    assert got[0].tolist() == [int(t.samples[r, way[r]]) for r in range(8)]
+    margin, rival = segments.margins(t, x, parts, edges, score, seeds, got[0], 1.0)
+    lobes = segments.lobe_numbers(x)
+    for r in range(1, 7):
+        other = 1 - way[r]
+        if lobes[r, t.samples[r, other]] != lobes[r, t.samples[r, way[r]]]:
+            assert np.isclose(margin[r], (best - every((r, other))[0]) / 8) and rival[r] == t.samples[r, other]
+    path, _, _ = segments.identity_route(t, x, parts, edges, score, seeds, 1.0, 0.0, None)
+    assert (path == got[0]).all()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_identity_routes_by_enumeration(seed):
+    draw = np.random.default_rng(seed + 20)
+    t = chain_table()
+    t.samples[:] = np.sort(draw.choice(np.arange(10, 60), (8, 2)), axis=1)
+    t.samples[:, 1] = np.maximum(t.samples[:, 1], t.samples[:, 0] + 5)
+    x = np.ones((8, 80))
+    found = [((r, a), (r + 1, b), float(draw.uniform(0.5, 1)), 1) for r in range(7) for a in (0, 1) for b in (0, 1)]
+    seeds = {0: int(t.samples[0, 0]), 7: int(t.samples[7, 1])}
+    score, modes = draw.random((8, 2)), draw.random((2, 8, 2))
+    parts, _, edges = segments.contracted(t, seeds, found)
+
+    def worth(way, mode):
+        s = [t.samples[r, way[r]] for r in range(8)]
+        bends = sum(abs((s[r + 1] - s[r]) - (s[r] - s[r - 1])) for r in range(1, 7))
+        return sum(score[r, way[r]] + modes[mode, r, way[r]] for r in range(8)) - sum(1 - next(q for a, b, q, _ in found if a == (r, way[r]) and b == (r + 1, way[r + 1])) for r in range(7)) - 0.02 * bends
+
+    ways = [(0, *w, 1) for w in itertools.product((0, 1), repeat=6)]
+    _, way = max((worth(w, m), w) for w in ways for m in (0, 1))
+    path, _, _ = segments.identity_route(t, x, parts, edges, score, seeds, 1.0, 0.02, modes)
+    assert path.tolist() == [int(t.samples[r, way[r]]) for r in range(8)]
+
+
+def test_stretches_without_a_route_stay_open():
+    t = chain_table()
+    x = np.ones((8, 60))
+    found = [((r, 0), (r + 1, 0), 0.9, 1) for r in (0, 1, 5, 6)]
+    seeds = {0: 20, 7: 20}
+    parts, _, edges = segments.contracted(t, seeds, found)
+    made = segments.solve_spans(t, x, parts, edges, np.ones((8, 2)), seeds, set(), 4.0, 1.0)
+    assert made["unresolved"] == [(0, 7)] and made["paths"][0].tolist() == [20, -1, -1, -1, -1, -1, -1, 20]
+    joined = segments.solve(t, x, parts, edges, np.ones((8, 2)), seeds, 4.0, 1.0)
+    assert joined["paths"][0].tolist() == [20, 20, 20, -1, -1, 20, 20, 20]
+
+
+def test_alignments_agree_with_a_plain_table():
+    draw = np.random.default_rng(0)
+    a, b = draw.standard_normal((2, 3, 6))
+    for p in range(3):
+        w = np.full((7, 7), np.inf)
+        w[0, 0] = 0
+        for i in range(1, 7):
+            for j in range(max(1, i - 2), min(6, i + 2) + 1):
+                w[i, j] = (a[p, i - 1] - b[p, j - 1]) ** 2 + min(w[i - 1, j - 1], w[i - 1, j], w[i, j - 1])
+        assert np.isclose(segments.aligned(a, b, 2)[p], np.exp(-w[6, 6])) and np.isclose(segments.aligned(b, a, 2)[p], np.exp(-w[6, 6]))
+
+
+def test_adapted_bonus_needs_a_supported_run():
+    t = chain_table()
+    t.wave[:, :, 4] = 0.1 * np.arange(8)[:, None]
+    t.wave /= np.linalg.norm(t.wave, axis=2, keepdims=True)
+    path, ones = np.full(8, 20), np.ones(8)
+    bonus = segments.adapted_bonus(t, path, ones, ones, ones, {0: 20}, set(), 0.4)
+    assert bonus.max() > 0 and bonus[0].max() < 1e-9
+    assert not segments.adapted_bonus(t, path, 0 * ones, ones, ones, {0: 20}, set(), 0.4).any()
+    assert not segments.adapted_bonus(t, path, ones, ones, ones, {0: 20}, {1}, 0.4)[1:].any()
+
+
+# ---------------------------------------------------------------- tables in, picks out
+
+
+OPTIONS = engine.Options(surface=15, pulse_samples=7.0, trace_spacing_m=0.4, layers=((1, 10, 60, 6), (2, 30, 100, 8)), budget=2)
+
+
+@pytest.fixture(scope="module")
+def roads(spark):
+    rows, known, told = [], [], []
+    for k, seed in enumerate((0, 1)):
+        x, upper, lower = synthetic(rows=40, seed=seed)
+        rows += [(f"r{k}", r, v.tolist()) for r, v in enumerate(x)]
+        told += [(f"r{k}", layer, r, int(path[r])) for layer, path in ((1, upper), (2, lower)) for r in range(40)]
+    known = [t for t in told if t[2] in (2, 37)]
+    kind = "road string, layer int, row int, sample int"
+    return spark.createDataFrame(rows, "road string, row int, samples array<double>").cache(), spark.createDataFrame(known, kind).cache(), spark.createDataFrame(told, kind).cache()
+
+
+def test_evaluation_and_calibration(spark, roads):
+    traces, known, told = roads
+    scores = engine.evaluate(traces, known, told, OPTIONS, ("joint_seed_adaptive", "seed_hybrid"), 2.0).collect()
+    assert len(scores) == 8 and all(r.n == 38 and r.precision > 0.95 and r.coverage > 0.85 for r in scores)
+    splits = spark.createDataFrame([("r0", "train"), ("r1", "test")], "road string, split string")
+    parts = engine.by_split(engine.evaluate(traces, known, told, OPTIONS, ("seed_hybrid",), 2.0), splits).collect()
+    assert {(r.split, r.layer, r.roads) for r in parts} == {("train", 1, 1), ("train", 2, 1), ("test", 1, 1), ("test", 2, 1)}
+    picks = engine.track(traces, known, OPTIONS)
+    got = engine.calibrated(picks, told, known, 0.9, 3, 2.0).collect()
+    # 40 rows less 3 on either side of the seeds in rows 2 and 37.
+    assert {r.layer for r in got} == {1, 2} and all(r.threshold is not None and r.agreement >= 0.9 and r.coverage <= 1 for r in got)
+    assert all(r.threshold is None for r in engine.calibrated(picks, told.withColumn("sample", F.lit(1)), known, 0.9, 3, 2.0).collect())
+
+
+def test_replay_charges_every_request(roads):
+    traces, known, told = roads
+    for policy in ("uncertainty", "largest_interval_midpoint", "fixed_spacing"):
+        rows = engine.replay(traces, known.filter("row = 2"), told, engine.variant(OPTIONS, seed_policy=policy), 2.0).collect()
+        assert len(rows) == 6 and {r.turn for r in rows} == {0, 1, 2}
+        for r in rows:
+            assert (r.row is None) == (r.turn == 0) and (r.turn == 0 or r.answer is not None)
+        totals = {(r.road, r.turn): r.total for r in rows}
+        assert all(totals[name, 0] == 78 and totals[name, 2] == 76 for name in ("r0", "r1"))
+
+
+def test_requests_ignore_references():
+    found = {1: {"samples": np.full(21, 5), "confidence": np.linspace(1, 0, 21)}, 2: {"samples": np.full(21, 9), "confidence": np.ones(21)}}
+    assert engine.next_request(found, {1: {0: 5}, 2: {0: 9}}, set(), 0.5, "uncertainty")[:2] == (1, 20)
+    assert engine.next_request(found, {1: {0: 5}, 2: {0: 9}}, {(1, 20)}, 0.5, "uncertainty")[:2] == (1, 18)
+    assert engine.next_request(found, {1: {0: 5}, 2: {0: 9}}, set(), 0.5, "largest_interval_midpoint")[:2] == (1, 10)
+    assert engine.next_request(found, {1: {}, 2: {}}, set(), 0.5, "fixed_spacing")[:2] == (1, 4)
+    with pytest.raises(ValueError):
+        engine.next_request(found, {}, set(), 0.5, "guess")
+
+
+def test_corrections_keep_what_they_should(spark, roads):
+    traces, known, told = roads
+    before = engine.described(engine.track(traces, known, OPTIONS), OPTIONS).cache()
+    free = engine.variant(OPTIONS, preserve_accepted=False)
+    after = {(r.road, r.layer, r.row): r for r in engine.corrected(traces, before.withColumn("sample", F.when(F.col("sample") >= 0, F.col("sample") + 1).otherwise(-1)), known, free, 10, 20, (1,)).collect()}
+    old = {(r.road, r.layer, r.row): r["sample"] for r in before.collect()}
+    for key, r in after.items():
+        inside = key[1] == 1 and 10 <= key[2] <= 20
+        assert r.changed == inside and r["sample"] == (old[key] if inside or old[key] < 0 else old[key] + 1)
+    kept = engine.corrected(traces, before, known, OPTIONS, 10, 20, (1,)).filter("changed").collect()
+    accepted = {(r.road, r.layer, r.row) for r in before.filter("status = 'accepted'").collect()}
+    assert not accepted & {(r.road, r.layer, r.row) for r in kept}
+    near = before.withColumn("sample", F.when(F.col("layer") == 2, 47).otherwise(F.col("sample"))).withColumn("status", F.lit("review"))
+    held = engine.corrected(traces, near, known, free, 10, 20, (1,)).filter("changed").collect()
+    assert held and all(r["sample"] < 0 or 47 >= r["sample"] + 8 for r in held)
+    with pytest.raises(Exception, match="contradicts"):
+        engine.corrected(traces, near, known, free, 0, 20, (1,)).collect()
+
+
+def test_an_analysis_and_its_package(spark, roads, tmp_path):
+    traces, known, told = roads
+
+    def keep(df):
+        df.write.parquet(f"{tmp_path}/picks")
+        return spark.read.parquet(f"{tmp_path}/picks")
+
+    design = spark.createDataFrame([("r0", 1, 102.0), ("r0", 2, 300.0)], "road string, layer int, design_mm double")
+    result, manifest = engine.run_analysis(traces, known, design, told, OPTIONS, f"file://{tmp_path}/out", keep)
+    rows = {r.name: r.rows for r in manifest.collect()}
+    assert rows["picks"] == 160 and rows["thickness"] == result.thickness.count() and rows["reference"] == 4
+    state = {(r.road, r.layer): r.compliance for r in engine.against_design(result, design).filter("status = 'accepted'").collect()}
+    assert state["r0", 1] == "compliant" and state["r0", 2] == "out_of_tolerance" and state["r1", 1] == "not_evaluated"
+    one = result.thickness.filter("road = 'r0' and layer = 1 and bin = 1").first()
+    assert abs(one.thickness_mm - one.twtt_ns * engine.SPEED_MM_NS / (2 * 7**0.5)) < 1e-9
+    assert result.requests.groupBy("road").count().filter("count > 3").isEmpty() and result.about.count() == 4
+    assert engine.Options().fingerprint() != OPTIONS.fingerprint() == engine.variant(OPTIONS).fingerprint()
+
+
+def test_surveys_are_never_guessed(spark):
+    files = spark.createDataFrame([("a", "/x/a.dzt", "dzt"), ("b", "/x/b.dzt", "dzt"), ("b", "/y/b.dzt", "dzt"), ("c", "/x/c.dzg", "dzg")], "stem string, path string, kind string")
+    assert engine.survey_of(files, "a") == "/x/a.dzt"
+    for name in ("b", "c"):
+        with pytest.raises(ValueError):
+            engine.survey_of(files, name)
+
+
+def test_frozen_models(spark, roads):
+    traces, known, told = roads
+    images_of = {r: np.array([x.samples for x in traces.filter(F.col("road") == r).orderBy("row").collect()]) for r in ("r0", "r1")}
+    pick = lambda df, r: {x.row: x["sample"] for x in df.filter(f"road = '{r}' and layer = 1").collect()}
+    bundle = engine.fit_bundle([("r0", images_of["r0"], pick(known, "r0"), pick(told, "r0"))], 1, OPTIONS.sample_interval_ns, 7.0)
+    likely = engine.infer(traces.filter("road = 'r1'"), known.filter("road = 'r1'"), bundle, OPTIONS)
+    p = {r.row: np.array(r["values"]) for r in likely.collect()}
+    truth = pick(told, "r1")
+    assert all(abs(p[r].sum() - 1) < 1e-9 for r in p) and np.mean([abs(int(p[r].argmax()) - truth[r]) <= 2 for r in p]) > 0.8
+    predict = engine.Predictor(bundle, 7.0, tile=16)
+    first = predict("r1", images_of["r1"], pick(known, "r1"), OPTIONS.sample_interval_ns)
+    assert np.allclose(first, predict("r1", images_of["r1"], pick(known, "r1"), OPTIONS.sample_interval_ns)) and len(predict.history) == 2
+    with pytest.raises(ValueError):
+        predict("r0", images_of["r0"], {}, OPTIONS.sample_interval_ns)
+    with pytest.raises(ValueError):
+        predict("r1", images_of["r1"], {}, 1.0)
+    one = traces.filter("road = 'r1'")
+    joined = engine.with_evidence(one, likely, "likelihood")
+    provenance = spark.createDataFrame([("r1", ["r0"])], "road string, trained_on array<string>")
+    got = engine.track_with(joined, known.filter("road = 'r1'"), OPTIONS, "likelihood", provenance).filter("layer = 1").collect()
+    assert np.mean([abs(r["sample"] - truth[r.row]) <= 2 for r in got]) > 0.9
+    with pytest.raises(Exception, match="learned on this road"):
+        engine.track_with(joined, known, OPTIONS, "likelihood", spark.createDataFrame([("r1", ["r1"])], "road string, trained_on array<string>")).collect()
+    with pytest.raises(Exception, match="does not cover"):
+        engine.with_evidence(one, likely.filter("row > 0"), "likelihood").collect()
+
+
+def test_equal_contents_are_computed_once(spark, roads):
+    traces, _, _ = roads
+    twice = traces.union(traces.select(F.concat(F.lit("copy "), "road"), "row", "samples"))
+    rows = engine.by_content(twice, lambda x: [{"energy": float((x**2).sum())}], "road string, content string, energy double").collect()
+    by = {r.road: (r.content, r.energy) for r in rows}
+    assert len(by) == 4 and by["r0"] == by["copy r0"] != by["r1"] == by["copy r1"]
+
+
+def test_crops_move_labels_with_the_surface(spark, roads, tmp_path):
+    traces, _, told = roads
+    surfaces = traces.select("road", "row", (F.col("row") % 5).alias("surface"))
+    sizes = engine.crops(traces, told, surfaces, 3, 16, f"{tmp_path}/crops").collect()
+    assert sorted((r.road, r.crop, r.rows, r.labels) for r in sizes) == sorted((name, c, n, 2 * n) for name in ("r0", "r1") for c, n in ((0, 16), (1, 16), (2, 8)))
+    row = spark.read.parquet(f"{tmp_path}/crops").filter("road = 'r0' and row = 7").first()
+    raw = {r.row: r.samples for r in traces.filter("road = 'r0'").collect()}[7]
+    want = {(r.layer, r["sample"] - 2 + 3) for r in told.filter("road = 'r0' and row = 7").collect()}
+    assert {(r.layer, r["sample"]) for r in row.labels} == want and row.samples[10] == raw[9]
+
+
+def test_unknown_methods_and_double_seeds_fail(spark, roads):
+    traces, known, _ = roads
+    with pytest.raises(Exception, match="no tracker"):
+        engine.track(traces, known, engine.variant(OPTIONS, method="guess")).collect()
+    with pytest.raises(Exception, match="two seeds"):
+        engine.track(traces, known.union(known.withColumn("sample", F.col("sample") + 1)), OPTIONS).collect()
+    none = engine.track(traces.filter("road = 'r0'"), known.limit(0), OPTIONS).collect()
+    assert len(none) == 80
+    assert engine.track(traces.limit(0), known, OPTIONS).collect() == []
