@@ -28,11 +28,14 @@ TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4,
 #: A payload's unit: rows of this many samples.
 ROW = 192
 STRIP_ROWS = 512
+#: Bytes of a page that the reader makes at most.
+MOST_PIXELS = 1 << 31
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int = 1 << 62) -> bytes:
+    """``most`` bytes and a little more at the most."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < most:
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -63,8 +66,8 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes most significant bit first, width grown one code early, 256 clears, 257 ends."""
+def lzw_decode(data: bytes, most: int = 1 << 62) -> bytes:
+    """Codes most significant bit first, width grown one code early, 256 clears, 257 ends. Stops a word after ``most`` bytes."""
     words, out = [], bytearray()
     start = [bytes((i,)) for i in range(256)] + [b"", b""]
     bits = held = at = 0
@@ -84,6 +87,8 @@ def lzw_decode(data: bytes) -> bytes:
             words, width, before = start[:], 9, None
             continue
         if before is None:
+            if code >= 256:
+                raise ValueError("damaged LZW strip")
             word = words[code]
         else:
             if code > len(words):
@@ -91,6 +96,8 @@ def lzw_decode(data: bytes) -> bytes:
             word = words[code] if code < len(words) else before + before[:1]
             words.append(before + word[:1])
         out += word
+        if len(out) >= most:
+            return bytes(out)
         before = word
         size = len(words) + 1
         width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
@@ -136,7 +143,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-DECODE = {NONE: bytes, PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+def deflate_decode(data: bytes, most: int = 0) -> bytes:
+    """``most`` bytes at the most, all of them for 0."""
+    return zlib.decompressobj().decompress(data, most)
+
+
+def plain_decode(data: bytes, most: int = 1 << 62) -> bytes:
+    return bytes(data[:most])
+
+
+DECODE = {NONE: plain_decode, PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: deflate_decode, OLD_DEFLATE: deflate_decode}
 ENCODE = {NONE: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1)}
 
 
@@ -187,7 +203,10 @@ def encode(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int =
 def decode(data: bytes) -> Iterator[np.ndarray]:
     """The pages of a TIFF in the order of their directories, uint8 (rows, columns, samples)."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+    kind = struct.unpack_from(order + "H", data, 2)[0] if order and len(data) >= 8 else None
+    if kind == 43:
+        raise ValueError("a BigTIFF, whose 64-bit directories are not read")
+    if kind != 42:
         raise ValueError("not a TIFF")
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
     while at:
@@ -213,31 +232,57 @@ def _page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
     width, height, samples, predictor = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1), one(PREDICTOR, 1)
     if set(tags.get(BITS, [1])) != {8} or predictor not in (1, 2):
         raise ValueError("only 8-bit samples with predictor 1 or 2")
-    unpack = DECODE[one(COMPRESSION, NONE)]
+    unpack = DECODE.get(one(COMPRESSION, NONE))
+    if unpack is None:
+        raise ValueError(f"compression {one(COMPRESSION, NONE)}")
     tiled = TILE_OFFSETS in tags
     bh, bw = (one(TILE_LENGTH, 0), one(TILE_WIDTH, 0)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
+    places, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, []), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, [])
+    if not min(width, height, samples, bh, bw) or len(places) != len(counts) or len(places) != -(-height // bh) * -(-width // bw):
+        raise ValueError("a directory without size or with too few strips or tiles")
+    if width * height * samples > MOST_PIXELS:
+        raise ValueError("a page above the limit")
     out = np.empty((height, width, samples), np.uint8)
     across = -(-width // bw)
-    for i, (place, count) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True)):
+    for i, (place, count) in enumerate(zip(places, counts, strict=True)):
         y, x = i // across * bh, i % across * bw
         rows = bh if tiled else min(bh, height - y)
-        block = np.frombuffer(unpack(data[place : place + count]), np.uint8)[: rows * bw * samples].reshape(rows, bw, samples)
+        size = rows * bw * samples
+        # No more than the block needs is unpacked, whatever the bytes would give.
+        raw = unpack(data[place : place + count], size)
+        if len(raw) < size:
+            raise ValueError("a strip or tile is too short")
+        block = np.frombuffer(raw, np.uint8)[:size].reshape(rows, bw, samples)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=np.uint8)
         out[y : y + rows, x : x + bw] = block[: height - y, : width - x]
     return out
 
 
+PAGES = pa.schema([("id", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())])
+
+
 def pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """(id, page, width, height, samples, pixels) of TIFF files, one row a page; a null file has none, a damaged one fails the read."""
+    """(id, page, width, height, samples, pixels, error) of TIFF files, one row a page.
+
+    A null file has no rows; a damaged one its pages up to the damage and then a row that says what is wrong, in place of ending the job. Rows that
+    repeat an id have their pages each; columns other than the two are not read; an empty table gives no rows.
+    """
 
     def run(batches):
         for batch in batches:
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for k, page in enumerate(decode(data.as_py()) if data.is_valid else ()):
-                    yield pa.RecordBatch.from_pylist([{"id": key, "page": k, "width": page.shape[1], "height": page.shape[0], "samples": page.shape[2], "pixels": page.tobytes()}], schema=pa.schema([("id", pa.int64()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("pixels", pa.binary())]))
+                if not data.is_valid:
+                    continue
+                k = 0
+                try:
+                    for page in decode(data.as_py()):
+                        yield pa.RecordBatch.from_pylist([{"id": key, "page": k, "width": page.shape[1], "height": page.shape[0], "samples": page.shape[2], "pixels": page.tobytes()}], schema=PAGES)
+                        k += 1
+                except (ValueError, struct.error, IndexError, zlib.error) as wrong:
+                    yield pa.RecordBatch.from_pylist([{"id": key, "page": k, "error": str(wrong)}], schema=PAGES)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary")).mapInArrow(run, "id long, page int, width int, height int, samples int, pixels binary")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary")).mapInArrow(run, "id long, page int, width int, height int, samples int, pixels binary, error string")
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -247,7 +292,7 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def store(payload: bytes) -> bytes:
-    """One grey page of 192 columns, deflate strips over the horizontal predictor where that is smaller to store."""
+    """One grey page of 192 columns in deflate strips."""
     return encode([np.frombuffer(payload, np.uint8).reshape(-1, ROW)], DEFLATE, 1)
 
 
@@ -262,7 +307,10 @@ def features(page: np.ndarray) -> str:
 
 
 def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a one-page TIFF, read back. Null and empty texts are one row of spaces; the texts are never cut."""
+    """Every document as a one-page TIFF, read back. Null and empty texts are one row of spaces; the texts are never cut.
+
+    Equal texts give equal values, whatever their ids; rows that repeat an id have a row each; other columns are not read; an empty table gives no rows.
+    """
 
     def run(ids, texts):
         rows = []

@@ -59,3 +59,39 @@ def test_query_on_edge_rows(spark, tmp_path):
         raw = (texts[r.doc_id] or "").encode()
         payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+
+
+def test_damaged_files_give_a_row_that_says_so(spark):
+    good = tiff.encode([np.full((4, 5), 7, np.uint8), np.arange(400, dtype=np.uint8).reshape(20, 20)], tiff.LZW, strip_rows=4)
+    (second,) = struct.unpack_from("<I", good, 4)
+    big = b"II" + struct.pack("<HI", 43, 8)
+    bomb = bytearray(tiff.encode([np.zeros((1, 1), np.uint8)], tiff.DEFLATE))
+    rows = [(1, bytearray(b"GIF89a")), (2, bytearray(big)), (3, bytearray(good[: len(good) - 30])), (4, bytearray(good)), (5, bytearray(b"")), (6, bomb)]
+    got = tiff.pages(spark.createDataFrame(rows, "doc_id long, media binary"), "doc_id", "media").collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["id"], r["page"])):
+        by.setdefault(r["id"], []).append(r)
+    assert "not a TIFF" in by[1][0]["error"] and "BigTIFF" in by[2][0]["error"] and "not a TIFF" in by[5][0]["error"]
+    assert by[3][-1]["error"] and [r["error"] for r in by[4]] == [None, None] and by[6][0]["error"] is None
+
+
+def test_no_more_is_unpacked_than_a_block_needs():
+    import zlib
+
+    data = zlib.compress(b"x" * 5_000_000)
+    assert len(tiff.DECODE[tiff.DEFLATE](data, 100)) == 100
+    assert len(tiff.DECODE[tiff.PACKBITS](tiff.ENCODE[tiff.PACKBITS](b"x" * 10_000), 100)) <= 100 + 128
+    assert len(tiff.DECODE[tiff.LZW](tiff.ENCODE[tiff.LZW](b"x" * 10_000), 100)) < 400
+
+
+def test_short_strips_and_missing_ones_fail():
+    whole = bytearray(tiff.encode([np.arange(64, dtype=np.uint8).reshape(8, 8)], tiff.NONE, strip_rows=4))
+    at = whole.find(struct.pack("<HHI", tiff.LENGTH, 4, 1))
+    struct.pack_into("<I", whole, at + 8, 80)
+    with pytest.raises(ValueError):
+        list(tiff.decode(bytes(whole)))
+
+
+def test_empty_table(spark, tmp_path):
+    fixtures.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    assert tiff.op6_media_tiff(spark, str(tmp_path)).collect() == []
