@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _local_roots, components, delete_path, keyed_join, shuffle_partitions, stage_table, table
+from .common import Stages, _local_roots, components, delete_path, keyed_join, shuffle_partitions, stage_table, table
 from .jaccard import _units
 
 THRESHOLD = 0.9
@@ -245,16 +245,16 @@ def _descend(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
     return met.repartition(parts, "w").sortWithinPartitions("w", "id").mapInArrow(_compare_around(threshold), EDGE)
 
 
-def _refine(pairs: DataFrame, lists: DataFrame | None, vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+def _refine(pairs: DataFrame, lists: DataFrame | None, vectors: DataFrame, threshold: float, stages: Stages) -> tuple[DataFrame, DataFrame | None]:
     """(lists, links seen): fresh ``pairs`` merged with the ``lists`` so far, then joins merged into them until few entries change."""
     links = None
     found = pairs.select("u", "v", "s", F.lit(True).alias("fresh"))
     while True:
-        lists, _ = stage_table(_trim(found if lists is None else lists.withColumn("fresh", F.lit(False)).union(found), threshold), "nn-lists")
+        lists = stages.keep(_trim(found if lists is None else lists.withColumn("fresh", F.lit(False)).union(found), threshold), "nn-lists")
         entries, fresh = lists.agg(F.count("*"), F.count_if("fresh")).first()
         if fresh <= SETTLED * entries:
             return lists, links
-        joined, _ = stage_table(_descend(lists, vectors, threshold), "nn-joined")
+        joined = stages.keep(_descend(lists, vectors, threshold), "nn-joined")
         seen = joined.filter(F.col("kind") == LINK).select(F.col("u").alias("a"), F.col("v").alias("b"))
         links = seen if links is None else links.union(seen)
         found = joined.filter(F.col("kind") == LIST).select("u", "v", "s", F.lit(True).alias("fresh"))
@@ -365,7 +365,7 @@ def _count_open(threshold: float):
     return run
 
 
-def _link_counts(vectors: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+def _link_counts(vectors: DataFrame, roots: DataFrame, threshold: float, stages: Stages) -> DataFrame:
     """(id, n): links of every vector within its component, copies counted by their weight.
 
     Components of more than BLOCK vectors are dealt to blocks by hyperplanes through their first vector, so that blocks
@@ -382,14 +382,14 @@ def _link_counts(vectors: DataFrame, roots: DataFrame, threshold: float) -> Data
     coded, coded_path = stage_table(member.mapInArrow(_codes, "g string, id long, d int, vec binary, w long, code long"), "nn-coded")
     full = coded.groupBy("g", "code").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK).select("g", "code", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("k"))
     block = F.shiftleft("code", 24) + F.pmod(F.xxhash64("id"), F.coalesce("k", F.lit(1)))
-    dealt, _ = stage_table(keyed_join(coded, full, ["g", "code"], "size", total, F.col("id")).select("g", block.alias("b"), "id", "d", "vec", "w"), "nn-members")
+    dealt = stages.keep(keyed_join(coded, full, ["g", "code"], "size", total, F.col("id")).select("g", block.alias("b"), "id", "d", "vec", "w"), "nn-members")
     delete_path(spark, coded_path)
-    direct, _ = stage_table(dealt.repartition(parts, "g", "b").sortWithinPartitions("g", "b").mapInArrow(_count_direct(threshold), COUNT), "nn-direct")
+    direct = stages.keep(dealt.repartition(parts, "g", "b").sortWithinPartitions("g", "b").mapInArrow(_count_direct(threshold), COUNT), "nn-direct")
     counts = direct.filter("g is null").select("id", "n")
     blocks = direct.filter("g is not null").select("g", "b", "n", "d", "centre", "least")
     several = blocks.groupBy("g").agg(F.ceil(F.count("*") / CENTRES).cast("int").alias("k"), F.count("*").alias("c")).filter("c > 1").select("g", "k")
     shown = blocks.join(several, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("g", "part", (F.pmod(F.xxhash64("b"), F.col("k")) == F.col("part")).alias("own"), "b", "n", "d", "centre", "least")
-    pairs, _ = stage_table(shown.repartition(parts, "g", "part").sortWithinPartitions("g", "part", "b").mapInArrow(_settle(threshold), PAIRED), "nn-pairs")
+    pairs = stages.keep(shown.repartition(parts, "g", "part").sortWithinPartitions("g", "part", "b").mapInArrow(_settle(threshold), PAIRED), "nn-pairs")
     settled = dealt.select("g", F.col("b").alias("i"), "id").join(pairs.filter("j is null and n > 0").select("g", "i", "n"), ["g", "i"]).select("id", "n")
     open_ = pairs.filter("j is not null")
     columns = ["g", "i", "part", "role", "id", "d", "vec", "w"]
@@ -407,7 +407,7 @@ def _audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
     """
     found = F.coalesce("n", F.lit(0))
     layer = F.when(found == 0, 0).when(found <= K, 1).otherwise(2)
-    marked, _ = stage_table(vectors.select("id").join(counts, "id", "left").select("id", found.alias("found"), layer.alias("layer")), "nn-audit")
+    marked, path = stage_table(vectors.select("id").join(counts, "id", "left").select("id", found.alias("found"), layer.alias("layer")), "nn-audit")
     sizes = {r["layer"]: r["count"] for r in marked.groupBy("layer").count().collect()}
     seen: dict[int, tuple[int, float]] = {}
     for k, most in enumerate((SPARSE, SPARSE, AUDIT)):
@@ -418,6 +418,7 @@ def _audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
         ids, units = sample.setdefault(r["d"], ([], []))
         ids.append(r["id"])
         units.append(bytes(r["vec"]))
+    delete_path(vectors.sparkSession, path)
     queries = {d: (np.array(ids), _matrix(pa.array(units, pa.binary()), d)) for d, (ids, units) in sample.items()}
 
     def run(batches):
@@ -500,25 +501,29 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     copied = vectors.filter("w > 1").select(F.xxhash64("vec").cast("string").alias("h"), "vec", "w", F.col("id").alias("first"))
     owner, _ = stage_table(keyed_join(usable.select("id", "h", "vec"), copied, ["h", "vec"], "w", usable.count(), F.col("id")).select("id", F.coalesce("first", "id").alias("first")), "nn-owner")
     n = vectors.count()
-    links, lists, counts, roots = None, None, None, None
+    lists, counts, roots = None, None, None
+    # The tables of a round go when the next one's lists are written; links found so far go on as components.
+    before = Stages()
     for turn in range(ROUNDS):
         if n < 2:
             break
-        seen, _ = stage_table(_tree_round(vectors, n, turn, threshold), "nn-leaves")
-        pairs = seen.filter(F.col("kind") == LIST).select("u", "v", "s")
-        lists, met = _refine(pairs, lists, vectors, threshold)
-        fresh = seen.filter(F.col("kind") == LINK).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        fresh = fresh if met is None else fresh.union(met)
-        links = fresh if links is None else links.union(fresh)
+        stages = Stages()
+        seen = stages.keep(_tree_round(vectors, n, turn, threshold), "nn-leaves")
+        lists, met = _refine(seen.filter(F.col("kind") == LIST).select("u", "v", "s"), lists, vectors, threshold, stages)
+        links = seen.filter(F.col("kind") == LINK).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        links = links if met is None else links.union(met)
+        if roots is not None:
+            links = links.union(roots.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         roots, _ = stage_table(components(links, "nn-cc"), "nn-roots")
-        counts, _ = stage_table(_link_counts(vectors, roots, threshold), "nn-counts")
+        counts, _ = stage_table(_link_counts(vectors, roots, threshold, stages), "nn-counts")
+        before.drop()
+        before = stages
         if _audit(vectors, counts, threshold) >= RECALL:
             break
-        # The next round's links go on from this round's components.
-        links = roots.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     else:
         roots, _ = stage_table(components(_all_links(vectors, n, threshold), "nn-cc"), "nn-roots")
-        counts, _ = stage_table(_link_counts(vectors, roots, threshold), "nn-counts")
+        counts, _ = stage_table(_link_counts(vectors, roots, threshold, before), "nn-counts")
+    before.drop()
     known = vectors.select("id", (F.col("w") - 1).alias("copies"))
     if counts is not None:
         known = known.join(counts, "id", "left").join(roots.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("n", "copies").alias("n"), F.coalesce("component", "id").alias("component"))

@@ -106,3 +106,39 @@ def test_the_audit_weighs_vectors_and_not_links(spark):
     assert nndescent._audit(vectors, counts, 0.9) < nndescent.RECALL
     whole = counts.union(vectors.filter("id >= 1000").select("id", F.lit(1).cast("long")))
     assert nndescent._audit(vectors, whole, 0.9) == 1
+
+
+def test_copies_clusters_and_a_hub(spark, monkeypatch):
+    """2,000 vectors: a third copies of one, a cluster of near copies, a hub between two groups that link through it alone; blocks of 64."""
+    draw = np.random.default_rng(21)
+    monkeypatch.setattr(nndescent, "BLOCK", 64)
+    unit = lambda v: v / np.linalg.norm(v)
+    base, other = unit(draw.standard_normal(24)), unit(draw.standard_normal(24))
+    rows = [(i, base.tolist()) for i in range(660)]
+    rows += [(1000 + i, unit(other + 0.05 * draw.standard_normal(24)).tolist()) for i in range(500)]
+    a, b = np.linalg.qr(draw.standard_normal((24, 2)))[0].T
+    turned = lambda angle: np.cos(angle) * a + np.sin(angle) * b
+    rows += [(2000 + i, (turned(0.0) + 0.002 * draw.standard_normal(24)).tolist()) for i in range(150)]
+    rows += [(3000 + i, (turned(0.84) + 0.002 * draw.standard_normal(24)).tolist()) for i in range(150)] + [(4000, turned(0.42).tolist())]
+    rows += [(5000 + i, draw.standard_normal(24).tolist()) for i in range(400)]
+    scaled = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    ids = np.array(list(scaled))
+    x = np.stack([scaled[i] for i in ids])
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = ids.copy()
+    while True:
+        low = np.array([label[near[k]].min(initial=label[k]) for k in range(len(ids))])
+        if (low == label).all():
+            break
+        label = np.minimum(label, low)
+    want = sorted((int(i), int(n), int(c), bool(i == c)) for i, n, c in zip(ids, near.sum(axis=1), label, strict=True))
+    assert got(spark, [(*r, 0) for r in rows]) == want
+    assert {c for i, _, c, _ in want if 2000 <= i <= 4000} == {2000}
+
+
+def test_clashing_names_and_doubles(spark):
+    rows = [(1, [0.1, 0.2], 9, "x"), (2, [0.1, 0.2000001], 9, "x"), (3, [-0.3, 0.1], 9, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, vec string")
+    got_rows = sorted(tuple(r) for r in nndescent.near_duplicates(df).collect())
+    assert got_rows == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
