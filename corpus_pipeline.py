@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm import language, packing, quality
-from fathomline.llm.common import slices, stage_table, table
+from fathomline.llm.common import give_back, slices, stage_table, table
 from fathomline.llm.jaccard import jaccard_components
 
 #: Near-duplicates share this percentage of their distinct word shingles.
@@ -28,6 +28,7 @@ def _filtered(docs: DataFrame, keep: Callable[[list], np.ndarray]) -> DataFrame:
             for part in slices(batch):
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 yield part.filter(pa.array(keep(texts), pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -64,6 +64,7 @@ def map_texts(df: DataFrame, fn: Callable[[np.ndarray, list], dict], schema: str
             for part in slices(batch):
                 columns = fn(part.column(0), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (columns[n] for n in names)], names=names)
+        give_back()
 
     return documents_of(df).mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_of, id_crc, map_texts, slices, table
+from .common import documents_of, give_back, id_crc, map_texts, slices, table
 from .ngrams import Batch
 
 ORDERS, BITS, ALPHA = (1, 2, 3), 16, 0.1
@@ -98,6 +98,8 @@ def fit(df: DataFrame, text_col: str, label_col: str) -> Model:
         for name, counts in sums.items():
             pieces = [counts[i : i + SLICE].tobytes() for i in range(0, len(counts), SLICE)]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(pieces)), pa.array([group] * len(pieces), pa.int32()), pa.array(range(len(pieces)), pa.int32()), pa.array([docs[name] if not i else 0 for i in range(len(pieces))], pa.int64()), pa.array(pieces, pa.binary())], names=["label", "tasks", "part", "docs", "counts"])
+        sums.clear()
+        give_back()
 
     def add(key, group):
         total = np.zeros(SLICE, np.int64)

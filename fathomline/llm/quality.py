@@ -7,6 +7,7 @@ the product of the bucket's vector with the difference of the two output rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,15 +113,15 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
             for part in slices(batch):
                 found = [features(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([b.astype("<i4").tobytes() for _, b in found], pa.binary())],
-                    names=["id", "label", "buckets", "counts"],
+                    [part.column(0), part.column(2), pa.array([8 * len(a) for a, _ in found], pa.int64()), pa.array([zlib.compress(np.concatenate([np.diff(a, prepend=0), b]).astype("<i4").tobytes(), 1) for a, b in found], pa.binary())],
+                    names=["id", "label", "bytes", "packed"],
                 )
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
-    found = rows.mapInArrow(extract, "id long, label int, buckets binary, counts binary")
+    found = rows.mapInArrow(extract, "id long, label int, bytes long, packed binary")
     # A repeated id counts once; so the number of rows is that of the ids.
-    once, path = stage_table(found.groupBy("id", "label").agg(F.min(F.struct("buckets", "counts")).alias("f")).select("id", "label", "f.*"), "quality-features")
-    sizes = once.select(F.xxhash64("id").alias("h"), "id", "label", (2 * F.octet_length("buckets")).alias("bytes")).collect()
+    once, path = stage_table(found.groupBy("id", "label").agg(F.min(F.struct("bytes", "packed")).alias("f")).select("id", "label", "f.*"), "quality-features")
+    sizes = once.select(F.xxhash64("id").alias("h"), "id", "label", "bytes").collect()
     chosen, total = [], 0
     for r in sorted(sizes, key=lambda r: (r["h"], r["id"] or 0, r["label"])):
         if total + r["bytes"] <= FEATURE_BYTES:
@@ -128,9 +129,16 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
             chosen.append((r["id"], r["label"]))
     if len(chosen) < len(sizes):
         once = once.join(F.broadcast(df.sparkSession.createDataFrame(chosen, "id long, label int")), ["id", "label"])
-    examples = sorted((r["id"] if r["id"] is not None else -1, r["label"], bytes(r["buckets"]), bytes(r["counts"])) for r in once.collect())
+    got = once.select("id", "label", "packed").toArrow()
     delete_path(df.sparkSession, path)
-    return train([(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4"), label) for _, label, b, c in examples])
+    examples = []
+    for k in sorted(range(got.num_rows), key=lambda k: (-1 if got["id"][k].as_py() is None else got["id"][k].as_py(), got["label"][k].as_py())):
+        # Differences of sorted buckets, then counts.
+        values = np.frombuffer(zlib.decompress(got["packed"][k].as_py()), "<i4")
+        half = len(values) // 2
+        examples.append((np.cumsum(values[:half], dtype=np.int32), values[half:], got["label"][k].as_py()))
+    del got
+    return train(examples)
 
 
 def rate(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
