@@ -125,7 +125,11 @@ def load(path: str, disputes: bytes, pattern: str = public_tokenizers.PATTERN) -
 
 
 def encode_decode(df: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids); a null text counts as empty: no ids, hashes of nothing."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids); a null text counts as empty: no ids, hashes of nothing.
+
+    Whole texts are encoded, however long. Equal texts and rows that repeat an id give equal values, a row each; null ids stay; columns other
+    than doc_id and text are not read; an empty table gives no rows. Of equal byte sequences in the vocabulary the last rank counts.
+    """
     return _coded(df, path or public_tokenizers.path(VOCABULARY), True)
 
 

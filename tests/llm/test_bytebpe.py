@@ -58,3 +58,7 @@ def test_query(spark, small, judge, tmp_path):
 def test_ranks_must_be_whole():
     with pytest.raises(ValueError):
         bytebpe.sentencepiece_model({b"a": 0})
+
+
+def test_empty_table(spark):
+    assert bytebpe.encode_decode(fixtures.empty(spark)).collect() == []

@@ -50,3 +50,10 @@ def test_sql_gives_the_same(spark, small, tmp_path):
         want = sorted(map(str, con.sql(f"select page_id, host, path, rule, verdict, template, purity from ({sql.url_filter()})").fetchall()))
         got = sorted(str(tuple(r)) for r in urlfilter.judge(spark.read.parquet(where.removesuffix("/*.parquet"))).collect())
         assert got == want
+
+
+def test_very_long_urls_and_repeated_rows(spark):
+    long = "http://h.net/" + "/".join("x" * 50 for _ in range(40_000))
+    rows = [(1, long), (1, long), (2, "http://" + "a" * 1_000_000 + "/p"), (2, None)]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == 4 and {r.verdict for r in got if r.page_id == 1} == {"block"} and max(len(r.path) for r in got) > 2_000_000
