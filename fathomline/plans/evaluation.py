@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
+from ..operators import selection
 from .aggregates import SQL_PICKS, picks
 from .registry import register
 from .tables import read
@@ -110,24 +111,21 @@ def block_sums_paired(spark, d):
     return b.select("layer", "block", "n", delta.alias("delta"), F.round(delta / F.col("n"), 6).alias("share"), (F.col("block") % 5 == 4).alias("validation"))
 
 
-@register("block_bootstrap_interval")
+@register(
+    "block_bootstrap_interval",
+    f"""{SQL_SCORED}, b AS (SELECT layer, CAST(floor(x / 64) AS BIGINT) AS block, count(*) AS n, count(*) FILTER (WHERE score >= 0.7 AND correct) - count(*) FILTER (WHERE status = 'accepted' AND correct) AS delta FROM s GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY block) - 1 AS i, count(*) OVER (PARTITION BY layer) AS blocks FROM b),
+    d AS (SELECT o.layer, rep, CAST(('0x' || substr(md5(rep || ':' || i), 1, 8)) AS BIGINT) % blocks AS i FROM o, (SELECT unnest(range(400)) AS rep)), r AS (SELECT d.layer, rep, sum(o.delta) / sum(o.n)::DOUBLE AS share FROM d JOIN o ON o.layer = d.layer AND o.i = d.i GROUP BY 1, 2), q AS (SELECT layer, quantile_cont(share, 0.025) AS low, quantile_cont(share, 0.975) AS high FROM r GROUP BY 1), p AS (SELECT layer, count(*) AS blocks, sum(delta) / sum(n)::DOUBLE AS share FROM b GROUP BY 1) SELECT p.layer, blocks, round(share, 6) AS share, round(low, 6) AS low, round(high, 6) AS high FROM p JOIN q ON q.layer = p.layer""",
+)
 def block_bootstrap_interval(spark, d):
-    """Percentile interval of the pooled share over resampled blocks: 400 replicates of fixed seed, drawn from block sums, not from picks.
-
-    The draws follow numpy's generator, so no SQL; a test checks them against a loop.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        draw = np.random.default_rng(20260909)
-        rows = draw.integers(0, len(pdf), (400, len(pdf)))
-        share = pdf["delta"].to_numpy()[rows].sum(axis=1) / pdf["n"].to_numpy()[rows].sum(axis=1)
-        low, high = np.percentile(share, [2.5, 97.5])
-        return pd.DataFrame({"layer": [pdf["layer"].iloc[0]], "blocks": [len(pdf)], "share": [pdf["delta"].sum() / pdf["n"].sum()], "low": [low], "high": [high]})
-
-    return block_sums_paired(spark, d).groupBy("layer").applyInPandas(interval, "layer int, blocks long, share double, low double, high double")
+    """Percentile interval of the pooled share over resampled blocks: 400 replicates drawn by a hash of their number, from block sums, not from picks."""
+    b = block_sums_paired(spark, d).select("layer", "block", "n", "delta")
+    o = selection.numbered(b, ["layer"], "block", "i").select("layer", "i", "n", "delta")
+    pooled = b.groupBy("layer").agg(F.count("*").alias("blocks"), (F.sum("delta") / F.sum("n")).alias("share"))
+    rep = o.join(pooled, "layer").select("layer", "blocks", "i", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("rep"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "i")), 1, 8), 16, 10).cast("long") % F.col("blocks")
+    shares = rep.select("layer", "rep", drawn.alias("i")).join(o, ["layer", "i"]).groupBy("layer", "rep").agg((F.sum("delta") / F.sum("n")).alias("s"))
+    ends = shares.groupBy("layer").agg(F.percentile("s", F.lit(0.025)).alias("low"), F.percentile("s", F.lit(0.975)).alias("high"))
+    return pooled.join(ends, "layer").select("layer", "blocks", F.round("share", 6).alias("share"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @register(

@@ -81,10 +81,11 @@ def contracted_chains(spark, d):
 def two_hop_routes(spark, d):
     """A link is kept where another route between its ends is strong at every hop."""
     e = read(spark, d, "lineitem").filter("l_quantity >= 45").groupBy(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 400).alias("b")).agg(F.max("l_quantity").alias("q"))
+    # First hop to another b and from there to another a: the two best of each (a, a2), by shared b, limited in each task before the shuffle; two are kept for the exclusion.
     hop = e.select(F.col("a").alias("a2"), "b", F.col("q").alias("w"))
-    # First hop to another b and from there to another a: the best strength of each (a, a2), by shared b; two best are kept for the exclusion.
     pairs = e.join(hop, "b").filter("a <> a2").select("a", "a2", "b", F.col("q").alias("first"))
-    tops = pairs.groupBy("a", "a2").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("first")).alias("n"), "b"))), 1, 2).alias("t"))
+    ranked = F.row_number().over(Window.partitionBy("a", "a2").orderBy(F.desc("first"), "b"))
+    tops = pairs.withColumn("r", ranked).filter("r <= 2").groupBy("a", "a2").agg(F.sort_array(F.collect_list(F.struct((-F.col("first")).alias("n"), "b"))).alias("t"))
     back = e.select(F.col("a").alias("a2"), "b", F.col("q").alias("last"))
     routes = tops.join(back, "a2").withColumn("f", F.get(F.filter("t", lambda x: x["b"] != F.col("b")), F.lit(0))["n"]).filter("f is not null")
     best = routes.groupBy("a", "b").agg(F.max(F.least(-F.col("f"), F.col("last"))).alias("route"))

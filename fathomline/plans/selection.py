@@ -90,9 +90,12 @@ def hash_split_groups(spark, d):
     "WITH g AS (SELECT DISTINCT c_nationkey AS grp FROM customer) SELECT a.grp AS held_out, count(*) AS training_groups, to_json(list_sort(list(b.grp))) AS groups FROM g a JOIN g b ON a.grp <> b.grp GROUP BY 1 HAVING count(*) >= 3",
 )
 def leave_one_group_out(spark, d):
+    """Each group with the others to learn from: one list of all, less the group's own; no pairs."""
     g = read(spark, d, "customer").select(F.col("c_nationkey").alias("grp")).distinct()
-    other = g.select(F.col("grp").alias("b"))
-    return g.join(other, F.col("grp") != F.col("b")).groupBy(F.col("grp").alias("held_out")).agg(F.count("*").alias("training_groups"), F.to_json(F.sort_array(F.collect_list("b"))).alias("groups")).filter("training_groups >= 3")
+    # One row, of one number a group.
+    every = g.agg(F.sort_array(F.collect_list("grp")).alias("every"))
+    rest = g.join(F.broadcast(every)).select(F.col("grp").alias("held_out"), F.array_remove("every", F.col("grp")).alias("rest"))
+    return rest.select("held_out", F.size("rest").cast("long").alias("training_groups"), F.to_json("rest").alias("groups")).filter("training_groups >= 3")
 
 
 @register(

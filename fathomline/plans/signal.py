@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import signal
 from .registry import register
 from .tables import read
+from .windows import SQL_CELLS
 
 
 @register(
@@ -54,25 +58,62 @@ def _traces(spark, d):
     return read(spark, d, "embeddings").select("vec_id", "embedding")
 
 
-@register("analytic_envelope")
+def _samples(df, column, name):
+    """(vec_id, k, name) of arrays, rounded."""
+    return df.select("vec_id", F.posexplode(column).alias("k", "v")).select("vec_id", "k", F.round("v", 6).alias(name))
+
+
+#: The analytic signal of 64 samples as a sum over every second sample.
+SQL_ANALYTIC = f"{SQL_CELLS}, z AS (SELECT a.vec_id, a.label, a.k, any_value(a.v) AS re, sum(CASE WHEN (a.k - b.k) % 2 <> 0 THEN b.v / 32 / tan({math.pi} * (a.k - b.k) / 64) ELSE 0 END) AS im FROM cell a JOIN cell b ON b.vec_id = a.vec_id GROUP BY 1, 2, 3)"
+
+
+@register("analytic_envelope", f"WITH {SQL_ANALYTIC} SELECT vec_id, k, round(sqrt(re * re + im * im), 6) AS envelope FROM z")
 def analytic_envelope(spark, d):
-    """Envelopes of all traces; a test compares them with a sum over frequencies."""
-    return signal.per_trace(_traces(spark, d), "vec_id", "embedding", signal.envelope, "envelope")
+    """Envelopes of all traces."""
+    return _samples(signal.per_trace(_traces(spark, d), "vec_id", "embedding", signal.envelope, "x"), "x", "envelope")
 
 
-@register("cosine_phase")
+@register("cosine_phase", f"WITH {SQL_ANALYTIC} SELECT vec_id, k, round(re / sqrt(re * re + im * im), 6) AS phase FROM z")
 def cosine_phase(spark, d):
-    return signal.per_trace(_traces(spark, d), "vec_id", "embedding", signal.cosine_phase, "phase")
+    return _samples(signal.per_trace(_traces(spark, d), "vec_id", "embedding", signal.cosine_phase, "x"), "x", "phase")
+
 
+def _list(values) -> str:
+    return "[" + ", ".join(repr(float(v)) for v in values) + "]::DOUBLE[]"
 
-@register("band_pass")
+
+def _band_kernel(low: float, high: float, n: int = 64) -> np.ndarray:
+    """What the band-pass does to one sample of a mirrored trace of 3 * n."""
+    f = np.fft.rfftfreq(3 * n)
+    gain = 1 / (1 + (f / high) ** 8) / (1 + (low / np.where(f == 0, 1e-12, f)) ** 8)
+    return np.fft.irfft(gain, 3 * n)
+
+
+@register(
+    "band_pass",
+    f"WITH {SQL_CELLS}, g AS (SELECT {_list(_band_kernel(0.05, 0.3))} AS g), m AS (SELECT vec_id, v, unnest([63 - k, 64 + k, 191 - k]) AS at FROM cell) SELECT a.vec_id, a.k, round(sum(m.v * g.g[(a.k + 64 - m.at + 192) % 192 + 1]), 6) AS filtered FROM cell a JOIN m ON m.vec_id = a.vec_id, g GROUP BY 1, 2",
+)
 def band_pass(spark, d):
-    return signal.per_trace(_traces(spark, d), "vec_id", "embedding", lambda x: signal.band_pass(x, 0.05, 0.3), "filtered")
+    """A zero-phase band of mirrored traces."""
+    return _samples(signal.per_trace(_traces(spark, d), "vec_id", "embedding", lambda x: signal.band_pass(x, 0.05, 0.3), "x"), "x", "filtered")
 
 
-@register("wavelet_ridges")
+def _hat(width: float) -> np.ndarray:
+    reach = int(np.ceil(5 * width))
+    t = np.arange(-reach, reach + 1) / width
+    return (1 - t**2) * np.exp(-(t**2) / 2)
+
+
+_HATS = ", ".join(f"({w}, {int(np.ceil(5 * w))}, {_list(_hat(w))})" for w in (2.0, 3.0, 4.5))
+
+
+@register(
+    "wavelet_ridges",
+    f"WITH {SQL_CELLS}, h(w, reach, g) AS (VALUES {_HATS}), r AS (SELECT a.vec_id, a.k, w, abs(sum(b.v * g[a.k - b.k + reach + 1])) AS r FROM cell a JOIN h ON true JOIN cell b ON b.vec_id = a.vec_id AND abs(a.k - b.k) <= reach GROUP BY 1, 2, 3), m AS (SELECT vec_id, k, max(r) AS r FROM r GROUP BY 1, 2) SELECT vec_id, k, round(r / greatest(max(r) OVER (PARTITION BY vec_id), 1e-12), 6) AS ridge FROM m",
+)
 def wavelet_ridges(spark, d):
-    return signal.per_trace(_traces(spark, d), "vec_id", "embedding", signal.ricker_ridges, "ridges")
+    """The largest response of a few Mexican hats, by trace."""
+    return _samples(signal.per_trace(_traces(spark, d), "vec_id", "embedding", signal.ricker_ridges, "x"), "x", "ridge")
 
 
 @register("soft_denoise")
@@ -85,11 +126,17 @@ def mixed_phase_reflectivity(spark, d):
     return signal.per_trace(_traces(spark, d), "vec_id", "embedding", lambda x: signal.sparsest_rotation(x)[1], "reflectivity")
 
 
-@register("plate_alignment")
+@register(
+    "plate_alignment",
+    f"WITH {SQL_CELLS}, t AS (SELECT k, median(v) AS m FROM cell GROUP BY 1), s AS (SELECT unnest(range(-4, 5)) AS shift), d AS (SELECT c.vec_id, shift, sum(c.v * t.m) AS dot FROM s JOIN cell c ON true JOIN t ON t.k = c.k + shift GROUP BY 1, 2), b AS (SELECT vec_id, arg_min(shift, (-round(dot, 10), abs(shift), shift)) AS shift FROM d GROUP BY 1) SELECT a.vec_id, a.k, b.shift, round(coalesce(c.v, 0), 6) AS value FROM cell a JOIN b ON b.vec_id = a.vec_id LEFT JOIN cell c ON c.vec_id = a.vec_id AND c.k = a.k - b.shift",
+)
 def plate_alignment(spark, d):
-    """Every trace aligned to the median trace, one row of 64 values."""
-    import numpy as np
-
-    cells = _traces(spark, d).select(F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "v")).groupBy("k").agg(F.median("v").alias("m"))
-    target = np.array([r.m for r in cells.orderBy("k").collect()])
-    return signal.per_trace(_traces(spark, d), "vec_id", "embedding", lambda x: signal.aligned(x, target, 4)[1], "aligned")
+    """Every trace moved to fit the median trace, one row of 64 values."""
+    x = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    medians = x.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.median("v").alias("m"))
+    target = medians.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda p: p["m"]).alias("t"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    moved = lambda s: F.transform("x", lambda v, k: F.coalesce(F.when(k - s >= 0, F.get("x", k - s)), F.lit(0.0)))
+    fits = F.array(*[F.struct((-F.round(total(F.zip_with(moved(F.lit(s)), F.col("t"), lambda a, b: a * b)), 10)).alias("o"), F.lit(abs(s)).alias("far"), F.lit(s).alias("shift")) for s in range(-4, 5)])
+    best = x.join(F.broadcast(target)).withColumn("shift", F.array_min(fits)["shift"])
+    return best.select("vec_id", "shift", F.posexplode(moved(F.col("shift"))).alias("k", "v")).select("vec_id", "k", "shift", F.round("v", 6).alias("value"))
