@@ -127,3 +127,35 @@ def test_components(spark):
 def test_parsing(spark):
     df = spark.createDataFrame([("50 mm",), ("5cm",), ('2"',), ("2 Inches",), ("x",), ("-4",), ("0",), (None,)], "t string")
     assert [r.m for r in df.select(physics.parsed_thickness(F.col("t")).alias("m")).collect()] == [50, 50, 50.8, 50.8, None, None, None, None]
+
+
+@pytest.mark.parametrize("piece", [3.0, 65536.0])
+def test_ordered_joins_over_pieces_of_the_axis(spark, monkeypatch, piece):
+    monkeypatch.setattr(joins, "PIECE", piece)
+    draw = np.random.default_rng(11)
+    lefts = [(i, None if i % 17 == 0 else "ab"[i % 2], float(v)) for i, v in enumerate(draw.integers(0, 60, 120))]
+    rights = [(100 + i, None if i % 7 == 0 else "ab"[i % 2], float(v), float(i)) for i, v in enumerate(draw.choice(60, 14, replace=False))] + [(300, "a", 7.0, 9.0), (301, "a", 7.0, 8.0)]
+    left = spark.createDataFrame(lefts, "i int, k string, x double")
+    right = spark.createDataFrame(rights, "id int, k string, x double, v double")
+    own = {i: [r for r in rights if r[1] == k] for i, k, _ in lefts}
+    as_of = {r.i: r.matched_id for r in joins.asof(left, right, ["k"], "x", "id", ["v"]).collect()}
+    near = {r.i: r.matched_id for r in joins.nearest(left, right, ["k"], "x", "id", ["v"]).collect()}
+    made = {r.i: r.o for r in joins.interpolating(left, right, ["k"], "x", "v", "o").collect()}
+    assert len(as_of) == len(near) == len(made) == 120
+    for i, _, x in lefts:
+        before = [r for r in own[i] if r[2] <= x]
+        assert as_of[i] == (max(before, key=lambda r: (r[2], r[0]))[0] if before else None)
+        assert near[i] == (min(own[i], key=lambda r: (abs(r[2] - x), r[2], r[0]))[0] if own[i] else None)
+        points = sorted({r[2] for r in own[i]})
+        values = [np.mean([r[3] for r in own[i] if r[2] == p]) for p in points]
+        want = np.interp(x, points, values) if points and points[0] <= x <= points[-1] else None
+        assert made[i] is None and want is None or np.isclose(made[i], want)
+
+
+def test_long_segments_stand_in_few_buckets(spark):
+    draw = np.random.default_rng(12)
+    segments = [("a", float(a), float(a + n), k, f"s{k}") for k, (a, n) in enumerate(zip(draw.uniform(0, 1000, 60), 10 ** draw.uniform(0, 6, 60), strict=True))]
+    rows = [(i, "a", float(v)) for i, v in enumerate(draw.uniform(-10, 5000, 300))]
+    got = joins.interval_first_match(spark.createDataFrame(rows, "i int, k string, x double"), spark.createDataFrame(segments, "k string, lo double, hi double, ord int, name string"), ["k"], "i", "x", "lo", "hi", "ord", ["name"], 4.0).collect()
+    want = {i: next((s[4] for s in segments if s[1] <= x <= s[2]), None) for i, _, x in rows}
+    assert {r.i: r.name for r in got} == want
