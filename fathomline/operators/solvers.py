@@ -135,6 +135,73 @@ def gapped_path(log_p: np.ndarray, slope: float, gap: float, enter: float, seeds
     return np.where(out == m, -1, out)
 
 
+def dense_path(p: np.ndarray, seeds: dict[int, float], interval: float, slope: float, gap: float, change: float, breaks: set[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """(sample or -1, gap flag) of the path of most log probability less ``slope`` a ns of total variation, through seeds at their exact, also fractional, places.
+
+    A gap costs -log ``gap`` a row and ``change`` at each of its ends; in ``breaks`` nothing can be picked. Each step is a distance transform
+    in two sweeps, linear in the depths.
+    """
+    n, depth = p.shape
+    rate = slope * interval
+    with np.errstate(divide="ignore"):
+        log_p = np.where(p > 0, np.log(np.maximum(p, 1e-300)), NEVER)
+    log_p[list(breaks)] = NEVER
+    at = np.arange(depth, dtype=float)
+    back = np.full((n, depth + 1), -1)
+    last = np.zeros(depth + 1)
+    for row in range(n):
+        before = seeds.get(row - 1)
+        if row == 0:
+            best, origin, into, start = np.zeros(depth), np.full(depth, -1), 0.0, -1
+        else:
+            if before is not None:
+                slot = int(round(before))
+                best, origin = last[slot] - rate * np.abs(at - before), np.full(depth, slot)
+            else:
+                best, origin = _sweeps(last[:depth], rate)
+            hole = last[depth] - change
+            origin = np.where(hole > best, depth, origin)
+            best = np.maximum(best, hole)
+            start = int(last[:depth].argmax())
+            into = last[start] - change
+            if last[depth] >= into:
+                into, start = last[depth], depth
+        now = np.append(best + log_p[row], into + np.log(gap))
+        back[row] = np.append(origin, start)
+        if row in seeds:
+            exact = seeds[row]
+            slot = int(round(exact))
+            value, source = 0.0, -1
+            if row:
+                places = at.copy()
+                if before is not None:
+                    places[int(round(before))] = before
+                ways = np.append(last[:depth] - rate * np.abs(places - exact), last[depth] - change)
+                source = int(ways.argmax())
+                value = ways[source]
+            now = np.full(depth + 1, NEVER)
+            now[slot], back[row, slot] = value, source
+        last = now
+    state, out = int(last.argmax()), np.full(n, -1.0)
+    for row in range(n - 1, -1, -1):
+        if state < depth:
+            out[row] = seeds.get(row, float(state))
+        state = int(back[row, state])
+    return out, out < 0
+
+
+def _sweeps(v: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """max_j v[j] - rate * |i - j| and its j, as running maxima of v + rate * j from below and v - rate * j from above."""
+    j = np.arange(len(v))
+    up, down = v + rate * j, v - rate * j
+    low = np.maximum.accumulate(up)
+    at_low = np.maximum.accumulate(np.where(up == low, j, 0))
+    high = np.maximum.accumulate(down[::-1])[::-1]
+    at_high = np.minimum.accumulate(np.where(down == high, j, len(v) - 1)[::-1])[::-1]
+    a, b = low - rate * j, high + rate * j
+    return np.maximum(a, b), np.where(a >= b, at_low, at_high)
+
+
 def layered_beam(scores: list[np.ndarray], slope: float, between: int, beam: int = 256) -> tuple[np.ndarray, float]:
     """States of several layers at once, each at least ``between`` below the one above: (rows, layers) and its score.
 

@@ -43,7 +43,7 @@ def beside(spark, d):
     cand = candidates(spark, d)
     known = seeds(cand).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "s", "pole"))).alias("seeds"))
     rows = cand.join(known, "label")
-    left = F.element_at(F.filter("seeds", lambda x: x["i"] <= F.col("i")), -1)
+    left = F.try_element_at(F.filter("seeds", lambda x: x["i"] <= F.col("i")), F.lit(-1))
     right = F.get(F.filter("seeds", lambda x: x["i"] >= F.col("i")), F.lit(0))
     return rows.select(*cand.columns, left["s"].alias("ls"), right["s"].alias("rs"), left["pole"].alias("lp"), right["pole"].alias("rp"), F.exists("seeds", lambda x: x["i"] == F.col("i")).alias("anchored"))
 

@@ -98,3 +98,37 @@ def test_diverse_paths_by_enumeration(seed):
             break
     got = solvers.best_paths(s, 0.2, 4, 1)
     assert np.allclose([v for _, v in got], [value(p) for p in kept]) and all(np.isclose(value(np.array(p)), v) for p, v in got)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_dense_paths_by_enumeration(seed):
+    draw = np.random.default_rng(seed)
+    p = draw.random((5, 4))
+    p[2, 1] = 0
+    p /= p.sum(axis=1, keepdims=True)
+    seeds, breaks = ({1: 1.4, 4: 2.0}, {3}) if seed % 2 else ({0: 0.0, 1: 2.6}, set())
+    path, gap = solvers.dense_path(p, seeds, 0.5, 0.8, 0.3, 0.4, breaks)
+
+    def value(way):
+        total, places = 0.0, []
+        for r, s in enumerate(way):
+            if r in seeds:
+                if s != int(round(seeds[r])):
+                    return -np.inf
+                places.append(seeds[r])
+            elif s == 4:
+                total += np.log(0.3)
+                places.append(None)
+            else:
+                if p[r, s] == 0 or r in breaks:
+                    return -np.inf
+                total += np.log(p[r, s])
+                places.append(float(s))
+            if r:
+                a, b = places[-2:]
+                total -= 0.0 if a is None and b is None else 0.4 if a is None or b is None else 0.4 * abs(a - b)
+        return total
+
+    best = max(itertools.product(range(5), repeat=5), key=value)
+    got = tuple(int(round(s)) if not g else 4 for s, g in zip(path, gap, strict=True))
+    assert np.isclose(value(got), value(best)) and all(path[r] == s for r, s in seeds.items())
