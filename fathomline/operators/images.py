@@ -262,3 +262,49 @@ def model_channels(x: np.ndarray, layer: int, templates: list[np.ndarray], posit
                 mark[row, at] = 1
         clicks.append(mark)
     return np.stack([signed, np.clip(signal.envelope(signed), 0, 1), like, *clicks, np.full_like(signed, layer / 3)])
+
+
+def dewowed(x: np.ndarray, size: int = 41) -> np.ndarray:
+    return x - box(x, size, 1)
+
+
+def moved(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Each trace ``by`` samples deeper; zeros come in."""
+    n = x.shape[1]
+    at = np.arange(n)[None, :] - np.asarray(by)[:, None]
+    return np.where((at >= 0) & (at < n), np.take_along_axis(x, np.clip(at, 0, n - 1), axis=1), 0)
+
+
+def surfaces(x: np.ndarray, start: int, stop: int, reach: int = 24) -> np.ndarray:
+    """The strongest sample of each trace, of the polarity of the median trace's strongest one, near that one."""
+    middle = np.median(x, axis=0)
+    peak = start + int(np.abs(middle[start:stop]).argmax())
+    low, high = max(start, peak - reach), min(stop, peak + reach + 1)
+    return low + (x[:, low:high] * (-1.0 if middle[peak] < 0 else 1.0)).argmax(axis=1)
+
+
+def calibrated(road: np.ndarray, plate: np.ndarray | None, start: int, stop: int, same_setup: bool = True, clipped: float | None = None) -> dict:
+    """A road with its surface made flat and, where the plate was recorded alike, the plate's waveform at the surface's strength taken away below it.
+
+    Traces of another gain, antenna or range, or a plate that is clipped (the share of samples at ``clipped``), cannot be compared:
+    then only the surface is made flat, as a scaled plate would rewrite deep events.
+    """
+    clean = dewowed(road)
+    top = surfaces(clean, start, stop)
+    reference = int(np.median(top))
+    flat = moved(clean, reference - top)
+    out = {"corrected": flat, "surface": top, "reference": reference, "amplitude": clean[np.arange(len(clean)), top], "subtracted": False, "plate": np.zeros(road.shape[1]), "clipping": 0.0}
+    if plate is None or plate.shape[1] != road.shape[1]:
+        return out
+    wave = np.median(dewowed(plate), axis=0)
+    peak = start + int(np.abs(wave[start:stop]).argmax())
+    out["plate"] = moved(wave[None], np.array([reference - peak]))[0]
+    out["clipping"] = float((np.abs(plate) >= clipped).mean()) if clipped is not None else 0.0
+    strength = out["plate"][reference]
+    if same_setup and out["clipping"] < 1e-5 and abs(strength) > 1e-9:
+        out["subtracted"] = True
+        less = flat.copy()
+        less[:, reference:] -= (flat[:, reference] / strength)[:, None] * out["plate"][None, reference:]
+        padded = np.pad(less, ((0, 0), (1, 1)), mode="edge")
+        out["corrected"] = np.median(np.lib.stride_tricks.sliding_window_view(padded, 3, axis=1), axis=2)
+    return out

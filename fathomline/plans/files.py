@@ -99,13 +99,13 @@ def seed_conflicts(spark, d):
     return sinks.seed_conflicts(_stations(spark, d))
 
 
-@register("seed_files", f"WITH {SQL_STATIONS}, {_CLASH}, ok AS (SELECT * FROM sp WHERE user_id NOT IN (SELECT user_id FROM x)) SELECT CAST(user_id AS VARCHAR) AS survey_id, CAST(hour AS VARCHAR) AS station_id, role, layer, visibility, CASE WHEN visibility = 'visible' THEN round(sample, 6) END AS sample FROM ok")
+@register("seed_files", f"WITH {SQL_STATIONS}, {_CLASH}, ok AS (SELECT * FROM sp WHERE user_id NOT IN (SELECT user_id FROM x)) SELECT CAST(user_id AS VARCHAR) AS survey_id, CAST(hour AS VARCHAR) AS station_id, role, layer, visibility, CASE WHEN visibility = 'visible' THEN round(sample, 6) END AS sample, CAST(lobe AS VARCHAR) AS selected_lobe, hour || ':' || layer AS event_id FROM ok")
 def seed_files(spark, d):
     """Seed documents of surveys without conflicts, written as JSON and read back with their checks."""
     folder = workspace.new_folder(spark, "seeds")
     sinks.seed_documents(_stations(spark, d)).select(F.col("document").alias("value")).write.text(folder)
-    rows = survey.seeds(spark, folder, lines=True)
-    return rows.select("survey_id", "station_id", "role", "layer", "visibility", F.round("sample", 6).alias("sample"))
+    rows = survey.seeds(spark, folder, lines=True, identity=True)
+    return rows.select("survey_id", "station_id", "role", "layer", "visibility", F.round("sample", 6).alias("sample"), "selected_lobe", "event_id")
 
 
 @register("checkpoint_files", f"WITH {SQL_EVENTS} SELECT CAST(user_id AS VARCHAR) AS survey_id, 'c' || event_id AS checkpoint_id, CAST(event_id % 3 + 1 AS INTEGER) AS layer_order, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value, 6) END AS sample_index, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END, 6) END AS canonical_sample_index, CASE WHEN event_id % 5 = 0 THEN 'absent' ELSE 'visible' END AS visibility, 'default' AS regime_id, 7.0 AS pulse_width_samples FROM ev")

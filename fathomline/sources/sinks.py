@@ -55,11 +55,16 @@ def seed_conflicts(picks: DataFrame) -> DataFrame:
 
 
 def seed_documents(picks: DataFrame) -> DataFrame:
-    """(survey_id, document): a seed file of version 4 for each survey without conflicts, stations by chainage."""
+    """(survey_id, document): a seed file of version 4 for each survey without conflicts, stations by chainage, each pick with what identifies its wavelet.
+
+    Missing columns of that are the sample itself for canonical_sample_index, 0 for analytic_phase_rad, 7 for pulse_width_samples and the place for event_id.
+    """
     sound = picks.join(seed_conflicts(picks).select("survey_id").distinct(), "survey_id", "left_anti")
-    pick = F.struct(F.col("sample").cast("double").alias("sample_index"), "visibility", F.lit(True).alias("user_confirmed"))
+    own = lambda name, other: F.col(name) if name in picks.columns else other
+    place = F.concat_ws(":", "station_id", "layer")
+    pick = F.struct(F.col("sample").cast("double").alias("sample_index"), "visibility", F.lit(True).alias("user_confirmed"), own("canonical_sample_index", F.col("sample").cast("double")).alias("canonical_sample_index"), "phase_class", own("analytic_phase_rad", F.lit(0.0)).alias("analytic_phase_rad"), "polarity", F.col("lobe").alias("selected_lobe"), own("pulse_width_samples", F.lit(7.0)).alias("pulse_width_samples"), own("event_id", place).alias("event_id"), F.col("regime").alias("regime_id"))
     stations = sound.groupBy("survey_id", "station_id", "chainage_m", "role").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("layer").cast("string").alias("k"), pick.alias("v"))))).alias("picks"))
-    listed = stations.groupBy("survey_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chainage_m", "station_id", "role", F.to_json("picks").alias("picks")))), lambda s: F.struct(s["station_id"].alias("station_id"), s["chainage_m"].alias("chainage_m"), s["role"].alias("role"), F.from_json(s["picks"], "map<string,struct<sample_index double, visibility string, user_confirmed boolean>>").alias("picks"))).alias("stations"))
+    listed = stations.groupBy("survey_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chainage_m", "station_id", "role", F.to_json("picks").alias("picks")))), lambda s: F.struct(s["station_id"].alias("station_id"), s["chainage_m"].alias("chainage_m"), s["role"].alias("role"), F.from_json(s["picks"], "map<string,struct<sample_index double, visibility string, user_confirmed boolean, canonical_sample_index double, phase_class int, analytic_phase_rad double, polarity int, selected_lobe string, pulse_width_samples double, event_id string, regime_id string>>").alias("picks"))).alias("stations"))
     return listed.select("survey_id", F.to_json(F.struct(F.lit(4).alias("schema_version"), "survey_id", "stations")).alias("document"))
 
 

@@ -49,17 +49,32 @@ def design_schedule(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("start_m is not null")
 
 
-SEEDS = "schema_version int, survey_id string, layers map<string,string>, stations array<struct<station_id string, chainage_m double, role string, picks map<string,struct<sample_index double, visibility string, user_confirmed boolean>>>>"
+SEEDS = "schema_version int, survey_id string, layers map<string,string>, stations array<struct<station_id string, chainage_m double, role string, picks map<string,struct<sample_index double, visibility string, user_confirmed boolean, canonical_sample_index double, phase_class int, analytic_phase_rad double, polarity int, selected_lobe string, pulse_width_samples double, event_id string, regime_id string>>>>"
+#: What a visible pick must say of its wavelet.
+IDENTITY = ("canonical_sample_index", "phase_class", "analytic_phase_rad", "polarity", "selected_lobe", "pulse_width_samples", "event_id", "regime_id")
 
 
-def seeds(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(survey_id, station_id, chainage_m, role, layer, sample, visibility) of confirmed seed files of version 4, with ``lines`` a document a line; other versions and broken rows fail the read."""
+def seeds(spark: SparkSession, path: str, lines: bool = False, identity: bool = False) -> DataFrame:
+    """(survey_id, station_id, chainage_m, role, layer, sample, visibility) of confirmed seed files of version 4, with ``lines`` a document a line; other versions and broken rows fail the read.
+
+    With ``identity`` a visible pick must also have all of IDENTITY, phases in eighths and a positive pulse, stations are unique in their survey, and these columns
+    are read as well.
+    """
     doc = spark.read.schema(SEEDS).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     rows = doc.select("schema_version", "survey_id", F.explode("stations").alias("s")).select("schema_version", "survey_id", "s.*").select("*", F.explode("picks").alias("layer", "p"))
     sound = (F.col("schema_version") == 4) & (F.col("chainage_m") >= 0) & (F.col("p.sample_index").isNull() | (F.col("p.sample_index") >= 0)) & F.col("p.user_confirmed")
-    checked = rows.withColumn("_a", F.assert_true(F.coalesce(sound, F.lit(False)), F.lit("seed file of another version, or an unconfirmed or negative pick")))
+    if identity:
+        told = F.lit(True)
+        for name in IDENTITY:
+            told = told & F.col(f"p.{name}").isNotNull()
+        told = told & F.col("p.phase_class").between(0, 7) & F.col("p.polarity").between(-1, 1) & (F.col("p.pulse_width_samples") > 0) & (F.col("p.canonical_sample_index") >= 0)
+        once = F.count("*").over(Window.partitionBy("survey_id", "station_id", "layer")) == 1
+        rows = rows.withColumn("_once", once)
+        sound = sound & F.col("_once") & ((F.col("p.visibility") != "visible") | F.coalesce(told, F.lit(False)))
+    checked = rows.withColumn("_ok", sound).withColumn("_a", F.assert_true(F.coalesce("_ok", F.lit(False)), F.lit("seed file of another version, or an unconfirmed, negative, repeated or untold pick")))
     sample = F.when(F.col("p.visibility") == "visible", F.col("p.sample_index"))
-    return checked.filter("_a is null").select("survey_id", "station_id", "chainage_m", "role", F.col("layer").cast("int").alias("layer"), sample.alias("sample"), F.col("p.visibility").alias("visibility"))
+    more = [F.col(f"p.{name}").alias(name) for name in IDENTITY] if identity else []
+    return checked.filter("_a is null").select("survey_id", "station_id", "chainage_m", "role", F.col("layer").cast("int").alias("layer"), sample.alias("sample"), F.col("p.visibility").alias("visibility"), *more)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:

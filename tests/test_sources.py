@@ -167,3 +167,22 @@ def test_records_notice_changed_content(spark, tmp_path):
     assert all(r.intact for r in cache.verified(spark, f"file://{tmp_path}/r").collect())
     rows.limit(1).selectExpr("trace + 100 as trace", "cast(samples as array<float>) samples", "array(true) as valid").write.mode("append").parquet(f"{tmp_path}/r/traces/record=a")
     assert {r.record: r.intact for r in cache.verified(spark, f"file://{tmp_path}/r").collect()} == {"a": False, "b": True}
+
+
+def test_seed_identity_is_asked_for(spark, tmp_path):
+    pick = {"sample_index": 4.0, "visibility": "visible", "user_confirmed": True, "canonical_sample_index": 4.5, "phase_class": 3, "analytic_phase_rad": 0.1, "polarity": -1, "selected_lobe": "negative_trough", "pulse_width_samples": 6.0, "event_id": "e", "regime_id": "default"}
+
+    def rows(change=None, twice=False):
+        own = {k: v for k, v in (pick | (change or {})).items() if v is not None}
+        station = {"station_id": "x", "chainage_m": 1.5, "role": "seed", "picks": {"1": own}}
+        doc = {"schema_version": 4, "survey_id": "s", "layers": {}, "stations": [station] * (1 + twice)}
+        (tmp_path / "s.json").write_text(json.dumps(doc))
+        return survey.seeds(spark, f"{tmp_path}/s.json", identity=True).collect()
+
+    assert [(r["sample"], r.canonical_sample_index, r.selected_lobe) for r in rows()] == [(4.0, 4.5, "negative_trough")]
+    assert len(rows({"visibility": "absent", "event_id": None})) == 1
+    for change in ({"event_id": None}, {"phase_class": 9}, {"pulse_width_samples": 0.0}, {"polarity": None}):
+        with pytest.raises(Exception, match="seed file"):
+            rows(change)
+    with pytest.raises(Exception, match="seed file"):
+        rows(twice=True)
