@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stages, _local_roots, components, delete_path, keyed_join, shuffle_partitions, stage_table, table
+from .common import Stages, _local_roots, components, delete_path, give_back, keyed_join, shuffle_partitions, stage_table, table
 from .jaccard import _units
 
 THRESHOLD = 0.9
@@ -41,7 +41,7 @@ SETTLED = 0.03
 #: Blocks whose pairs are settled in one unit, and partners that a block meets in one.
 CENTRES, PARTNERS = 1024, 16
 #: Vectors of small units that are compared at once.
-AT_ONCE = 4096
+AT_ONCE = 2048
 EDGE = "kind int, u long, v long, s double"
 LIST, LINK = 0, 1
 #: Neighbours that one neighbourhood names to each of its members.
@@ -92,6 +92,7 @@ def _leaves(first: int, trees: int, bits: int):
                     planes = np.random.default_rng([71, t, d]).standard_normal((d, bits))
                     code = (x @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int64)), rows.column(1), rows.column(0), rows.column(2)], names=["t", "code", "d", "id", "vec"])
+        give_back()
 
     return run
 
@@ -135,6 +136,7 @@ def _compare(keys: int, threshold: float):
             ss.append(near[r, c])
             kinds.append(np.full(len(r), LIST, np.int32))
             yield _found(kinds, us, vs, ss)
+        give_back()
 
     return run
 
@@ -199,6 +201,7 @@ def _compare_around(threshold: float):
                     kinds.append(np.full(len(t), LIST, np.int32))
                 if us:
                     yield _found(kinds, us, vs, ss)
+        give_back()
 
     return run
 
@@ -298,6 +301,7 @@ def _count_direct(threshold: float):
             centre = x.mean(axis=0)
             centre /= max(np.linalg.norm(centre), 1e-300)
             yield pa.RecordBatch.from_pydict({"id": pa.array([None], pa.int64()), "n": pa.array([int(weight.sum())]), "g": pa.array([unit["g"][0].as_py()]), "b": pa.array([unit["b"][0].as_py()]), "d": pa.array([d], pa.int32()), "centre": pa.array([centre.tobytes()], pa.binary()), "least": pa.array([float((x @ centre).min())])})
+        give_back()
 
     return run
 
@@ -361,6 +365,7 @@ def _count_open(threshold: float):
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(weight @ linked)], names=["id", "n"])
         if key is not None:
             yield counted()
+        give_back()
 
     return run
 
