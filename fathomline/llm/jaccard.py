@@ -41,6 +41,8 @@ FEW = 24
 LEAST_HOT, MOST_HOT, COUNTED = 40, 1_000_000, 2_000_000
 #: Signatures sorted at once in a task.
 HELD = 700_000
+#: Tokens of a block or of its queries in one unit, and pairs of members counted at once.
+WEIGHT, AT_ONCE = 1_000_000, 2_000_000
 _R1, _R2, _S32 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(32)
 
 
@@ -290,8 +292,10 @@ class Unit:
         flat = np.zeros(len(rows) * len(others), np.int64)
         for c in range(2, FEW + 1):
             start = heads[counts == c]
-            for k in range(0, len(start), 50_000):
-                members = owner[start[k : k + 50_000, None] + np.arange(c)]
+            # Some millions of pairs at once, whatever c is.
+            some = max(1, AT_ONCE // (c * c))
+            for k in range(0, len(start), some):
+                members = owner[start[k : k + some, None] + np.arange(c)]
                 left, right = row_of[members][:, :, None], other_of[members][:, None, :]
                 at = (left * len(others) + right)[(left >= 0) & (right >= 0)]
                 if len(at) > len(flat) // 8:
@@ -514,7 +518,7 @@ def _edges_of(found: DataFrame, kind: int) -> DataFrame:
 
 def _sizes(df: DataFrame) -> DataFrame:
     """Blocks k of each group, and its smallest set."""
-    return df.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / UNIT, F.sum("n") / 2_000_000)).cast("int").alias("k"), F.min("n").alias("least"))
+    return df.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / UNIT, F.sum("n") / WEIGHT)).cast("int").alias("k"), F.min("n").alias("least"))
 
 
 def _blocks(df: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -540,7 +544,7 @@ def _prune(sets: DataFrame, percent: int, stages: Stages) -> DataFrame:
 def _is_large(members: DataFrame) -> DataFrame:
     """(g, large) of the groups that one unit of work should not take; ``members`` has g and n."""
     weight = members.groupBy("g").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
-    return weight.filter((F.col("members") > UNIT) | (F.col("weight") > 4_000_000)).select("g", F.lit(True).alias("large"))
+    return weight.filter((F.col("members") > UNIT) | (F.col("weight") > 2 * WEIGHT)).select("g", F.lit(True).alias("large"))
 
 
 def _large(sets: DataFrame, percent: int, hot, stages: Stages) -> list[DataFrame]:
@@ -605,7 +609,7 @@ def _opened(sets: DataFrame, percent: int, hot, stages: Stages) -> list[DataFram
         if queries is None:
             rows, join = dealt.select("g", "block", F.lit(0).alias("part"), "doc_id", "tokens", F.lit(False).alias("query")), _join_block(percent)
         else:
-            parts = queries.groupBy("g", "block").agg(F.ceil(F.greatest(F.count("*") / (4 * UNIT), F.sum("n") / 2_000_000)).cast("int").alias("parts"))
+            parts = queries.groupBy("g", "block").agg(F.ceil(F.greatest(F.count("*") / (4 * UNIT), F.sum("n") / WEIGHT)).cast("int").alias("parts"))
             asking = queries.join(parts, ["g", "block"]).select("g", "block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), "doc_id", "tokens", F.lit(True).alias("query"))
             asked = dealt.join(parts, ["g", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", "block", "part", "doc_id", "tokens", F.lit(False).alias("query"))
             rows, join = asking.union(asked), _only_queries(percent)

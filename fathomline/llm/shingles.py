@@ -48,6 +48,34 @@ def span_hashes(values: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np
     return mix((total[stops] - total[begins]) * inverse[begins] + (stops - begins).astype(np.uint64) * C)
 
 
+#: Bytes whose words are hashed at once; a longer word is hashed alone.
+SEGMENT = 1 << 20
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of each run without white space, segment by segment, so that long texts need little more than their words."""
+    hashes, places = [], []
+    low, n = 0, len(data)
+    while low < n:
+        high = min(n, low + SEGMENT)
+        while high < n and not _spaces[data[high]]:
+            # To the next white space: in steps, as a word is rarely long.
+            step = np.flatnonzero(_spaces[data[high : high + 4096]])
+            high = high + int(step[0]) if len(step) else min(n, high + 4096)
+        part = data[low:high]
+        solid = ~_spaces[part]
+        change = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        if solid[0]:
+            change = np.concatenate([[0], change])
+        if solid[-1]:
+            change = np.concatenate([change, [len(part)]])
+        begins, stops = change[::2], change[1::2]
+        hashes.append(span_hashes(BYTE[part], begins, stops))
+        places.append(begins + low)
+        low = high
+    return (np.concatenate(hashes), np.concatenate(places)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the distinct shingles of text i, sorted, are hashes[bounds[i] : bounds[i + 1]].
 
@@ -56,14 +84,8 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
     """
     n = len(texts)
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
     ends = np.cumsum(np.fromiter(map(len, raws), np.int64, n) + 1)
-    solid = ~_spaces[data]
-    change = np.flatnonzero(solid[1:] != solid[:-1]) + 1
-    if len(data) and solid[0]:
-        change = np.concatenate([[0], change])
-    begins, stops = change[::2], change[1::2]
-    word = span_hashes(BYTE[data], begins, stops)
+    word, begins = words_of(np.frombuffer(b"\n".join(raws) + b"\n", np.uint8))
     owner = np.searchsorted(ends, begins, side="right")
     count = np.bincount(owner, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])

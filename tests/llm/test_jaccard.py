@@ -158,3 +158,15 @@ def test_the_smallest_long_is_an_id(spark):
     rows = [(-(1 << 63), text), (5, text), (7, "other words than these here"), (None, text)]
     out = sorted(((r.doc_id is None, r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert out == sorted([(False, -(1 << 63), -(1 << 63)), (False, 5, -(1 << 63)), (False, 7, 7), (True, None, None)], key=str)
+
+
+def test_segments_do_not_matter(monkeypatch):
+    from fathomline.llm import shingles
+
+    draw = random.Random(8)
+    texts = [" ".join("".join(draw.choice("abÀ") for _ in range(draw.randrange(1, 30))) for _ in range(60)), "x" * 500, "", " a ", None, "end"]
+    want = shingle_sets(texts, 4)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(shingles, "SEGMENT", size)
+        got_sets = shingle_sets(texts, 4)
+        assert (got_sets[0] == want[0]).all() and (got_sets[1] == want[1]).all()
