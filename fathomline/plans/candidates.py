@@ -145,7 +145,7 @@ def position_conflicts(spark, d):
     "search_bounds",
     f"""WITH {SQL_CANDIDATES}, b AS (SELECT t.label, t.vec_id, t.i, greatest(8, s.v1 + 4) AS lo, least(63, 56) AS hi FROM trace t JOIN (SELECT label, i, min(k) AS v1 FROM cand GROUP BY 1, 2) s ON s.label = t.label AND s.i = t.i),
     a AS (SELECT b.vec_id, min(s - 2 * {PULSE} - 1.5 * abs(b.i - seed.i)) AS alo, max(s + 2 * {PULSE} + 1.5 * abs(b.i - seed.i)) AS ahi, max(CASE WHEN seed.i = b.i THEN s END) AS own FROM b JOIN seed ON seed.label = b.label AND abs(b.i - seed.i) <= 10 GROUP BY 1),
-    w AS (SELECT b.vec_id, least(greatest(least(lo, coalesce(alo, lo)), 0), 63) AS lower, coalesce(own, (lo + hi) / 2) AS centre, greatest(hi, coalesce(ahi, hi)) AS upper FROM b LEFT JOIN a ON a.vec_id = b.vec_id) SELECT vec_id, round(lower, 6) AS lower, round(centre, 6) AS centre, round(least(greatest(upper, lower + 1), 63), 6) AS upper FROM w""",
+    w AS (SELECT b.vec_id, least(greatest(least(lo, coalesce(alo, lo)), 0), 63) AS lower, coalesce(own, (lo + hi) / 2) AS centre, greatest(hi, coalesce(ahi, hi)) AS upper FROM b LEFT JOIN a ON a.vec_id = b.vec_id) SELECT vec_id, round(lower::DOUBLE, 6) AS lower, round(centre::DOUBLE, 6) AS centre, round(least(greatest(upper, lower + 1), 63)::DOUBLE, 6) AS upper FROM w""",
 )
 def search_bounds(spark, d):
     """Rows' search ranges: the layer's offsets, below the layer above, opened by cones around seeds within ten rows."""

@@ -48,7 +48,7 @@ def trace_slice(spark, d):
     return rows.select(F.regexp_extract("file", r"^(\d+)\.", 1).cast("int").alias("label"), "trace", F.get("samples", F.lit(0)).cast("long").alias("first"))
 
 
-@register("trace_headers", f"WITH {SQL_TRACES} SELECT label || '.dzt' AS file, count(*) AS traces, 64 AS samples, 32 AS bits, 1 AS channels, 1024 + count(*) * 256 AS length, 7.0 AS dielectric, true AS same_hash FROM t GROUP BY label")
+@register("trace_headers", f"WITH {SQL_TRACES} SELECT label || '.dzt' AS file, count(*) AS traces, 64 AS samples, 32 AS bits, 1 AS channels, 1024 + count(*) * 256 AS length, 7.0::DOUBLE AS dielectric, true AS same_hash FROM t GROUP BY label")
 def trace_headers(spark, d):
     """Headers and fingerprints of files, and whether the fingerprint is that of the bytes that were written."""
     folder, manifest = _written(spark, d)
@@ -70,7 +70,7 @@ def layer_pick_files(spark, d):
     return survey.layer_picks(spark, folder).select("layer", "name", F.col("trace").cast("long").alias("trace"), "sample", "channel", "property", "time_ns", "velocity")
 
 
-@register("design_files", "SELECT p_brand AS road_id, (p_partkey * 10)::DOUBLE AS start_m, (p_partkey * 10 + p_size)::DOUBLE AS end_m, p_type AS layer, round(CASE p_partkey % 3 WHEN 0 THEN p_size * 25.4 WHEN 1 THEN p_size * 10.0 ELSE p_size::DOUBLE END, 6) AS thickness_mm, round(CASE WHEN p_partkey % 4 = 0 THEN 1.5 ELSE 0.9 * CASE p_partkey % 3 WHEN 0 THEN p_size * 25.4 WHEN 1 THEN p_size * 10.0 ELSE p_size END END, 6) AS low_mm FROM part WHERE p_partkey % 7 <> 0")
+@register("design_files", "SELECT p_brand AS road_id, (p_partkey * 10)::DOUBLE AS start_m, (p_partkey * 10 + p_size)::DOUBLE AS end_m, p_type AS layer, round(CASE p_partkey % 3 WHEN 0 THEN p_size * 25.4::DOUBLE WHEN 1 THEN p_size * 10.0::DOUBLE ELSE p_size::DOUBLE END, 6) AS thickness_mm, round(CASE WHEN p_partkey % 4 = 0 THEN 1.5::DOUBLE ELSE 0.9::DOUBLE * CASE p_partkey % 3 WHEN 0 THEN p_size * 25.4::DOUBLE WHEN 1 THEN p_size * 10.0::DOUBLE ELSE p_size::DOUBLE END END, 6) AS low_mm FROM part WHERE p_partkey % 7 <> 0")
 def design_files(spark, d):
     """Design schedules as CSV with units and blanks, and back."""
     folder, k = workspace.new_folder(spark, "design"), F.col("p_partkey")
@@ -108,7 +108,7 @@ def seed_files(spark, d):
     return rows.select("survey_id", "station_id", "role", "layer", "visibility", F.round("sample", 6).alias("sample"), "selected_lobe", "event_id")
 
 
-@register("checkpoint_files", f"WITH {SQL_EVENTS} SELECT CAST(user_id AS VARCHAR) AS survey_id, 'c' || event_id AS checkpoint_id, CAST(event_id % 3 + 1 AS INTEGER) AS layer_order, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value, 6) END AS sample_index, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END, 6) END AS canonical_sample_index, CASE WHEN event_id % 5 = 0 THEN 'absent' ELSE 'visible' END AS visibility, 'default' AS regime_id, 7.0 AS pulse_width_samples FROM ev")
+@register("checkpoint_files", f"WITH {SQL_EVENTS} SELECT CAST(user_id AS VARCHAR) AS survey_id, 'c' || event_id AS checkpoint_id, CAST(event_id % 3 + 1 AS INTEGER) AS layer_order, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value, 6) END AS sample_index, CASE WHEN event_id % 5 = 0 THEN NULL ELSE round(value + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END, 6) END AS canonical_sample_index, CASE WHEN event_id % 5 = 0 THEN 'absent' ELSE 'visible' END AS visibility, 'default' AS regime_id, 7.0::DOUBLE AS pulse_width_samples FROM ev")
 def checkpoint_files(spark, d):
     """Blinded checkpoints as JSON documents and back: what is missing gets its stated value."""
     folder, gone = workspace.new_folder(spark, "checkpoints"), F.col("event_id") % 5 == 0

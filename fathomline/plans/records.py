@@ -19,7 +19,7 @@ _ZEROS = sum(v == 0 for v in co.EVIDENCE.values())
 
 @register(
     "evidence_projection",
-    f"WITH {SQL_CELLS}, m AS (SELECT vec_id, max(abs(v)) AS strength, arg_min(k, (-abs(v), k)) AS top, avg(v * v) AS power FROM cell GROUP BY 1) SELECT vec_id, round(strength, 6) AS absolute_strength, CASE WHEN vec_id % 7 = 0 THEN -1.0 ELSE top::DOUBLE END AS graph_selected_sample, CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE round(strength / sqrt(power), 6) END AS local_snr, -1.0 AS regime_index, {len(co.EVIDENCE)} AS fields FROM m",
+    f"WITH {SQL_CELLS}, m AS (SELECT vec_id, max(abs(v)) AS strength, arg_min(k, (-abs(v), k)) AS top, avg(v * v) AS power FROM cell GROUP BY 1) SELECT vec_id, round(strength, 6) AS absolute_strength, CASE WHEN vec_id % 7 = 0 THEN -1.0::DOUBLE ELSE top::DOUBLE END AS graph_selected_sample, CASE WHEN vec_id % 5 = 0 THEN 0.0::DOUBLE ELSE round(strength / sqrt(power), 6) END AS local_snr, -1.0::DOUBLE AS regime_index, {len(co.EVIDENCE)} AS fields FROM m",
 )
 def evidence_projection(spark, d):
     """The known numbers of a pick as one struct of every evidence, defaults where a number is missing or not finite."""

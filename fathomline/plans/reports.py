@@ -157,7 +157,7 @@ def observed(spark, d):
 
 def _sql_summary(keys: str, where: str = "true") -> str:
     join = " AND ".join(f"g.{k} = c.{k}" for k in keys.split(", "))
-    return f"w AS (SELECT {keys}, i - row_number() OVER (PARTITION BY {keys} ORDER BY i) AS grp FROM obs WHERE accepted AND NOT correct AND {where}), g AS (SELECT {keys}, max(n) * {STEP} AS longest FROM (SELECT {keys}, grp, count(*) AS n FROM w GROUP BY ALL) GROUP BY ALL), c AS (SELECT {keys}, count(*) AS n, count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE accepted AND correct) AS correct, count(*) FILTER (WHERE accepted AND NOT correct) AS wrong, count(*) FILTER (WHERE manual) AS manual FROM obs WHERE {where} GROUP BY ALL) SELECT {', '.join('c.' + k for k in keys.split(', '))}, n, accepted, correct, wrong, manual, n - accepted AS unresolved, round(correct / nullif(accepted, 0), 6) AS agreement, round(correct / n, 6) AS coverage, round(coalesce(longest, 0), 6) AS longest_wrong_m FROM c LEFT JOIN g ON {join}"
+    return f"w AS (SELECT {keys}, i - row_number() OVER (PARTITION BY {keys} ORDER BY i) AS grp FROM obs WHERE accepted AND NOT correct AND {where}), g AS (SELECT {keys}, max(n) * {STEP}::DOUBLE AS longest FROM (SELECT {keys}, grp, count(*) AS n FROM w GROUP BY ALL) GROUP BY ALL), c AS (SELECT {keys}, count(*) AS n, count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE accepted AND correct) AS correct, count(*) FILTER (WHERE accepted AND NOT correct) AS wrong, count(*) FILTER (WHERE manual) AS manual FROM obs WHERE {where} GROUP BY ALL) SELECT {', '.join('c.' + k for k in keys.split(', '))}, n, accepted, correct, wrong, manual, n - accepted AS unresolved, round(correct / nullif(accepted, 0), 6) AS agreement, round(correct / n, 6) AS coverage, round(coalesce(longest, 0::DOUBLE), 6) AS longest_wrong_m FROM c LEFT JOIN g ON {join}"
 
 
 def _rounded(df):
