@@ -13,6 +13,8 @@ import numpy as np
 import regex
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+#: Characters of a range that is asked about at once.
+LARGEST = 1024
 STAND_IN = {OTHER: "!", LETTER: "a", NUMBER: "1", SPACE: " "}
 
 
@@ -23,12 +25,21 @@ def packed_classes() -> bytes:
 
     splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
     out = np.full(0x110000, SPACE, np.uint8)
-    for low in range(0, 0x110000, 0x4000):
-        points = [c for c in range(low, low + 0x4000) if not 0xD800 <= c < 0xE000]
-        for mark, kind in (("a", LETTER), ("1", NUMBER), ("!", OTHER)):
-            starts = {a for _, (a, _) in splitter.pre_tokenize_str("".join(f"{mark}{chr(c)}\n" for c in points))}
-            out[[c for k, c in enumerate(points) if 3 * k + 1 not in starts]] = kind
-    out[10] = SPACE
+    # Characters of one class behind a character of that class are one pre-token: whole ranges are asked about, and halved where they are mixed.
+    ranges = [(0, 0xD800), (0xE000, 0x110000)]
+    while ranges:
+        low, high = ranges.pop()
+        if high - low <= LARGEST:
+            text = "".join(map(chr, range(low, high)))
+            for mark, kind in (("a", LETTER), ("1", NUMBER), ("!", OTHER)):
+                if len(splitter.pre_tokenize_str(mark + text)) == 1:
+                    out[low:high] = kind
+                    break
+            else:
+                if high - low > 1:
+                    ranges += [(low, (low + high) // 2), ((low + high) // 2, high)]
+        else:
+            ranges += [(low, (low + high) // 2), ((low + high) // 2, high)]
     return zlib.compress(out.tobytes())
 
 
@@ -40,10 +51,12 @@ def unpack(packed: bytes) -> np.ndarray:
 def packed_disputes() -> bytes:
     """zlib of text: the characters that the regex module classes otherwise, each followed by a stand-in of the right class."""
     table = unpack(packed_classes())
-    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+    everything = "".join(map(chr, points.tolist()))
     mine = np.zeros(0x110000, np.uint8)
-    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
-        mine[[ord(c) for c in regex.findall(pattern, everything)]] = kind
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+        for run in regex.finditer(pattern, everything):
+            mine[points[run.start() : run.end()]] = kind
     wrong = [c for c in np.flatnonzero(mine != table).tolist() if not 0xD800 <= c < 0xE000]
     return zlib.compress("".join(chr(c) + STAND_IN[int(table[c])] for c in wrong).encode())
 
