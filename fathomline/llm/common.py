@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import tempfile
 import uuid
 import zlib
@@ -83,6 +84,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a batch that goes to a Python worker where rows are sets or vectors, in place of Spark's own 64 MB.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(fn: Callable) -> Callable:
+    """``fn(df, ...)`` with batches of BATCH_BYTES for what it writes itself; the session's setting is put back."""
+
+    @functools.wraps(fn)
+    def run(df: DataFrame, *args, **named):
+        conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+        before = conf.get(key, None)
+        conf.set(key, str(BATCH_BYTES))
+        try:
+            return fn(df, *args, **named)
+        finally:
+            if before is None:
+                conf.unset(key)
+            else:
+                conf.set(key, before)
+
+    return run
+
+
 # ---------------------------------------------------------------- stage tables
 
 _own_dir: list[str] = []

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stages, _local_roots, components, delete_path, documents_of, give_back, shuffle_partitions, slices, stage_table, table
+from .common import Stages, _local_roots, bounded_batches, components, delete_path, documents_of, give_back, shuffle_partitions, slices, stage_table, table
 from .shingles import C, mix, shingle_sets
 
 WORDS, PERCENT = 4, 85
@@ -646,6 +646,7 @@ def _only_queries(percent: int):
     return run
 
 
+@bounded_batches
 def jaccard_components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row a row of ``df``.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stages, _local_roots, components, delete_path, give_back, keyed_join, shuffle_partitions, stage_table, table
+from .common import Stages, _local_roots, bounded_batches, components, delete_path, give_back, keyed_join, shuffle_partitions, stage_table, table
 from .jaccard import _units
 
 THRESHOLD = 0.9
@@ -488,6 +488,7 @@ def _all_links(vectors: DataFrame, n: int, threshold: float) -> DataFrame:
     return links
 
 
+@bounded_batches
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row a row of ``df``.
 

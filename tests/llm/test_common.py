@@ -25,3 +25,22 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
     Session.sparkContext.master = "spark://host:7077"
     with pytest.raises(ValueError):
         common.shared_dir(Session)
+
+
+def test_batches_are_bounded_inside_and_put_back_outside(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    seen = []
+
+    @common.bounded_batches
+    def inside(df, fail):
+        seen.append(spark.conf.get(key))
+        if fail:
+            raise KeyError("x")
+        return df.mapInArrow(lambda batches: ([b for b in batches]), "v binary").count()
+
+    big = spark.range(40, numPartitions=1).selectExpr("cast(repeat('x', 1000000) as binary) as v")
+    assert inside(big, False) == 40 and spark.conf.get(key) == before
+    with pytest.raises(KeyError):
+        inside(big, True)
+    assert spark.conf.get(key) == before and set(seen) == {str(common.BATCH_BYTES)}
