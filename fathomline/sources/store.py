@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +56,25 @@ class Project:
         rows.join(F.broadcast(last), keys, "left_anti").write.mode("errorifexists").parquet(f"{self.path}/{name}/v{len(self._parts(name)):08d}-{uuid.uuid4().hex[:8]}")
 
     def new_run(self, parameters: str) -> int:
-        """Append a run numbered after the last."""
+        """Append a run numbered after the last. A number is claimed by a file that only one writer can create, so that two at once get two."""
         number = (self.read("runs").agg(F.max("run_id")).first()[0] or 0) + 1
+        while not self._claimed(number):
+            number += 1
         self.write("runs", self.spark.createDataFrame([(number, parameters, number)], TABLES["runs"][0]))
         return number
 
+    def _claimed(self, number: int) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        mark = jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/{number:08d}")
+        system = mark.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            system.create(mark, False).close()
+        except Py4JJavaError as taken:
+            if system.exists(mark):
+                return False
+            raise taken
+        return True
+
     def latest_parameters(self) -> str | None:
         return self.read("runs").agg(F.max_by("parameters", "run_id")).first()[0]
 

@@ -27,6 +27,7 @@ def test_project(spark, tmp_path):
     project = store.Project(spark, f"file://{tmp_path}/p")
     assert project.read("seed_stations").count() == 0 and project.latest_parameters() is None
     assert [project.new_run("a"), project.new_run("b")] == [1, 2] and project.latest_parameters() == "b"
+    assert not project._claimed(2) and project._claimed(3) and project.new_run("c") == 4 and project.latest_parameters() == "c"
     columns = "station_id string, chainage_m double, role string, picks string, version long"
     project.write("seed_stations", spark.createDataFrame([("x", 1.0, "seed", '{"1": 5.0}', 1), ("y", 0.5, "seed", '{"1": 4.0, "2": null}', 2)], columns))
     project.write("seed_stations", spark.createDataFrame([("x", 1.0, "seed", '{"1": 6.0}', 3)], columns))
