@@ -49,7 +49,21 @@ def conversation_replay(spark, d):
     UNION ALL SELECT s.user_id, s.i, CASE WHEN s.event_type = 'error' THEN 0.0::DOUBLE ELSE least(f.level + s.value, 1000) END FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1) SELECT user_id, max(i) AS steps, round(arg_max(level, i), 4) AS level FROM f GROUP BY 1""",
 )
 def ordered_fold_replay(spark, d):
-    """A state that does depend on the order: errors reset it, other actions add to it up to a cap. A fold over each user's ordered log."""
-    log = read(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("l"))
-    level = F.aggregate("l", F.lit(0.0), lambda acc, e: F.when(e["event_type"] == "error", F.lit(0.0)).otherwise(F.least(acc + e["value"], F.lit(1000.0))))
-    return log.select("user_id", F.size("l").cast("long").alias("steps"), F.round(level, 4).alias("level"))
+    """A state that does depend on the order: errors reset it, other actions add to it up to a cap.
+
+    No task holds a user's log: each piece of it is folded to what it does to any state, which is to set it, or to add something up to some cap;
+    these few numbers a piece are then applied in order.
+    """
+    cap, none = F.lit(1000.0), F.lit(float("inf"))
+    pieces = read(spark, d, "events").groupBy("user_id", F.expr("event_id div 4096").alias("piece")).agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("l"))
+    state = lambda sets, add, most: F.struct(sets.alias("sets"), add.alias("add"), most.alias("most"))
+
+    def follow(acc, e):
+        most = F.least(acc["most"] + e["value"], cap)
+        on = state(acc["sets"], F.when(acc["sets"], 0.0).otherwise(acc["add"] + e["value"]), most)
+        return F.when(e["event_type"] == "error", state(F.lit(True), F.lit(0.0), F.lit(0.0))).otherwise(on)
+
+    maps = pieces.select("user_id", "piece", F.size("l").alias("steps"), F.aggregate("l", state(F.lit(False), F.lit(0.0), none), follow).alias("m"))
+    log = maps.groupBy("user_id").agg(F.sum("steps").cast("long").alias("steps"), F.sort_array(F.collect_list(F.struct("piece", "m"))).alias("l"))
+    level = F.aggregate("l", F.lit(0.0), lambda x, p: F.when(p["m"]["sets"], p["m"]["most"]).otherwise(F.least(x + p["m"]["add"], p["m"]["most"])))
+    return log.select("user_id", "steps", F.round(level, 4).alias("level"))
