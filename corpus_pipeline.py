@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm import language, packing, quality
-from fathomline.llm.common import give_back, slices, stage_table, table
+from fathomline.llm.common import delete_path, give_back, slices, stage_table, table
 from fathomline.llm.jaccard import jaccard_components
 
 #: Near-duplicates share this percentage of their distinct word shingles.
@@ -80,8 +80,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents, each written and read again before the next; a stage's table goes when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            delete_path(spark, before)
+        before = path
     return docs
