@@ -75,20 +75,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def banded_dtw(a: Column, b: Column, n: int, band: int) -> Column:
-    """Cost of aligning two arrays of n values by steps (1, 1), (1, 0), (0, 1) within a band, squared differences: a fold over rows."""
+    """Cost of aligning two arrays of n values by steps (1, 1), (1, 0), (0, 1) within a band, squared differences: a fold over rows of the band's cells."""
     big = F.lit(1e18)
-    index = F.sequence(F.lit(0), F.lit(n - 1))
+    cells = F.sequence(F.lit(0), F.lit(2 * band))
 
     def row(acc: Column, i: Column) -> Column:
-        # Cells left to right; the running array holds this row so far.
-        start = F.array().cast("array<double>")
-
-        def cell(cells: Column, j: Column) -> Column:
+        # Cell d of row i is column i + d - band; the cell above it is d + 1 of the row before, the diagonal one d.
+        def cell(done: Column, d: Column) -> Column:
+            j = i + d - band
             cost = F.pow(F.get(a, i) - F.get(b, j), F.lit(2))
-            up, diagonal, left = F.coalesce(F.get(acc, j), big), F.coalesce(F.when(j > 0, F.get(acc, j - 1)), big), F.coalesce(F.when(j > 0, F.get(cells, j - 1)), big)
-            before = F.when((i == 0) & (j == 0), F.lit(0.0)).otherwise(F.least(up, diagonal, left))
-            return F.concat(cells, F.array(F.when(F.abs(i - j) <= band, cost + before).otherwise(big)))
+            before = F.least(F.coalesce(F.get(acc, d), big), F.coalesce(F.get(acc, d + 1), big), F.coalesce(F.get(done, d - 1), big))
+            value = F.when((j >= 0) & (j < n), cost + F.when((i == 0) & (j == 0), F.lit(0.0)).otherwise(before)).otherwise(big)
+            return F.concat(done, F.array(value))
 
-        return F.aggregate(index, start, cell)
+        return F.aggregate(cells, F.array().cast("array<double>"), cell)
 
-    return F.get(F.aggregate(index, F.array().cast("array<double>"), row), F.lit(n - 1))
+    return F.get(F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.array().cast("array<double>"), row), F.lit(band))
