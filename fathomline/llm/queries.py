@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytebpe import op3_byte_bpe
+from .dialogue import op12_conversation_repair
+from .filteraudit import op11_filter_audit
 from .fst import op10_token_counts
 from .jaccard import op1_jaccard_join
 from .language import op4_language_id
+from .licenses import op13_license_scan
 from .nndescent import op7_nn_descent
 from .packing import op2_best_fit
 from .quality import op8_quality
 from .sharding import op5_shard_tree
-from .sql import jaccard_join, near_duplicates, url_filter
+from .sql import filter_audit, jaccard_join, near_duplicates, url_filter
 from .tiff import op6_media_tiff
 from .urlfilter import op9_url_filter
 
@@ -31,8 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
         "op10_token_counts": op10_token_counts,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_license_scan": op13_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": jaccard_join(), "op7_nn_descent": near_duplicates(), "op9_url_filter": url_filter()}
+    return {"op1_jaccard_join": jaccard_join(), "op7_nn_descent": near_duplicates(), "op9_url_filter": url_filter(), "op11_filter_audit": filter_audit()}

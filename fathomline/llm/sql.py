@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import filteraudit
 from .jaccard import PERCENT, WORDS
 from .nndescent import THRESHOLD
 from .urlfilter import ALIKE, DEPTH, LOWER, PRIOR, REJECT, RULES, STRENGTH, UPPER, VARIETY
@@ -65,3 +66,27 @@ def near_duplicates() -> str:
         f"n AS (SELECT a.id AS u, b.id AS v FROM g a JOIN g b ON a.id <> b.id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= {THRESHOLD}), {_REACH}, d AS (SELECT u, count(*) AS k FROM n GROUP BY 1) "
         "SELECT s.id AS vec_id, coalesce(k, 0) AS n_links, root AS component_id, s.id = root AS kept FROM s JOIN c ON c.node = s.id LEFT JOIN d ON d.u = s.id"
     )
+
+
+def filter_audit() -> str:
+    """Documents counted by failures, crossed with the 120 orders."""
+    words = "list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    fails = (
+        f"CASE WHEN len(ws) < {filteraudit.LEAST_WORDS} THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < {filteraudit.DISTINCT_PERCENT} * len(ws) THEN 'B' ELSE '' END || "
+        f"CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {filteraudit.CAPITAL_PERCENT} * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[{filteraudit.SIGNS.decode()}]') THEN 'D' ELSE '' END || "
+        "CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END"
+    )
+    letters = ", ".join(f"(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) l{k}" for k in range(5))
+    unlike = " AND ".join(f"l{i}.x <> l{j}.x" for i in range(5) for j in range(i))
+    first = "least(" + ", ".join(f"CASE WHEN contains(fails, f[{k}]) THEN {k} ELSE 6 END" for k in range(1, 6)) + ")"
+    count = lambda where: f"CAST(coalesce(sum(n) FILTER (WHERE {where}), 0) AS BIGINT)"
+    return (
+        f"WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents), w AS (SELECT *, {words} AS ws FROM d), j AS (SELECT doc_id, part, {fails} AS fails FROM w), "
+        "m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1), "
+        "g AS (SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM j LEFT JOIN m USING (doc_id) GROUP BY ALL), "
+        f"o AS (SELECT l0.x || l1.x || l2.x || l3.x || l4.x AS f FROM {letters} WHERE {unlike}), "
+        f"x AS (SELECT part, fails, good, toxic, n, f, {first} AS first FROM g, o), s AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM x), "
+        f"a AS (SELECT part, f AS filter_order, step, f[step] AS letter, {count('first > step')} AS kept, {count('first = step')} AS removed, {count('contains(fails, f[step]) AND first < step')} AS redundant, {count('fails = f[step]')} AS unique_fails, "
+        f"{count('first = step AND good = 1')} AS good_lost, {count('first = step AND toxic = 1')} AS toxic_lost FROM s GROUP BY 1, 2, 3, 4) "
+        "SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM a"
+    )

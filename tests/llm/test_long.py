@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from fathomline.llm import bytebpe, fst, jaccard, language, packing, quality, sharding, tiff
+from fathomline.llm import bytebpe, filteraudit, fst, jaccard, language, licenses, packing, quality, sharding, tiff
 from fathomline.llm.shingles import shingle_sets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -72,3 +72,11 @@ def test_classifiers_shards_and_media(spark, where):
         raw = (text or "").encode()
         payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         assert sizes[k] == len(raw) + 8 and media[k].payload_sha256 == hashlib.sha256(payload).hexdigest() and media[k].n_bytes == len(raw)
+
+
+def test_filters_and_licenses(spark, where):
+    folder, texts = where
+    got = filteraudit.op11_filter_audit(spark, folder).filter("filter_order = 'ABCDE' and step = 1").collect()
+    assert {r.part: r.kept + r.removed for r in got} == {"en": 2, "de": 2, "": 1}
+    scanned = {r.doc_id: r for r in licenses.op13_license_scan(spark, folder).collect()}
+    assert len(scanned) == len(texts) and scanned[3].n_words == 4 and scanned[1].n_base == 0
