@@ -17,7 +17,7 @@ from .nndescent import op7_nn_descent
 from .packing import op2_best_fit
 from .quality import op8_quality
 from .sharding import op5_shard_tree
-from .sql import filter_audit, jaccard_join, near_duplicates, url_filter
+from .sql import conversation_repair, filter_audit, jaccard_join, near_duplicates, url_filter
 from .tiff import op6_media_tiff
 from .urlfilter import op9_url_filter
 
@@ -41,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": jaccard_join(), "op7_nn_descent": near_duplicates(), "op9_url_filter": url_filter(), "op11_filter_audit": filter_audit()}
+    return {"op1_jaccard_join": jaccard_join(), "op7_nn_descent": near_duplicates(), "op9_url_filter": url_filter(), "op11_filter_audit": filter_audit(), "op12_conversation_repair": conversation_repair()}

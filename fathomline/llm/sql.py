@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filteraudit
+from . import dialogue, filteraudit
 from .jaccard import PERCENT, WORDS
 from .nndescent import THRESHOLD
 from .urlfilter import ALIKE, DEPTH, LOWER, PRIOR, REJECT, RULES, STRENGTH, UPPER, VARIETY
@@ -90,3 +90,40 @@ def filter_audit() -> str:
         f"{count('first = step AND good = 1')} AS good_lost, {count('first = step AND toxic = 1')} AS toxic_lost FROM s GROUP BY 1, 2, 3, 4) "
         "SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM a"
     )
+
+
+def conversation_repair() -> str:
+    """Damage, faults and, row by row, the cheapest edits that end in each state of the talk: empty, after s, after u, after a."""
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({key}, ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda c, b: {bits}), 4294967295)"
+    body = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    fault = f"CASE WHEN {body} = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT contains('{dialogue.ENDS}', right({body}, 1)) THEN 'truncated' ELSE '' END"
+    # Insertions after a row: up to three more roles, each of which the state asks for.
+    inserts = [(s, s, "", []) for s in range(4)] + [(s, 2, "I", ["user:"]) for s in (0, 1, 3)] + [(2, 3, "I", ["assistant:"])]
+    inserts += [(s, 3, "II", ["user:", "assistant:"]) for s in (0, 1, 3)] + [(2, 2, "II", ["assistant:", "user:"])] + [(s, 2, "III", ["user:", "assistant:", "user:"]) for s in (0, 1, 3)] + [(2, 3, "III", ["assistant:", "user:", "assistant:"])]
+    more = ", ".join(f"({a}, {b}, '{letters}', CAST({lines} AS VARCHAR[]))" for a, b, letters, lines in inserts)
+    moves = "VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')"
+    given = "CASE n.take WHEN 'u' THEN 'user' ELSE 'assistant' END"
+    best = "QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1"
+    added = f"{dialogue.INSERT} * length(letters)"
+    left = f"CASE WHEN r.fault = 'truncated' THEN {dialogue.TRUNCATED} ELSE 0 END"
+    # What becomes of a row: deleted in any state, or moved on to the next one, kept or with another role.
+    step = (
+        f"SELECT t.conv_id, t.i, n.next AS state, t.cost + CASE WHEN n.take = '' THEN {dialogue.DELETE} WHEN left(r.role, 1) = n.take THEN {left} ELSE {dialogue.REROLE} + {left} END AS cost, "
+        f"t.audit || CASE WHEN n.take = '' THEN 'D' WHEN left(r.role, 1) = n.take THEN 'K' ELSE 'R' END AS audit, CASE WHEN n.take = '' THEN t.lines ELSE list_append(t.lines, CASE WHEN left(r.role, 1) = n.take THEN r.role ELSE {given} END || ':' || r.text) END AS lines "
+        "FROM t JOIN r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.i = t.i + 1 JOIN n ON n.state = t.state WHERE n.take = '' OR (r.fault NOT IN ('blank', 'duplicate') AND (n.take <> 's' OR left(r.role, 1) = 's'))"
+    )
+    return (
+        "WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, " + crc + " % 20 AS kind FROM conversations), "
+        f"a AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[{dialogue.ENDS}]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM d WHERE kind <> 0), "
+        "o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM a), "
+        f"r AS (SELECT *, {fault} AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o), "
+        f"n(state, next, take) AS ({moves} UNION ALL SELECT unnest([0, 1, 2, 3]), unnest([0, 1, 2, 3]), ''), m(state, next, letters, more) AS (VALUES {more}), "
+        f"t AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, next AS state, CAST({added} AS BIGINT) AS cost, letters AS audit, more AS lines FROM (SELECT DISTINCT conv_id FROM d), m WHERE m.state = 0 {best.replace('state ORDER', 'next ORDER')} "
+        f"UNION ALL SELECT conv_id, i + 1, m.next AS state, cost + {added} AS cost, audit || letters AS audit, list_concat(lines, more) AS lines FROM ({step}) s JOIN m ON m.state = s.state QUALIFY row_number() OVER (PARTITION BY conv_id, m.next ORDER BY cost + {added}, audit || letters) = 1), "
+        "c AS (SELECT k.conv_id, count(r.i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, "
+        "count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT DISTINCT conv_id FROM d) k LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY k.conv_id), "
+        "e AS (SELECT t.* FROM t JOIN c ON c.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = c.n WHERE t.state IN (0, 3) QUALIFY row_number() OVER (PARTITION BY t.conv_id ORDER BY cost, audit) = 1) "
+        "SELECT c.conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, cost, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256 FROM c JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"
+    )
