@@ -1,7 +1,6 @@
 """Dynamic programming and graph operators.
 
-Solvers whose steps depend on the step before run as folds over a group's ordered array, in the JVM; groups are roads or blocks,
-which are bounded, and run in parallel. Components of link tables run as joins.
+Components of link tables run as joins; alignments of bounded arrays as folds in the JVM. Chains of any length are in ``chains``.
 """
 
 from __future__ import annotations
@@ -12,47 +11,6 @@ from pyspark.sql import functions as F
 from ..workspace import shared_dir
 
 
-def l1_viterbi(df: DataFrame, keys: list[str], order: str, scores: str, states: int, slope: float) -> DataFrame:
-    """(keys, best): the best path's score through rows of ``states`` scores, a step between states i and j costing slope * |i - j|.
-
-    A fold over a key's rows in order; each step looks at all pairs of states.
-    """
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(scores).alias("s")))).alias("_rows"))
-
-    def transform(prev: Column) -> Column:
-        # max_j prev[j] - slope * |i - j|
-        index = F.sequence(F.lit(0), F.lit(states - 1))
-        return F.transform(index, lambda i: F.array_max(F.transform(index, lambda j: F.get(prev, j) - F.lit(slope) * F.abs(i - j))))
-
-    start = F.transform(F.get("_rows", F.lit(0))["s"], lambda x: x)
-    final = F.aggregate(F.slice("_rows", F.lit(2), F.greatest(F.size("_rows") - 1, F.lit(0))), start, lambda acc, r: F.zip_with(transform(acc), r["s"], lambda a, b: a + b))
-    return rows.select(*keys, F.array_max(final).alias("best"))
-
-
-def bottleneck(df: DataFrame, keys: list[str], order: str, weight: str, seed: str, out: str) -> DataFrame:
-    """Support of each row from seeds along a chain: the larger, over both directions, of the smallest weight between it and a seed.
-
-    ``weight`` belongs to the link from the row before. A fold over a key's rows in each direction.
-    """
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(weight).cast("double").alias("w"), F.col(seed).alias("s")))).alias("_r"))
-    n = F.size("_r")
-
-    def sweep(indices: Column, link) -> Column:
-        start = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("all"))
-
-        def step(acc, i):
-            r = F.get("_r", i)
-            value = F.when(r["s"], F.lit(1.0)).otherwise(F.least(acc["last"], link(i)))
-            return F.struct(value.alias("last"), F.concat(acc["all"], F.array(value)).alias("all"))
-
-        return F.aggregate(indices, start, step)["all"]
-
-    forward = sweep(F.sequence(F.lit(0), n - 1), lambda i: F.get("_r", i)["w"])
-    backward = F.reverse(sweep(F.reverse(F.sequence(F.lit(0), n - 1)), lambda i: F.coalesce(F.get("_r", i + 1)["w"], F.lit(0.0))))
-    both = rows.select(*keys, "_r", F.zip_with(forward, backward, lambda a, b: F.greatest(a, b)).alias("_v"))
-    return both.select(*keys, F.posexplode("_v").alias("_i", out), "_r").select(*keys, F.get("_r", F.col("_i"))["o"].alias(order), out)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the symmetric closure of (a, b), component the smallest node reachable.
 

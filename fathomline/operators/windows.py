@@ -1,4 +1,4 @@
-"""Moving windows, runs, gaps and islands, filling."""
+"""Moving windows, runs, gaps and islands, filling: one window a key, for keys bounded by what they are, such as a trace's samples. ``scans`` has the same for keys of any size."""
 
 from __future__ import annotations
 

@@ -5,22 +5,62 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import paths
+from ..operators import chains, paths, scans
 from .registry import register
 from .tables import SQL_EVENTS, events, read
 from .windows import cells
 
 
-@register(
-    "viterbi_l1_score",
-    """WITH RECURSIVE r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings),
-    v AS (SELECT label, n, s AS best FROM r WHERE n = 1 UNION ALL SELECT r.label, r.n, list_transform(range(1, 65), lambda i: list_max(list_transform(range(1, 65), lambda j: v.best[j] - 0.05 * abs(i - j))) + r.s[i]) FROM v JOIN r ON r.label = v.label AND r.n = v.n + 1)
-    SELECT label, round(list_max(best), 6) AS best FROM v WHERE (label, n) IN (SELECT label, max(n) FROM r GROUP BY 1)""",
-)
+def _chain_sql(step: str, states: int = 64, scores: str = "x") -> str:
+    """Forward and backward scores of every row and state: f.best, the best way to it, and g.tail, the best way on from it. ``step`` is the score of i to j."""
+    every = f"range(1, {states + 1})"
+    return (
+        f"r AS (SELECT label, vec_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY label) AS last, {scores} AS s FROM (SELECT label, vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings) WINDOW w AS (PARTITION BY label ORDER BY vec_id)), "
+        f"f AS (SELECT label, n, s AS best FROM r WHERE n = 1 UNION ALL SELECT r.label, r.n, list_transform({every}, lambda j: list_max(list_transform({every}, lambda i: f.best[i] + {step})) + r.s[j]) FROM f JOIN r ON r.label = f.label AND r.n = f.n + 1), "
+        f"g AS (SELECT label, n, list_transform(s, lambda v: 0::DOUBLE) AS tail FROM r WHERE n = last UNION ALL SELECT r.label, r.n - 1, list_transform({every}, lambda i: list_max(list_transform({every}, lambda j: {step} + r.s[j] + g.tail[j]))) FROM g JOIN r ON r.label = g.label AND r.n = g.n AND r.n > 1), "
+        f"p AS (SELECT f.label, f.n, list_position(best, list_max(best)) AS st FROM f JOIN r ON r.label = f.label AND r.n = f.n AND f.n = r.last UNION ALL SELECT label, n, list_position(w, list_max(w)) FROM (SELECT f.label, f.n, list_transform({every}, lambda i: f.best[i] + {step.replace('j', 'p.st')}) AS w FROM p JOIN f ON f.label = p.label AND f.n = p.n - 1))"
+    )
+
+
+SLOPE = "(-0.05 * abs(i - j))"
+
+
+def chain(spark, d, step, scores=lambda s: s):
+    """The chains of all roads: whole traces in order, each row with a score for every depth."""
+    rows = read(spark, d, "embeddings").select("label", "vec_id", scores(F.col("embedding").cast("array<double>")).alias("s"))
+    return chains.Chains(rows, ["label"], "vec_id", "s", step)
+
+
+@register("viterbi_l1_score", f"WITH RECURSIVE {_chain_sql(SLOPE)} SELECT r.label, round(list_max(best), 6) AS best FROM f JOIN r ON r.label = f.label AND r.n = f.n WHERE f.n = last")
 def viterbi_l1_score(spark, d):
     """The best path's score through all samples of a road's traces."""
-    rows = read(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("s"))
-    return paths.l1_viterbi(rows, ["label"], "vec_id", "s", 64, 0.05).select("label", F.round("best", 6).alias("best"))
+    return chain(spark, d, chains.slope_steps(64, 0.05)).best().select("label", F.round("best", 6).alias("best"))
+
+
+@register("viterbi_l1_path", f"WITH RECURSIVE {_chain_sql(SLOPE)} SELECT r.label, r.vec_id, CAST(st - 1 AS INTEGER) AS state FROM p JOIN r ON r.label = p.label AND r.n = p.n")
+def viterbi_l1_path(spark, d):
+    """The depths of the best path itself."""
+    return chain(spark, d, chains.slope_steps(64, 0.05)).path()
+
+
+@register(
+    "interval_min_marginals",
+    f"WITH RECURSIVE {_chain_sql('(-0.05 * least(abs(i - j), 3))')}, m AS (SELECT f.label, f.n, list_reverse_sort(list_transform(range(1, 65), lambda i: best[i] + tail[i])) AS m FROM f JOIN g ON g.label = f.label AND g.n = f.n) SELECT r.label, r.vec_id, round(m[1] - m[2], 6) AS margin FROM m JOIN r ON r.label = m.label AND r.n = m.n",
+)
+def interval_min_marginals(spark, d):
+    """The margin of each row: how much worse the best chain through its second state is than the best of all."""
+    ranked = F.sort_array("m", asc=False)
+    return chain(spark, d, chains.slope_steps(64, 0.05, 3)).marginals("m").select("label", "vec_id", F.round(ranked[0] - ranked[1], 6).alias("margin"))
+
+
+@register(
+    "gapped_decoding",
+    f"WITH RECURSIVE {_chain_sql('(CASE WHEN i = 65 AND j = 65 THEN 0.0::DOUBLE WHEN i = 65 OR j = 65 THEN -0.1::DOUBLE ELSE -0.05 * abs(i - j) END)', 65, 'list_append(x, 0.02::DOUBLE)')} SELECT r.label, r.vec_id, CAST(CASE WHEN st = 65 THEN -1 ELSE st - 1 END AS INTEGER) AS state FROM p JOIN r ON r.label = p.label AND r.n = p.n",
+)
+def gapped_decoding(spark, d):
+    """The best path that may leave the samples for a gap, which costs to enter and to leave."""
+    made = chain(spark, d, chains.gap_steps(64, 0.05, -0.1), lambda s: F.concat(s, F.array(F.lit(0.02)))).path()
+    return made.select("label", "vec_id", F.when(F.col("state") == 64, -1).otherwise(F.col("state")).alias("state"))
 
 
 @register(
@@ -30,7 +70,7 @@ def viterbi_l1_score(spark, d):
 )
 def bottleneck_support(spark, d):
     rows = events(spark, d).select("user_id", "event_id", F.least(F.col("value") / 100, F.lit(1.0)).alias("w"), (F.col("event_type") == "signup").alias("seed"))
-    return paths.bottleneck(rows, ["user_id"], "event_id", "w", "seed", "support").select("user_id", "event_id", F.round("support", 6).alias("support"))
+    return scans.from_marks(rows, ["user_id"], ["event_id"], "w", "seed", "support").select("user_id", "event_id", F.round("support", 6).alias("support"))
 
 
 @register(

@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules whose queries register themselves."""
-    from . import aggregates, audit, candidates, evaluation, files, functions, grid_rules, guidance, joins, links, paths, records, reports, requests, runs, selection, signal, solvers, stateful, tracking, windows  # noqa: F401
+    from . import aggregates, audit, candidates, evaluation, files, functions, grid_rules, guidance, joins, links, paths, records, reports, requests, runs, selection, signal, solvers, stateful, windows  # noqa: F401

@@ -3,32 +3,41 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import images, motion
+from ..operators import alignment, calibration
 from ..operators.solvers import by_road, matrix
 from .aggregates import SQL_PICKS, picks
-from .candidates import SQL_CANDIDATES, candidates
+from .candidates import SQL_CANDIDATES, candidates, traces
 from .evaluation import SQL_SCORED, scored
 from .registry import register
 from .reports import SQL_RUN, run
 from .tables import read
-from .tracking import roads
+
+
+def roads(spark, d):
+    """(road, row, samples): the traces of every road, numbered."""
+    emb = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"))
+    return traces(spark, d).join(emb, "vec_id").select(F.col("label").cast("string").alias("road"), F.col("i").cast("int").alias("row"), "samples")
 
 
 @register("reciprocal_dtw_pairs")
 def reciprocal_dtw_pairs(spark, d):
-    """Agreement and centre displacement of neighbouring traces' windows, the worse of both ways. A test compares them with a plain table."""
+    """Agreement and centre displacement of neighbouring traces' windows, the worse of both ways. Pairs meet by a join and are aligned a batch at a time. A test compares them with a plain table."""
+    rows = roads(spark, d)
+    pairs = rows.join(rows.select("road", (F.col("row") - 1).alias("row"), F.col("samples").alias("following")), ["road", "row"])
 
-    def fn(road):
-        x = matrix(road["samples"])[:, 20:51]
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        agreement, shift = motion.reciprocal(x[:-1], x[1:], 3)
-        one, own = motion.aligned_pairs(x[:-1], x[1:], 3)
-        return [{"row": k, "agreement": float(agreement[k]), "displacement": float(shift[k]), "forward": float(one[k]), "forward_displacement": float(own[k])} for k in range(len(agreement))]
+    def run(batches):
+        for batch in batches:
+            x, y = (matrix(pa.chunked_array([batch[c]]))[:, 20:51] for c in ("samples", "following"))
+            x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9) for v in (x, y))
+            agreement, shift = alignment.reciprocal(x, y, 3)
+            one, own = alignment.aligned_pairs(x, y, 3)
+            yield pa.RecordBatch.from_arrays([batch["road"], batch["row"], *map(pa.array, (agreement, shift, one, own))], names=["road", "row", "agreement", "displacement", "forward", "forward_displacement"])
 
-    return by_road(roads(spark, d), ["road"], "row", fn, "road string, row int, agreement double, displacement double, forward double, forward_displacement double")
+    return pairs.mapInArrow(run, "road string, row int, agreement double, displacement double, forward double, forward_displacement double")
 
 
 @register("calibrated_roads")
@@ -39,7 +48,7 @@ def calibrated_roads(spark, d):
     def fn(road):
         plates = np.array(road["plate"][0].as_py())
         even = int(road["road"][0].as_py()) % 2 == 0
-        made = images.calibrated(matrix(road["samples"]), plates, 2, 20, same_setup=even)
+        made = calibration.calibrated(matrix(road["samples"]), plates, 2, 20, same_setup=even)
         return [{"row": k, "surface": int(made["surface"][k]), "reference": made["reference"], "subtracted": made["subtracted"], "corrected": made["corrected"][k].tolist()} for k in range(len(made["surface"]))]
 
     # One row: the plate of a calibration, a bounded recording of its own.

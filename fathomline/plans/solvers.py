@@ -34,25 +34,6 @@ def k_best_paths(spark, d):
     return solvers.grouped(_roads(spark, d), ["label"], "vec_id", "s", solve, "label int, rank int, path array<int>, score double")
 
 
-@register("interval_min_marginals")
-def interval_min_marginals(spark, d):
-    """The margin of each row: how much dearer the cheapest chain through its second state is."""
-
-    def solve(scores):
-        m = np.sort(solvers.min_marginals(-scores, lambda a, b: 0.05 * np.minimum(np.abs(a - b), 3)), axis=1)
-        return [{"row": i, "margin": float(r[1] - r[0])} for i, r in enumerate(m)]
-
-    return solvers.grouped(_roads(spark, d), ["label"], "vec_id", "s", solve, "label int, row int, margin double")
-
-
-@register("gapped_decoding")
-def gapped_decoding(spark, d):
-    def solve(scores):
-        return [{"row": i, "state": int(s)} for i, s in enumerate(solvers.gapped_path(scores, 0.05, 0.02, -0.1))]
-
-    return solvers.grouped(_roads(spark, d), ["label"], "vec_id", "s", solve, "label int, row int, state int")
-
-
 @register("layered_beam_paths")
 def layered_beam_paths(spark, d):
     def solve(scores):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import windows
+from ..operators import scans, windows
 from .registry import register
 from .tables import SQL_EVENTS, events, read
 
@@ -31,11 +31,10 @@ def dewow_window(spark, d):
     f"""WITH {SQL_CELLS} SELECT vec_id, k, round(v - avg(v) OVER (PARTITION BY label, k), 6) AS global_removed, round(v - avg(v) OVER (PARTITION BY label, k ORDER BY vec_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS moving_removed FROM cell""",
 )
 def background_removal(spark, d):
-    # The global mean is an aggregate of its own: combined before its shuffle, joined back on a few rows.
+    # The global mean is an aggregate of its own: combined before its shuffle, joined back on a few rows. Moving means run over blocks of traces.
     grid = cells(spark, d)
     mean = grid.groupBy("label", "k").agg(F.avg("v").alias("m"))
-    w = Window.partitionBy("label", "k").orderBy("vec_id").rowsBetween(-5, 5)
-    return grid.withColumn("near", F.avg("v").over(w)).join(mean, ["label", "k"]).select("vec_id", "k", F.round(F.col("v") - F.col("m"), 6).alias("global_removed"), F.round(F.col("v") - F.col("near"), 6).alias("moving_removed"))
+    return scans.moving_mean(grid, ["label", "k"], ["vec_id"], "v", 5, "near", False).join(mean, ["label", "k"]).select("vec_id", "k", F.round(F.col("v") - F.col("m"), 6).alias("global_removed"), F.round(F.col("v") - F.col("near"), 6).alias("moving_removed"))
 
 
 @register(
@@ -145,13 +144,11 @@ def short_run_removal(spark, d):
 )
 def review_islands(spark, d):
     """Uncertain picks with the short confident gaps between them, grouped where they stand close."""
-    picks = events(spark, d).withColumn("uncertain", F.col("event_type").isin("error", "signup"))
-    w = Window.partitionBy("user_id").orderBy("sec", "event_id")
-    mark = F.when(F.col("uncertain"), F.col("sec"))
-    span = F.min(mark).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.max(mark).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    kept = picks.withColumn("span", span).filter("uncertain or span <= 36000")
-    before = F.lag("sec").over(w)
-    numbered = kept.withColumn("n", (before.isNull() | (F.col("sec") - before > 14400)).cast("int")).withColumn("island", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["sec", "event_id"]
+    picks = events(spark, d).withColumn("uncertain", F.col("event_type").isin("error", "signup")).withColumn("mark", F.when(F.col("uncertain"), F.col("sec")))
+    beside = scans.neighbours(picks, ["user_id"], order, "mark", "sec", ("before", "before_at", "after", "after_at"))
+    kept = beside.filter("uncertain or after - before <= 36000").select("user_id", "sec", "event_id", "uncertain", "value")
+    numbered = scans.islands(kept, ["user_id"], order, ["sec"], lambda a, b: b("sec") - a("sec") > 14400)
     return numbered.groupBy("user_id", "island").agg(F.min("sec").alias("first"), F.max("sec").alias("last"), F.count("*").alias("picks"), F.count_if("uncertain").alias("uncertain_picks"), F.round(F.max("value"), 6).alias("top"))
 
 
@@ -163,7 +160,7 @@ def review_islands(spark, d):
 )
 def interval_merge_tiling(spark, d):
     spans = events(spark, d, "error").select("user_id", F.col("sec").alias("lo"), (F.col("sec") + 3600 + 60 * (F.col("event_id") % 7)).alias("hi"))
-    merged = windows.merge_spans(spans, ["user_id"], "lo", "hi", 300)
+    merged = scans.merge_spans(spans, ["user_id"], "lo", "hi", 300)
     tiles = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil((F.col("hi") - F.col("lo") - 3000) / 2400.0), F.lit(0)).cast("long")))
     tiled = merged.select("user_id", "lo", "hi", "members", tiles.alias("tile"))
     return tiled.withColumn("tile_start", F.col("lo") + F.col("tile") * 2400).withColumn("tile_end", F.least(F.col("tile_start") + 3000, F.col("hi")))
@@ -175,9 +172,7 @@ def interval_merge_tiling(spark, d):
     SELECT user_id, CAST(session AS BIGINT) AS session, min(sec) AS first, max(sec) AS last, count(*) AS picks FROM s GROUP BY 1, 2""",
 )
 def sessions_gaps_islands(spark, d):
-    w = Window.partitionBy("user_id").orderBy("sec", "event_id")
-    before = F.lag("sec").over(w)
-    marked = events(spark, d).withColumn("n", (before.isNull() | (F.col("sec") - before > 21600)).cast("int")).withColumn("session", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = scans.islands(events(spark, d).select("user_id", "sec", "event_id"), ["user_id"], ["sec", "event_id"], ["sec"], lambda a, b: b("sec") - a("sec") > 21600, "session")
     return marked.groupBy("user_id", "session").agg(F.min("sec").alias("first"), F.max("sec").alias("last"), F.count("*").alias("picks"))
 
 
@@ -197,6 +192,6 @@ def valid_runs(spark, d):
     SELECT user_id, event_id, (sec + nsec) / 2.0::DOUBLE AS break_at FROM n WHERE nregime <> regime""",
 )
 def regime_break_rows(spark, d):
-    w = Window.partitionBy("user_id").orderBy("sec", "event_id")
     seeds = events(spark, d, "signup").select("user_id", "sec", "event_id", (F.col("event_id") % 3).alias("regime"))
-    return seeds.withColumn("nsec", F.lead("sec").over(w)).withColumn("nregime", F.lead("regime").over(w)).filter("nregime <> regime").select("user_id", "event_id", ((F.col("sec") + F.col("nsec")) / 2.0).alias("break_at"))
+    following = scans.shifted(seeds, ["user_id"], ["sec", "event_id"], {"nsec": "sec", "nregime": "regime"}, True)
+    return following.filter("nregime <> regime").select("user_id", "event_id", ((F.col("sec") + F.col("nsec")) / 2.0).alias("break_at"))

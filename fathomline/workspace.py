@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -26,3 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path of its own below the shared folder, for one run's files."""
     return f"{shared_dir(spark)}/fathomline-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def held(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: its lineage is cut, lost executors cost nothing, and it is computed once however often it is read."""
+    path = new_folder(df.sparkSession, label)
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import physics
-from fathomline.operators import aggregates, evaluation, joins, paths, selection, signal, windows
+from fathomline.operators import aggregates, chains, evaluation, joins, paths, selection, signal, windows
 
 
 def values(df, *columns):
@@ -105,7 +105,7 @@ def test_viterbi_and_dtw_against_loops(spark, seed):
     for row in scores[1:]:
         best = np.max(best[None] - 0.3 * np.abs(np.arange(5)[:, None] - np.arange(5)[None]), axis=1) + row
     df = spark.createDataFrame([("r", i, s.tolist()) for i, s in enumerate(scores)], "k string, i int, s array<double>")
-    assert np.isclose(paths.l1_viterbi(df, ["k"], "i", "s", 5, 0.3).first().best, best.max())
+    assert np.isclose(chains.Chains(df, ["k"], "i", "s", chains.slope_steps(5, 0.3), 2, 2).best().first().best, best.max())
     a, b = draw.standard_normal(8), draw.standard_normal(8)
     cost = np.full((9, 9), np.inf)
     cost[0, 0] = 0
