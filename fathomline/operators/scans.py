@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..workspace import held
+from .cuts import part_of, position, shares, two_levels
 
-#: Rows of a piece, where a key has so many; keys that may be cut; pieces of them all; cuts that a row is compared with at once.
-PIECE, HOT, PIECES, FAN = 1 << 18, 1000, 1 << 14, 64
+#: Rows of a piece, where a key has so many; keys that may be cut; pieces of them all.
+PIECE, HOT, PIECES = 1 << 18, 1000, 1 << 14
 #: Quantiles that the sketch is asked for; a key's cuts are some of them.
 SHARES = 4096
 #: Rows of a block of ``framed``, at least; a frame's half width or more.
@@ -44,23 +45,17 @@ def cut(df: DataFrame, keys: list[str], order: list[str], rows: int = PIECE) ->
     if not total or most <= rows or most * HOT <= total:
         return df.withColumn("_k", _key(keys)).withColumn("_p", F.lit(0)), False
     hot = counts.filter((F.col("_n") > rows) & (F.col("_n") * HOT > total))
-    # One literal: thousands of them would be slow to plan.
-    shares = F.split(F.lit(",".join(str(i / SHARES) for i in range(1, SHARES))), ",").cast("array<double>")
-    quantiles = axis.join(F.broadcast(hot), "_k").groupBy("_k", "_n").agg(F.percentile_approx("_x", shares, 20_000).alias("_all"))
+    quantiles = axis.join(F.broadcast(hot), "_k").groupBy("_k", "_n").agg(F.percentile_approx("_x", shares(SHARES), 20_000).alias("_all"))
     # Every so many of them, so that a piece has about ``rows`` rows, or a PIECES-th of the table.
     wanted = F.ceil(F.col("_n") / F.lit(float(max(rows, total / PIECES))))
     every = F.greatest(F.floor(F.lit(SHARES) / wanted), F.lit(1)).cast("int")
     chosen = quantiles.withColumn("_every", every).select("_k", F.array_distinct(F.filter("_all", lambda x, i: (i + 1) % F.col("_every") == 0)).alias("_q"))
-    # Two levels: a row is compared with the first cut of each part, then with those of its part.
-    first = F.filter("_q", lambda x, i: i % FAN == FAN - 1)
-    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size("_q") / FAN).cast("int")), lambda i: F.slice("_q", i * FAN + 1, F.lit(FAN - 1)))
+    first, parts = two_levels("_q")
     cuts = held(chosen.select("_k", first.alias("_first"), parts.alias("_parts")), "cuts")
     at = F.col(order[0])
-    coarse = F.size(F.filter("_first", lambda c: c <= at))
-    fine = F.size(F.filter(F.get("_parts", F.col("_c")), lambda c: c <= at))
     inside = F.col("_first").isNotNull() & at.isNotNull()
-    made = df.withColumn("_k", _key(keys)).join(F.broadcast(cuts), "_k", "left").withColumn("_c", F.when(inside, coarse).otherwise(0))
-    return made.select(*df.columns, "_k", F.when(inside, F.col("_c") * FAN + fine).otherwise(0).cast("int").alias("_p")), True
+    made = df.withColumn("_k", _key(keys)).join(F.broadcast(cuts), "_k", "left").withColumn("_c", F.when(inside, part_of("_first", at)).otherwise(0))
+    return made.select(*df.columns, "_k", F.when(inside, position(F.col("_c"), "_parts", at)).otherwise(0).cast("int").alias("_p")), True
 
 
 def _local(order: list[str]) -> WindowSpec:

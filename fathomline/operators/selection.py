@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import held
+
 
 def stable_top(df: DataFrame, keys: list[str], score: str, tie: str, count: int, name: str = "rank") -> DataFrame:
     """The ``count`` best of each key, of equal scores the smallest tie first. Spark limits each task's groups before the shuffle."""
@@ -55,3 +57,39 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str, width: int =
     before = counts.withColumn("_b", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_n")).drop("_n")
     within = pieces.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(order)) - 1)
     return within.join(before, [*keys, "_p"]).withColumn(name, (F.col("_b") + F.col("_k")).cast("long")).drop("_p", "_k", "_b")
+
+
+#: Widths of ``apart`` in a stretch of the axis, which one unit of work holds together with ``apart`` to either side, twice.
+STRETCH = 4
+
+
+def suppress_rounds(df: DataFrame, keys: list[str], place: str, score: str, tie: str, apart: int, most: int) -> DataFrame:
+    """The result of ``suppress`` for keys of any size and whole-number places: (keys, rank, place, score, tie).
+
+    Rounds of an independent set: a row that is the best open one within reach is taken, and what stands within its reach is out. No unit of
+    work holds a key: rows are dealt to stretches of the axis with a margin of twice the reach, in which frames by range find both, so a stretch holds
+    as many rows as places, of which only the best is ever taken, some 8 * ``apart`` at most. The best open row of a key is taken in every round and all that stays
+    open is worse, so after ``most`` rounds the first ``most`` of every key are known. Each round is written before the next.
+    """
+    if most < 1:
+        return df.limit(0).select(*keys, F.lit(0).alias("rank"), place, score, *([tie] if tie != place else []))
+    best = F.struct(F.col(score).alias("s"), F.struct((-F.col(tie)).alias("t")).alias("t"))
+    rows = df.filter(F.col(place).isNotNull() & F.col(score).isNotNull()).groupBy(F.struct(*keys).alias("_k"), F.col(place).cast("long").alias("_x")).agg(F.max(best).alias("_best"))
+    open_, taken = held(rows, "suppress-open"), []
+    size, near = STRETCH * apart, apart - 1
+    own = F.floor(F.col("_x") / size)
+    reach = Window.partitionBy("_k", "_b").orderBy("_x").rangeBetween(-near, near)
+    for _ in range(most):
+        stretches = F.array_distinct(F.array(own, F.floor((F.col("_x") - 2 * near) / size), F.floor((F.col("_x") + 2 * near) / size)))
+        dealt = open_.withColumn("_b", F.explode(stretches))
+        judged = dealt.withColumn("_take", F.max("_best").over(reach) == F.col("_best")).withColumn("_out", F.max("_take").over(reach))
+        judged = held(judged.filter(F.col("_b") == own).filter("_take or not _out").select("_k", "_x", "_best", "_take"), "suppress-round")
+        taken.append(judged.filter("_take"))
+        open_ = judged.filter("not _take").drop("_take")
+        if open_.isEmpty():
+            break
+    found = taken[0]
+    for more in taken[1:]:
+        found = found.union(more)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("_best")))).filter(F.col("rank") <= most)
+    return ranked.select(*(F.col(f"_k.{k}").alias(k) for k in keys), "rank", F.col("_x").alias(place), F.col("_best.s").alias(score), *([(-F.col("_best.t.t")).alias(tie)] if tie != place else []))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import joins
+from ..operators import joins, quantiles
 from .joins import SQL_SEGMENTS, segments
 from .registry import register
 from .tables import SQL_EVENTS, events, read
@@ -126,8 +126,8 @@ def paired_layer_gaps(spark, d):
 )
 def layer_error_summary(spark, d):
     err = picks(spark, d).filter(F.col("status") != agg.UNRESOLVED).select("layer", F.abs(F.col("sample") - 25).alias("err"))
-    q = F.percentile("err", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.975)))
-    out = err.groupBy("layer").agg(F.count("*").alias("n"), F.count_if(F.col("err") <= 5).alias("correct"), F.avg(F.when(F.col("err") <= 5, 1.0).otherwise(0.0)).alias("rate"), F.avg("err").alias("mae"), q.alias("q"))
+    q = quantiles.exact_quantiles(err, ["layer"], "err", [0.5, 0.9, 0.975], "q")
+    out = err.groupBy("layer").agg(F.count("*").alias("n"), F.count_if(F.col("err") <= 5).alias("correct"), F.avg(F.when(F.col("err") <= 5, 1.0).otherwise(0.0)).alias("rate"), F.avg("err").alias("mae")).join(q, "layer")
     return out.select("layer", "n", "correct", F.round("rate", 6).alias("rate"), F.round("mae", 6).alias("mae"), F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p90"), F.round(F.col("q")[2], 6).alias("p975"))
 
 

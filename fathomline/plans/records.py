@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import coordinates as co
-from ..operators import identity, joins
+from ..operators import identity, joins, quantiles
 from .aggregates import SQL_PICKS, picks
 from .candidates import SQL_CANDIDATES, candidates, seeds, traces
 from .evaluation import SQL_SCORED, scored
@@ -101,7 +101,7 @@ def segment_local_scores(spark, d):
 def feature_clipped(spark, d):
     """A branch between its 2nd and 98th percentile on the road, cut to 0 and 1."""
     c = cells(spark, d)
-    p = c.groupBy("label").agg(F.percentile("v", F.lit(0.02)).alias("lo"), F.percentile("v", F.lit(0.98)).alias("hi"))
+    p = quantiles.exact_quantiles(c, ["label"], "v", [0.02, 0.98], "q").select("label", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     span = F.col("hi") - F.col("lo")
     return c.join(p, "label").select("vec_id", "k", F.round(F.when(span > 1e-9, identity.clip01((F.col("v") - F.col("lo")) / span)).otherwise(0.0), 6).alias("feature"))
 

@@ -19,7 +19,7 @@ from .windows import SQL_CELLS, cells
 )
 def separated_requests(spark, d):
     """Up to three requests a road by priority, at least two days apart."""
-    return selection.suppress(events(spark, d, "error"), ["user_id"], "sec", "value", "event_id", 172800, 3).select("user_id", F.col("rank").cast("int").alias("rank"), "event_id")
+    return selection.suppress_rounds(events(spark, d, "error"), ["user_id"], "sec", "value", "event_id", 172800, 3).select("user_id", F.col("rank").cast("int").alias("rank"), "event_id")
 
 
 @register(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import scans, windows
+from ..operators import quantiles, scans, windows
 from .registry import register
 from .tables import SQL_EVENTS, events, read
 
@@ -44,7 +44,7 @@ def background_removal(spark, d):
 )
 def time_gain_clip(spark, d):
     grid = cells(spark, d)
-    level = grid.groupBy("k").agg(F.sqrt(F.median(F.col("v") * F.col("v"))).alias("level"))
+    level = quantiles.exact_median(grid.select("k", (F.col("v") * F.col("v")).alias("power")), ["k"], "power", "middle").select("k", F.sqrt("middle").alias("level"))
     # One row a sample number: windows without partition see 64 rows.
     w = Window.orderBy("k")
     smooth = level.select("k", F.avg("level").over(w.rowsBetween(-2, 2)).alias("smooth"), F.max("level").over(Window.partitionBy()).alias("top"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fathomline.operators import scans, windows
+from fathomline.operators import scans, selection, windows
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +104,12 @@ def test_support_from_marks(rows):
 def test_no_rows(rows):
     none = rows.limit(0)
     assert scans.islands(none, ["k"], ORDER, ["x"], lambda a, b: b("x") > a("x")).collect() == [] and scans.merge_spans(none, ["k"], "x", "i", 1).collect() == []
+
+
+@pytest.mark.parametrize("apart,most", [(5, 4), (1, 3), (60, 100)])
+def test_suppression_by_rounds(rows, apart, most):
+    """Ties of score, rows of one place, a key that rises all along, and one that holds nearly all rows."""
+    rising = rows.sparkSession.range(400).selectExpr("'up' AS k", "CAST(id AS INT) AS x", "CAST(id AS INT) AS i", "id / 7.0 AS w")
+    frame = rows.select("k", "x", "i", F.round("w", 1).alias("w")).union(rising.select("k", "x", "i", "w")).filter("k is not null")
+    got = selection.suppress_rounds(frame, ["k"], "x", "w", "i", apart, most)
+    same(got, selection.suppress(frame, ["k"], "x", "w", "i", apart, most))
