@@ -48,6 +48,26 @@ def trace_slice(spark, d):
     return rows.select(F.regexp_extract("file", r"^(\d+)\.", 1).cast("int").alias("label"), "trace", F.get("samples", F.lit(0)).cast("long").alias("first"))
 
 
+@register("pushed_trace_filters", f"WITH {SQL_TRACES} SELECT CAST(label AS INTEGER) AS label, trace, s[1] AS first FROM t WHERE label IN (2, 3, 7) AND trace >= 4 AND trace < 30 AND trace % 2 = 0")
+def pushed_trace_filters(spark, d):
+    """A predicate on file, trace and channel bounds what is read: three files are opened and a range of their traces read; its last part is Spark's."""
+    folder, _ = _written(spark, d)
+    wanted = F.col("file").isin("2.dzt", "3.dzt", "7.dzt") & (F.col("trace") >= 4) & (F.col("trace") < 30) & (F.col("channel") == 0) & (F.col("trace") % 2 == 0)
+    rows = radar.traces(spark, folder, wanted)
+    return rows.select(F.regexp_extract("file", r"^(\d+)\.", 1).cast("int").alias("label"), "trace", F.get("samples", F.lit(0)).cast("long").alias("first"))
+
+
+@register("trace_stream", f"WITH {SQL_TRACES} SELECT CAST(label AS INTEGER) AS label, trace, list_sum(s)::BIGINT AS total FROM t")
+def trace_stream(spark, d):
+    """The same files as a stream: what is there goes to a table, a batch at a time, each trace once."""
+    folder, _ = _written(spark, d)
+    out = workspace.new_folder(spark, "stream")
+    x = F.transform("samples", lambda v: v.cast("long"))
+    rows = spark.readStream.format("traces").option("path", folder).load().select(F.regexp_extract("file", r"^(\d+)\.", 1).cast("int").alias("label"), "trace", F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
+    rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
 @register("trace_headers", f"WITH {SQL_TRACES} SELECT label || '.dzt' AS file, count(*) AS traces, 64 AS samples, 32 AS bits, 1 AS channels, 1024 + count(*) * 256 AS length, 7.0::DOUBLE AS dielectric, true AS same_hash FROM t GROUP BY label")
 def trace_headers(spark, d):
     """Headers and fingerprints of files, and whether the fingerprint is that of the bytes that were written."""

@@ -13,9 +13,24 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    StringEndsWith,
+    StringStartsWith,
+)
 
 #: name: (offset, struct code).
 HEADER = {
@@ -43,8 +58,8 @@ SAMPLE = {8: ("u1", 128), 16: ("<u2", 32768), 32: ("<i4", 0)}
 CHUNK = 8192
 
 
-def parse_header(raw: bytes, size: int) -> dict:
-    """Header fields with the payload's place, sample type and number of traces. Fails on anything that cannot be a trace file."""
+def parse_header(raw: bytes, size: int, whole: bool = True) -> dict:
+    """Header fields with the payload's place, sample type and number of traces. Fails on anything that cannot be a trace file; without ``whole`` a last trace may be cut off."""
     if len(raw) < UNIT:
         raise ValueError("file is shorter than its header")
     out = {name: struct.unpack_from("<" + code, raw, at)[0] for name, (at, code) in HEADER.items()}
@@ -58,9 +73,9 @@ def parse_header(raw: bytes, size: int) -> dict:
     out["data_offset"] = offset or UNIT * out["channels"]
     width = np.dtype(SAMPLE[out["bits"]][0]).itemsize * out["samples"] * out["channels"]
     payload = size - out["data_offset"]
-    if payload < 0 or payload % width:
+    if whole and (payload < 0 or payload % width):
         raise ValueError("payload is not a whole number of traces")
-    out["traces"] = payload // width
+    out["traces"] = max(payload, 0) // width
     return out
 
 
@@ -139,10 +154,64 @@ class _Chunk(InputPartition):
         self.path, self.start, self.stop = path, start, stop
 
 
+def _fits(value: str, rule: Filter) -> bool:
+    if isinstance(rule, EqualTo):
+        return value == rule.value
+    if isinstance(rule, In):
+        return value in rule.value
+    return value.startswith(rule.value) if isinstance(rule, StringStartsWith) else value.endswith(rule.value)
+
+
+class _Traces:
+    """Whole traces of files below a path of any file system that Arrow knows; a trace at a file's end that is not whole yet is none."""
+
+    def __init__(self, options):
+        self.uri = options["path"]
+        self.channel = int(options["channel"]) if "channel" in options else None
+        self.channels: set[int] | None = None
+
+    def _head(self, system, path: str, whole: bool = True) -> dict | None:
+        with system.open_input_file(path) as f:
+            size, raw = f.size(), f.read(UNIT)
+        if not whole and (len(raw) < UNIT or not sum(raw)):
+            return None
+        head = parse_header(raw, size, whole)
+        if self.channel is not None and not 0 <= self.channel < head["channels"]:
+            raise ValueError("no such channel")
+        return head
+
+    def _files(self, system, path: str) -> list[str]:
+        info = system.get_file_info(path)
+        if info.type == pa.fs.FileType.Directory:
+            return sorted(x.path for x in system.get_file_info(pa.fs.FileSelector(path)) if x.path.endswith(".dzt"))
+        return [path]
+
+    def read(self, partition):
+        if partition is None:  # what Spark hands over where there are no partitions
+            return
+        system, _ = pa.fs.FileSystem.from_uri(self.uri)
+        head = self._head(system, partition.path, False)
+        kind, zero = SAMPLE[head["bits"]]
+        width = head["samples"] * head["channels"]
+        size = np.dtype(kind).itemsize
+        with system.open_input_file(partition.path) as f:
+            f.seek(head["data_offset"] + partition.start * width * size)
+            data = np.frombuffer(f.read((partition.stop - partition.start) * width * size), kind)
+        cube = data.reshape(-1, head["channels"], head["samples"])
+        file = partition.path.rpartition("/")[2]
+        for channel in range(head["channels"]):
+            if channel != (channel if self.channel is None else self.channel) or (self.channels is not None and channel not in self.channels):
+                continue
+            rows = cube[:, channel].astype(np.float32) - zero
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * head["samples"]), pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array(range(partition.start, partition.stop), pa.int64()), pa.array([channel] * len(rows), pa.int32()), lists], names=["file", "trace", "channel", "samples"])
+
+
 class TraceSource(DataSource):
-    """``spark.read.format("traces").option("path", ...)``: (file, trace, channel, samples) of a trace file, or of all in a folder, with options start, stop and channel.
+    """``spark.read.format("traces").option("path", ...)``: (file, trace, channel, samples) of a trace file, or of all in a folder.
 
-    Files are read through Arrow's file systems, so the path may be a URI of any that it knows.
+    Files are read through Arrow's file systems, so the path may be a URI of any that it knows. Options start, stop and channel bound what is
+    read; ``traces`` takes such bounds from a predicate. ``spark.readStream`` gives the whole traces that files have gained since the last batch, and those of new files.
     """
 
     @classmethod
@@ -155,49 +224,95 @@ class TraceSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _TraceReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _TraceStream(self.options)
 
-class _TraceReader(DataSourceReader):
+
+class _TraceReader(_Traces, DataSourceReader):
     def __init__(self, options):
-        self.uri = options["path"]
+        super().__init__(options)
         self.start, self.stop = int(options.get("start", 0)), int(options["stop"]) if "stop" in options else None
-        self.channel = int(options["channel"]) if "channel" in options else None
         if self.start < 0:
             raise ValueError("no such trace")
-
-    def _head(self, system, path: str) -> dict:
-        with system.open_input_file(path) as f:
-            head = parse_header(f.read(UNIT), f.size())
-        if self.channel is not None and not 0 <= self.channel < head["channels"]:
-            raise ValueError("no such channel")
-        return head
+        self.pushed = options.get("pushed", "false").lower() == "true"
+        self.rules: list[Filter] = []
+
+    def pushFilters(self, filters):
+        """Take what bounds traces, channels and files; the rest goes back to Spark, and everything does where ``traces`` did not load the frame."""
+        if not self.pushed:
+            yield from filters
+            return
+        for rule in filters:
+            column = rule.attribute[0] if len(getattr(rule, "attribute", ())) == 1 else None
+            if isinstance(rule, IsNotNull) and column in ("file", "trace", "channel", "samples"):
+                continue
+            if column == "trace" and isinstance(rule, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if not isinstance(rule, (LessThan, LessThanOrEqual)):
+                    self.start = max(self.start, rule.value + isinstance(rule, GreaterThan))
+                if not isinstance(rule, (GreaterThan, GreaterThanOrEqual)):
+                    stop = rule.value + (not isinstance(rule, LessThan))
+                    self.stop = stop if self.stop is None else min(self.stop, stop)
+            elif column == "channel" and isinstance(rule, (EqualTo, In)):
+                wanted = set(rule.value) if isinstance(rule, In) else {rule.value}
+                self.channels = wanted if self.channels is None else self.channels & wanted
+            elif column == "file" and isinstance(rule, (EqualTo, In, StringStartsWith, StringEndsWith)):
+                self.rules.append(rule)
+            else:
+                if column == "trace" and isinstance(rule, In) and rule.value:
+                    # Its bounds are read; Spark picks the traces.
+                    self.start, last = max(self.start, min(rule.value)), max(rule.value) + 1
+                    self.stop = last if self.stop is None else min(self.stop, last)
+                yield rule
 
     def partitions(self) -> list[InputPartition]:
-        """One for each chunk of the asked range of each file: traces outside it are never read."""
+        """One for each chunk of the asked range of each asked file: traces outside it are never read."""
         system, path = pa.fs.FileSystem.from_uri(self.uri)
-        info = system.get_file_info(path)
-        files = sorted(x.path for x in system.get_file_info(pa.fs.FileSelector(path)) if x.path.endswith(".dzt")) if info.type == pa.fs.FileType.Directory else [path]
         out = []
-        for name in files:
+        for name in self._files(system, path):
+            if self.channels == set() or not all(_fits(name.rpartition("/")[2], rule) for rule in self.rules):
+                continue
             stop = min(self._head(system, name)["traces"], self.stop if self.stop is not None else 1 << 62)
             out += [_Chunk(name, a, min(a + CHUNK, stop)) for a in range(self.start, stop, CHUNK)]
         return out
 
-    def read(self, partition):
-        system, _ = pa.fs.FileSystem.from_uri(self.uri)
-        head = self._head(system, partition.path)
-        kind, zero = SAMPLE[head["bits"]]
-        width = head["samples"] * head["channels"]
-        size = np.dtype(kind).itemsize
-        with system.open_input_file(partition.path) as f:
-            f.seek(head["data_offset"] + partition.start * width * size)
-            data = np.frombuffer(f.read((partition.stop - partition.start) * width * size), kind)
-        cube = (data.astype(np.float32) - zero).reshape(-1, head["channels"], head["samples"])
-        file = partition.path.rpartition("/")[2]
-        for channel in range(head["channels"]) if self.channel is None else [self.channel]:
-            rows = np.ascontiguousarray(cube[:, channel])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * head["samples"]), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array(range(partition.start, partition.stop), pa.int64()), pa.array([channel] * len(rows), pa.int32()), lists], names=["file", "trace", "channel", "samples"])
+
+class _TraceStream(_Traces, DataSourceStreamReader):
+    """Offsets are the whole traces of each file. What a folder holds decides the latest, so a batch that runs again, also after a restart, reads the same traces."""
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        system, path = pa.fs.FileSystem.from_uri(self.uri)
+        heads = {name.rpartition("/")[2]: self._head(system, name, False) for name in self._files(system, path)}
+        return {name: head["traces"] for name, head in heads.items() if head and head["traces"]}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        system, path = pa.fs.FileSystem.from_uri(self.uri)
+        folder = path if system.get_file_info(path).type == pa.fs.FileType.Directory else path.rpartition("/")[0]
+        out = []
+        for name, stop in sorted(end.items()):
+            first = start.get(name, 0)
+            if stop < first:
+                raise ValueError(f"{name} has lost traces")
+            out += [_Chunk(f"{folder}/{name}", a, min(a + CHUNK, stop)) for a in range(first, stop, CHUNK)]
+        return out
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept but the files themselves."""
+
+
+def traces(spark: SparkSession, path: str, where: Column | str = "true") -> DataFrame:
+    """The trace source with the predicate ``where`` pushed into it: as far as it bounds file, trace and channel, other files are not opened, other traces not read, other channels not decoded.
+
+    Spark 4.1 keeps one pushed state for each loaded frame, whatever queries are made of it: a second scan in one plan, or a later query without predicates, would
+    read what another one pushed. So all scans of this frame push the same, ``where`` and a predicate that always holds, and a filter that is not deterministic keeps
+    Spark from pushing more of a query into it; further predicates are Spark's own. The bare format pushes nothing.
+    """
+    register(spark)
+    return spark.read.format("traces").option("path", path).option("pushed", "true").load().filter("trace >= 0").filter(where).filter(F.rand() >= 0)
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TraceSource)
