@@ -310,7 +310,7 @@ def traces(spark: SparkSession, path: str, where: Column | str = "true") -> Data
     Spark from pushing more of a query into it; further predicates are Spark's own. The bare format pushes nothing.
     """
     register(spark)
-    return spark.read.format("traces").option("path", path).option("pushed", "true").load().filter("trace >= 0").filter(where).filter(F.rand() >= 0)
+    return spark.read.format("traces").option("path", path).option("pushed", "true").load().filter("trace >= 0").filter(where).filter(F.monotonically_increasing_id() >= 0)
 
 
 def register(spark: SparkSession) -> None:
