@@ -1,3 +1,4 @@
+import threading
 import zipfile
 
 import numpy as np
@@ -27,7 +28,7 @@ def test_project(spark, tmp_path):
     project = store.Project(spark, f"file://{tmp_path}/p")
     assert project.read("seed_stations").count() == 0 and project.latest_parameters() is None
     assert [project.new_run("a"), project.new_run("b")] == [1, 2] and project.latest_parameters() == "b"
-    assert not project._claimed(2) and project._claimed(3) and project.new_run("c") == 4 and project.latest_parameters() == "c"
+    assert project.new_run("c") == 3 and project.latest_parameters() == "c"
     columns = "station_id string, chainage_m double, role string, picks string, version long"
     project.write("seed_stations", spark.createDataFrame([("x", 1.0, "seed", '{"1": 5.0}', 1), ("y", 0.5, "seed", '{"1": 4.0, "2": null}', 2)], columns))
     project.write("seed_stations", spark.createDataFrame([("x", 1.0, "seed", '{"1": 6.0}', 3)], columns))
@@ -39,6 +40,79 @@ def test_project(spark, tmp_path):
     assert project.read("review_events").count() == 3
 
 
+COLUMNS = "station_id string, chainage_m double, role string, picks string, version long"
+
+
+def station(spark, *rows):
+    return spark.createDataFrame([(k, 1.0, "seed", p, v) for k, v, p in rows], COLUMNS)
+
+
+def stations(project, at=None):
+    return {r.station_id: (r.version, r.picks) for r in project.read("seed_stations", at).collect()}
+
+
+def test_latest_removed_and_compacted_rows(spark, tmp_path):
+    project = store.Project(spark, f"file://{tmp_path}/a b")
+    assert project.remove_last("seed_stations", "version") is None
+    project.write("seed_stations", station(spark, ("x", 5, "a"), ("y", 7, "b")))
+    project.write("seed_stations", station(spark, ("x", 4, "old"), ("y", 7, "same version, later")))
+    assert stations(project) == {"x": (5, "a"), "y": (7, "same version, later")}
+    project.remove_last("seed_stations", "version")
+    assert stations(project) == {"x": (5, "a")} and stations(project, 1) == {"x": (5, "a"), "y": (7, "b")}
+    project.write("seed_stations", station(spark, ("y", 2, "again")))
+    before, kept = project.version("seed_stations"), stations(project)
+    assert kept == {"x": (5, "a"), "y": (2, "again")}
+    # A writer between the reading and the entry of a compaction keeps its rows.
+    real = project.read
+    project.read = lambda name, at=None: (real(name, at), project.__dict__.pop("read"), project.write(name, station(spark, ("z", 1, "between"))))[0]
+    project.compact("seed_stations")
+    assert stations(project) == kept | {"z": (1, "between")} and project.version("seed_stations") == before + 2
+    project.remove_last("seed_stations", "version")
+    assert stations(project) == {"y": (2, "again"), "z": (1, "between")} and stations(project, before) == kept
+
+
+def test_writers_at_the_same_time_lose_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/p"
+    numbers, failed = [], []
+
+    def work(writer):
+        project = store.Project(spark, path)
+        try:
+            for k in range(4):
+                project.write("seed_stations", station(spark, (f"{writer}-{k}", 10 * k + writer, "p"), ("shared", 10 * k + writer, f"{writer}")))
+                project.write("review_events", spark.createDataFrame([(100 * writer + k, "i", "accept", "")], store.TABLES["review_events"][0]))
+                numbers.append(project.new_run(f"{writer}-{k}"))
+        except Exception as error:  # noqa: BLE001
+            failed.append(error)
+
+    threads = [threading.Thread(target=work, args=(w,)) for w in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    project = store.Project(spark, path)
+    assert not failed
+    assert stations(project) == {f"{w}-{k}": (10 * k + w, "p") for w in range(3) for k in range(4)} | {"shared": (32, "2")}
+    assert sorted(r.event_id for r in project.read("review_events").collect()) == sorted(100 * w + k for w in range(3) for k in range(4))
+    assert sorted(numbers) == list(range(1, 13)) and sorted(r.run_id for r in project.read("runs").collect()) == list(range(1, 13))
+
+
+def test_a_change_that_was_read_too_early_starts_again(spark, tmp_path):
+    project = store.Project(spark, f"file://{tmp_path}/p")
+    project.write("seed_stations", station(spark, ("x", 1, "a"), ("y", 2, "b")))
+    real, calls = project._commit, []
+
+    def late(name, entry, seen=None):
+        calls.append(seen)
+        if len(calls) == 1:
+            store.Project(project.spark, project.path).write(name, station(spark, ("z", 3, "c")))
+        return real(name, entry, seen)
+
+    project._commit = late
+    project.remove_last("seed_stations", "version")
+    assert calls == [1, 2] and set(stations(project)) == {"x", "y"}
+
+
 def test_wavelets_and_alignment():
     t = np.arange(-20, 21) / 4
     wave = (1 - t**2) * np.exp(-(t**2) / 2)
