@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import workspace
+from ..streaming import ordered
 from .registry import register
 from .tables import SQL_EVENTS, events, read
 
@@ -43,10 +45,14 @@ def conversation_replay(spark, d):
     return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.when(F.col("role") == "user", F.col("n")).otherwise(-F.col("n"))).cast("long").alias("balance"), F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"))
 
 
+#: Errors set a user's level to nothing, other actions add to it up to a cap, in the order of their numbers.
+SQL_FOLD = """WITH RECURSIVE s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type, value FROM events), f AS (SELECT user_id, i, CASE WHEN event_type = 'error' THEN 0.0::DOUBLE ELSE least(value, 1000) END AS level FROM s WHERE i = 1
+    UNION ALL SELECT s.user_id, s.i, CASE WHEN s.event_type = 'error' THEN 0.0::DOUBLE ELSE least(f.level + s.value, 1000) END FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1) SELECT user_id, max(i) AS steps, round(arg_max(level, i), 4) AS level FROM f GROUP BY 1"""
+
+
 @register(
     "ordered_fold_replay",
-    """WITH RECURSIVE s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type, value FROM events), f AS (SELECT user_id, i, CASE WHEN event_type = 'error' THEN 0.0::DOUBLE ELSE least(value, 1000) END AS level FROM s WHERE i = 1
-    UNION ALL SELECT s.user_id, s.i, CASE WHEN s.event_type = 'error' THEN 0.0::DOUBLE ELSE least(f.level + s.value, 1000) END FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1) SELECT user_id, max(i) AS steps, round(arg_max(level, i), 4) AS level FROM f GROUP BY 1""",
+    SQL_FOLD,
 )
 def ordered_fold_replay(spark, d):
     """A state that does depend on the order: errors reset it, other actions add to it up to a cap.
@@ -67,3 +73,26 @@ def ordered_fold_replay(spark, d):
     log = maps.groupBy("user_id").agg(F.sum("steps").cast("long").alias("steps"), F.sort_array(F.collect_list(F.struct("piece", "m"))).alias("l"))
     level = F.aggregate("l", F.lit(0.0), lambda x, p: F.when(p["m"]["sets"], p["m"]["most"]).otherwise(F.least(x + p["m"]["add"], p["m"]["most"])))
     return log.select("user_id", "steps", F.round(level, 4).alias("level"))
+
+
+def _level(level, action):
+    return 0.0 if action["event_type"] == "error" else min(level + action["value"], 1000.0)
+
+
+@register("stream_replay", SQL_FOLD)
+def stream_replay(spark, d):
+    """The same log as a stream of five batches that overlap in time: actions come as a shuffle within them has left them, and are put in order before they count."""
+    folder = workspace.new_folder(spark, "actions")
+    log = read(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    last = log.agg(F.max("event_id")).first()[0] or 0
+    # An action is up to a tenth of the log late.
+    part = F.floor((F.col("event_id") + F.pmod(F.xxhash64("event_id"), F.lit(last // 10 + 1))) * 5 / F.lit(last + last // 10 + 2)).cast("int")
+    held = workspace.held(log.withColumn("part", part), "actions")
+    for k in range(5):
+        held.filter(F.col("part") == k).drop("part").write.parquet(f"{folder}/in/{k}")
+    stream = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    out = ordered.replayed_stream(stream, "user_id", "event_id", "event_id", ["event_type", "value"], _level, 0.0, last // 4, None)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    states = spark.read.schema(ordered.RESULT).parquet(f"{folder}/out").filter("kind = 'state'")
+    latest = states.groupBy("key").agg(F.max_by(F.struct("folded", "state"), F.struct("at", "folded")).alias("m"))
+    return latest.select(F.col("key").cast("long").alias("user_id"), F.col("m.folded").alias("steps"), F.round(F.col("m.state").cast("double"), 4).alias("level"))
