@@ -8,6 +8,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -101,12 +102,13 @@ class Bins:
         lengths = self.lengths
         under = [b for b in range(len(self.bins)) if self.bins[b] and self.free[b]]
         options = Options(self, under)
+        room = sum(self.free[b] for b in under)
         moved = True
         while moved:
             moved = False
             for giver in sorted(under, key=lambda b: (-self.free[b], b)):
                 # Another bin is saved only if the free room in all could take a whole one.
-                if sum(self.free[b] for b in under if self.bins[b]) < self.capacity:
+                if room < self.capacity:
                     return
                 for item in sorted(self.bins[giver], key=lambda i: (-lengths[i], i)):
                     if item not in self.bins[giver]:
@@ -118,6 +120,8 @@ class Bins:
                         options.renew(giver)
                         options.renew(taker)
                         moved = True
+                        if not self.bins[giver]:
+                            room -= self.capacity
 
     def _exchange(self, a: int, from_a: list[int], b: int, from_b: list[int]) -> None:
         gone = sum(self.lengths[i] for i in from_a) - sum(self.lengths[i] for i in from_b)
@@ -128,64 +132,67 @@ class Bins:
 
 
 class Options:
-    """What the underfull bins could give for an item that comes: nothing, one item or two, a row for each sum in a bin.
+    """What the underfull bins could give for an item that comes: nothing, one item or two, an entry for each sum in a bin.
 
-    An item of length L fits a row's place where sum + free >= L, and leaves that bin sum + free - L of room.
+    An item of length L fits an entry's place where sum + free >= L, and leaves that bin sum + free - L of room. Entries stand in a heap for each sum + free,
+    the bin with the most room first; a number whose bits say which heaps hold any leads from one to the next. So an item looks at the tops of a few heaps, not at all entries.
     """
 
     def __init__(self, bins: Bins, under: list[int]):
         self.of = bins
-        self.sums, self.bin, self.what = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        self.free, self.used, self.rows = np.array(bins.free, np.int64), 0, {}
+        self.heaps: list[list] = [[] for _ in range(bins.capacity + 1)]
+        self.some, self.stamp = 0, [0] * len(bins.bins)
         for b in under:
             self.renew(b)
 
     def renew(self, b: int) -> None:
-        """The rows of a bin that has changed; its old ones become unusable and are dropped when they are half of all."""
-        for k in range(*self.rows.get(b, (0, 0))):
-            self.sums[k] = -1
-        self.free[b] = self.of.free[b]
+        """The entries of a bin that has changed; its old ones are known by their stamp and dropped when they are met."""
+        self.stamp[b] += 1
+        free, lengths = self.of.free[b], self.of.lengths
+        if not free or not self.of.bins[b]:
+            return
         # One or two items of each length stand for all of that length.
         kept: dict[int, list[int]] = defaultdict(list)
         for i in sorted(self.of.bins[b]):
-            if len(kept[self.of.lengths[i]]) < 2:
-                kept[self.of.lengths[i]].append(i)
+            if len(kept[lengths[i]]) < 2:
+                kept[lengths[i]].append(i)
         items = [i for x in kept.values() for i in x]
-        found: dict[int, list[int]] = {}
-        if items and self.free[b]:
-            found = {0: []} | {self.of.lengths[i]: [i] for i in items}
-            for k, i in enumerate(items):
-                for j in items[k + 1 :]:
-                    found.setdefault(self.of.lengths[i] + self.of.lengths[j], [i, j])
-        if self.used + len(found) > len(self.sums):
-            self._grow(len(found))
-        start, self.used = self.used, self.used + len(found)
-        self.sums[start : self.used] = list(found)
-        self.bin[start : self.used] = b
-        self.what[start : self.used] = list(found.values())
-        self.rows[b] = (start, self.used)
-
-    def _grow(self, more: int) -> None:
-        """Drop the unusable rows and make room for as many as there are."""
-        live = np.flatnonzero(self.sums[: self.used] >= 0)
-        at = np.concatenate([[0], np.cumsum(self.sums[: self.used] >= 0)])
-        self.rows = {b: (int(at[x]), int(at[y])) for b, (x, y) in self.rows.items()}
-        spare = len(live) + 2 * more + 64
-        self.sums = np.concatenate([self.sums[live], np.full(spare, -1)])
-        self.bin = np.concatenate([self.bin[live], np.zeros(spare, np.int64)])
-        self.what = [self.what[k] for k in live.tolist()]
-        self.used = len(live)
+        found: dict[int, list[int]] = {0: []} | {lengths[i]: [i] for i in items}
+        for k, i in enumerate(items):
+            for j in items[k + 1 :]:
+                found.setdefault(lengths[i] + lengths[j], [i, j])
+        for total, what in found.items():
+            heappush(self.heaps[total + free], (-free, b, self.stamp[b], what))
+            self.some |= 1 << total + free
 
     def best(self, giver: int, length: int) -> tuple[int, list[int]] | None:
         """(bin, items that leave it) where an item of the giver fits, the sum of squares rises and the least room is left."""
-        sums, bins = self.sums[: self.used], self.bin[: self.used]
-        room = sums + self.free[bins] - length
-        # The taker ends fuller than the giver was: its room stays below the giver's.
-        good = np.flatnonzero((sums >= 0) & (sums < length) & (room >= 0) & (room < self.free[giver]) & (bins != giver))
-        if not len(good):
-            return None
-        k = int(good[room[good].argmin()])
-        return int(bins[k]), self.what[k]
+        limit, rest = self.of.free[giver], self.some >> length
+        while rest:
+            room = (rest & -rest).bit_length() - 1
+            # The taker ends fuller than the giver was: its room stays below the giver's.
+            if room >= limit:
+                return None
+            heap, aside, found = self.heaps[length + room], None, None
+            while heap:
+                free, b, stamp, what = heap[0]
+                if stamp != self.stamp[b]:
+                    heappop(heap)
+                elif -free <= room:  # what leaves would be as long as what comes, here and below
+                    break
+                elif b == giver:
+                    aside = [*(aside or ()), heappop(heap)]
+                else:
+                    found = b, what
+                    break
+            for entry in aside or ():
+                heappush(heap, entry)
+            if found:
+                return found
+            if not heap:
+                self.some &= ~(1 << length + room)
+            rest &= rest - 1
+        return None
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -231,7 +238,7 @@ def _packer(level: int, capacity: int):
             unit = unit.sort_by([("length", "descending"), ("pid", "ascending")]).combine_chunks()
             lengths = unit["length"].to_pylist()
             number, offset, again = np.empty(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
-            base = (level << 56) + (unit["g"][0].as_py() << 20)
+            base = (level << 51) + (unit["g"][0].as_py() << 20)
             for k, items in enumerate(pack(lengths, capacity)):
                 at = 0
                 for item in items:
@@ -244,6 +251,11 @@ def _packer(level: int, capacity: int):
     return run
 
 
+def _last(level: int, groups: int, opened: int, saved: int | None, bins: int | None) -> bool:
+    """Whether a level is the last: all pieces were in one group, no sequence is left to pack again, or too few were saved. There are at most as many levels as WORTH allows."""
+    return groups == 1 or not opened or (saved is not None and saved < WORTH * bins)
+
+
 def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``parts`` (PIECES, and further columns such as the ids) with sequence_id and offset.
 
@@ -258,21 +270,18 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     columns = ["pid", *(c.split(" ")[0] for c in PIECES.split(", "))]
     schema = "pid long, " + PACKED + ", again boolean"
     held, _ = stage_table(parts.withColumn("pid", F.monotonically_increasing_id()), "packing-pieces")
-    left, bins, done = held.select(columns), None, []
-    for level in range(64):
-        n = left.count()
-        if not n:
-            break
+    left, bins, done, level = held.select(columns), None, [], 0
+    while n := left.count():
         groups = -(-n // GROUP)
         dealt = left.select(F.pmod(F.xxhash64("pid", F.lit(level)), F.lit(groups)).alias("g"), *columns)
         out, _ = stage_table(dealt.repartition(min(most, groups), "g").sortWithinPartitions("g").mapInArrow(_packer(level, capacity), schema), "packing")
         opened = out.filter("again and offset = 0").count()
         saved = None if bins is None else bins - out.filter("offset = 0").count()
-        if groups == 1 or not opened or (saved is not None and saved < WORTH * bins):
+        if _last(level, groups, opened, saved, bins):
             done.append(out)
             break
         done.append(out.filter("not again"))
-        left, bins = out.filter("again").select(columns), opened
+        left, bins, level = out.filter("again").select(columns), opened, level + 1
     placed = functools.reduce(DataFrame.union, done) if done else spark.createDataFrame([], schema)
     extra = [c for c in held.columns if c not in columns]
     if extra:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,40 +23,46 @@ def tree(shards: int, weights: dict[int, float] | None = None) -> dict[int, dict
     return out
 
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
-    """An exponential draw of rate ``weight``: -ln(u) / weight, u in (0, 1) from a 52-bit hash of key and shard."""
+def _draw(key: Column, level: int, node: int, weight: float) -> Column:
+    """An exponential draw of rate ``weight``: -ln(u) / weight, u in (0, 1) from a 52-bit hash of key, level and node."""
     if weight == 0:
         return F.lit(float("inf"))
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 12).cast("double")
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), F.lit(node)), 12).cast("double")
     return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(weight)
 
 
-def _least(columns: list[Column]) -> Column:
-    return columns[0] if len(columns) == 1 else F.least(*columns)
+def _drawn(key: Column, level: int, nodes: dict[int, float]) -> Column:
+    """The node with the smallest draw, of equal draws the first: each in proportion to its weight."""
+    if len(nodes) == 1:
+        return F.lit(next(iter(nodes)))
+    return F.array_min(F.array(*(F.struct(_draw(key, level, n, w).alias("d"), F.lit(n).alias("n")) for n, w in nodes.items())))["n"]
+
+
+def _below(chosen: Column, key: Column, level: int, children: dict[int, dict[int, float]]) -> Column:
+    """The child drawn below the node ``chosen``, which is found once; only its own children draw."""
 
+    def of(node: Column) -> Column:
+        cases = None
+        for n, below in children.items():
+            cases = F.when(node == n, _drawn(key, level, below)) if cases is None else cases.when(node == n, _drawn(key, level, below))
+        return cases
 
-def _descend(choices: list[tuple[Column, Column]]) -> Column:
-    """The value beside the smallest draw, the first of equal draws."""
-    lowest = _least([draw for draw, _ in choices])
-    return reduce(lambda rest, item: F.when(item[0] == lowest, item[1]).otherwise(rest), reversed(choices[:-1]), choices[-1][1])
+    return F.transform(F.array(chosen), of)[0]
 
 
 def place(key: Column, levels: dict[int, dict[int, dict[int, float]]]) -> Column:
     """The shard of ``key``: descend region, rack and shard, at each level into the child with the smallest draw.
 
-    A leaf's draw is exponential with its weight as rate; an inner node's draw is the smallest below it, which is an
-    exponential draw with the sum of the weights as rate, so each level picks a child in proportion to its subtree's
-    weight. As only the draws of leaves whose weight changes move, rows go only into leaves that gain weight and only
-    out of leaves that lose it: every other subtree keeps its rows.
+    A node's draw is its own, exponential with the weight of its subtree as rate, so each level picks a child in proportion to that, and only
+    the children of the chosen node draw: with 24 shards 2, 3 and 4 draws a row. Draws of subtrees whose weights stay do not move, so a change of weights moves
+    rows only out of subtrees that lose weight and into such as gain it; what moves into a subtree is then drawn among all its
+    children. A further shard that opens a region of its own, as number 24 does, therefore takes rows only into itself; one inside a rack also
+    draws rows into that rack's region and rack, and so to its neighbours there.
     """
-    regions = []
-    for racks in levels.values():
-        below = []
-        for shards in racks.values():
-            draws = [(_draw(key, shard, weight), F.lit(shard)) for shard, weight in shards.items()]
-            below.append((_least([d for d, _ in draws]), _descend(draws)))
-        regions.append((_least([d for d, _ in below]), _descend(below)))
-    return _descend(regions)
+    racks = {rack: shards for below in levels.values() for rack, shards in below.items()}
+    regions = {region: sum(sum(shards.values()) for shards in below.values()) for region, below in levels.items()}
+    heavy = {region: {rack: sum(shards.values()) for rack, shards in below.items()} for region, below in levels.items()}
+    return _below(_below(_drawn(key, 0, regions), key, 1, heavy), key, 2, racks)
 
 
 def shard(df: DataFrame, id_col: str, shards: int = 24, grow: int = 1, weights: dict[int, float] | None = None, carry: list[str] | None = None) -> DataFrame:
@@ -68,8 +72,7 @@ def shard(df: DataFrame, id_col: str, shards: int = 24, grow: int = 1, weights:
     a key of its own. Slots follow chunks of a hash of the row and of the task that read it, numbered within each chunk, so no task holds a whole
     shard, nor all copies of a row: only the chunk counts, a few for each shuffle partition, are summed along a shard. The placed rows
     are written first, so that a slot never depends on a second reading. A column of ``carry`` must not be named shard,
-    grown_shard, chunk, k, before or slot; others are not read; an empty table gives no rows. The cost is a draw a shard
-    and row: a shared draw for each inner node would move rows into shards whose weights stay.
+    grown_shard, chunk, k, before or slot; others are not read; an empty table gives no rows. ``place`` says where rows go when shards or weights change.
     """
     if shards < 1:
         raise ValueError("at least one shard")

@@ -1,3 +1,5 @@
+import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -115,3 +117,20 @@ def test_small_groups_pack_again_and_keep_every_piece(spark, monkeypatch, group,
         assert at <= packing.CAPACITY
     assert len(bins) <= -(-sum(lengths) // packing.CAPACITY) * waste
 
+
+
+def test_no_level_loses_a_piece(spark, monkeypatch):
+    """More levels than any limit there was: pieces that fill no sequence go on from level to level, and the last one keeps them."""
+    monkeypatch.setattr(packing, "GROUP", 4)
+    monkeypatch.setattr(packing, "_last", lambda level, *_: level == 66)
+    rows = [(i, 0, 0, 1500 if i % 3 else 2048, i) for i in range(12)]
+    got = packing.packed(spark.createDataFrame(rows, packing.PIECES).coalesce(2)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(12)) and len({r.sequence_id for r in got}) == 12
+
+
+def test_search_of_middling_lengths_is_quick_and_good():
+    draw = random.Random(1)
+    lengths = [draw.randint(500, 900) for _ in range(4096)]
+    start = time.process_time()
+    bins = packing.pack(lengths)
+    assert len(bins) <= 1480 and sorted(i for b in bins for i in b) == list(range(4096)) and time.process_time() - start < 20

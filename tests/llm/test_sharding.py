@@ -1,6 +1,9 @@
+import math
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from fathomline.llm import sharding
 
 from . import fixtures
@@ -19,16 +22,26 @@ def test_slots_are_gapless_and_growth_moves_rows_only_into_the_new_shard(spark,
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
-def test_weights_move_rows_only_where_they_change(spark):
-    ids = spark.range(4000).withColumnRenamed("id", "doc_id")
-    before = {r.doc_id: r.shard for r in sharding.shard(ids, "doc_id", 24).collect()}
-    after = {r.doc_id: r.shard for r in sharding.shard(ids, "doc_id", 24, weights={5: 3.0}).collect()}
-    moved = [(before[k], after[k]) for k in before if before[k] != after[k]]
-    assert moved and all(b == 5 for _, b in moved)
-    counts = Counter(after.values())
-    assert counts[5] > 2 * max(v for k, v in counts.items() if k != 5) * 0.8
-    gone = {r.doc_id: r.shard for r in sharding.shard(ids, "doc_id", 24, weights={5: 0.0}).collect()}
-    assert all(gone[k] == before[k] for k in before if before[k] != 5) and 5 not in gone.values()
+def path(shard):
+    rack = shard // sharding.SHARDS_PER_RACK
+    return rack // sharding.RACKS_PER_REGION, rack, shard
+
+
+def test_weights_move_rows_only_in_subtrees_whose_weights_change(spark):
+    ids = spark.range(8000).withColumnRenamed("id", "doc_id")
+    placed = lambda **more: {r.doc_id: path(r.shard) for r in sharding.shard(ids, "doc_id", 24, **more).collect()}
+    before, after, gone = placed(), placed(weights={5: 3.0}), placed(weights={5: 0.0})
+    for old, new in zip(before.values(), (after[k] for k in before), strict=True):
+        if old != new:
+            level = next(n for n in range(3) if old[n] != new[n])
+            assert new[level] == path(5)[level]
+    for old, new in zip(before.values(), (gone[k] for k in before), strict=True):
+        if old != new:
+            level = next(n for n in range(3) if old[n] != new[n])
+            assert old[level] == path(5)[level] and new[2] != 5
+    counts = Counter(p[2] for p in after.values())
+    assert all(abs(counts[s] - 8000 * (3 if s == 5 else 1) / 26) < 90 for s in range(24)) and 5 not in Counter(p[2] for p in gone.values())
+    assert all(abs(n - 8000 / 24) < 90 for n in Counter(p[2] for p in before.values()).values())
 
 
 def test_edge_rows(spark):
@@ -45,13 +58,16 @@ def test_copies_of_one_row_are_dealt_to_several_chunks(spark):
     assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(1000))
 
 
-def test_shards_are_those_of_a_plain_rendezvous(spark):
-    import math
-
-    from pyspark.sql import functions as F
-
+def test_shards_are_those_of_a_plain_descent(spark):
     weights = {s: 1.0 + s % 3 for s in range(30)}
-    rows = spark.range(500).select(F.col("id").cast("string").alias("k")).select("k", *[F.shiftrightunsigned(F.xxhash64("k", F.lit(s)), 12).alias(f"h{s}") for s in weights]).collect()
-    want = {r["k"]: min(weights, key=lambda s: -math.log((r[f"h{s}"] + 0.5) / 2**52) / weights[s]) for r in rows}
-    got = spark.range(500).select(F.col("id").cast("string").alias("k")).select("k", sharding.place(F.col("k"), sharding.tree(30, weights)).alias("s")).collect()
-    assert {r["k"]: r["s"] for r in got} == want
+    tree = sharding.tree(30, weights)
+    total = lambda node: node if isinstance(node, float) else sum(map(total, node.values()))
+    nodes = {(0, r) for r in tree} | {(1, k) for below in tree.values() for k in below} | {(2, s) for s in weights}
+    keys = spark.range(500).select(F.col("id").cast("string").alias("k"))
+    rows = keys.select("k", *[F.shiftrightunsigned(F.xxhash64("k", F.lit(level), F.lit(n)), 12).alias(f"h{level}_{n}") for level, n in nodes], sharding.place(F.col("k"), tree).alias("s")).collect()
+    for r in rows:
+        node = tree
+        for level in range(3):
+            chosen = min(node, key=lambda n, level=level, node=node: -math.log((r[f"h{level}_{n}"] + 0.5) / 2**52) / total(node[n]))
+            node = node[chosen]
+        assert r["s"] == chosen
