@@ -161,6 +161,14 @@ def support_seeds(spark, d):
     return survey.support(best.filter("trace % 12 = 0"), best, 4)
 
 
+@register("support_of_evaluation", f"WITH {SQL_CANDIDATES}, b AS (SELECT label, i, arg_min(k, (-score, k)) AS s FROM cand GROUP BY 1, 2) SELECT label AS file, 1 AS layer, i // 4 AS row, CAST(s AS BIGINT) AS sample FROM b WHERE i % 12 = 0")
+def support_of_evaluation(spark, d):
+    """The same from an evaluation of two methods on every third trace: its rows times its stride, with the reviewed samples."""
+    best = candidates(spark, d).groupBy("label", "i").agg(F.min(F.struct((-F.col("score")).alias("o"), "k")).alias("m")).select(F.col("label").alias("file"), F.lit(1).alias("layer"), F.col("i").alias("trace"), F.col("m.k").cast("long").alias("sample"))
+    evaluated = best.filter("trace % 12 = 0").select("file", F.explode(F.array(F.lit("first"), F.lit("second"))).alias("method"), "layer", F.expr("trace div 3").alias("seed_row"), F.lit(3).alias("stride"))
+    return survey.support(survey.support_of_evaluation(evaluated, best), best, 4)
+
+
 @register("survey_inventory", "WITH f AS (SELECT n_nationkey AS k, 'road_' || n_nationkey AS stem FROM nation) SELECT stem, k % 2 = 0 AS has_positions, k % 3 = 0 AS has_metadata, 0 AS orphans FROM f WHERE k % 5 <> 4 UNION ALL SELECT 'none', false, false, count(*) FILTER (WHERE k % 2 = 0) + count(*) FILTER (WHERE k % 3 = 0) FROM f WHERE k % 5 = 4")
 def survey_inventory(spark, d):
     """Surveys found below a folder with the companions of their name, and companions of none."""

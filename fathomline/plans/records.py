@@ -174,7 +174,9 @@ def patch_pair_features(spark, d):
 
 @register(
     "resampled_valid",
-    f"WITH {SQL_CELLS}, h AS (SELECT a.vec_id, a.k, CASE WHEN (a.vec_id + a.k) % 11 <> 0 AND (a.vec_id + a.k + 1) % 11 <> 0 AND (a.vec_id + 1 + a.k) % 11 <> 0 AND (a.vec_id + 1 + a.k + 1) % 11 <> 0 THEN 0.25 * (a.v + b.v + c.v + e.v) END AS value FROM cell a JOIN cell b ON b.vec_id = a.vec_id AND b.k = a.k + 1 JOIN cell c ON c.vec_id = a.vec_id + 1 AND c.k = a.k JOIN cell e ON e.vec_id = a.vec_id + 1 AND e.k = a.k + 1) SELECT vec_id, k, round(value, 6) AS value, value IS NOT NULL AS valid FROM h",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), p AS (SELECT a.vec_id, a.x, b.x AS y, unnest(range(0, 63)) AS k FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+    h AS (SELECT vec_id, k, CASE WHEN (vec_id + k) % 11 <> 0 AND (vec_id + k + 1) % 11 <> 0 AND (vec_id + 1 + k) % 11 <> 0 AND (vec_id + k + 2) % 11 <> 0 THEN 0.25 * (x[k + 1] + x[k + 2] + y[k + 1] + y[k + 2]) END AS value FROM p)
+    SELECT vec_id, CAST(k AS INTEGER) AS k, round(value, 6) AS value, value IS NOT NULL AS valid FROM h""",
 )
 def resampled_valid(spark, d):
     """The image halfway between traces and samples; a value needs all four neighbours to be valid."""

@@ -147,6 +147,21 @@ def phase_class(real: Column, imaginary: Column) -> Column:
     return F.least(F.floor((F.atan2(imaginary, real) + math.pi) * 8 / (2 * math.pi)), F.lit(7)).cast("int")
 
 
+def support_of_evaluation(evaluated: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """(file, layer, trace, sample) of the older form: an evaluation's seed rows, multiplied by its stride, with the samples that were reviewed there.
+
+    ``evaluated`` has (file, method, layer, seed_row, stride), ``reviewed`` (file, layer, trace, sample). All methods of a file must name the same rows, and each must
+    be exactly a reviewed trace; anything else fails.
+    """
+    rows = evaluated.select("file", "method", "layer", (F.col("seed_row").cast("long") * F.col("stride")).alias("trace"), (F.col("stride") >= 1).alias("_sound")).distinct()
+    methods = rows.groupBy("file").agg(F.countDistinct("method").alias("_methods"))
+    named = rows.groupBy("file", "layer", "trace").agg(F.countDistinct("method").alias("_by"), F.bool_and("_sound").alias("_sound")).join(methods, "file")
+    known = reviewed.select("file", "layer", "trace", "sample").distinct()
+    met = named.join(known, ["file", "layer", "trace"], "left").withColumn("_a", F.assert_true(F.col("_sound") & (F.col("_by") == F.col("_methods")), F.lit("methods differ in their seeds, or a stride is not positive")))
+    met = met.withColumn("_b", F.assert_true(F.col("sample").isNotNull(), F.lit("a prior seed is no reviewed observation")))
+    return met.filter("_a is null and _b is null").select("file", "layer", "trace", "sample")
+
+
 def support(given: DataFrame, reviewed: DataFrame, stride: int) -> DataFrame:
     """(file, layer, row, sample): seeds of a file's layers on a grid of every ``stride``-th trace.
 

@@ -186,3 +186,15 @@ def test_seed_identity_is_asked_for(spark, tmp_path):
             rows(change)
     with pytest.raises(Exception, match="seed file"):
         rows(twice=True)
+
+
+def test_support_of_an_older_evaluation(spark):
+    reviewed = spark.createDataFrame([("f", 1, 6, 40), ("f", 1, 12, 41), ("f", 2, 6, 70)], "file string, layer int, trace long, sample long")
+    columns = "file string, method string, layer int, seed_row int, stride int"
+    rows = [("f", m, layer, row, 6) for m in ("a", "b") for layer, row in ((1, 1), (1, 2), (2, 1))]
+    got = survey.support_of_evaluation(spark.createDataFrame(rows, columns), reviewed)
+    assert sorted(map(tuple, got.collect())) == [("f", 1, 6, 40), ("f", 1, 12, 41), ("f", 2, 6, 70)]
+    assert sorted(map(tuple, survey.support(got, reviewed, 3).collect())) == [("f", 1, 2, 40), ("f", 1, 4, 41), ("f", 2, 2, 70)]
+    for wrong in (rows[:-1], [*rows, ("f", "a", 1, 5, 6), ("f", "b", 1, 5, 6)], [(*r[:4], 0) for r in rows]):
+        with pytest.raises(Exception, match="seed"):
+            survey.support_of_evaluation(spark.createDataFrame(wrong, columns), reviewed).collect()

@@ -21,7 +21,25 @@ def workbook(path):
 def test_reference_workbook(spark, tmp_path):
     workbook(tmp_path / "r.xlsx")
     got = [(r.chainage_m, r.layer, round(r.depth_mm, 6), round(r.thickness_mm, 6), r.origin) for r in sheets.reference_depths(sheets.cells(spark, str(tmp_path))).orderBy("chainage_m", "layer").collect()]
-    assert got == [(5.0, 1, 48.0, 48.0, "manual"), (5.0, 3, 132.0, 84.0, "manual"), (10.0, 1, 50.0, 50.0, "manual"), (10.0, 3, 140.0, 90.0, "interpolated")]
+    assert got == [(5.0, 1, 48.0, 48.0, "manual"), (5.0, 3, 132.0, 84.0, "manual"), (10.0, 1, 50.0, 50.0, "manual"), (10.0, 3, 140.0, 90.0, "extrapolated")]
+
+
+def test_origins_by_fill(spark, tmp_path):
+    """Fills of cells name interpolated depths, also under a formula; a layer that is less deep than the one above has no thickness."""
+    workbook(tmp_path / "plain.xlsx")
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    fills = '<fill><patternFill patternType="none"/></fill><fill><patternFill patternType="solid"><fgColor rgb="fffff2cc"/></patternFill></fill><fill><patternFill patternType="solid"><fgColor rgb="FF00FF00"/></patternFill></fill><fill><patternFill patternType="gray125"><fgColor rgb="FFFFF2CC"/></patternFill></fill><fill><patternFill patternType="solid"><fgColor theme="4"/></patternFill></fill>'
+    styles = f'<styleSheet xmlns="{main}"><fills>{fills}</fills><cellStyleXfs><xf fillId="1"/></cellStyleXfs><cellXfs>' + "".join(f'<xf fillId="{k}"/>' for k in range(5)) + "</cellXfs></styleSheet>"
+    cell = lambda at, style, value, formula="": f'<c r="{at}" s="{style}">{formula}<v>{value}</v></c>'
+    body = '<row r="1"><c r="A1" t="inlineStr"><is><t>Chainage</t></is></c><c r="B1" t="inlineStr"><is><t>Asphalt depth (mm)</t></is></c><c r="C1" t="inlineStr"><is><t>Base course depth (mm)</t></is></c></row>'
+    rows = [("0", cell("B2", 1, 40), cell("C2", 0, 90)), ("5", cell("B3", 2, 41), cell("C3", 1, 91, "<f>FORECAST(1,2,3)</f>")), ("10", cell("B4", 3, 42), cell("C4", 4, 92, "<f>B4+50</f>")), ("15", cell("B5", 0, 60), cell("C5", 0, 50, "<f>TREND(1)</f>"))]
+    body += "".join(f'<row r="{k}"><c r="A{k}"><v>{x}</v></c>{b}{c}</row>' for k, (x, b, c) in enumerate(rows, 2))
+    with zipfile.ZipFile(tmp_path / "plain.xlsx") as old, zipfile.ZipFile(tmp_path / "fills.xlsx", "w") as new:
+        for name in old.namelist():
+            new.writestr(name, f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>' if "worksheets" in name else old.read(name))
+        new.writestr("xl/styles.xml", styles)
+    got = sheets.reference_depths(sheets.cells(spark, f"{tmp_path}/fills.xlsx")).orderBy("chainage_m", "layer").collect()
+    assert [(r.chainage_m, r.layer, r.origin, r.thickness_mm) for r in got] == [(0, 1, "interpolated", 40), (0, 3, "manual", 50), (5, 1, "manual", 41), (5, 3, "interpolated", 50), (10, 1, "manual", 42), (10, 3, "formula", 50), (15, 1, "manual", 60), (15, 3, "extrapolated", None)]
 
 
 def test_project(spark, tmp_path):
