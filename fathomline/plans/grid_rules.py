@@ -75,13 +75,13 @@ def same_lobe(spark, d):
 
 @register(
     "window_coordinates",
-    "SELECT vec_id, (vec_id - 3) // 4 AS col, (vec_id - 3) % 4 = 0 AS on_grid, 3 + ((vec_id - 3) // 4) * 4 AS back, 60 - (vec_id - 3) // 4 AS flipped FROM embeddings WHERE vec_id BETWEEN 3 AND 243",
+    "SELECT vec_id, (vec_id - 3) // 4 AS col, (vec_id - 3) % 4 = 0 AS on_grid, 3 + ((vec_id - 3) // 4) * 4 AS back, 60 - (vec_id - 3) // 4 AS flipped FROM embeddings WHERE vec_id >= 3",
 )
 def window_coordinates(spark, d):
-    """Crop, stride and flip of a native window, and the way back."""
+    """Crop, stride and flip of a window that begins at the fourth trace and has no end, and the way back."""
     v = F.col("vec_id")
     c = F.floor((v - 3) / 4)
-    return read(spark, d, "embeddings").filter(v.between(3, 243)).select("vec_id", c.alias("col"), ((v - 3) % 4 == 0).alias("on_grid"), (c * 4 + 3).alias("back"), (F.lit(60) - c).alias("flipped"))
+    return read(spark, d, "embeddings").filter(v >= 3).select("vec_id", c.alias("col"), ((v - 3) % 4 == 0).alias("on_grid"), (c * 4 + 3).alias("back"), (F.lit(60) - c).alias("flipped"))
 
 
 @register(
