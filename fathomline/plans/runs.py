@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import alignment, calibration
-from ..operators.solvers import by_road, matrix
+from ..operators.solvers import matrix
 from .aggregates import SQL_PICKS, picks
 from .candidates import SQL_CANDIDATES, candidates, traces
 from .evaluation import SQL_SCORED, scored
@@ -42,17 +42,8 @@ def reciprocal_dtw_pairs(spark, d):
 
 @register("calibrated_roads")
 def calibrated_roads(spark, d):
-    """Roads with flat surfaces; road 0 is the plate, which roads of an even number were recorded like."""
-    plate = roads(spark, d).filter("road = '0'").groupBy("road").agg(F.sort_array(F.collect_list(F.struct("row", "samples"))).alias("p")).select(F.transform("p", lambda x: x["samples"]).alias("plate"))
-
-    def fn(road):
-        plates = np.array(road["plate"][0].as_py())
-        even = int(road["road"][0].as_py()) % 2 == 0
-        made = calibration.calibrated(matrix(road["samples"]), plates, 2, 20, same_setup=even)
-        return [{"row": k, "surface": int(made["surface"][k]), "reference": made["reference"], "subtracted": made["subtracted"], "corrected": made["corrected"][k].tolist()} for k in range(len(made["surface"]))]
-
-    # One row: the plate of a calibration, a bounded recording of its own.
-    return by_road(roads(spark, d).join(F.broadcast(plate)), ["road"], "row", fn, "road string, row int, surface int, reference int, subtracted boolean, corrected array<double>")
+    """Roads with flat surfaces; road 0 is the plate, which roads of an even number were recorded like. A test compares them with ``calibration.calibrated`` of whole roads."""
+    return calibration.calibrated_traces(roads(spark, d), "0", F.col("road").cast("int") % 2 == 0, 2, 20)
 
 
 @register(

@@ -52,3 +52,30 @@ def test_calibration_flattens_and_subtracts_only_what_compares():
     assert np.abs(made["corrected"][:, r]).max() < 0.2 * np.abs(flat["corrected"][:, r]).max() and made["corrected"][:, r + 40].min() > 0.5
     assert not calibration.calibrated(road_, plate, 20, 70, clipped=7.0)["subtracted"] and not calibration.calibrated(road_, None, 20, 70)["subtracted"]
     assert (calibration.moved(np.arange(6.0)[None], np.array([2])) == [[0, 0, 0, 1, 2, 3]]).all() and (calibration.moved(np.arange(6.0)[None], np.array([-2])) == [[2, 3, 4, 5, 0, 0]]).all()
+
+
+def test_calibration_by_traces_equals_whole_roads_and_needs_no_plate(spark, small, tmp_path):
+    from collections import defaultdict
+
+    from fathomline.plans import registry
+
+    query = registry.queries()["calibrated_roads"]
+    table = spark.read.parquet(f"{small}/embeddings.parquet")
+    roads = defaultdict(list)
+    for r in table.orderBy("vec_id").collect():
+        roads[r.label].append(r.embedding)
+    roads = {k: np.array(v, float) for k, v in roads.items()}
+    # Roads without a plate are still calibrated; with one, no row carries its traces.
+    table.filter("label <> 0").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for where, plate in ((small, roads[0]), (str(tmp_path), None)):
+        frame = query(spark, where)
+        assert all(f.name != "plate" for f in frame.schema)
+        got = defaultdict(list)
+        for r in sorted(frame.collect(), key=lambda r: r.row):
+            got[int(r.road)].append(r)
+        assert set(got) == {k for k in roads if plate is not None or k}
+        for k, rows in got.items():
+            want = calibration.calibrated(roads[k], plate, 2, 20, same_setup=k % 2 == 0)
+            assert [r.row for r in rows] == list(range(len(roads[k]))) and [r.surface for r in rows] == want["surface"].tolist()
+            assert {(r.reference, r.subtracted) for r in rows} == {(want["reference"], want["subtracted"])}
+            assert np.allclose([r.corrected for r in rows], want["corrected"], atol=1e-12)
