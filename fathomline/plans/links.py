@@ -81,14 +81,18 @@ def contracted_chains(spark, d):
 def two_hop_routes(spark, d):
     """A link is kept where another route between its ends is strong at every hop."""
     e = read(spark, d, "lineitem").filter("l_quantity >= 45").groupBy(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 400).alias("b")).agg(F.max("l_quantity").alias("q"))
-    # First hop to another b and from there to another a: the two best of each (a, a2), by shared b, limited in each task before the shuffle; two are kept for the exclusion.
-    hop = e.select(F.col("a").alias("a2"), "b", F.col("q").alias("w"))
-    pairs = e.join(hop, "b").filter("a <> a2").select("a", "a2", "b", F.col("q").alias("first"))
-    ranked = F.row_number().over(Window.partitionBy("a", "a2").orderBy(F.desc("first"), "b"))
-    tops = pairs.withColumn("r", ranked).filter("r <= 2").groupBy("a", "a2").agg(F.sort_array(F.collect_list(F.struct((-F.col("first")).alias("n"), "b"))).alias("t"))
-    back = e.select(F.col("a").alias("a2"), "b", F.col("q").alias("last"))
-    routes = tops.join(back, "a2").withColumn("f", F.get(F.filter("t", lambda x: x["b"] != F.col("b")), F.lit(0))["n"]).filter("f is not null")
-    best = routes.groupBy("a", "b").agg(F.max(F.least(-F.col("f"), F.col("last"))).alias("route"))
+    # Pairs of one a's links, 400 at most whatever the size of the table, as b is a remainder of 400; never pairs of all a that share a b. The last hop of a
+    # route from b' to b goes through any a that has both: counts by its strength, from which an edge's own a is taken out.
+    hop = lambda name, q: e.select("a", F.col("b").alias(name), F.col("q").alias(q))
+    pairs = hop("via", "first").join(hop("b", "last"), "a").filter("via <> b")
+    counts = pairs.groupBy("via", "b", "last").agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("via", "b").orderBy(F.desc("last")))).filter("r <= 2")
+    pick = lambda r, c: F.max(F.when(F.col("r") == r, F.col(c)))
+    ends = ranked.groupBy("via", "b").agg(pick(1, "last").alias("best"), pick(1, "n").alias("many"), pick(2, "last").alias("next"))
+    # 159,600 rows at most: ordered pairs of different remainders.
+    routes = pairs.join(F.broadcast(ends), ["via", "b"])
+    other = F.when((F.col("last") < F.col("best")) | (F.col("many") > 1), F.col("best")).otherwise(F.col("next"))
+    best = routes.withColumn("other", other).filter("other is not null").groupBy("a", "b").agg(F.max(F.least("first", "other")).alias("route"))
     out = e.join(best, ["a", "b"], "left").withColumn("route", F.coalesce("route", F.lit(0.0)))
     return out.select("a", "b", "q", "route", (F.col("route") >= 47).alias("kept"))
 

@@ -87,3 +87,23 @@ def test_all_samples_count(spark, small):
             for b in range(max(1, a - 2), min(64, a + 2) + 1):
                 w[a, b] = (traces[i][a - 1] - traces[i + 1][b - 1]) ** 2 + min(w[a - 1, b], w[a, b - 1], w[a - 1, b - 1])
         assert abs(pairs[i] - w[64, 64]) < 1e-4
+
+
+def test_two_hop_routes_of_many_that_share_their_ends(spark, tmp_path):
+    import threading
+
+    n = 12_000
+    # All suppliers link to 0 and 1, which is 288 million pairs of suppliers; the strongest links are the only ones of their kind.
+    rows = spark.range(n).selectExpr("id AS l_suppkey", "explode(array(400L, 1L)) AS l_partkey")
+    rows.selectExpr("*", "CASE WHEN l_suppkey = 5 THEN 50.0D + l_partkey % 400 ELSE 45.0D + (l_suppkey + l_partkey) % 3 END AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    q = lambda a, b: 50.0 + b if a == 5 else 45.0 + (a + (b or 400)) % 3
+    timer = threading.Timer(100, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        got = {(r.a, r.b): r for r in QUERIES["two_hop_routes"](spark, str(tmp_path)).collect()}
+    finally:
+        timer.cancel()
+    assert len(got) == 2 * n
+    for (a, b), r in got.items():
+        route = min(q(a, 1 - b), 47.0 if a == 5 else 50.0 + b)
+        assert (r.q, r.route, r.kept) == (q(a, b), route, route >= 47)
