@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .solvers import matrix
 
@@ -18,7 +20,8 @@ from .solvers import matrix
 def over_blocks(df: DataFrame, keys: list[str], row: str, samples: str, fn: Callable[[np.ndarray], np.ndarray], size: int, margin: int, out: str) -> DataFrame:
     """(keys, row, out): ``fn`` of each block of ``size`` rows of a key, numbered by ``row``, with ``margin`` rows of its neighbours.
 
-    Each row is copied to the blocks that need it, three at most for margins below the size; no task holds a road.
+    Each row is copied to the blocks that need it, three at most for margins below the size; no task holds a road. A road's last rows are also
+    dealt to the block after them, which has none of its own then and is left out.
     """
     if margin > size:
         raise ValueError("margin above the block size")
@@ -29,15 +32,18 @@ def over_blocks(df: DataFrame, keys: list[str], row: str, samples: str, fn: Call
 
     def run(block: pa.Table) -> pa.Table:
         block = block.sort_by(row)
-        made = np.ascontiguousarray(fn(matrix(block["_s"])), np.float64)
         place = block[row].to_numpy()
         mine = np.flatnonzero(place // size == block["_b"].to_numpy())
+        if not len(mine):
+            return target.empty_table()
+        made = np.ascontiguousarray(fn(matrix(block["_s"])), np.float64)
         part = block.take(pa.array(mine))
         offsets = np.arange(len(mine) + 1, dtype=np.int32) * made.shape[1]
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(made[mine].ravel()))
         return part.select([*keys, row]).append_column(out, lists)
 
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{row} {kinds[row]}", f"{out} array<double>"])
+    target = to_arrow_schema(StructType.fromDDL(schema))
     return spread.groupBy(*keys, "_b").applyInArrow(run, schema)
 
 
@@ -59,7 +65,8 @@ def oriented_coherence(x: np.ndarray, slopes: tuple[float, ...] = (-1.5, -1, -0.
 
 def structure_slope(x: np.ndarray, smooth: int = 2) -> np.ndarray:
     """Samples a trace along which the image changes least, from the smoothed structure tensor."""
-    gy, gx = np.gradient(x, axis=0), np.gradient(x, axis=1)
+    # A single trace, or sample, has no change along that axis.
+    gy, gx = (np.gradient(x, axis=k) if x.shape[k] > 1 else np.zeros_like(x) for k in (0, 1))
 
     def mean(a: np.ndarray) -> np.ndarray:
         return np.mean([_shifted(a, i, j) for i in range(-smooth, smooth + 1) for j in range(-smooth, smooth + 1)], axis=0)

@@ -132,3 +132,15 @@ def test_dense_paths_by_enumeration(seed):
     best = max(itertools.product(range(5), repeat=5), key=value)
     got = tuple(int(round(s)) if not g else 4 for s, g in zip(path, gap, strict=True))
     assert np.isclose(value(got), value(best)) and all(path[r] == s for r, s in seeds.items())
+
+
+def test_slopes_of_roads_of_any_length(spark):
+    # Roads of 1 and 62 traces, and others around the ends of blocks: what a block after the last one has is margin alone.
+    draw = np.random.default_rng(3)
+    x = {n: draw.standard_normal((n, 8)) for n in (1, 2, 61, 62, 63, 64, 65, 126)}
+    df = spark.createDataFrame([(n, i, r.tolist()) for n, rows in x.items() for i, r in enumerate(rows)], "road int, row long, s array<double>")
+    for fn, margin in ((grids.structure_slope, 3), (grids.oriented_coherence, 3), (grids.lateral_phase_coherence, 4)):
+        got = {(r.road, r.row): r.o for r in grids.over_blocks(df, ["road"], "row", "s", fn, 64, margin, "o").collect()}
+        assert len(got) == sum(x)
+        assert all(np.allclose([got[n, i] for i in range(n)], fn(rows)) for n, rows in x.items())
+    assert (grids.structure_slope(np.ones((1, 8))) == 0).all()
