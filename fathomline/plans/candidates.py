@@ -185,7 +185,9 @@ def family_assignments(spark, d):
     """Each candidate to the seed whose prototype fits it best, to none below the threshold."""
     cand = candidates(spark, d)
     known = seeds(cand).groupBy("label").agg(F.collect_list(F.struct("i", "s", "pole")).alias("seeds"))
-    fit = lambda x: F.struct((-(F.when(x["pole"] == F.col("pole"), F.col("score")).otherwise(0.0) - 0.01 * F.abs(F.col("k") - x["s"]) - 0.002 * F.abs(F.col("i") - x["i"]))).alias("o"), x["i"].alias("family"))
+    # Whole numbers divided, as decimals become doubles, so that ties and the threshold fall as they do there; 0.01 * 7 as doubles is no 0.07.
+    support = lambda x: F.when(x["pole"] == F.col("pole"), F.col("score")).otherwise(0.0) - F.abs(F.col("k") - x["s"]) / F.lit(100.0) - 2 * F.abs(F.col("i") - x["i"]) / F.lit(1000.0)
+    fit = lambda x: F.struct((-support(x)).alias("o"), x["i"].alias("family"))
     best = cand.join(known, "label").withColumn("m", F.array_min(F.transform("seeds", fit)))
     return best.select("vec_id", "k", F.when(-F.col("m.o") >= 0.3, F.col("m.family")).otherwise(-1).alias("family"), F.round(F.greatest(-F.col("m.o"), F.lit(0.0)), 6).alias("support"))
 

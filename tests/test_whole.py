@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 
 from fathomline.operators import solvers
@@ -107,3 +108,16 @@ def test_two_hop_routes_of_many_that_share_their_ends(spark, tmp_path):
     for (a, b), r in got.items():
         route = min(q(a, 1 - b), 47.0 if a == 5 else 50.0 + b)
         assert (r.q, r.route, r.kept) == (q(a, b), route, route >= 47)
+
+
+def test_families_at_the_threshold_and_in_ties(spark, tmp_path):
+    # Seeds have one peak each, of score 1, and all other traces peaks of score 1 at every other sample. Roads of equal seeds meet the threshold, others have ties.
+    roads = [{0: 1, 150: 9, 300: 39}, {0: 1, 150: 1, 300: 1}]
+    peaks = {1000 * road + i: [seeds[i]] if i in seeds else list(range(1, 63, 2)) for road, seeds in enumerate(roads) for i in range(301)}
+    traces = [(at, [1.0 if k in own else 0.0 for k in range(64)], at // 1000) for at, own in peaks.items()]
+    spark.createDataFrame(traces, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.vec_id, r.k): r.family for r in QUERIES["family_assignments"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {(at, k): family for at, k, family in con.sql(f"SELECT vec_id, k, family FROM ({registry.oracle_sql()['family_assignments']})").fetchall()}
+    assert len(want) == sum(map(len, peaks.values())) and got == want
