@@ -20,31 +20,49 @@ NEVER = -1e18
 def second_order_path(scores: np.ndarray, slope: float, curve: float, fixed: dict[int, int] | None = None) -> tuple[np.ndarray, float]:
     """The path of states that maximises scores - slope * |step| - curve * |change of step|; rows in ``fixed`` must take their state.
 
-    Exact over pairs of states: O(rows * states^3).
+    Exact over pairs of states: O(rows * states^3). The way forward keeps the pairs' scores at every so many rows only, some square root of the rows; the way
+    back takes these stretches again, last first, with the choices of one stretch at a time.
     """
-    s = scores.astype(float).copy()
-    for row, state in (fixed or {}).items():
-        keep = s[row, state]
-        s[row] = NEVER
-        s[row, state] = keep
-    n, m = s.shape
+    n, m = scores.shape
     index = np.arange(m)
-    step = np.abs(index[:, None] - index[None, :])
+    step = slope * np.abs(index[:, None] - index[None, :])
+
+    def row_of(row: int) -> np.ndarray:
+        own = scores[row].astype(float)
+        if fixed and row in fixed:
+            keep = own[fixed[row]]
+            own[:] = NEVER
+            own[fixed[row]] = keep
+        return own
+
     if n == 1:
-        return np.array([int(s[0].argmax())]), float(s[0].max())
-    best = s[0][:, None] + s[1][None, :] - slope * step
-    back = []
-    bend = np.abs((index[None, None, :] - index[None, :, None]) - (index[None, :, None] - index[:, None, None]))
+        return np.array([int(row_of(0).argmax())]), float(row_of(0).max())
+    bend = curve * np.abs((index[None, None, :] - index[None, :, None]) - (index[None, :, None] - index[:, None, None]))
+    ways = np.empty_like(bend)
+
+    def ahead(best: np.ndarray, row: int) -> np.ndarray:
+        return np.subtract(best[:, :, None], bend, out=ways).max(axis=0) + row_of(row)[None, :] - step
+
+    stretch = max(int(np.ceil(np.sqrt(n))), 1)
+    best = row_of(0)[:, None] + row_of(1)[None, :] - step
+    starts, marks = list(range(2, n, stretch)), []
     for row in range(2, n):
-        total = best[:, :, None] - curve * bend
-        back.append(total.argmax(axis=0))
-        best = total.max(axis=0) + s[row][None, :] - slope * step
+        if (row - 2) % stretch == 0:
+            marks.append(best)
+        best = ahead(best, row)
     j, k = np.unravel_index(best.argmax(), best.shape)
     value = float(best[j, k])
-    path = [int(k), int(j)]
-    for choice in reversed(back):
-        path.append(int(choice[path[-1], path[-2]]))
-    return np.array(path[::-1]), value
+    path = np.empty(n, int)
+    path[n - 1], path[n - 2] = k, j
+    for start, best in zip(reversed(starts), reversed(marks), strict=True):
+        stop, choices = min(start + stretch, n), []
+        for row in range(start, stop):
+            at = best
+            best = ahead(at, row)
+            choices.append(ways.argmax(axis=0).astype(np.int32))
+        for row in range(stop - 1, start - 1, -1):
+            path[row - 2] = choices[row - start][path[row - 1], path[row]]
+    return path, value
 
 
 def best_paths(scores: np.ndarray, slope: float, count: int, apart: int = 0) -> list[tuple[list[int], float]]:

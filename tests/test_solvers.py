@@ -144,3 +144,24 @@ def test_slopes_of_roads_of_any_length(spark):
         assert len(got) == sum(x)
         assert all(np.allclose([got[n, i] for i in range(n)], fn(rows)) for n, rows in x.items())
     assert (grids.structure_slope(np.ones((1, 8))) == 0).all()
+
+
+def test_second_order_paths_of_long_roads_keep_few_rows():
+    import tracemalloc
+
+    draw = np.random.default_rng(4)
+    # Against a plain recursion over pairs of states, across many stretches; of small whole numbers, so ties too.
+    for s in (draw.standard_normal((50, 4)), draw.integers(0, 3, (50, 4)).astype(float)):
+        best = {(a, b): s[0, a] + s[1, b] - 0.3 * abs(a - b) for a in range(4) for b in range(4)}
+        for row in s[2:]:
+            best = {(b, c): max(best[a, b] - 0.2 * abs(c - 2 * b + a) for a in range(4)) + row[c] - 0.3 * abs(b - c) for b in range(4) for c in range(4)}
+        path, value = solvers.second_order_path(s, 0.3, 0.2)
+        assert np.isclose(value, max(best.values()))
+        assert np.isclose(value, s[np.arange(50), path].sum() - 0.3 * np.abs(np.diff(path)).sum() - 0.2 * np.abs(np.diff(path, 2)).sum())
+    scores = draw.standard_normal((4000, 32))
+    tracemalloc.start()
+    solvers.second_order_path(scores, 0.03, 0.008)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The choices of all rows are 33 MB.
+    assert peak < 8e6
