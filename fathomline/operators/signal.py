@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Traces that ``per_trace`` hands to a transform at once; some hold tens of copies of them.
+AT_ONCE = 512
+
+
 def per_trace(df: DataFrame, id_col: str, samples: str, fn: Callable[[np.ndarray], np.ndarray], out: str = "samples") -> DataFrame:
-    """(id, out) with ``fn`` applied to the matrix of a batch's traces of one length; null traces stay null."""
+    """(id, out) with ``fn`` applied to the matrix of a piece of a batch's traces of one length, AT_ONCE at most; null traces stay null."""
     data = df.select(F.col(id_col).cast("long").alias(id_col), F.col(samples).cast("array<double>").alias("_s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, AT_ONCE) for whole in batches for k in range(0, whole.num_rows, AT_ONCE)):
             rows = batch.column(1).to_pylist()
             made: list = [None] * len(rows)
             for n in {len(r) for r in rows if r is not None}:

@@ -159,3 +159,9 @@ def test_long_segments_stand_in_few_buckets(spark):
     got = joins.interval_first_match(spark.createDataFrame(rows, "i int, k string, x double"), spark.createDataFrame(segments, "k string, lo double, hi double, ord int, name string"), ["k"], "i", "x", "lo", "hi", "ord", ["name"], 4.0).collect()
     want = {i: next((s[4] for s in segments if s[1] <= x <= s[2]), None) for i, _, x in rows}
     assert {r.i: r.name for r in got} == want
+
+
+def test_transforms_take_few_traces_at_once(spark):
+    df = spark.range(3000).selectExpr("id", "array(double(id), 1.0D) AS s").coalesce(1)
+    got = {r.id: r.o for r in signal.per_trace(df, "id", "s", lambda x: np.stack([x[:, 0], np.full(len(x), len(x))], axis=1), "o").collect()}
+    assert len(got) == 3000 and all(got[i][0] == i and got[i][1] <= signal.AT_ONCE for i in range(3000))
